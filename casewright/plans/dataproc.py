@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import table
 from ..operators.intervals import periods_and_gaps
 from ..operators.sessions import sessionize
+from ..operators.timestamps import normalize_stamps
 
 IDLE_US = 30 * 60 * 1_000_000
 
@@ -54,5 +57,17 @@ SELECT 'period' AS kind, user_key, start_us, end_us FROM p
 UNION ALL SELECT 'gap', user_key, start_us, end_us FROM g WHERE start_us IS NOT NULL
 """
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stamp as one UTC instant."""
+    hosts = table(spark, sf_dir, "hosts")
+    tables = (("anydesk_sessions", "host", None), ("evtx_events", "computer", None), ("shell_history", "host", None), ("linux_auth", "host", "collected_at"))
+    parts = []
+    for name, source, until in tables:
+        cut = F.col(until) if until else F.lit(None).cast("timestamp_ntz")
+        parts.append(table(spark, sf_dir, name).select(F.lit(name).alias("src"), "rec_id", "timestamp", F.col(source).alias("host"), cut.alias("collected_at")))
+    rows = reduce(DataFrame.unionByName, parts)
+    return normalize_stamps(rows, "timestamp", "host", hosts, "collected_at").filter("utc_us IS NOT NULL").select("src", "rec_id", "utc_us")
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found}
 ORACLE = {"p1_found": P1_SQL, "p5_found": P5_SQL}
