@@ -103,35 +103,33 @@ def normalize_stamps(
     if result in df.columns:
         raise ValueError(f"column {result} exists")
     spark = df.sparkSession
-    abbreviations = zone_abbreviations(spark)
-    known = abbreviations.select("zone_name").distinct()
-    hosts = lookup.filter(F.col("host").isNotNull()).groupBy("host").agg(F.min_by("date_order", "zone_name").alias("_order"), F.min("zone_name").alias("zone_name"))
-    hosts = hosts.join(known, "zone_name", "left_semi").select(F.col("host").alias("_host"), F.col("zone_name").alias("_zone"), "_order")
-    own = abbreviations.select(F.col("zone_name").alias("_zone2"), F.col("abbreviation").alias("_abbr"), F.col("offset_us").alias("_abbr_us"))
+    zones = zone_abbreviations(spark).groupBy("zone_name").agg(F.map_from_entries(F.collect_list(F.struct("abbreviation", "offset_us"))).alias("_own"))
+    listed = lookup.filter(F.col("host").isNotNull()).groupBy("host").agg(F.min_by("date_order", "zone_name").alias("_order"), F.min("zone_name").alias("zone_name"))
+    hosts = listed.join(zones, "zone_name").select(F.col("host").alias("_host"), F.col("zone_name").alias("_zone"), "_order", "_own")
 
-    s = F.regexp_replace(F.trim(df[stamp]), r"^[\s\[(\"'<]+|[\s\])\"'>]+$", "")
+    x = df.withColumn("_s", F.regexp_replace(F.trim(df[stamp]), r"^[\s\[(\"'<]+|[\s\])\"'>]+$", ""))
+    s = F.col("_s")
     fields = F.lit(None).cast("string")
     for _, pattern, canon in reversed(LAYOUTS):
         fields = F.when(s.rlike(pattern), F.regexp_replace(s, pattern, canon)).otherwise(fields)
-    x = df.withColumn("_f", F.split(fields, r"\|")).withColumn("_s", s)
+    x = x.withColumn("_f", F.split(fields, r"\|"))
     part = [F.col("_f")[i] for i in range(10)]
-    zone_text = F.upper(part[7])
-    x = x.withColumn("_z", F.when(zone_text.isin("Z", "UTC", "GMT", "UT"), F.lit("+0000")).otherwise(F.regexp_replace(zone_text, "^(?:UTC|GMT)(?=[+-])|:", "")))
+    x = x.withColumn("_z", F.upper(part[7]))
+    x = x.withColumn("_z", F.when(F.col("_z").isin("Z", "UTC", "GMT", "UT"), F.lit("+0000")).otherwise(F.regexp_replace("_z", "^(?:UTC|GMT)(?=[+-])|:", "")))
     x = x.join(hosts, F.col(source) == F.col("_host"), "left")
-    named = F.when(F.col("_z").rlike("^[A-Z]+$"), F.col("_z"))
-    x = x.join(own, (F.col("_zone") == F.col("_zone2")) & (named == F.col("_abbr")), "left")
 
     # the date's parts in their order
     slashed = part[9] == "s"
     a, c = part[0], part[2]
-    order = F.when(slashed & (F.length(c) == 4) & (F.col("_order") == "ymd"), F.lit(None).cast("string")).otherwise(F.col("_order"))
+    x = x.withColumn("_order", F.when(~(slashed & (F.length(c) == 4) & (F.col("_order") == "ymd")), F.col("_order")))
+    order = F.col("_order")
     year = F.when(slashed, F.when(order == "ymd", a).when(order.isNotNull(), c)).otherwise(part[0])
     month = F.when(slashed & (order == "mdy"), a).otherwise(part[1])
     day = F.when(slashed, F.when(order == "dmy", a).when(order == "mdy", part[1]).when(order == "ymd", c)).otherwise(part[2])
     name_number = F.create_map(*[F.lit(v) for i, m in enumerate(MONTHS) for v in (m, i + 1)])
-    yr = _int(year)
-    x = x.withColumn("_y", F.when(yr < 100, yr + 2000).otherwise(yr))
-    x = x.withColumn("_m", F.coalesce(_int(month), name_number[F.lower(month)])).withColumn("_d", _int(day))
+    x = x.withColumn("_y", _int(year)).withColumn("_mon", month).withColumn("_d", _int(day))
+    x = x.withColumn("_y", F.when(F.col("_y") < 100, F.col("_y") + 2000).otherwise(F.col("_y")))
+    x = x.withColumn("_m", F.coalesce(_int(F.when(F.col("_mon").rlike("^[0-9]+$"), F.col("_mon"))), name_number[F.lower("_mon")]))
     h, half = _int(part[3]), F.lower(part[8])
     hour = F.when(half == "", F.when(h <= 23, h)).when((h >= 1) & (h <= 12), h % 12 + F.when(half == "p", 12).otherwise(0))
     minute, second = _int(part[4]), F.coalesce(_int(part[5]), F.lit(0))
@@ -139,9 +137,10 @@ def normalize_stamps(
     clock = F.when((minute <= 59) & (second <= 59), ((hour * 60 + minute) * 60 + second).cast("bigint") * 1_000_000 + fraction)
     x = x.withColumn("_clock", clock)
     digits = F.regexp_extract("_z", r"^[+-](\d{2})(\d{2})?$", 1), F.regexp_extract("_z", r"^[+-](\d{2})(\d{2})?$", 2)
-    oh, om = _int(digits[0]), F.coalesce(_int(digits[1]), F.lit(0))
-    offset = F.when((oh * 60 + om <= 18 * 60) & (om < 60), (oh * 60 + om).cast("bigint") * 60_000_000 * F.when(F.col("_z").startswith("-"), -1).otherwise(1))
-    x = x.withColumn("_off", F.coalesce(offset, F.col("_abbr_us")))
+    x = x.withColumn("_oh", _int(digits[0])).withColumn("_om", F.coalesce(_int(digits[1]), F.lit(0)))
+    east = F.col("_oh") * 60 + F.col("_om")
+    offset = F.when((east <= 18 * 60) & (F.col("_om") < 60), east.cast("bigint") * 60_000_000 * F.when(F.col("_z").startswith("-"), -1).otherwise(1))
+    x = x.withColumn("_off", F.coalesce(offset, F.col("_own")[F.col("_z")]))
 
     def instant(y: Column) -> Column:
         first = F.make_date(F.greatest(F.lit(1), F.least(F.lit(9999), y)), F.greatest(F.lit(1), F.least(F.lit(12), F.col("_m"))), F.lit(1))
@@ -165,4 +164,6 @@ def normalize_stamps(
     for least, beyond, sql in reversed(UNITS):
         number = F.when((F.col("n") >= least) & (F.col("n") < beyond), F.expr(sql)).otherwise(number)
     us = F.when(F.col("_f").isNotNull(), dated).otherwise(number)
-    return x.withColumn(result, F.when(us >= FIRST_REAL_US, us)).select(*[df[c] for c in df.columns], result)
+    x = x.withColumn("_us", us)
+    # Through a generator of one row: a filter on the result is then not copied, with all it is made of, below the steps above.
+    return x.select(*[df[c] for c in df.columns], F.explode(F.array(F.when(F.col("_us") >= FIRST_REAL_US, F.col("_us")))).alias(result))
