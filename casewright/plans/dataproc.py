@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..common import table
 from ..operators.intervals import periods_and_gaps
+from ..operators.loglines import log_entries
 from ..operators.sessions import sessionize
 from ..operators.timestamps import normalize_stamps
 
@@ -57,6 +58,15 @@ SELECT 'period' AS kind, user_key, start_us, end_us FROM p
 UNION ALL SELECT 'gap', user_key, start_us, end_us FROM g WHERE start_us IS NOT NULL
 """
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the remote-access traces and the authentication logs."""
+    parts = []
+    for name in ("anydesk_events", "linux_auth"):
+        found = log_entries(table(spark, sf_dir, name))
+        parts.append(found.select(F.lit(name).alias("src"), "first_rec_id", "n_lines", "stamp_text", "level_key", "component_key"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stamp as one UTC instant."""
     hosts = table(spark, sf_dir, "hosts")
@@ -69,5 +79,5 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_stamps(rows, "timestamp", "host", hosts, "collected_at").filter("utc_us IS NOT NULL").select("src", "rec_id", "utc_us")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found}
 ORACLE = {"p1_found": P1_SQL, "p5_found": P5_SQL}
