@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..common import table
 from .nearest import match_nearest
+from .newtext import new_lines
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +22,10 @@ SELECT n.rec_id AS net_id, p.rec_id AS proc_id FROM n JOIN p ON n.computer = p.c
 QUALIFY row_number() OVER (PARTITION BY n.rec_id ORDER BY abs(p.t - n.t), p.t, p.rec_id) = 1
 """
 
-QUERIES = {"p3_found": p3_found}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newly written lines of every mail."""
+    return new_lines(table(spark, sf_dir, "emails")).selectExpr("mail_id AS email_id", "line_no")
+
+
+QUERIES = {"p3_found": p3_found, "p7_found": p7_found}
 ORACLE = {"p3_found": P3_SQL}
