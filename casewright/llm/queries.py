@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..common import table
 from .nearest import match_nearest
 from .newtext import new_lines
+from .residue import mark_residue
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,5 +28,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new_lines(table(spark, sf_dir, "emails")).selectExpr("mail_id AS email_id", "line_no")
 
 
-QUERIES = {"p3_found": p3_found, "p7_found": p7_found}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with residue in place of content."""
+    return mark_residue(table(spark, sf_dir, "documents")).filter("is_residue").selectExpr("record_id AS doc_id").distinct()
+
+
+QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p10_found": p10_found}
 ORACLE = {"p3_found": P3_SQL}
