@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..common import table
 from .nearest import match_nearest
 from .newtext import new_lines
+from .pii import found_rows, redact
 from .residue import mark_residue
 
 
@@ -23,6 +24,15 @@ SELECT n.rec_id AS net_id, p.rec_id AS proc_id FROM n JOIN p ON n.computer = p.c
 QUALIFY row_number() OVER (PARTITION BY n.rec_id ORDER BY abs(p.t - n.t), p.t, p.rec_id) = 1
 """
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal information in mail bodies and rendered scripts, each text once per record."""
+    mails = table(spark, sf_dir, "emails").selectExpr("'emails' AS src", "id AS rec_id", "body_text AS text")
+    scripts = table(spark, sf_dir, "ps_scriptblock").selectExpr("'ps_scriptblock' AS src", "rec_id", "message AS text")
+    names = table(spark, sf_dir, "name_list")
+    found = [found_rows(redact(part, "rec_id", "text", names)).selectExpr(f"'{src}' AS src", "record_id AS rec_id", "pii_kind", "pii_text") for src, part in (("emails", mails), ("ps_scriptblock", scripts))]
+    return found[0].unionByName(found[1])
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newly written lines of every mail."""
     return new_lines(table(spark, sf_dir, "emails")).selectExpr("mail_id AS email_id", "line_no")
@@ -33,5 +43,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_residue(table(spark, sf_dir, "documents")).filter("is_residue").selectExpr("record_id AS doc_id").distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p10_found": p10_found}
 ORACLE = {"p3_found": P3_SQL}
