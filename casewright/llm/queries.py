@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..common import table
+from ..common import cut_lineage, table
+from .mixing import mix_sources, sized_records
 from .nearest import match_nearest
 from .newtext import new_lines
+from .packing import fill_report, pack_documents
 from .pii import found_rows, redact
 from .residue import mark_residue
 
@@ -38,10 +40,40 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new_lines(table(spark, sf_dir, "emails")).selectExpr("mail_id AS email_id", "line_no")
 
 
+def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    """The container kinds (a fixed table of three rows)."""
+    return {r[0]: r[1] for r in table(spark, sf_dir, "pack_sizes").select("pack_kind", "capacity_tokens").orderBy("pack_kind").collect()}
+
+
+def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in a container of each capacity."""
+    return pack_documents(table(spark, sf_dir, "documents"), _capacities(spark, sf_dir))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return fill_report(p8_packing(spark, sf_dir), _capacities(spark, sf_dir))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sized = cut_lineage(sized_records(table(spark, sf_dir, "documents"), "doc_id", "source", "text"))
+    return mix_sources(sized, table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the mixture with their number of copies."""
+    return _mixture(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares reached by each source."""
+    return _mixture(spark, sf_dir)[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with residue in place of content."""
     return mark_residue(table(spark, sf_dir, "documents")).filter("is_residue").selectExpr("record_id AS doc_id").distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
 ORACLE = {"p3_found": P3_SQL}
