@@ -56,12 +56,12 @@ def rows(table: str, where: Callable[[], Column] | None, value: Callable[[], Col
     return build
 
 
-def counted(table: str, where: Callable[[], Column], keys: Sequence[str | Column], value: Callable[[], Column], at_least: int, seen: str | None = "timestamp") -> Callable[[Case], DataFrame]:
+def counted(table: str, where: Callable[[], Column], keys: Sequence[str | Callable[[], Column]], value: Callable[[], Column], at_least: int, seen: str | None = "timestamp") -> Callable[[Case], DataFrame]:
     """Filter, group, keep groups of at least so many rows; the value may use the keys."""
 
     def build(case: Case) -> DataFrame:
         first = F.min(seen) if seen else F.lit(None).cast("timestamp")
-        grouped = case[table].filter(where()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), first.alias("first_seen"))
+        grouped = case[table].filter(where()).groupBy(*[k if isinstance(k, str) else k() for k in keys]).agg(F.count(F.lit(1)).alias("_n"), first.alias("first_seen"))
         return grouped.filter(F.col("_n") >= at_least).select(value().alias("value"), "first_seen")
 
     return build

@@ -56,7 +56,11 @@ def indicators_of(text: Column, base64: bool = False) -> Column:
         out.append(("base64", _all(text, BASE64)))
     domains = F.transform(_all(F.regexp_replace(text, URL, " "), DOMAIN), F.lower)
     out.append(("domain", F.filter(domains, lambda x: (F.length(x) >= 6) & ~any_of([(x == d) | x.endswith("." + d) for d in NOISE_DOMAINS]))))
-    return F.filter(F.concat(*[F.transform(v, lambda x, k=k: F.struct(F.lit(k).alias("type"), x.alias("value"))) for k, v in out]), lambda s: F.length(s["value"]) >= 3)
+
+    def named(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda x: F.struct(F.lit(kind).alias("type"), x.alias("value")))
+
+    return F.filter(F.concat(*[named(k, v) for k, v in out]), lambda s: F.length(s["value"]) >= 3)
 
 
 def extract_from(frames: list[tuple[str, DataFrame, str]]) -> DataFrame:
