@@ -207,10 +207,10 @@ def _(case: Case) -> DataFrame:
 
 
 @query("graph_neighbourhood", f"""WITH e AS ({_EDGES}), l AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
-n1 AS (SELECT 'winword.exe' AS node UNION SELECT b FROM l WHERE a = 'winword.exe'), n2 AS (SELECT node FROM n1 UNION SELECT b FROM l WHERE a IN (SELECT node FROM n1))
+n1 AS (SELECT 'explorer.exe' AS node UNION SELECT b FROM l WHERE a = 'explorer.exe'), n2 AS (SELECT node FROM n1 UNION SELECT b FROM l WHERE a IN (SELECT node FROM n1))
 SELECT * FROM e WHERE src IN (SELECT node FROM n2) AND dst IN (SELECT node FROM n2)""")
 def _(case: Case) -> DataFrame:
-    return L.neighbourhood(L.graph_edges(case).drop("first_ts", "last_ts"), "winword.exe")
+    return L.neighbourhood(L.graph_edges(case).drop("first_ts", "last_ts"), "explorer.exe")
 
 
 @query("network_correlation", """WITH n AS (SELECT remote_addr, count(*) AS n_conns FROM mem_netscan WHERE remote_addr NOT IN ('', '*', '0.0.0.0', '::') GROUP BY 1), a AS (SELECT src_ip AS remote_addr, count(DISTINCT "timestamp") AS n_logons FROM auth_events GROUP BY 1)
