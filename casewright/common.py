@@ -55,3 +55,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="casewright-"))
     return df.checkpoint()
+
+
+def worker_partitions(spark: SparkSession) -> int:
+    """Partitions for work that costs far more than its bytes: at least two per core, and what the session sets for shuffles."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A plain table scan over all cores, where its files alone give too few partitions.
+
+    Large tables keep the partitions of their scan; only small ones are
+    shuffled. The frame must be a scan (counting its partitions plans it).
+    """
+    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(worker_partitions(df.sparkSession))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..common import worker_partitions
 from ..functions.earley import Grammar
 
 BLOCK_LINES = 4096
@@ -32,11 +33,11 @@ LEVEL_KEYS = {name: key for key, names in LEVELS.items() for name in names}
 _WORDS = "|".join(sorted((n for names in LEVELS.values() for n in names if len(n) > 1), key=len, reverse=True))
 _MON = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 _CLOCK = r"\d{2}:\d{2}:\d{2}"
+# Every line is parsed with a closing NUL, so that a rest of line is never empty and needs no second rule.
 _OFFSET = r"(?:Z|[+-]\d{2}:?\d{2})"
 
 TERMINALS = {
     "SP": r"[ \t]+",
-    "SP1": r" ",
     "DASH": r" +- +",
     "NIL": r"-",
     "LBR": r"\[",
@@ -45,13 +46,13 @@ TERMINALS = {
     "GT": r">",
     "SLASH": r"/",
     "BAR": r"[ \t]*\|[ \t]*",
-    "COLON": r":(?= |$)",
+    "COLON": r":(?=[ \0])",
     "INT": r"\d+",
     # stamps
     "ISO": rf"\d{{4}}[-/]\d{{2}}[-/]\d{{2}}[T ]{_CLOCK}(?:[.,]\d+)?{_OFFSET}?",
-    "ISO_Z": rf"\d{{4}}-\d{{2}}-\d{{2}}[T ]{_CLOCK}(?:[.,]\d+)? (?:[+-]\d{{2}}:?\d{{2}}|[A-Z]{{3,5}})(?=[ \]]|$)",
+    "ISO_Z": rf"\d{{4}}-\d{{2}}-\d{{2}}[T ]{_CLOCK}(?:[.,]\d+)? (?:[+-]\d{{2}}:?\d{{2}}|[A-Z]{{3,5}})(?=[ \]\0])",
     "DOTTED": rf"\d{{2}}\.\d{{2}}\.\d{{4}} {_CLOCK}(?:[.,]\d+)?{_OFFSET}?",
-    "DOTTED_Z": rf"\d{{2}}\.\d{{2}}\.\d{{4}} {_CLOCK}(?:[.,]\d+)? (?:[+-]\d{{2}}:?\d{{2}}|[A-Z]{{3,5}})(?=[ \]]|$)",
+    "DOTTED_Z": rf"\d{{2}}\.\d{{2}}\.\d{{4}} {_CLOCK}(?:[.,]\d+)? (?:[+-]\d{{2}}:?\d{{2}}|[A-Z]{{3,5}})(?=[ \]\0])",
     "CLASSIC": rf"{_MON} [ \d]\d {_CLOCK}(?:\.\d+)?",
     "DATE_CMD": rf"[A-Z][a-z]{{2}} {_MON} [ \d]\d {_CLOCK}(?: [A-Z]{{2,5}}| [+-]\d{{4}})? \d{{4}}",
     "EPOCH": r"\d{10}(?:\.\d+)?(?![\d.])|\d{13}(?!\d)|\d{16}(?!\d)",
@@ -73,12 +74,12 @@ TERMINALS = {
     "K_COMP": r"(?:component|prog|program|mod|module|unit|logger|comp|app|service|subsystem|facility|tag)=",
     "K_OTHER": r"(?!(?:ts|time|timestamp|t|date|datetime|when|level|lvl|severity|sev|loglevel|priority|component|prog|program|mod|module|unit|logger|comp|app|service|subsystem|facility|tag)=)[A-Za-z_][\w.-]*=",
     "QUOTED": r'"(?:[^"\\]|\\.)*"',
-    "BARE": r'[^\s"=]+(?=\s|$)',
-    "EMPTY_END": r"(?=\s|$)",
+    "BARE": r'[^\s"=\0]+(?=[\s\0])',
+    "END": r"\s*\0",
     "Q": r'"',
     # JSON lines
     "JOPEN": r"\{\s*",
-    "JCLOSE": r"\s*\}\s*$",
+    "JCLOSE": r"\s*\}\s*\0",
     "JCOMMA": r"\s*,\s*",
     "J_STAMP": r'"(?:ts|time|timestamp|t|@timestamp|date|datetime|when)"\s*:\s*',
     "J_LEVEL": r'"(?:level|lvl|severity|sev|loglevel|priority)"\s*:\s*',
@@ -89,13 +90,13 @@ TERMINALS = {
     "JWORD": r"null|true|false",
     "JNEST": r"[\[{].*?[\]}](?=\s*[,}])",
     # continuations
-    "BLANK": r"\s+$",
+    "BLANK": r"\s+\0",
     "FRAME": r"\s+(?:at|in|from) .+",
     "CAUSE": r"(?:Caused by|Traceback|During handling|Suppressed|\.\.\. \d+ more).*",
     "HEXDUMP": r"[0-9A-Fa-f]{4,16}:?(?: +[0-9A-Fa-f]{2})+.*",
     "MARKED": r"\s*[|>*#].*",
     "INDENTED": r"[ \t]+\S.*",
-    "BRACE": r"[{}\[\]()],?\s*$",
+    "BRACE": r"[{}\[\]()],?\s*\0",
 }
 
 RULES = {
@@ -103,25 +104,25 @@ RULES = {
     "STAMP": [(1.0, "stamp:ISO"), (0.5, "stamp:ISO_Z"), (1.0, "stamp:DOTTED"), (0.5, "stamp:DOTTED_Z"), (1.0, "stamp:CLASSIC"), (1.0, "stamp:DATE_CMD"), (0.9, "stamp:EPOCH")],
     "PID": [(1.0, "LBR INT RBR")],
     "ENTRY": [
-        (1.0, "SP? level:LEVEL SP STAMP SP INT SP INT SP comp:COMP DASH text:TEXT?"),
-        (0.4, "SP? STAMP SP INT SP INT SP comp:COMP DASH text:TEXT?"),
-        (1.0, "LBR STAMP RBR SP LBR level:LEVEL SP? RBR SP LBR comp:COMP_IN_BRACKETS RBR SP1? text:TEXT?"),
-        (0.5, "LBR STAMP RBR SP LBR comp:COMP_IN_BRACKETS RBR SP1? text:TEXT?"),
-        (1.0, "STAMP SP level:LEVEL SP comp:COMP PID? COLON SP1? text:TEXT?"),
-        (0.5, "STAMP SP comp:COMP PID? COLON SP1? text:TEXT?"),
-        (1.0, "STAMP SP level:LEVEL SP LBR THREAD RBR SP comp:COMP DASH text:TEXT?"),
-        (0.5, "STAMP SP LBR THREAD RBR SP comp:COMP DASH text:TEXT?"),
-        (1.0, "STAMP BAR comp:COMP BAR level:LEVEL BAR text:TEXT?"),
-        (1.0, "STAMP BAR level:LEVEL BAR comp:COMP BAR text:TEXT?"),
-        (0.3, "STAMP BAR comp:COMP BAR text:TEXT?"),
-        (1.0, "level:GLOG_LEVEL stamp:GLOG_STAMP SP INT SP comp:COMP RBR SP1? text:TEXT?"),
-        (1.0, "STAMP SP HOST SP comp:COMP PID? COLON SP1? text:TEXT?"),
-        (1.0, "STAMP SP HOST SP comp:COMP_PLAIN SLASH level:LEVEL COLON SP1? text:TEXT?"),
-        (1.0, "LBR STAMP RBR SP HOST SP comp:COMP_PLAIN PID? SLASH level:LEVEL COLON SP1? text:TEXT?"),
-        (0.5, "LBR STAMP RBR SP HOST SP comp:COMP PID? COLON SP1? text:TEXT?"),
-        (1.0, "LT pri:PRI GT VERSION SP STAMP SP HOST SP comp:COMP SP PROCID SP NILFIELD SP NILFIELD SP1? text:TEXT?"),
-        (0.9, "LT pri:PRI GT STAMP SP HOST SP comp:COMP PID? COLON SP1? text:TEXT?"),
-        (1.0, "LOGFMT"),
+        (1.0, "SP? level:LEVEL SP STAMP SP INT SP INT SP comp:COMP DASH text:TEXT"),
+        (0.4, "SP? STAMP SP INT SP INT SP comp:COMP DASH text:TEXT"),
+        (1.0, "LBR STAMP RBR SP LBR level:LEVEL SP? RBR SP LBR comp:COMP_IN_BRACKETS RBR text:TEXT"),
+        (0.5, "LBR STAMP RBR SP LBR comp:COMP_IN_BRACKETS RBR text:TEXT"),
+        (1.0, "STAMP SP level:LEVEL SP comp:COMP PID? COLON text:TEXT"),
+        (0.5, "STAMP SP comp:COMP PID? COLON text:TEXT"),
+        (1.0, "STAMP SP level:LEVEL SP LBR THREAD RBR SP comp:COMP DASH text:TEXT"),
+        (0.5, "STAMP SP LBR THREAD RBR SP comp:COMP DASH text:TEXT"),
+        (1.0, "STAMP BAR comp:COMP BAR level:LEVEL BAR text:TEXT"),
+        (1.0, "STAMP BAR level:LEVEL BAR comp:COMP BAR text:TEXT"),
+        (0.3, "STAMP BAR comp:COMP BAR text:TEXT"),
+        (1.0, "level:GLOG_LEVEL stamp:GLOG_STAMP SP INT SP comp:COMP RBR text:TEXT"),
+        (0.7, "STAMP SP HOST SP comp:COMP PID? COLON text:TEXT"),
+        (1.0, "STAMP SP HOST SP comp:COMP_PLAIN SLASH level:LEVEL COLON text:TEXT"),
+        (1.0, "LBR STAMP RBR SP HOST SP comp:COMP_PLAIN PID? SLASH level:LEVEL COLON text:TEXT"),
+        (0.5, "LBR STAMP RBR SP HOST SP comp:COMP PID? COLON text:TEXT"),
+        (1.0, "LT pri:PRI GT VERSION SP STAMP SP HOST SP comp:COMP SP PROCID SP NILFIELD SP NILFIELD text:TEXT"),
+        (0.9, "LT pri:PRI GT STAMP SP HOST SP comp:COMP PID? COLON text:TEXT"),
+        (1.0, "LOGFMT END"),
         (1.0, "JOPEN JBODY JCLOSE"),
     ],
     "PROCID": [(1.0, "INT"), (1.0, "NIL")],
@@ -162,7 +163,7 @@ def _syslog_level(priority: int) -> str:
 def parse_line(line: str | None) -> tuple[bool, str, str, str, int, int]:
     """(is head, stamp, level key, component, start of the message, start of an unparsed span or -1) of one line."""
     text = (line or "").rstrip("\r\n")
-    found = grammar().parse(text) if text else None
+    found = grammar().parse(text.replace("\0", " ") + "\0") if text else None
     if found is None:
         return False, "", "", "", 0, -1
     stamp, level, comp, at, unparsed, head = "", "", "", len(text), -1, False
@@ -177,7 +178,7 @@ def parse_line(line: str | None) -> tuple[bool, str, str, str, int, int]:
         elif name in ("comp", "compq"):
             comp = piece.strip('"').strip()
         elif name == "text":
-            at = a
+            at = a + (text[a : a + 1] == " ")
         elif name == "unparsed":
             unparsed = a
     if not head:
@@ -202,7 +203,9 @@ def parsed_lines(df: DataFrame, text: str, file: str, line: str, rec: str, with_
     dropped: they cannot be placed.
     """
     placed = df.select(df[file].alias("_file"), df[line].cast("bigint").alias("_line"), df[rec].cast("bigint").alias("_rec"), df[text].alias("_text")).filter("_file IS NOT NULL AND _line IS NOT NULL AND _rec IS NOT NULL")
-    once = placed.groupBy("_file", "_line").agg(F.min_by("_text", "_rec").alias("_text"), F.min("_rec").alias("_rec")).select("_file", "_line", "_rec", "_text")
+    # An explicit number: parsing costs far more than the lines' bytes, by which partitions would be merged.
+    spaced = placed.repartition(worker_partitions(df.sparkSession), "_file", "_line")
+    once = spaced.groupBy("_file", "_line").agg(F.min_by("_text", "_rec").alias("_text"), F.min("_rec").alias("_rec")).select("_file", "_line", "_rec", "_text")
     out = once.mapInPandas(_parse_batches, "_file string, _line bigint, _rec bigint, _text string, _head boolean, _stamp string, _level string, _comp string, _at int, _unparsed int")
     return out if with_text else out.drop("_text")
 
