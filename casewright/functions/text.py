@@ -52,8 +52,8 @@ def slashed(c: str | Column) -> Column:
 
 
 def within(c: str | Column, *folders: str) -> Column:
-    """The path holds one of the folders (given with forward slashes)."""
-    return any_of([slashed(c).contains(f) for f in folders])
+    """The path holds one of the folders (given with forward slashes); paths without root count from the root."""
+    return any_of([F.concat(F.lit("/"), slashed(c)).contains(f) for f in folders])
 
 
 def basename(c: str | Column) -> Column:

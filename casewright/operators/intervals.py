@@ -62,7 +62,13 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, sh
     lean = pieces.groupBy(*k, "_kind", "_shard", "_a").agg(F.max("_z").alias("_z"))
     local = _islands(lean, [*k, "_kind", "_shard"])
     touches = (F.col("_kind") == 1) | (F.col("_a") == F.col("_shard") * shard_us) | (F.col("_z") == (F.col("_shard") + 1) * shard_us)
-    inner = local.filter(~touches).select(*k, "_a", "_z")
+    inner = local.filter(~touches)
+    # Pieces inside a shard that a longer interval covers as a whole: told per (entity, shard), in order of the shards.
+    whole_shards = local.filter("_kind = 1").select(*k, "_a", "_z")
+    asked = inner.select(*k, "_shard").distinct().select(*k, (F.col("_shard") * shard_us).alias("_a"), F.lit(None).cast("bigint").alias("_z"))
+    along = W.partitionBy(*k).orderBy("_a", F.col("_z").desc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    covered = whole_shards.unionByName(asked).withColumn("_m", F.max("_z").over(along)).filter("_z IS NULL AND _m > _a").select(*k, F.expr(f"_a div {border}").alias("_shard"))
+    inner = inner.join(covered, [*k, "_shard"], "left_anti").select(*k, "_a", "_z")
     stitched = _islands(local.filter(touches).select(*k, "_a", "_z"), k)
     merged = inner.unionByName(stitched)
     return merged.select(*[F.col(n).alias(c) for c, n in zip(keys, k)], F.col("_a").alias("start_us"), F.col("_z").alias("end_us"))

@@ -88,6 +88,9 @@ def sessionize(df: DataFrame, keys: Sequence[str], time: str, gap_us: int, cells
     events = df.select(*[df[c].alias(n) for c, n in zip(keys, k)], t.alias("_t")).filter(real_time(F.col("_t")))
     for n in k:
         events = events.filter(F.col(n).isNotNull())
+    if gap_us == 0:  # a session is one instant
+        instants = events.groupBy(*k, "_t").agg(F.count(F.lit(1)).alias("n_events"))
+        return instants.select(*[F.col(n).alias(c) for c, n in zip(keys, k)], F.col("_t").alias("start_us"), F.col("_t").alias("end_us"), F.lit(0).cast("bigint").alias("duration_us"), "n_events")
     cell = F.expr(f"_t div {width}L")
     cells = events.groupBy(*k, cell.alias("_cell")).agg(F.min("_t").alias("_a"), F.max("_t").alias("_z"), F.count(F.lit(1)).alias("_n"))
 

@@ -128,7 +128,7 @@ def normalize_stamps(
     day = F.when(slashed, F.when(order == "dmy", a).when(order == "mdy", part[1]).when(order == "ymd", c)).otherwise(part[2])
     name_number = F.create_map(*[F.lit(v) for i, m in enumerate(MONTHS) for v in (m, i + 1)])
     x = x.withColumn("_y", _int(year)).withColumn("_mon", month).withColumn("_d", _int(day))
-    x = x.withColumn("_y", F.when(F.col("_y") < 100, F.col("_y") + 2000).otherwise(F.col("_y")))
+    x = x.withColumn("_y", F.when(F.length(year) == 2, F.col("_y") + 2000).otherwise(F.col("_y")))
     x = x.withColumn("_m", F.coalesce(_int(F.when(F.col("_mon").rlike("^[0-9]+$"), F.col("_mon"))), name_number[F.lower("_mon")]))
     h, half = _int(part[3]), F.lower(part[8])
     hour = F.when(half == "", F.when(h <= 23, h)).when((h >= 1) & (h <= 12), h % 12 + F.when(half == "p", 12).otherwise(0))
