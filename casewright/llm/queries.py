@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..common import cut_lineage, table
+from ..common import cut_lineage, spread, table
 from .mixing import mix_sources, sized_records
 from .nearest import match_nearest
 from .newtext import new_lines
@@ -28,8 +28,8 @@ QUALIFY row_number() OVER (PARTITION BY n.rec_id ORDER BY abs(p.t - n.t), p.t, p
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal information in mail bodies and rendered scripts, each text once per record."""
-    mails = table(spark, sf_dir, "emails").selectExpr("'emails' AS src", "id AS rec_id", "body_text AS text")
-    scripts = table(spark, sf_dir, "ps_scriptblock").selectExpr("'ps_scriptblock' AS src", "rec_id", "message AS text")
+    mails = spread(table(spark, sf_dir, "emails").selectExpr("id AS rec_id", "body_text AS text"))
+    scripts = spread(table(spark, sf_dir, "ps_scriptblock").selectExpr("rec_id", "message AS text"))
     names = table(spark, sf_dir, "name_list")
     found = [found_rows(redact(part, "rec_id", "text", names)).selectExpr(f"'{src}' AS src", "record_id AS rec_id", "pii_kind", "pii_text") for src, part in (("emails", mails), ("ps_scriptblock", scripts))]
     return found[0].unionByName(found[1])
@@ -40,6 +40,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new_lines(table(spark, sf_dir, "emails")).selectExpr("mail_id AS email_id", "line_no")
 
 
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The columns needed of the documents, over all cores."""
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
     """The container kinds (a fixed table of three rows)."""
     return {r[0]: r[1] for r in table(spark, sf_dir, "pack_sizes").select("pack_kind", "capacity_tokens").orderBy("pack_kind").collect()}
@@ -47,7 +52,7 @@ def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
 
 def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in a container of each capacity."""
-    return pack_documents(table(spark, sf_dir, "documents"), _capacities(spark, sf_dir))
+    return pack_documents(_documents(spark, sf_dir, "doc_id", "text"), _capacities(spark, sf_dir))
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +61,7 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    sized = cut_lineage(sized_records(table(spark, sf_dir, "documents"), "doc_id", "source", "text"))
+    sized = cut_lineage(sized_records(_documents(spark, sf_dir, "doc_id", "source", "text"), "doc_id", "source", "text"))
     return mix_sources(sized, table(spark, sf_dir, "mix_targets"))
 
 
@@ -72,7 +77,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with residue in place of content."""
-    return mark_residue(table(spark, sf_dir, "documents")).filter("is_residue").selectExpr("record_id AS doc_id").distinct()
+    return mark_residue(_documents(spark, sf_dir, "doc_id", "text")).filter("is_residue").selectExpr("record_id AS doc_id").distinct()
 
 
 QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
