@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..common import cut_lineage
+
 # Closing formulas as mails of four languages write them.
 FORMULAS = (
     "best", "all the best", "best regards", "best wishes", "kind regards", "warm regards", "warmest regards", "regards", "cheers", "thanks", "thanks and regards",
@@ -120,7 +122,14 @@ def new_lines(
     full = full.withColumn("_formula", formula)
     _, cue = _closing_cue(F.col("_line"), F.col("_name"))
     full = full.withColumn("_cue", F.when(~F.col("_quoted") & cue, F.col("_pos"))).withColumn("_close", F.min("_cue").over(mail))
-    own = full.filter(~F.col("_quoted") & (F.col("_close").isNull() | (F.col("_pos") < F.col("_close"))))
+    # What follows reads the judged lines five times: they are written once, other lines' texts only as hashes.
+    mine = ~F.col("_quoted") & (F.col("_close").isNull() | (F.col("_pos") < F.col("_close")))
+    bare = F.col("_par").isNotNull() & ~F.col("_quotes") & F.col("_first_cut").isNull()
+    judged = full.withColumn("_h", F.xxhash64(F.lower("_core"))).select(
+        "_id", "_pos", "_p1", "_msg", "_par", "_from", "_sent", "_mark", "_h", F.lead("_h").over(order).alias("_nh"), mine.alias("_mine"), bare.alias("_bare"), F.when(mine, F.col("_line")).alias("_line")
+    )
+    full = cut_lineage(judged)
+    own = full.filter("_mine")
 
     # Sender-recurrent endings: lines of the last own paragraph, counted over the sender's mails.
     later = W.partitionBy("_id").orderBy(F.col("_pos").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -128,17 +137,15 @@ def new_lines(
     own = own.withColumn("_last", F.row_number().over(W.partitionBy("_id").orderBy(F.col("_pos").desc())) == 1)
     own = own.withColumn("_paras", F.sum(F.when(F.col("_last"), 0).otherwise(F.col("_gap"))).over(later))
     sent_by = base.filter("_from IS NOT NULL").groupBy("_from").agg(F.count(F.lit(1)).alias("_mails"))
-    ending = own.filter((F.col("_paras") == 0) & F.col("_from").isNotNull()).withColumn("_again", F.count(F.lit(1)).over(W.partitionBy("_from", F.lower("_core"))))
+    ending = own.filter((F.col("_paras") == 0) & F.col("_from").isNotNull()).withColumn("_again", F.count(F.lit(1)).over(W.partitionBy("_from", "_h")))
     ending = ending.filter(F.col("_again") >= least_recurrence).join(sent_by, "_from").filter(F.col("_again") >= F.col("_mails") * recurrence_share)
     recurrent = ending.select("_id", "_pos", F.lit(True).alias("_recurs"))
 
     # Unmarked quotes: pairs of neighbouring lines, ranked by date in the thread of a message and its replies.
-    key = F.xxhash64(F.lower("_core"), F.lower(F.col("_next_core")))
-    pairs = full.withColumn("_next_core", F.lead("_core").over(order)).withColumn("_next_pos", F.lead("_pos").over(order)).filter("_next_core IS NOT NULL").withColumn("_pair", key)
-    bare = F.col("_par").isNotNull() & ~F.col("_quotes") & F.col("_first_cut").isNull()
+    pairs = full.filter("_nh IS NOT NULL").withColumn("_pair", F.xxhash64("_h", "_nh")).withColumn("_next_pos", F.col("_p1"))
     said = pairs.filter("_msg IS NOT NULL").groupBy(F.col("_msg").alias("_thread"), "_pair").agg(F.min("_sent").alias("_sent")).select("_thread", "_pair", "_sent", F.lit(0).alias("_reply"), F.lit(None).cast("bigint").alias("_id"), F.lit(None).cast("int").alias("_pos"), F.lit(None).cast("int").alias("_next_pos"), F.col("_thread").alias("_by"))
     marked = pairs.filter(F.col("_par").isNotNull() & F.col("_mark")).groupBy(F.col("_par").alias("_thread"), "_pair").agg(F.min("_sent").alias("_sent")).select("_thread", "_pair", "_sent", F.lit(0).alias("_reply"), F.lit(None).cast("bigint").alias("_id"), F.lit(None).cast("int").alias("_pos"), F.lit(None).cast("int").alias("_next_pos"), F.col("_thread").alias("_by"))
-    replies = pairs.filter(bare).select(F.col("_par").alias("_thread"), "_pair", "_sent", F.lit(1).alias("_reply"), F.col("_id").cast("bigint").alias("_id"), "_pos", "_next_pos", F.coalesce("_msg", F.lit("")).alias("_by"))
+    replies = pairs.filter("_bare AND _mine").select(F.col("_par").alias("_thread"), "_pair", "_sent", F.lit(1).alias("_reply"), F.col("_id").cast("bigint").alias("_id"), "_pos", "_next_pos", F.coalesce("_msg", F.lit("")).alias("_by"))
     rank = W.partitionBy("_thread", "_pair").orderBy("_reply", F.col("_sent").asc_nulls_last(), "_id").rowsBetween(W.unboundedPreceding, W.currentRow)
     told = said.unionByName(marked).unionByName(replies).withColumn("_first", F.first("_by").over(rank))
     repeated = told.filter((F.col("_reply") == 1) & (F.col("_first") != F.col("_by")))
