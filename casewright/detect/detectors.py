@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import all_of, any_of, basename, ends, has, is_base, is_private_ip, joined, low, ordered, recent, slashed, starts, within
 from ..schema import Case
-from .findings import Detector, counted, rows, union
+from .findings import Counted, Detector, Rows, counted, fused_counts, fused_rows, rows, union
 
 c = F.col
 
@@ -106,7 +106,7 @@ event("new_service", "HIGH", "T1543.003", 7045)
 event("scheduled_task", "MED", "T1053.005", 4698, 4702)
 event("user_created", "HIGH", "T1136.001", 4720)
 event("privilege_group", "HIGH", "T1098", 4732, 4756)
-add("run_key_persistence", "HIGH", "registry", None, counted("evtx_events", lambda: (c("event_id") == 13) & within("message", "/currentversion/run"), [lambda: F.left(c("message"), F.lit(200)).alias("m")], lambda: F.concat(F.lit("run key: "), c("m")), 1))
+add("run_key_persistence", "HIGH", "registry", None, counted("evtx_events", lambda: (c("event_id") == 13) & within("message", "/currentversion/run"), [lambda: F.left(c("message"), F.lit(200)).alias("message")], lambda: F.concat(F.lit("run key: "), F.left(c("message"), F.lit(200))), 1))
 add("kerberoasting", "HIGH", "auth", "T1558.003", counted("evtx_events", lambda: (c("event_id") == 4769) & (c("message").contains("0x17") | c("message").contains("23")) & recent("timestamp"), ["event_id"], lambda: c("event_id").cast("string"), 1))
 add("dcsync_attack", "HIGH", "auth", "T1003.006", counted("evtx_events", lambda: (c("event_id") == 4662) & (c("message").contains("Replication-Get-Changes") | c("message").contains("1131f6a")) & recent("timestamp"), ["event_id"], lambda: c("event_id").cast("string"), 1))
 add("asrep_roasting", "HIGH", "auth", "T1558.004", counted("evtx_events", lambda: (c("event_id") == 4768) & c("message").contains("0x0") & recent("timestamp"), ["event_id"], lambda: c("event_id").cast("string"), 1))
@@ -157,7 +157,7 @@ add("explicit_credentials", "MED", "auth", "T1550.002", counted("auth_events", l
 add("pass_the_hash", "HIGH", "auth", "T1550.002", counted("auth_events", lambda: (c("event_id") == 4648) & (c("user") != "") & ~c("user").endswith("$") & human("window manager") & recent("timestamp"), ["user", "domain"], account, 10))
 add("brute_force", "HIGH", "ip", "T1110.001", counted("auth_events", lambda: (c("event_id") == 4625) & ~c("src_ip").isin("", "-", "127.0.0.1") & recent("timestamp"), ["src_ip"], lambda: c("src_ip"), 5))
 add("rdp_brute_force", "HIGH", "ip", "T1110.001", counted("auth_events", lambda: (c("event_id") == 4625) & (c("logon_type") == 10) & ~c("src_ip").isin("", "-", "127.0.0.1", "::1") & recent("timestamp"), ["src_ip"], lambda: c("src_ip"), 5))
-add("anon_smb_cluster", "HIGH", "ip", "T1021.002/EternalBlue", counted("auth_events", lambda: (low("user").isin("anonymous logon", "anonymous", "") | c("user").isNull()) & (c("logon_type") == 3) & recent("timestamp"), [lambda: F.coalesce(F.nullif(c("src_ip"), F.lit("")), F.coalesce("workstation", F.lit("unknown"))).alias("origin")], lambda: c("origin"), 3))
+add("anon_smb_cluster", "HIGH", "ip", "T1021.002/EternalBlue", counted("auth_events", lambda: (low("user").isin("anonymous logon", "anonymous", "") | c("user").isNull()) & (c("logon_type") == 3) & recent("timestamp"), [lambda: F.coalesce(F.nullif(c("src_ip"), F.lit("")), F.coalesce("workstation", F.lit("unknown")))], lambda: F.coalesce(F.nullif(c("src_ip"), F.lit("")), F.coalesce("workstation", F.lit("unknown"))), 3))
 add("ssh_bruteforce", "HIGH", "ip", None, counted("linux_auth", lambda: c("event_type").isin("ssh_login_failed", "ssh_invalid_user") & (c("src_ip") != ""), ["src_ip"], lambda: c("src_ip"), 20))
 add("ad_accounts_with_old_logon", "MED", "user", "T1078", rows("ntds_accounts", lambda: c("sam_account_name").isNotNull() & ~c("sam_account_name").endswith("$") & ~F.coalesce("is_disabled", F.lit(False)) & (c("last_logon").isNull() | (c("last_logon") < F.current_timestamp() - F.expr("INTERVAL 180 DAYS"))), lambda: c("sam_account_name"), "last_logon", distinct=False))
 
@@ -280,12 +280,22 @@ BY_ID = {d.ident: d for d in DETECTORS}
 def run_detectors(case: Case, only: list[str] | None = None) -> DataFrame:
     """Findings of all detectors (or those named) whose required tables were collected.
 
-    A detector whose tables are missing or empty gives no rows: joins and
-    filters over empty frames are empty, so no table is counted beforehand.
+    A detector whose tables are missing or empty gives no rows. Detectors that
+    filter or count one table share one scan of it (and one aggregation).
     """
     chosen = [BY_ID[i] for i in only] if only else DETECTORS
     ready = [d for d in chosen if all(case.has(t) for t in d.requires)]
-    return union(case, [d.run(case) for d in ready])
+    groups: dict[tuple, list[Detector]] = {}
+    for d in ready:
+        key = ("rows", d.build.table, d.build.distinct) if isinstance(d.build, Rows) else ("counts", d.build.table) if isinstance(d.build, Counted) else ("own", d.ident)
+        groups.setdefault(key, []).append(d)
+    frames = []
+    for key, ds in groups.items():
+        if key[0] == "own":
+            frames.append(ds[0].run(case))
+        elif case.has(key[1]):
+            frames.append((fused_rows if key[0] == "rows" else fused_counts)(case, key[1], ds))
+    return union(case, frames)
 
 
 __all__ = ["BY_ID", "DETECTORS", "all_of", "joined", "run_detectors"]

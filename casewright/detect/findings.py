@@ -43,28 +43,86 @@ class Detector:
         return df.select(*[c.alias(n) for n, c in pick.items()])
 
 
-def rows(table: str, where: Callable[[], Column] | None, value: Callable[[], Column], seen: str | None = None, distinct: bool = True) -> Callable[[Case], DataFrame]:
-    """Filter and project one table."""
+@dataclass(frozen=True)
+class Rows:
+    """Filter and project one table; many of them over a table are run in one scan (``fused_rows``)."""
+
+    table: str
+    where: Callable[[], Column] | None
+    value: Callable[[], Column]
+    seen: str | None = None
+    distinct: bool = True
+
+    def first_seen(self) -> Column:
+        return (F.col(self.seen) if self.seen else F.lit(None)).cast("timestamp")
+
+    def test(self) -> Column:
+        return self.where() if self.where is not None else F.lit(True)
+
+    def __call__(self, case: Case) -> DataFrame:
+        out = case[self.table].filter(self.test()).select(self.value().alias("value"), self.first_seen().alias("first_seen"))
+        return out.distinct() if self.distinct else out
+
+
+@dataclass(frozen=True)
+class Counted:
+    """Filter, group, keep groups of at least so many rows; the value is made of what the keys are made of. Many over a table share scan and shuffle (``fused_counts``)."""
+
+    table: str
+    where: Callable[[], Column]
+    keys: tuple
+    value: Callable[[], Column]
+    at_least: int
+    seen: str | None = "timestamp"
+
+    def key_columns(self) -> list[Column]:
+        return [F.col(k) if isinstance(k, str) else k() for k in self.keys]
+
+    def __call__(self, case: Case) -> DataFrame:
+        seen = (F.col(self.seen) if self.seen else F.lit(None)).cast("timestamp")
+        lean = case[self.table].filter(self.where()).select(F.array(*[k.cast("string") for k in self.key_columns()]).alias("_k"), self.value().alias("value"), seen.alias("_s"))
+        grouped = lean.groupBy("_k", "value").agg(F.count(F.lit(1)).alias("_n"), F.min("_s").alias("first_seen"))
+        return grouped.filter(F.col("_n") >= self.at_least).select("value", "first_seen")
+
+
+def rows(table: str, where: Callable[[], Column] | None, value: Callable[[], Column], seen: str | None = None, distinct: bool = True) -> Rows:
+    return Rows(table, where, value, seen, distinct)
+
+
+def counted(table: str, where: Callable[[], Column], keys: Sequence[str | Callable[[], Column]], value: Callable[[], Column], at_least: int, seen: str | None = "timestamp") -> Counted:
+    return Counted(table, where, tuple(keys), value, at_least, seen)
+
+
+def _labels(detectors: Sequence[Detector]) -> Column:
+    """Number of a detector to its fixed columns."""
+    return F.create_map(*[x for i, d in enumerate(detectors) for x in (F.lit(i), F.struct(F.lit(d.kind).alias("type"), F.lit(f"detect:{d.ident}").alias("source"), F.lit(d.severity).alias("confidence"), F.lit(d.technique).cast("string").alias("related_campaign"), F.lit(d.title or d.ident.replace("_", " ")).alias("notes")))])
 
-    def build(case: Case) -> DataFrame:
-        df = case[table]
-        if where is not None:
-            df = df.filter(where())
-        out = df.select(value().alias("value"), (F.col(seen) if seen else F.lit(None).cast("timestamp")).alias("first_seen"))
-        return out.distinct() if distinct else out
 
-    return build
+def _finish(hits: DataFrame, detectors: Sequence[Detector]) -> DataFrame:
+    """(_i, value, first_seen) to findings."""
+    named = hits.withColumn("_l", _labels(detectors)[F.col("_i")])
+    return named.select("_l.type", "value", "_l.source", "_l.confidence", "_l.related_campaign", "first_seen", "_l.notes")
 
 
-def counted(table: str, where: Callable[[], Column], keys: Sequence[str | Callable[[], Column]], value: Callable[[], Column], at_least: int, seen: str | None = "timestamp") -> Callable[[Case], DataFrame]:
-    """Filter, group, keep groups of at least so many rows; the value may use the keys."""
+def fused_rows(case: Case, table: str, detectors: Sequence[Detector]) -> DataFrame:
+    """All filter-and-project detectors of one table in one scan of it."""
+    hits = F.array(*[F.when(F.coalesce(d.build.test(), F.lit(False)), F.struct(F.lit(i).alias("_i"), d.build.value().cast("string").alias("value"), d.build.first_seen().alias("first_seen"))) for i, d in enumerate(detectors)])
+    out = case[table].select(F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("_h")).select("_h._i", "_h.value", "_h.first_seen")
+    return _finish(out.distinct() if detectors[0].build.distinct else out, detectors)
 
-    def build(case: Case) -> DataFrame:
-        first = F.min(seen) if seen else F.lit(None).cast("timestamp")
-        grouped = case[table].filter(where()).groupBy(*[k if isinstance(k, str) else k() for k in keys]).agg(F.count(F.lit(1)).alias("_n"), first.alias("first_seen"))
-        return grouped.filter(F.col("_n") >= at_least).select(value().alias("value"), "first_seen")
 
-    return build
+def fused_counts(case: Case, table: str, detectors: Sequence[Detector]) -> DataFrame:
+    """All counting detectors of one table in one scan and one aggregation, by (detector, keys)."""
+    source = case[table]
+    parts = []
+    for i, d in enumerate(detectors):
+        keys = F.array(*[k.cast("string") for k in d.build.key_columns()])
+        seen = (F.col(d.build.seen) if d.build.seen else F.lit(None)).cast("timestamp")
+        parts.append(F.when(F.coalesce(d.build.where(), F.lit(False)), F.struct(F.lit(i).alias("_i"), keys.alias("_k"), d.build.value().cast("string").alias("value"), seen.alias("seen"))))
+    hits = source.select(F.explode(F.filter(F.array(*parts), lambda h: h.isNotNull())).alias("_h")).select("_h._i", "_h._k", "_h.value", "_h.seen")
+    least = F.create_map(*[x for i, d in enumerate(detectors) for x in (F.lit(i), F.lit(d.build.at_least))])
+    agg = hits.groupBy("_i", "_k", "value").agg(F.count(F.lit(1)).alias("_n"), F.min("seen").alias("first_seen"))
+    return _finish(agg.filter(F.col("_n") >= least[F.col("_i")]).select("_i", "value", "first_seen"), detectors)
 
 
 def empty(case: Case) -> DataFrame:
@@ -87,4 +145,4 @@ def multi_source(findings: DataFrame) -> DataFrame:
     return agg.filter("n_sources > 1")
 
 
-__all__ = ["COLUMNS", "FINDING", "Detector", "counted", "empty", "multi_source", "recent", "replace_family", "rows", "union"]
+__all__ = ["COLUMNS", "FINDING", "Counted", "Detector", "Rows", "counted", "empty", "fused_counts", "fused_rows", "multi_source", "recent", "replace_family", "rows", "union"]
