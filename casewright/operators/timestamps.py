@@ -46,6 +46,9 @@ LAYOUTS = (
     ("no_year", rf"^{_MON} +(\d{{1,2}}) {_TIME}$", "|$1|$2|$3|$4|$5|$6|||y"),
 )
 
+#: Names of the columns in between: a table's own columns of these names are set aside.
+_OWN = frozenset("_s _f _z _host _zone _order _own _y _m _mon _d _clock _oh _om _off _limit _us n f".split())
+
 _NUMBER = r"^(?:[^0-9A-Za-z+-]*)(\d{9,19})(?:[.,](\d{1,12}))?(?::\d+)?(?:[^0-9A-Za-z]*)$"
 _HEX = r"^[^0-9A-Za-z]*0[xX]([0-9A-Fa-f]{15,16})[^0-9A-Za-z]*$"
 
@@ -97,11 +100,15 @@ def normalize_stamps(
     No instant: null, empty, zero, impossible and pre-2000 stamps, local stamps
     of an unknown or null source, zone names that are not the source's own.
     Digits beyond microseconds are cut off. All rows and columns of ``df`` are
-    kept, in any number; an existing column ``result`` is refused. A source
+    kept, in any number and of any name; an existing column ``result`` is refused. A source
     listed more than once in the lookup has the row of its least zone_name.
     """
     if result in df.columns:
         raise ValueError(f"column {result} exists")
+    if clash := {c: f"_kept{i}_{c}" for i, c in enumerate(df.columns) if c in _OWN}:
+        names = [clash.get(c, c) if c else c for c in (stamp, source, not_after)]
+        out = normalize_stamps(df.withColumnsRenamed(clash), names[0], names[1], lookup, names[2], result)
+        return out.withColumnsRenamed({v: k for k, v in clash.items()})
     spark = df.sparkSession
     zones = zone_abbreviations(spark).groupBy("zone_name").agg(F.map_from_entries(F.collect_list(F.struct("abbreviation", "offset_us"))).alias("_own"))
     listed = lookup.filter(F.col("host").isNotNull()).groupBy("host").agg(F.min_by("date_order", "zone_name").alias("_order"), F.min("zone_name").alias("zone_name"))

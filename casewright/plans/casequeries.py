@@ -311,4 +311,39 @@ def _(case: Case) -> DataFrame:
     return L.counts(case)
 
 
+# ---- typed tables of event-log records
+
+@query("event_log_auth", "SELECT event_id, json_extract_string(message, '$.TargetUserName') AS account, json_extract_string(message, '$.IpAddress') AS src_ip, count(*) AS n_rows FROM evtx_events WHERE event_id IN (4624, 4625, 4648) GROUP BY 1, 2, 3")
+def _(case: Case) -> DataFrame:
+    from ..sources.events import TYPED
+
+    return TYPED["auth_events"](case["evtx_events"]).groupBy("event_id", F.col("user").alias("account"), "src_ip").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("event_log_processes", f"SELECT {BASE.format("json_extract_string(message, '$.NewProcessName')")} AS program, json_extract_string(message, '$.SubjectUserName') AS user_name, count(*) AS n_rows FROM evtx_events WHERE event_id = 4688 GROUP BY 1, 2")
+def _(case: Case) -> DataFrame:
+    from ..functions.text import basename
+    from ..sources.events import TYPED
+
+    return TYPED["proc_creation"](case["evtx_events"]).groupBy(basename("image").alias("program"), "user_name").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("event_log_kerberos", "SELECT event_id, json_extract_string(message, '$.TargetUserName') AS account, count(*) AS n_rows FROM evtx_events WHERE event_id IN (4768, 4769) GROUP BY 1, 2")
+def _(case: Case) -> DataFrame:
+    from ..sources.events import TYPED
+
+    return TYPED["kerberos_events"](case["evtx_events"]).groupBy("event_id", F.col("user").alias("account")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# ---- text artifacts, read again from their lines
+
+@query("auth_lines_users", """WITH l AS (SELECT source_file, line_no, min_by(message, rec_id) AS m FROM linux_auth GROUP BY 1, 2)
+SELECT CASE WHEN contains(m, 'Accepted ') THEN 'ssh_login_success' WHEN contains(m, 'Failed ') AND contains(m, ' from ') THEN CASE WHEN contains(m, 'invalid user') THEN 'ssh_invalid_user' ELSE 'ssh_login_failed' END END AS event_type, count(*) AS n_rows FROM l WHERE contains(m, 'Accepted ') OR (contains(m, 'Failed ') AND contains(m, ' from ')) GROUP BY 1""")
+def _(case: Case) -> DataFrame:
+    from ..sources.text import auth_log
+
+    once = case["linux_auth"].groupBy("source_file", "line_no").agg(F.min_by("message", "rec_id").alias("value")).select(F.col("source_file").alias("path"), "line_no", "value")
+    return auth_log(once).filter(F.col("event_type").isin("ssh_login_success", "ssh_invalid_user", "ssh_login_failed") & ~F.col("message").contains("Invalid user ")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 __all__ = ["ORACLE", "QUERIES", "SparkSession"]

@@ -56,6 +56,14 @@ def test_cases(spark):
     assert not wrong and len(out) == len(CASES)
 
 
+def test_names_of_inner_columns(spark):
+    hosts = spark.createDataFrame(HOSTS, "host string, zone_name string, date_order string")
+    df = spark.createDataFrame([("2020-06-22T15:52:27Z", "utc", 7, "x", 1), ("1558170173", "utc", 8, "y", 2)], "n string, _s string, f int, _zone string, zone_name int")
+    rows = {r["f"]: r for r in normalize_stamps(df, "n", "_s", hosts).collect()}
+    assert rows[7]["utc_us"] == us(2020, 6, 22, 15, 52, 27) and rows[8]["utc_us"] == 1558170173000000
+    assert rows[7].asDict() | {"utc_us": 0} == {"n": "2020-06-22T15:52:27Z", "_s": "utc", "f": 7, "_zone": "x", "zone_name": 1, "utc_us": 0}
+
+
 def test_without_limit_and_empty(spark):
     hosts = spark.createDataFrame(HOSTS, "host string, zone_name string, date_order string")
     df = spark.createDataFrame([("Mar  5 10:00:00", "utc")], "stamp string, src string")
