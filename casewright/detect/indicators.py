@@ -66,11 +66,19 @@ def indicators_of(text: Column, base64: bool = False) -> Column:
 def extract_from(frames: list[tuple[str, DataFrame, str]]) -> DataFrame:
     """type, value, source, context, count over named texts (name, frame, column), the first source in the list's order winning."""
     parts = []
+    by_table: dict[int, list[tuple[int, str, str]]] = {}
+    tables = {}
     for rank, (name, df, column) in enumerate(frames):
+        by_table.setdefault(id(df), []).append((rank, name, column))
+        tables[id(df)] = df
+    # one scan of each table, however many of its columns are searched
+    for key, cols in by_table.items():
+        df = tables[key]
+        texts = F.array(*[F.struct(F.lit(rank).alias("_rank"), F.lit(name).alias("source"), F.lit(any(x in name for x in ("ps_", "script", "cmdline"))).alias("_b"), df[column].cast("string").alias("_t")) for rank, name, column in cols])
+        lean = df.select(F.explode(texts).alias("_x")).select("_x._rank", "_x.source", "_x._b", "_x._t").filter(F.length("_t") > 3)
         text = F.col("_t")
-        base64 = any(x in name for x in ("ps_", "script", "cmdline"))
-        lean = df.select(df[column].alias("_t")).filter(F.length("_t") > 3)
-        parts.append(lean.select(F.lit(rank).alias("_rank"), F.lit(name).alias("source"), F.left(text, F.lit(200)).alias("context"), F.inline(indicators_of(text, base64))))
+        found = F.filter(indicators_of(text, any("ps_" in n or "script" in n or "cmdline" in n for _, n, _ in cols)), lambda s: (s["type"] != "base64") | F.col("_b"))
+        parts.append(lean.select("_rank", "source", F.left(text, F.lit(200)).alias("context"), F.inline(found)))
     every = reduce(DataFrame.unionByName, parts)
     first = F.min(F.struct("_rank", "value", "source", "context")).alias("_f")
     agg = every.groupBy("type", F.lower("value").alias("_k")).agg(F.count(F.lit(1)).alias("count"), first)
@@ -79,7 +87,7 @@ def extract_from(frames: list[tuple[str, DataFrame, str]]) -> DataFrame:
 
 def extract_case(case: Case) -> DataFrame:
     """Indicators of every searched column that was collected."""
-    frames = [(f"{t}.{c}", case[t], c) for t, c in TARGETS if case.has(t)]
+    frames = [(f"{t}.{c}", case[t], c) for t, c in TARGETS if case.has(t)]  # a table is one frame object
     if not frames:
         return case.spark.createDataFrame([], "type string, value string, source string, context string, count bigint")
     return extract_from(frames)

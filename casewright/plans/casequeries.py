@@ -290,6 +290,13 @@ def _(case: Case) -> DataFrame:
     return extract_from([("documents.text", docs, "text")]).select("type", "value", "count")
 
 
+@query("ioc_extract_case")
+def _(case: Case) -> DataFrame:
+    from ..detect.indicators import extract_case
+
+    return extract_case(case).groupBy("type", "source").agg(F.count(F.lit(1)).alias("n_values"), F.sum("count").alias("n_hits"))
+
+
 @query("ioc_classify", "SELECT CASE WHEN regexp_matches(lower(trim(remote_addr)), '^https?://') THEN 'url' WHEN regexp_matches(trim(remote_addr), '^(?:(?:25[0-5]|2[0-4]\\d|[01]?\\d?\\d)\\.){3}(?:25[0-5]|2[0-4]\\d|[01]?\\d?\\d)$') THEN 'ip' WHEN starts_with(trim(remote_addr), '/') THEN 'path' WHEN contains(trim(remote_addr), '.') AND NOT contains(trim(remote_addr), ' ') THEN 'domain' ELSE 'indicator' END AS kind, count(*) AS n_rows FROM mem_netscan WHERE remote_addr IS NOT NULL GROUP BY 1")
 def _(case: Case) -> DataFrame:
     return case["mem_netscan"].filter("remote_addr IS NOT NULL").groupBy(classify(F.col("remote_addr")).alias("kind")).agg(F.count(F.lit(1)).alias("n_rows"))
