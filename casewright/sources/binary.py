@@ -13,7 +13,6 @@ import datetime as dt
 import hashlib
 import sqlite3
 import struct
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -279,22 +278,21 @@ def browser(data: bytes, path: str) -> Iterator[dict]:
     low = path.replace("\\", "/").lower()
     name = next((n for k, n in (("edge", "Edge"), ("brave", "Brave"), ("opera", "Opera"), ("firefox", "Firefox"), ("chrome", "Chrome")) if k in low), "Chrome")
     profile = path.replace("\\", "/").rsplit("/", 2)[-2] if "/" in path.replace("\\", "/") else ""
-    with tempfile.NamedTemporaryFile(suffix=".sqlite") as f:  # the library reads files only; gone when the file is done
-        f.write(data)
-        f.flush()
-        con = sqlite3.connect(f"file:{f.name}?mode=ro&immutable=1", uri=True)
-        try:
-            if low.endswith("places.sqlite"):
-                rows = con.execute("SELECT p.url, p.title, v.visit_date, p.visit_count FROM moz_historyvisits v JOIN moz_places p ON p.id = v.place_id")
-                shift = 0
-            else:
-                rows = con.execute("SELECT u.url, u.title, v.visit_time, u.visit_count FROM visits v JOIN urls u ON u.id = v.url")
-                shift = 11_644_473_600_000_000
-            for url, title, at, n in rows:
-                us = (at or 0) - shift
-                yield {"browser": name, "url": url, "title": title, "visit_time": EPOCH + dt.timedelta(microseconds=us) if us > 0 else None, "visit_count": n, "profile": profile}
-        finally:
-            con.close()
+    con = sqlite3.connect(":memory:")
+    try:
+        # a database in write-ahead mode is read as it was last written back
+        con.deserialize(data[:18] + b"\x01\x01" + data[20:] if data[18:20] == b"\x02\x02" else data)
+        if low.endswith("places.sqlite"):
+            rows = con.execute("SELECT p.url, p.title, v.visit_date, p.visit_count FROM moz_historyvisits v JOIN moz_places p ON p.id = v.place_id")
+            shift = 0
+        else:
+            rows = con.execute("SELECT u.url, u.title, v.visit_time, u.visit_count FROM visits v JOIN urls u ON u.id = v.url")
+            shift = 11_644_473_600_000_000
+        for url, title, at, n in rows:
+            us = (at or 0) - shift
+            yield {"browser": name, "url": url, "title": title, "visit_time": EPOCH + dt.timedelta(microseconds=us) if us > 0 else None, "visit_count": n, "profile": profile}
+    finally:
+        con.close()
 
 
 def _mail(raw: bytes, path: str) -> dict:
