@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..common import worker_partitions
+from ..common import cut_lineage, worker_partitions
 from ..functions.earley import Grammar
 
 BLOCK_LINES = 4096
@@ -210,15 +210,17 @@ def parsed_lines(df: DataFrame, text: str, file: str, line: str, rec: str, with_
     return out if with_text else out.drop("_text")
 
 
-def log_entries(df: DataFrame, text: str = "message", file: str = "source_file", line: str = "line_no", rec: str = "rec_id", block_lines: int = BLOCK_LINES) -> DataFrame:
+def log_entries(df: DataFrame, text: str = "message", file: str = "source_file", line: str = "line_no", rec: str = "rec_id", block_lines: int = BLOCK_LINES, with_message: bool = True) -> DataFrame:
     """One row per entry: source_file, first_line, first_rec_id, n_lines, stamp_text, level_key, component_key, message, n_unparsed.
 
     message is the head's text and the continuing lines, joined by line feeds;
     n_unparsed counts continuing lines of no known form. Lines before a file's
     first head belong to no entry. Null and empty lines continue an entry. An
-    empty table gives no rows; a file without heads gives none.
+    empty table gives no rows; a file without heads gives none. Without
+    with_message the texts are not carried along and message is null.
     """
-    lines = parsed_lines(df, text, file, line, rec).withColumn("_block", F.expr(f"_line div {block_lines}"))
+    # Parsed once and written: three branches read the lines, and each would parse them again.
+    lines = cut_lineage(parsed_lines(df, text, file, line, rec, with_message)).withColumn("_block", F.expr(f"_line div {block_lines}"))
     head_line = F.when(F.col("_head"), F.col("_line"))
     here = W.partitionBy("_file", "_block").orderBy("_line").rowsBetween(W.unboundedPreceding, W.currentRow)
     marked = lines.withColumn("_own", F.max(head_line).over(here))
@@ -228,7 +230,11 @@ def log_entries(df: DataFrame, text: str = "message", file: str = "source_file",
     settled = marked.filter("_own IS NOT NULL")
     before = marked.filter("_own IS NULL").join(carried, ["_file", "_block"]).withColumn("_own", F.col("_carry")).filter("_own IS NOT NULL").select(settled.columns)
     own = F.col("_head")
-    piece = F.when(own, F.substring(F.col("_text"), F.col("_at") + 1, F.length("_text"))).otherwise(F.coalesce("_text", F.lit("")))
+    if with_message:
+        piece = F.when(own, F.substring(F.col("_text"), F.col("_at") + 1, F.length("_text"))).otherwise(F.coalesce("_text", F.lit("")))
+        message = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_line", piece.alias("p")))), lambda s: s["p"]), "\n")
+    else:
+        message = F.first(F.lit(None).cast("string"))
     entries = (
         settled.unionByName(before)
         .groupBy("_file", "_own")
@@ -238,7 +244,7 @@ def log_entries(df: DataFrame, text: str = "message", file: str = "source_file",
             F.max(F.when(own, F.col("_stamp"))).alias("stamp_text"),
             F.max(F.when(own, F.col("_level"))).alias("level_key"),
             F.max(F.when(own, F.col("_comp"))).alias("component_key"),
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_line", piece.alias("p")))), lambda s: s["p"]), "\n").alias("message"),
+            message.alias("message"),
             F.sum(F.when(F.col("_unparsed") >= 0, 1).otherwise(0)).alias("n_unparsed"),
         )
     )

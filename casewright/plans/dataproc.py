@@ -62,7 +62,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of the remote-access traces and the authentication logs."""
     parts = []
     for name in ("anydesk_events", "linux_auth"):
-        found = log_entries(table(spark, sf_dir, name))
+        found = log_entries(table(spark, sf_dir, name), with_message=False)
         parts.append(found.select(F.lit(name).alias("src"), "first_rec_id", "n_lines", "stamp_text", "level_key", "component_key"))
     return reduce(DataFrame.unionByName, parts)
 
