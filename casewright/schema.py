@@ -2,7 +2,10 @@
 
 A case is a folder with one Parquet table per artifact; tables that were not
 collected are empty frames of the declared schema, so every query runs on every
-case. Timestamps are read as they lie: zoneless or in UTC.
+case. Timestamps are read as they lie: zoneless or in UTC. Text stamps, of
+whatever layout, become instants by the case's ``hosts`` table (zone and order
+of dates); local ones of a host that isn't listed there are read as UTC, like
+zoneless timestamps.
 """
 
 from __future__ import annotations
@@ -10,9 +13,15 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.timestamps import normalize_stamps
+
+#: The lookup's row for stamps of hosts it doesn't list, and the columns that name a row's host.
+UNLISTED, HOST_COLUMNS = "(unlisted)", ("host", "computer")
+
 # The tables' columns.
 TABLES = {
     "source_files": "id int, path string, type string, sha256 string, size bigint, parsed_at timestamp, error string",
@@ -119,22 +128,52 @@ class Case:
                 df = self.given[name] if name in self.given else self.spark.read.parquet(f"{self.folder}/{name}.parquet")
                 want = [c.split(" ") for c in ddl.split(", ")]
                 have = set(df.columns)
+                declared = df.columns
+                stamps = {c: f"_instant_{c}" for c, kind in want if kind == "timestamp" and c in have and dict(df.dtypes)[c] == "string"}
+                df = self._instants(df, stamps)
                 cols = []
                 for c, kind in want:
                     if c not in have:
                         cols.append(F.lit(None).cast(kind).alias(c))
                     elif kind == "timestamp" and dict(df.dtypes)[c] == "timestamp_ntz":
                         cols.append(df[c].cast("timestamp").alias(c))
-                    elif kind == "timestamp" and dict(df.dtypes)[c] == "string":
-                        cols.append(df[c].try_cast("timestamp").alias(c))
+                    elif c in stamps:
+                        cols.append(F.timestamp_micros(df[stamps[c]]).alias(c))
                     else:
                         cols.append(df[c])
-                rest = [df[c] for c in df.columns if c not in {n for n, _ in want}]
+                rest = [df[c] for c in declared if c not in {n for n, _ in want}]
                 self._kept[name] = df.select(*cols, *rest)
         return self._kept[name]
 
     __getitem__ = get
 
+    def _hosts(self) -> DataFrame | None:
+        """host, zone_name, date_order of the case's machines, where that table was collected."""
+        try:
+            df = self.given["hosts"] if "hosts" in self.given else self.spark.read.parquet(f"{self.folder}/hosts.parquet") if self.has("hosts") else None
+        except AnalysisException:  # a remote folder without it
+            return None
+        return df if df is None else df.select("host", "zone_name", "date_order").filter(F.col("host").isNotNull() & F.col("zone_name").isNotNull())
+
+    def _instants(self, df: DataFrame, stamps: dict[str, str]) -> DataFrame:
+        """``df`` with each text stamp's instant (microseconds since 1970 UTC) in the column named for it."""
+        if not stamps:
+            return df
+        kept, kinds = df.columns, dict(df.dtypes)
+        until = "collected_at" if kinds.get("collected_at") in ("timestamp", "timestamp_ntz") else None
+        named = next((c for c in HOST_COLUMNS if c in kept), None)
+        lookup = self.spark.createDataFrame([(UNLISTED, "UTC", None)], "host string, zone_name string, date_order string")
+        hosts = self._hosts() if named else None
+        if hosts is None:
+            df = df.withColumn("_stamped_by", F.lit(UNLISTED))
+        else:
+            lookup = lookup.unionByName(hosts)
+            listed = hosts.select(F.col("host").alias("_listed")).distinct()
+            df = df.join(listed, df[named] == F.col("_listed"), "left").withColumn("_stamped_by", F.coalesce("_listed", F.lit(UNLISTED)))
+        for c, result in stamps.items():
+            df = normalize_stamps(df, c, "_stamped_by", lookup, until, result)
+        return df.select(*kept, *stamps.values())
+
     def with_tables(self, **tables: DataFrame) -> Case:
         return Case(self.spark, self.folder, {**self.given, **tables})
 
