@@ -163,6 +163,39 @@ def _(case: Case) -> DataFrame:
     return TL.pivot(case, "certutil", tables).groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+# ---- timelines over every collected table; the SQL above covers four of them, fixtures the rest
+
+@query("timeline_all_sources")
+def _(case: Case) -> DataFrame:
+    return TL.first_last(case).select("source", "n_rows", us("first_ts").alias("first_us"), us("last_ts").alias("last_us"))
+
+
+@query("timeline_all_newest")
+def _(case: Case) -> DataFrame:
+    return TL.timeline(case, total=500).select(us("ts").alias("ts_us"), "source", "category", "detail", "extra")
+
+
+@query("timeline_all_top_per_group")
+def _(case: Case) -> DataFrame:
+    return TL.timeline(case, per_group=10).select(us("ts").alias("ts_us"), "source", "category", "detail", "extra")
+
+
+@query("timeline_all_filtered")
+def _(case: Case) -> DataFrame:
+    return TL.timeline(case, None, "2015-01-05 10:00:00", "2015-01-05 18:00:00", "svc").select(us("ts").alias("ts_us"), "source", "category", "detail", "extra")
+
+
+@query("activity_all_histogram")
+def _(case: Case) -> DataFrame:
+    labels = TL.collected(case)
+    return TL.histogram(case, labels).select(us("bucket").alias("bucket_us"), *labels, "total")
+
+
+@query("correlate_all_term")
+def _(case: Case) -> DataFrame:
+    return TL.correlate(case, "certutil").select("source", "n_rows", us("first_ts").alias("first_us"), us("last_ts").alias("last_us"))
+
+
 # ---- statistics
 
 @query("auth_stats", "SELECT lower(\"user\") AS account, count(*) FILTER (event_id = 4624) AS n_success, count(*) FILTER (event_id = 4625) AS n_failed, count(*) FILTER (event_id = 4648) AS n_explicit, count(DISTINCT src_ip) AS n_ips, count(*) FILTER (logon_type = 9) AS n_type9, epoch_us(max(\"timestamp\")) AS last_us FROM auth_events WHERE \"user\" <> '' GROUP BY 1")

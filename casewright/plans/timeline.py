@@ -71,6 +71,11 @@ def branch_rows(case: Case, b: Branch) -> DataFrame:
     return df.select(*exprs)
 
 
+def collected(case: Case) -> list[str]:
+    """Labels of the timeline's tables that were collected."""
+    return [b.label for b in BRANCHES if case.has(b.table)]
+
+
 def timeline(
     case: Case,
     sources: Sequence[str] | None = None,
@@ -179,4 +184,4 @@ def chain(case: Case, term: str, total: int = 1500) -> DataFrame:
     return out.orderBy(F.col("ts").asc_nulls_last(), "source", "action", "detail", "extra").limit(total)
 
 
-__all__ = ["BRANCHES", "PIVOTS", "branch_rows", "chain", "correlate", "event_context", "first_last", "histogram", "pivot", "timeline", "within"]
+__all__ = ["BRANCHES", "PIVOTS", "branch_rows", "chain", "collected", "correlate", "event_context", "first_last", "histogram", "pivot", "timeline", "within"]
