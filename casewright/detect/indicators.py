@@ -11,26 +11,30 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, is_private_ip
+from ..functions.text import any_of
 from ..schema import Case
 
 # Columns that are searched, in order of rank.
 TARGETS = (
-    ("prefetch", "path"), ("prefetch", "volume_paths"), ("amcache", "path"), ("shimcache", "path"), ("mft", "path"), ("usnjrnl", "path"), ("lnk_files", "target_path"), ("lnk_files", "args"), ("persistence", "command"), ("persistence", "key_path"), ("services", "binary_path"), ("scheduled_tasks", "command"), ("scheduled_tasks", "args"), ("evtx_events", "message"), ("ps_scriptblock", "script_text"), ("ps_history", "command"), ("defender_events", "path"), ("proc_creation", "cmdline"), ("sysmon_process", "cmdline"), ("sysmon_process", "parent_cmdline"), ("sysmon_network", "dst_ip"), ("sysmon_network", "dst_host"), ("sysmon_dns", "query_name"), ("browser_history", "url"), ("browser_history", "title"), ("browser_downloads", "url"), ("browser_downloads", "local_path"), ("emails", "from_addr"), ("emails", "to_addrs"), ("emails", "x_originating_ip"), ("emails", "body_text"), ("email_urls", "url"), ("email_attachments", "filename"), ("email_attachments", "sha256"), ("mem_cmdline", "cmdline"), ("mem_netscan", "remote_addr"), ("linux_auth", "message"), ("linux_auth", "src_ip"), ("shell_history", "command"), ("linux_persistence", "command"), ("anydesk_events", "message"), ("registry_raw", "value_data"), ("bits_files", "remote_url"), ("bits_files", "local_path"), ("typed_urls", "url"), ("run_mru", "command"),
+    ("prefetch", "path"), ("prefetch", "volume_paths"), ("amcache", "path"), ("shimcache", "path"), ("mft", "path"), ("usnjrnl", "path"), ("lnk_files", "target_path"), ("lnk_files", "args"), ("persistence", "command"), ("persistence", "key_path"), ("services", "binary_path"), ("scheduled_tasks", "command"), ("scheduled_tasks", "args"), ("evtx_events", "message"), ("ps_scriptblock", "script_text"), ("ps_history", "command"), ("defender_events", "path"), ("proc_creation", "cmdline"), ("sysmon_process", "cmdline"), ("sysmon_process", "parent_cmdline"), ("sysmon_network", "dst_ip"), ("sysmon_network", "dst_host"), ("sysmon_dns", "query_name"), ("browser_history", "url"), ("browser_history", "title"), ("browser_downloads", "url"), ("browser_downloads", "local_path"), ("emails", "from_addr"), ("emails", "to_addrs"), ("emails", "x_originating_ip"), ("emails", "body_text"), ("email_urls", "url"), ("email_attachments", "filename"), ("email_attachments", "sha256"), ("mem_cmdline", "cmdline"), ("mem_netscan", "remote_addr"), ("linux_auth", "message"), ("linux_auth", "src_ip"), ("shell_history", "command"), ("linux_persistence", "command"), ("anydesk_events", "message"), ("registry_raw", "value_data"), ("bits_files", "remote_url"), ("bits_files", "local_path"), ("typed_urls", "url"), ("run_mru", "command"), ("anydesk_sessions", "client_alias"), ("anydesk_sessions", "anydesk_id"), ("wer_crashes", "app_name"), ("wer_crashes", "app_path"), ("wer_crashes", "fault_module"), ("srum_network_usage", "app_name"), ("srum_app_usage", "app_name"), ("bits_jobs", "job_name"), ("rdp_client_history", "server"), ("opensave_mru", "path"),
 )
 
 # Folders that make a path worth keeping, and domains that are noise.
-SUSPICIOUS_FOLDERS = ("/temp/", "/tmp/", "/appdata/", "/downloads/", "/desktop/", "/public/", "/programdata/", "/recycle", "/perflogs/", "/users/public/", "/startup/")
-NOISE_DOMAINS = ("microsoft.com", "windows.com", "windowsupdate.com", "google.com", "googleapis.com", "gstatic.com", "mozilla.org", "digicert.com", "verisign.com", "office.com", "live.com", "msn.com", "bing.com", "apple.com", "w3.org")
+SUSPICIOUS_FOLDERS = ("/temp/", "/tmp/", "/appdata/", "/downloads/", "/desktop/", "/public/", "/programdata/", "/recycle", "/perflogs/", "/users/public/", "/startup/", "/windows/debug", "/windows/tasks/", "/users/all users")
+NOISE_DOMAINS = ("microsoft.com", "windows.com", "windowsupdate.com", "msftncsi.com", "google.com", "googleapis.com", "gstatic.com", "github.com", "localhost", "w3.org", "schemas.microsoft.com", "ctldl.windowsupdate.com", "ocsp.digicert.com", "crl.microsoft.com", "ns.adobe.com")
 
 _B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 HASHES = (("sha256", 64), ("sha1", 40), ("md5", 32))
 URL = r"(?i)https?://[^\s\"'<>|]+"
-IPV4 = _B + r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)" + _E
-REGKEY = r"(?i)(?:HKEY_[A-Z_]+|HKLM|HKCU|HKU|HKCR|HKCC)\\[^\s\"'<>|]+"
-WINPATH = r"[A-Za-z]:\\(?:[^\\/:*?\"<>|\r\n\s]+\\)*[^\\/:*?\"<>|\r\n\s]+\.[A-Za-z0-9]{1,5}"
-DOMAIN = r"(?i)" + _B + r"(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+(?:com|net|org|info|biz|io|ru|cn|tk|top|xyz|pw|click|gq|ml|cf|ga|onion|example|test|co|de|uk|fr)" + _E
-BASE64 = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40,}={0,2}(?![A-Za-z0-9+/=])"
+IPV4 = _B + r"(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)" + _E
+PRIVATE = r"^(?:10\.|172\.(?:1[6-9]|2\d|3[01])\.|192\.168\.|127\.|169\.254\.|0\.0\.0\.|255\.)"
+REGKEY = r"(?i)" + _B + r"(?:HKEY_[A-Z_]+|HK[A-Z]{1,3})\\[^\s\"'<>|*?]{3,}"
+WINPATH = r"[A-Za-z]:\\(?:[^\s\"'<>|*?\\]+\\)*[^\s\"'<>|*?\\]+"
+NTFSPATH = r"(?i)/(?:Users|Windows|ProgramData|Program Files[^/]*)/[^\s\"'<>|*?]+"
+# The endings of names that count as domains.
+ENDINGS = "com|net|org|io|ru|cn|de|uk|gov|mil|edu|info|biz|xyz|top|pro|online|site|cc|tk|pw|app|dev|cloud|tech|me|co|us|ca|fr|jp|br|in|au|pl|nl|se|no|fi|dk|be|ch|at|es|it|pt|cz|hu|gr|ro|bg|tr|ua|kz|sa|ae|il|ir|eg|ma|ng|ke|th|ph|id|my|sg|hk|tw|kr|click|gq|ml|cf|ga|onion|example|test"
+DOMAIN = r"(?i)" + _B + rf"(?:[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?\.)+(?:{ENDINGS})" + _E
+BASE64 = r"[A-Za-z0-9+/]{40,}={0,2}"
 
 
 def _all(c: Column, pattern: str) -> Column:
@@ -49,9 +53,10 @@ def indicators_of(text: Column, base64: bool = False) -> Column:
         out.append((kind, _all(rest, pattern)))
         rest = F.regexp_replace(rest, pattern, " ")
     out.append(("url", F.transform(_all(text, URL), _trimmed)))
-    out.append(("ip", F.filter(_all(text, IPV4), lambda x: ~is_private_ip(x))))
-    out.append(("regkey", F.transform(_all(text, REGKEY), _trimmed)))
-    out.append(("path", F.filter(F.transform(_all(text, WINPATH), _trimmed), lambda x: any_of([F.translate(F.lower(x), "\\", "/").contains(f) for f in SUSPICIOUS_FOLDERS]))))
+    out.append(("ip", F.filter(_all(text, IPV4), lambda x: ~x.rlike(PRIVATE))))
+    out.append(("regkey", F.transform(_all(text, REGKEY), lambda x: F.regexp_replace(x, r"[\\.,;:)'\"\]]+$", ""))))
+    paths = F.concat(_all(text, WINPATH), _all(text, NTFSPATH))
+    out.append(("path", F.filter(F.transform(paths, _trimmed), lambda x: any_of([F.translate(F.lower(x), "\\", "/").contains(f) for f in SUSPICIOUS_FOLDERS]))))
     if base64:
         out.append(("base64", _all(text, BASE64)))
     domains = F.transform(_all(F.regexp_replace(text, URL, " "), DOMAIN), F.lower)
