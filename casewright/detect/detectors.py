@@ -90,10 +90,10 @@ add("usnjrnl_mass_delete", "HIGH", "host", None, mass_delete)
 
 
 def amcache_ghost(case: Case) -> DataFrame:
-    """Programs the application cache knows and the file table doesn't; the 500 first."""
+    """Programs the application cache knows and the file table doesn't."""
     there = case["mft"].select(slashed("path").alias("_k")).distinct()
     gone = case["amcache"].filter(recent("first_seen")).withColumn("_k", slashed("path")).join(there, "_k", "left_anti")
-    return gone.orderBy("first_seen", "path").limit(500).select(c("path").alias("value"), "first_seen")
+    return gone.select(c("path").alias("value"), "first_seen")
 
 
 add("amcache_ghost", "MED", "file", "T1070.004", amcache_ghost, ("amcache", "mft"))
@@ -122,7 +122,7 @@ def log_gap(case: Case) -> DataFrame:
 
 
 add("event_log_gap", "HIGH", "event", "T1070.001", log_gap)
-add("dhcp_network_config", "LOW", "network", None, lambda case: case["evtx_events"].filter(c("event_id").between(4198, 4205) & recent("timestamp")).select(F.concat(F.lit("dhcp_event_"), c("event_id").cast("string")).alias("value"), c("timestamp").alias("first_seen")).distinct().orderBy("first_seen", "value").limit(30))
+add("dhcp_network_config", "LOW", "network", None, lambda case: case["evtx_events"].filter(c("event_id").between(4198, 4205) & recent("timestamp")).select(F.concat(F.lit("dhcp_event_"), c("event_id").cast("string")).alias("value"), c("timestamp").alias("first_seen")).distinct())
 
 
 def routing(case: Case) -> DataFrame:
