@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -179,11 +181,17 @@ def _(s: Star) -> DataFrame:
     return s.customer.join(per, c("c_custkey") == c("o_custkey"), "left").select("c_custkey", "n_orders", "n_lines")
 
 
+def suffix_joined(df: DataFrame, column: str, suffixes: Sequence[str]) -> DataFrame:
+    """Rows by each suffix (in any case) their text ends with; one equality key per distinct length of a suffix, so no nested loop."""
+    words = df.sparkSession.createDataFrame([(w, w.lower()) for w in suffixes], "suffix string, _k string")
+    text = F.lower(column)
+    ends = [F.when(F.length(text) >= n, F.right(text, F.lit(n))) for n in sorted({len(w.lower()) for w in suffixes})]
+    return df.withColumn("_k", F.explode(F.array(*ends))).join(words, "_k").drop("_k")
+
+
 @query("suffix_join", "SELECT p_partkey, p_type, w AS suffix FROM part JOIN (VALUES ('STANDARD'), ('PROMO'), ('SMALL')) AS x(w) ON ends_with(lower(p_type), lower(w))")
 def _(s: Star) -> DataFrame:
-    # a list of suffixes is a bounded broadcast; the last word is an equality key, so no nested loop is needed
-    words = s.spark.createDataFrame([("STANDARD",), ("PROMO",), ("SMALL",)], "suffix string").withColumn("_k", F.lower("suffix"))
-    return s.part.withColumn("_k", F.lower(F.element_at(F.split("p_type", " "), -1))).join(words, "_k").select("p_partkey", "p_type", "suffix")
+    return suffix_joined(s.part, "p_type", ("STANDARD", "PROMO", "SMALL")).select("p_partkey", "p_type", "suffix")
 
 
 @query("eav_fold", "SELECT user_id, max(CASE WHEN event_type = 'click' THEN value END) AS max_click, max(CASE WHEN event_type = 'view' THEN value END) AS max_view FROM events GROUP BY 1 HAVING max(CASE WHEN event_type = 'click' THEN value END) IS NOT NULL")
