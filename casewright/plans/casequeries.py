@@ -254,6 +254,23 @@ def _(case: Case) -> DataFrame:
     return L.network_correlation(case, empty(case)).select("remote_addr", "n_conns", "n_logons")
 
 
+# with the findings of every detector; without SQL, which would hold all of them, and tested on a fixture
+
+@query("findings_multi_source_all")
+def _(case: Case) -> DataFrame:
+    return multi_source(run_detectors(case))
+
+
+@query("network_correlation_findings")
+def _(case: Case) -> DataFrame:
+    return L.network_correlation(case, run_detectors(case)).select("remote_addr", "n_conns", "n_findings", "n_logons")
+
+
+@query("user_activity_findings")
+def _(case: Case) -> DataFrame:
+    return L.user_activity(case, run_detectors(case))
+
+
 @query("top_programs_of_users", f"SELECT lower(user_name) AS account, {BASE.format('image')} AS program, count(*) AS n_rows FROM proc_creation WHERE user_name <> '' AND image IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY lower(user_name) ORDER BY count(*) DESC, {BASE.format('image')}) <= 3")
 def _(case: Case) -> DataFrame:
     from pyspark.sql import Window as W
