@@ -289,6 +289,6 @@ def _(s: Star) -> DataFrame:
     return s.lineitem.filter("l_shipdate <= TIMESTAMP_NTZ '1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(F.sum(c("l_quantity").cast("decimal(18,2)")).cast("double").alias("sum_qty"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), n_rows())
 
 
-@query("nearest_labels", "SELECT label, count(*) AS n_rows FROM embeddings GROUP BY 1")
+@query("embedding_label_counts", "SELECT label, count(*) AS n_rows FROM embeddings GROUP BY 1")
 def _(s: Star) -> DataFrame:
     return s.embeddings.groupBy("label").agg(n_rows())

@@ -1,0 +1,5 @@
+from casewright.plans.starqueries import QUERIES
+
+
+def test_label_counts_are_named_for_what_they_do():
+    assert "embedding_label_counts" in QUERIES and "nearest_labels" not in QUERIES
