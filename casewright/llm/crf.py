@@ -2,8 +2,8 @@
 
 Features are strings of single tokens, seen from an offset: the emission score
 of a position is a sum over offsets of a vector that depends only on the token
-there. So a text costs one table look-up per distinct token, and decoding is
-Viterbi over padded numpy batches.
+there (at most two places away). So a text costs one table look-up per token,
+and decoding is Viterbi over padded numpy batches.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ class LinearChainCRF:
         # I-x follows B-x or I-x only
         self.allowed = np.array([[not b.startswith("I-") or a[2:] == b[2:] and a != "O" for b in self.labels] for a in self.labels])
         self.first_allowed = np.array([not a.startswith("I-") for a in self.labels])
-        self._tables: dict[str, np.ndarray] = {}
+        self._rows: dict[str, int] = {}
+        self._table = np.zeros((0,))
 
     # ---- training: batch gradient steps (Adam) on the regularised likelihood
 
@@ -65,7 +66,7 @@ class LinearChainCRF:
                         b += 0.001 * g * g
                         p -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
         self.weights = w
-        self._tables.clear()
+        self._rows, self._table = {}, np.zeros((0,))
         return self
 
     def _gradient(self, feats: list[list[np.ndarray]], gold: list[np.ndarray], w: np.ndarray) -> list[np.ndarray]:
@@ -123,51 +124,60 @@ class LinearChainCRF:
 
     # ---- decoding
 
-    def _table(self, token: str) -> np.ndarray:
-        """Emission vectors of a token, one per offset."""
-        got = self._tables.get(token)
-        if got is None:
-            got = np.zeros((len(self.offsets), len(self.labels)), dtype=np.float32)
-            for k, o in enumerate(self.offsets):
-                ids = [self.index[f] for f in (f"{o}|{x}" for x in self.featurize(token, o)) if f in self.index]
-                if ids:
-                    got[k] = self.weights[ids].sum(0)
-            if len(self._tables) > 200_000:  # a cache, not a limit on what is decoded
-                self._tables.clear()
-            self._tables[token] = got
-        return got
+    def with_features(self, featurize: Callable[[str, int], list[str]]) -> LinearChainCRF:
+        """The same weights over other features of the tokens (longer word lists, for example)."""
+        other = LinearChainCRF(self.labels, featurize, self.offsets)
+        other.index, other.weights, other.transitions, other.start, other.end = self.index, self.weights, self.transitions, self.start, self.end
+        return other
+
+    def _rows_of(self, tokens: Sequence[str]) -> list[int]:
+        """Row numbers of tokens in the table of their emission vectors (one per offset), filled as tokens come up."""
+        rows, made = self._rows, []
+        for t in tokens:
+            row = rows.get(t)
+            if row is None:
+                row = rows[t] = len(rows)
+                if row == len(self._table):
+                    self._table = np.concatenate([self._table, np.zeros_like(self._table)]) if row else np.zeros((1024, len(self.offsets), len(self.labels)), dtype=np.float32)
+                for k, o in enumerate(self.offsets):
+                    ids = [self.index[f] for f in (f"{o}|{x}" for x in self.featurize(t, o)) if f in self.index]
+                    self._table[row, k] = self.weights[ids].sum(0) if ids else 0
+            made.append(row)
+        return made
 
     def decode(self, sentences: Sequence[Sequence[str]], batch: int = 512) -> list[np.ndarray]:
-        """Best label numbers of each sentence (all sentences must have tokens)."""
+        """Best label numbers of each sentence."""
         out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(sentences)
-        order = sorted(range(len(sentences)), key=lambda i: len(sentences[i]))
+        if len(self._rows) > 200_000:  # a cache, not a limit on what is decoded
+            self._rows, self._table = {}, np.zeros((0,))
+        order = sorted((i for i in range(len(sentences)) if len(sentences[i])), key=lambda i: len(sentences[i]))
         trans = np.where(self.allowed, self.transitions, -1e9).astype(np.float32)
         first = np.where(self.first_allowed, self.start, -1e9).astype(np.float32)
-        low, high = -min(self.offsets), max(self.offsets)
+        stop = self.end.astype(np.float32)
+        before, after = self._rows_of(("<s2>", "<s1>")), self._rows_of(("</s1>", "</s2>"))
         i = 0
         while i < len(order):
             # padded cells per batch stay bounded however long a line is
-            longest = max(1, len(sentences[order[min(i + batch, len(order)) - 1]]))
+            longest = len(sentences[order[min(i + batch, len(order)) - 1]])
             take = max(1, min(batch, 60_000 // longest))
             ids = order[i : i + take]
             i += take
             lens = np.array([len(sentences[k]) for k in ids])
             top = int(lens.max())
-            em = np.zeros((len(ids), top, len(self.labels)), dtype=np.float32)
+            rows = np.zeros((len(ids), top + 4), dtype=np.int64)
             for r, k in enumerate(ids):
-                s = sentences[k]
-                stack = np.stack([self._table(t) for t in ("<s2>", "<s1>", *s, "</s1>", "</s2>")])
-                m = len(s)
-                for c, o in enumerate(self.offsets):
-                    em[r, :m] += stack[2 + o : 2 + o + m, c]
+                rows[r, : lens[r] + 4] = before + self._rows_of(sentences[k]) + after
+            em = self._table[rows[:, 2 + self.offsets[0] : 2 + self.offsets[0] + top], 0]
+            for c, o in enumerate(self.offsets[1:], 1):
+                em += self._table[rows[:, 2 + o : 2 + o + top], c]
             score = first + em[:, 0]
             back = np.zeros((len(ids), top, len(self.labels)), dtype=np.int8)
-            final = np.where((lens == 1)[:, None], score + self.end, -np.inf)
+            final = np.where((lens == 1)[:, None], score + stop, -np.inf)
             for t in range(1, top):
                 cand = score[:, :, None] + trans[None]
                 back[:, t] = cand.argmax(1)
                 score = cand.max(1) + em[:, t]
-                final = np.where((lens == t + 1)[:, None], score + self.end, final)
+                final = np.where((lens == t + 1)[:, None], score + stop, final)
             best = final.argmax(1)
             paths = np.zeros((len(ids), top), dtype=np.int64)
             cur = best
@@ -179,5 +189,19 @@ class LinearChainCRF:
                     cur = np.where(lens - 1 >= t, back[np.arange(len(ids)), t, cur], cur)
             for r, k in enumerate(ids):
                 out[k] = paths[r, : lens[r]]
-        assert low <= 2 and high <= 2
         return out
+
+    # ---- keeping
+
+    def save(self, path: str) -> None:
+        """Write the weights (without the feature function)."""
+        np.savez_compressed(path, labels=self.labels, features=list(self.index), weights=self.weights.astype(np.float32), transitions=self.transitions, start=self.start, end=self.end, offsets=self.offsets)
+
+    @classmethod
+    def load(cls, path: str, featurize: Callable[[str, int], list[str]]) -> LinearChainCRF:
+        """A model whose weights were written by ``save``."""
+        with np.load(path) as kept:
+            model = cls([str(x) for x in kept["labels"]], featurize, tuple(int(o) for o in kept["offsets"]))
+            model.index = {str(f): i for i, f in enumerate(kept["features"])}
+            model.weights, model.transitions, model.start, model.end = kept["weights"].astype(float), kept["transitions"], kept["start"], kept["end"]
+        return model

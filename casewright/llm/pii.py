@@ -3,13 +3,17 @@
 A linear-chain CRF over word-shape features is trained on the driver from a
 small generated table of labelled sentences (``pii_table``) and decoded by
 Viterbi in numpy batches inside Arrow-batched Python workers. Texts are taken
-line by line, whole; lines that repeat within a batch are decoded once. Spans
-found are checked exactly afterwards (digits of a phone number, two parts of a
-name and so on).
+line by line, whole; lines that look the same to the features (other digits,
+another mail address) are decoded once within a batch. Spans found are checked
+exactly afterwards (digits of a phone number, two parts of a name and so on).
+
+Whether a word is a common one is told by a public tokenizer's vocabulary: its
+lower-case form is a single entry there, which made-up and rare names are not.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator, Sequence
 
@@ -17,8 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..common import cut_lineage
 from . import pii_table as T
 from .crf import LinearChainCRF
+from .tokens import WORDS, common_words, ship
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 LABELS = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
@@ -50,44 +56,71 @@ ID_WORDS = frozenset("ssn sin nin nino social security soc sec tax taxpayer steu
 PHONE_WORDS = frozenset("call phone tel telephone mobile cell ring reach reachable fax t anrufen unter officephone telefon téléphone portable appeler prévenir call".split())
 NOT_PERSONAL_NUMBER = frozenset("order invoice case ticket version build record change session port value hash serial parcel tracking kb no company maxevents requiredversion seconds entry entrée every zwischen between rechnung auftrag commande facture".split())
 
+# Letters that open the numbers of records, not of people.
+RECORD_PREFIXES = ("kb", "inc", "chg", "req", "ref", "rma", "inv", "cve", "sr", "po", "ms", "id", "ticket", "case", "order", "bug", "rfc", "iso", "build", "ver", "v")
+# a date, with or without the hour after it
+DATED = re.compile(r"(?:\d{1,2}[./-]\d{1,2}[./-](?:19|20)\d\d|(?:19|20)\d\d[./-]\d{1,2}[./-]\d{1,2})(?!\d)")
+
+
+def _shape(text: str) -> str:
+    s = re.sub(r"\d", "9", text)
+    return re.sub(r"[^\W\d_a-zà-öø-ÿß]+", "X", re.sub(r"[a-zà-öø-ÿß]+", "x", s))
+
+
+def _letters_and_digits(text: str) -> str:
+    """The form of a number: every digit and every letter counts, their kind only."""
+    return re.sub(r"[a-zà-öø-ÿß]", "x", re.sub(r"[^\W\d_a-zà-öø-ÿß]", "X", re.sub(r"\d", "9", text)))
+
 
 def tokens_of(line: str) -> tuple[list[str], list[tuple[int, int]]]:
-    """Tokens of a line, each with its class as KIND:text, and their places."""
+    """Tokens of a line, each as KIND:what the features see of it, and their places."""
     toks, spans = [], []
     for m in TOKEN.finditer(line):
-        toks.append(f"{m.lastgroup}:{m.group()}")
+        kind = m.lastgroup
+        if kind == "WORD" or kind == "OTHER":
+            toks.append(f"{kind}:{m.group()}")
+        elif kind in ("NUM", "ALNUM", "HOUSE", "POSTCODE"):
+            text = m.group()
+            lead = "+" if text[0] in "+(" or text.startswith("00") else "#" if kind == "ALNUM" and re.match(r"[A-Za-z]*", text).group().lower() in RECORD_PREFIXES else ""
+            toks.append(f"{kind}:{lead}{_letters_and_digits(text)}")
+        else:
+            toks.append(kind + ":")
         spans.append(m.span())
     return toks, spans
 
 
-def _shape(text: str) -> str:
-    s = re.sub(r"\d", "9", text)
-    s = re.sub(r"[^\W\d_a-zà-öø-ÿß]+", "X", re.sub(r"[a-zà-öø-ÿß]+", "x", s))
-    return s[:24]
-
-
 class Features:
-    """Features of a token seen from an offset; picklable, with the words the table knows and the listed names."""
+    """Features of a token seen from an offset; picklable, with the words the table knows, the listed names and the file of common words."""
 
-    def __init__(self, vocabulary: frozenset[str], given: frozenset[str], family: frozenset[str]):
-        self.vocabulary, self.given, self.family = vocabulary, given, family
+    def __init__(self, vocabulary: frozenset[str], given: frozenset[str], family: frozenset[str], words: str = WORDS):
+        self.vocabulary, self.given, self.family, self.words = vocabulary, given, family, words
+
+    def listing(self, given: Sequence[str], family: Sequence[str]) -> Features:
+        """The same features with further listed names."""
+        return Features(self.vocabulary, self.given | {n.lower() for n in given}, self.family | {n.lower() for n in family}, self.words)
 
     def __call__(self, token: str, offset: int) -> list[str]:
-        if token[0] == "<" and token in ("<s1>", "<s2>", "</s1>", "</s2>"):
+        if token[0] == "<":
             return [token]
         kind, _, text = token.partition(":")
-        low = text.lower()
+        if kind == "UNKNOWN":  # a word whose letters the training is not to see
+            kind, hidden = "WORD", True
+        else:
+            hidden = False
         out = ["c=" + kind]
         if kind == "WORD":
+            low = text.lower()
             parts = re.split(r"[-'’]", low)
             shape = _shape(text)
-            known = low in self.vocabulary and low not in self.given and low not in self.family and len(text) > 1
-            out += ["w=" + (low if known else "?"), "s=" + shape]
-            listed = [p for p in parts if p in self.given], [p for p in parts if p in self.family]
-            if listed[0]:
-                out.append("given")
-            if listed[1]:
-                out.append("family")
+            given, family = any(p in self.given for p in parts), any(p in self.family for p in parts)
+            known = low in self.vocabulary and not hidden and not given and not family and len(text) > 1
+            common = common_words(self.words)
+            lex = "1" if low in common else "2" if all(len(p) > 1 and p in common for p in parts) else "c" if text in common else "0"
+            out += ["w=" + (low if known else "?"), "s=" + shape, f"l={lex}{shape[:2]}"]
+            if given:
+                out.append("given" + lex)
+            if family:
+                out.append("family" + lex)
             if low in TITLES:
                 out.append("title")
             if low in PARTICLES:
@@ -103,12 +136,14 @@ class Features:
             if low in NOT_PERSONAL_NUMBER:
                 out.append("countword")
             if abs(offset) <= 1 and not known:
-                out += ["u=" + shape, "e=" + low[-2:]]
+                out.append("e=" + low[-2:])
         elif kind in ("NUM", "ALNUM", "HOUSE", "POSTCODE"):
-            shape = _shape(text)
-            out += ["s=" + shape, "d=" + str(min(16, sum(ch.isdigit() for ch in text)))]
-            if text[0] in "+(" or text.startswith("00"):
+            dial, record, shape = text.startswith("+"), text.startswith("#"), text.lstrip("+#")
+            out += ["s=" + shape, "d=" + str(shape.count("9"))]
+            if dial:
                 out.append("dial")
+            if record:
+                out.append("record")
         elif kind == "OTHER":
             out.append("p=" + text)
         return out
@@ -116,7 +151,7 @@ class Features:
 
 def _vocabulary() -> frozenset[str]:
     words: set[str] = set()
-    fixed = [re.sub(r"\{\w*\}", " ", p) for _, p in T.PATTERNS] + T.IDWORDS + T.JOBS + T.ORGS + T.CLOSINGS + T.SUBJECTS + T.PROJECTS + T.DAYS + T.MONTHS + ["AM PM"]
+    fixed = [re.sub(r"\{\w*\}", " ", p) for _, p in T.PATTERNS] + T.IDWORDS + T.JOBS + T.CLOSINGS + T.DAYS + T.MONTHS + ["AM PM"]
     for line in fixed:
         words.update(t[5:].lower() for t in tokens_of(line)[0] if t.startswith("WORD:"))
     return frozenset(words)
@@ -146,25 +181,54 @@ def labelled(row: str) -> tuple[list[str], list[str]]:
 _MODELS: dict[tuple, LinearChainCRF] = {}
 
 
-def train(given: Sequence[str] = (), family: Sequence[str] = (), copies: int = 9, epochs: int = 12, rows: Sequence[str] | None = None) -> LinearChainCRF:
-    """The model, trained from the labelled table (about 330 rows per copy) and the listed names; kept per process."""
-    key = (tuple(sorted(given)), tuple(sorted(family)), copies, epochs, tuple(rows) if rows else None)
+def train(copies: int = 10, epochs: int = 12, rows: Sequence[str] | None = None, words: str = WORDS, hidden: float = 0.2, seed: int = 5) -> LinearChainCRF:
+    """The model, trained from the labelled table (some 480 rows per copy); kept per process.
+
+    A share of ``hidden`` of the words is shown to the training without its
+    letters, so that it learns to do without knowing the words around a span.
+    """
+    key = (copies, epochs, tuple(rows) if rows else None, words, hidden, seed)
     if key not in _MODELS:
         # half of the table's names count as listed: names must be found with and without the list
-        listed_g = frozenset(n.lower() for n in [*given, *T.GIVEN[::2]])
-        listed_f = frozenset(n.lower() for n in [*family, *T.FAMILY[::2]])
-        feats = Features(_vocabulary(), listed_g, listed_f)
-        pairs = []
+        listed_g = frozenset(n.lower() for n in T.GIVEN[::2])
+        listed_f = frozenset(n.lower() for n in T.FAMILY[::2])
+        feats = Features(_vocabulary(), listed_g, listed_f, words)
+        r = random.Random(seed)
+        sentences, tags = [], []
         for row in rows or T.labelled_rows(copies):
-            try:
-                pairs.append(labelled(row))
-            except ValueError:
-                continue
-        pairs = [p for p in pairs if p[0]]
-        _MODELS[key] = LinearChainCRF(LABELS, feats).fit([p[0] for p in pairs], [p[1] for p in pairs], epochs=epochs)
+            toks, labels = labelled(row)
+            if toks:
+                sentences.append(["UNKNOWN" + t[4:] if t.startswith("WORD:") and r.random() < hidden else t for t in toks])
+                tags.append(labels)
+        _MODELS[key] = LinearChainCRF(LABELS, feats).fit(sentences, tags, epochs=epochs)
     return _MODELS[key]
 
 
+def _like_address(text: str) -> bool:
+    """Whether the text has a street's form: it names a kind of street where that belongs, or a town follows the street."""
+    street, _, rest = text.partition(",")
+    if re.fullmatch(r"\d+\w?(?: bis| ter)?", street.strip()):  # the number is set off by a comma
+        street, _, rest = rest.strip().partition(",")
+        street = "1 " + street
+    words = re.findall(rf"{_W}+(?:['’.-]{_W}+)*\.?", street)
+    if not words or not (street[0].isdigit() or street[0].isupper() or words[0].lower() in STREET_WORDS):
+        return False
+    low = [w.lower().rstrip(".") for w in words]
+    if any(w.endswith(STREET_ENDS) or w.endswith("str") and len(w) > 3 for w in low) or low[0] in STREET_WORDS:
+        return True
+    while len(low) > 1 and (low[-1] in UNIT_WORDS or len(low[-1]) == 1 or low[-1] in ("north", "south", "east", "west", "ne", "nw", "se", "sw")):
+        low.pop()
+    return low[-1] in STREET_WORDS or len(re.findall(rf"{_W}{{2,}}", rest)) > 0
+
+
+def _like_name(words: Sequence[str], text: str) -> bool:
+    """Whether words are spelled as the parts of one name: all capitalised (particles aside) or all small, parted by blanks."""
+    if re.search(r"[^\W\d_]{2}\.[^\W\d_]|[_@\\/=:;]", text) or any(re.match(r"[^\W\d_]['’][^\W\d_A-ZÀ-Þ]", w) and w[0].isupper() for w in words):
+        return False
+    main = [w for w in words if w.lower() not in PARTICLES]
+    return all(w[0].isupper() for w in main) or all(w.islower() for w in words) and len(main) <= 3
+
+
 def _checked(kind: str, line: str, a: int, z: int, toks: list[str]) -> tuple[int, int] | None:
     """The exact check of a span: trimmed, or None where it cannot be of its kind."""
     while a < z and line[a] in " ,;:.<>'\"|-":
@@ -176,13 +240,14 @@ def _checked(kind: str, line: str, a: int, z: int, toks: list[str]) -> tuple[int
     if kind == "email":
         return (a, z) if any(t.startswith("EMAIL:") for t in toks) else None
     if kind == "phone":
-        return (a, z) if 7 <= digits <= 15 else None
+        return (a, z) if 7 <= digits <= 15 and not DATED.match(text) else None
     if kind == "id_number":
-        return (a, z) if digits >= 6 and len(text) <= 24 else None
+        # documents print capital letters; small ones between digits are hashes
+        return (a, z) if digits >= 6 and len(text) <= 24 and not (re.search(r"[a-z]", text) and digits) else None
     if kind == "address":
-        if text.endswith(".") and not re.search(r"(?i)\bstr\.$", text):
+        if text.endswith(".") and not re.search(r"(?i)\b(?:\w*str|st|rd|ave|dr|blvd|ln)\.$", text):
             z -= 1
-        return (a, z) if digits and re.search(rf"{_W}{{2}}", text) else None
+        return (a, z) if digits and _like_address(line[a:z]) else None
     words = [t[5:] for t in toks if t.startswith("WORD:")]
     while words and words[0].lower() in TITLES and words[0][:1].isupper() and len(words) > 1:
         drop = re.match(rf"{re.escape(words[0])}\.?\s*", line[a:z])
@@ -198,16 +263,20 @@ def _checked(kind: str, line: str, a: int, z: int, toks: list[str]) -> tuple[int
     whole = [w for w in words if len(w) > 1 and w.lower() not in PARTICLES]
     if z > a and line[z - 1] == ".":
         z -= 1
-    return (a, z) if z > a and (len(whole) >= 2 or titled and whole) else None
+    return (a, z) if z > a and (len(whole) >= 2 or titled and whole) and _like_name(words, line[a:z]) and not re.match(r"[-_@\\/]?\w", line[z:]) else None
 
 
 def find_in_lines(lines: Sequence[str], model: LinearChainCRF) -> list[list[tuple[str, int, int]]]:
     """(kind, start, end) of the personal information in each line."""
     split = [tokens_of(x) for x in lines]
-    live = [i for i, s in enumerate(split) if s[0]]
-    paths = model.decode([split[i][0] for i in live])
+    alike: dict[tuple[str, ...], int] = {}
+    which = [alike.setdefault(tuple(s[0]), len(alike)) for s in split]
+    paths = model.decode(list(alike))
     out: list[list[tuple[str, int, int]]] = [[] for _ in lines]
-    for i, path in zip(live, paths):
+    for i, number in enumerate(which):
+        path = paths[number]
+        if not path.any():
+            continue
         toks, spans = split[i]
         k = 0
         while k < len(path):
@@ -227,30 +296,51 @@ def find_in_lines(lines: Sequence[str], model: LinearChainCRF) -> list[list[tupl
 RESULT = "record_id {ident}, redacted string, found array<struct<kind:string,text:string,at:int>>"
 
 
-def redact(df: DataFrame, ident: str, text: str, names: DataFrame | None = None, most_names: int = 100_000) -> DataFrame:
+def _listed_words(df: DataFrame, names: DataFrame) -> DataFrame:
+    """_id, _text and the listed names among the text's own words (by join, for lists that are too long to go to every worker)."""
+    numbered = df.select(F.monotonically_increasing_id().alias("_row"), "_id", "_text")
+    numbered = cut_lineage(numbered)  # the numbers must not change between the two readings
+    known = names.filter("name_text IS NOT NULL").select(F.lower("name_text").alias("_word"), F.when(F.col("name_kind") == "given", "g").otherwise("f").alias("_kind")).distinct()
+    words = numbered.select("_row", F.explode(F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}]+"))).alias("_word"))
+    of_row = words.join(known, "_word").groupBy("_row").agg(F.collect_set(F.concat("_kind", "_word")).alias("_listed"))
+    return numbered.join(of_row, "_row", "left").select("_id", "_text", F.coalesce("_listed", F.array().cast("array<string>")).alias("_listed"))
+
+
+def redact(df: DataFrame, ident: str, text: str, names: DataFrame | None = None, most_names: int = 100_000, model: LinearChainCRF | None = None, words: str = WORDS) -> DataFrame:
     """One row per record: record_id, redacted, found (kind, text, place of each hit).
 
     redacted is the text with every hit replaced by [EMAIL], [PHONE],
     [ID_NUMBER], [ADDRESS] or [PERSON], otherwise unchanged; the whole text is
-    read. names: optional listed names (name_text, name_kind), of which at most
-    ``most_names`` may exist, else ValueError: they go to every worker. Null
-    texts stay null with no hits, empty ones empty. Rows of a null id are kept.
-    Repeated rows are treated one by one; an empty table gives no rows.
+    read. names: optional listed names (name_text, name_kind). Up to
+    ``most_names`` of them go to every worker, longer lists are joined with the
+    texts' words; the result is the same. model: a trained model to use instead
+    of training one here. words: file of the vocabulary that tells common words.
+    Null texts stay null with no hits, empty ones empty. Rows of a null id are
+    kept. Repeated rows are treated one by one; an empty table gives no rows.
     """
-    given, family = [], []
+    ship(df.sparkSession, words)
+    lean = df.select(df[ident].alias("_id"), df[text].alias("_text"))
+    given, family, joined = [], [], False
     if names is not None:
         listed = names.filter("name_text IS NOT NULL").select("name_text", "name_kind").distinct().limit(most_names + 1).collect()
-        if len(listed) > most_names:
-            raise ValueError("more names than are allowed to go to every worker")
-        given = [r[0] for r in listed if r[1] == "given"]
-        family = [r[0] for r in listed if r[1] == "family"]
-    model = train(given, family)
+        joined = len(listed) > most_names
+        if joined:
+            lean = _listed_words(lean, names)
+        else:
+            given = [r[0] for r in listed if r[1] == "given"]
+            family = [r[0] for r in listed if r[1] != "given"]
+    model = model or train(words=words)
+    model = model.with_features(model.featurize.listing(given, family))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            here = model
+            if joined:
+                seen = {x for row in b["_listed"] for x in row}
+                here = model.with_features(model.featurize.listing([x[1:] for x in seen if x[0] == "g"], [x[1:] for x in seen if x[0] == "f"]))
             pieces = [(t.split("\n") if t else []) for t in b["_text"]]
             distinct = list({x for ls in pieces for x in ls})
-            hits = dict(zip(distinct, find_in_lines(distinct, model)))
+            hits = dict(zip(distinct, find_in_lines(distinct, here)))
             texts, found = [], []
             for t, ls in zip(b["_text"], pieces):
                 if t is None:
@@ -270,7 +360,6 @@ def redact(df: DataFrame, ident: str, text: str, names: DataFrame | None = None,
                 found.append(rows)
             yield pd.DataFrame({"record_id": b["_id"].to_numpy(), "redacted": pd.Series(texts, dtype=object), "found": pd.Series(found, dtype=object)})
 
-    lean = df.select(df[ident].alias("_id"), df[text].alias("_text"))
     return lean.mapInPandas(work, RESULT.format(ident=dict(df.dtypes)[ident]))
 
 

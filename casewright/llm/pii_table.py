@@ -1,179 +1,213 @@
 """The small labelled table the personal-information model is trained from.
 
-Rows are sentences with their spans marked: [kind|text]. They are written from
-patterns (mail sentences, mail heads, signatures, script lines) and slots that
-are filled from invented values; a fixed seed makes the table the same in every
-process. Negative rows hold the numbers, capitalised pairs and accounts that
-are no personal information. All people, streets and numbers are invented.
+Rows are sentences of everyday office mail, mail programs' own lines and
+scripts, with their spans marked: ⟦kind|text⟧. They come from sentence patterns
+whose slots are filled at random by a fixed seed: usual given and family names
+of many countries and family names made up of syllables, street and town names
+in use, number formats of several countries. Rows without spans hold what looks
+alike and is none: orders, versions, company names, projects, places, headings.
+Patterns and fillings come from general usage, not from any data set.
 """
 
 from __future__ import annotations
 
 import random
 
-GIVEN = "Adele Alban Amparo Arvid Aurelio Bao Benedikt Birte Brannon Camille Cosima Daphne Dorian Edda Elif Emeric Enzo Ewa Fabio Fenna Gemma Goran Greta Hamza Hilde Ibrahim Ines Ivo Jelena Jorge Kalle Katya Kwame Lars Leandra Levi Lotte Malik Mirela Nils Noor Odile Oona Paolo Petra Quentin Rafael Rosalie Samuel Sigrid Sofia Soren Tamsin Teodor Ulla Vera Wanda Xavier Yara Zeno Li Bo An Jo".split()
-FAMILY = "Abercroft Ainsvale Bellacourt Birkenrode Brandvik Caldwater Cormorel Dahlquist Delacroyd Drachenfels Eastmarch Eldridge Fairbrook Ferranti Galloway Gruberholt Hallstrom Hjelmqvist Iversholm Jankovar Kaltenbach Kirkbrae Lavastine Lindermann Lombardel Marchetti Merriweld Mukasa Nordgaard Ostrander Pavlenko Penhallow Quistgaard Ravenscar Rietveldt Sandoval Sokolenko Stavros Takedano Thistlewood Ulvestad Valcourt Vasquelin Wexcombe Winterbourne Yamashiro Zabriski Zielonka Zimmerholt Okafori Nkemelu Tremaine Baskarov Celikoglu Demirtas Haraldson Ioannides Kovarik Lachance Mbekinza".split()
-PARTICLES = ["van", "von", "de", "van der", "del", "di", "zu", "ten"]
-STREETS_EN = ["Quarry Terrace", "Old Foundry Road", "Juniper Street", "Lantern Court", "Beacon Hill Road", "Harrier Close", "Alder Quay", "Mill Race Avenue", "Copperfield Lane", "Windgate Boulevard", "Saltmarsh Drive", "Tanners Row", "Orchard Way", "Chapel Street", "Fenwick Lane", "Station Road", "Kings Parade", "Willow Crescent", "North Square", "Ferry Walk", "Church Hill", "Maple Gardens", "Union Place", "Priory Park", "Long Acre Road"]
-STREETS_DE = ["Lindenhofstraße", "Mühlgrabenallee", "Torfgasse", "Bergfriedweg", "Salzspeicherstr.", "Am Kohlenkai", "Kirchplatz", "Gartenweg", "Rosenstraße", "Marktgasse", "Am Alten Hafen", "Birkenallee", "Ringstr.", "Seeufer", "Schlossplatz", "Bahnhofstraße"]
-STREETS_FR = ["rue des Tanneurs-Gris", "avenue du Vieux-Phare", "quai des Ardoises", "boulevard Saint-Corvin", "rue du Moulin", "chemin des Vignes", "place de la Fontaine", "allée des Tilleuls", "impasse du Lavoir"]
-STREETS_ES = ["Calle del Olmo", "Avenida del Puerto", "Plaza de la Torre"]
-TOWNS = ["Westmarsh", "Aldwick", "Tarnfurt", "Silbersee", "Nordhafen", "Port Ellery", "Kestrel Bay", "Lower Penbury", "Montclairvaux", "Grand Haven Falls", "Eastbrook", "Neustetten", "Saint-Aubrac", "North Fallow", "Glenmoor", "Bad Quellen", "Upper Stowe", "Rivermouth"]
-DOMAINS = ["example.net", "example.org", "mail.harrow.example", "westlake.test", "stonegate.example", "post.arden.example", "ledger-rail.test", "ops.example"]
-ORGS = ["Arden Freight", "Brightwater Mills", "Tessel Pharma", "Lumenfield Bank", "Ostmark Rail", "Halden Optics", "Paragon Tiles", "Silverbeck Foods", "Corvane Energy", "Northquay Logistics", "Harrow Steel", "Westlake Insurance", "Stonegate Media", "Redfern Foods", "Bluecrest Systems"]
-JOBS = ["Payroll Officer", "Service Desk Lead", "Network Engineer", "Security Analyst", "Incident Manager", "Forensic Examiner", "Data Protection Officer", "Head of IT Operations", "Head of Legal", "Systems Administrator", "Account Manager", "Chief Information Officer", "Project Lead", "Operations Manager", "Audit Partner", "Help Desk Agent"]
-IDWORDS = ["SSN", "social security number", "soc. sec. no.", "tax ID", "Steuer-ID", "taxpayer number", "national ID", "ID card", "personal identity number", "passport", "passport no.", "travel document", "driving licence", "licence", "driver's license no.", "Personalausweis", "numéro fiscal", "DNI", "identity card"]
-CLOSINGS = ["Cheers", "Best", "Best regards", "Kind regards", "Regards", "BR", "Viele Grüße", "Mit freundlichen Grüßen", "Cordialement", "Many thanks and best wishes", "Thanks", "Saludos"]
-DAYS, MONTHS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"], ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
-SUBJECTS = ["Access list", "Mail hold", "Weekly summary", "Visitor data", "Re: Chain of custody", "AW: Beacon traffic", "RE: Leaked sheet", "Question on logs", "Fwd: Triage of WS-NYC-136", "Re-imaging plan", "Server Room Keys", "Invoice Run"]
-
-#: {P} person, {S}, {V} family name after a title, {R}, {L}, {U} family name first, small or capital letters, {F} phone, {I} identity number, {A} address, {E} e-mail; the rest are plain slots.
+GIVEN = "James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Daniel Nancy Matthew Lisa Anthony Betty Mark Margaret Paul Sandra Steven Ashley Andrew Kimberly Emily Kevin Donna Brian Michelle George Carol Edward Amanda Ronald Melissa Hans Peter Klaus Jürgen Wolfgang Uwe Heike Sabine Monika Ursula Anke Jens Stefan Katrin Birgit Jean Pierre Michel Philippe Nathalie Isabelle Catherine Sylvie François Céline Hélène Luc José Antonio Manuel Carmen Ana Luis Javier Pilar Lucía Giovanni Giulia Marco Chiara Lorenzo João Mariana Tiago Ingrid Lars Sven Astrid Mette Søren Piotr Agnieszka Katarzyna Tomáš Jana Ivan Olga Dmitri Natalia Svetlana Ahmed Fatima Mohammed Aisha Omar Leila Mehmet Ayşe Emre Priya Rahul Anjali Vikram Wei Li Jing Min Hiroshi Yuki Kenji Sakura Nguyen Linh Kwame Amina Chidi Zanele Siobhan Declan Rhys Angharad Hamish Eilidh".split()
+FAMILY = "Smith Johnson Williams Brown Jones Garcia Miller Davis Rodriguez Martinez Wilson Anderson Taylor Moore Jackson Martin Thompson White Harris Clark Lewis Robinson Walker Young Allen King Wright Scott Green Baker Adams Nelson Hill Campbell Mitchell Roberts Carter Phillips Evans Turner Parker Collins Edwards Stewart Morris Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Schulz Hoffmann Koch Richter Klein Wolf Schröder Neumann Braun Krüger Dubois Moreau Laurent Lefebvre Bernard Petit Durand Leroy Roux Fournier Girard Rossi Russo Ferrari Esposito Bianchi Romano López González Pérez Sánchez Ramírez Torres Flores Silva Santos Oliveira Pereira Costa Hansen Johansson Andersson Nielsen Jensen Larsen Virtanen Korhonen Novák Kowalski Nowak Wiśniewski Ivanov Petrov Popescu Horváth Nagy Yılmaz Kaya Demir Khan Ali Hussein Patel Sharma Singh Gupta Wang Chen Zhang Liu Kim Park Lee Tanaka Suzuki Sato Tran Pham Okafor Mensah Dlamini Murphy Kelly Byrne Fraser MacLeod Janssen Bakker Visser Dijkstra".split()
+#: Family names are also made up: beginning, middle, ending.
+_STEMS = "Al Ar Bar Bel Ber Bran Cal Cas Cor Dar Del Dom Dor Ek El Fal Far Fen Fer Gar Gel Gor Grim Hal Har Hel Hol Il Jar Kal Kar Kel Kir Kol Lan Lar Len Lind Lor Mal Mar Mel Mir Mol Nar Nor Ol Or Pal Par Pel Per Ran Ras Ros Sal Sar Sel Sig Sol Stern Tal Tar Tor Ul Val Var Ven Vor Wal Wes Wil Yor Zan Zel".split()
+_MIDDLES = ["", "", "", "a", "e", "i", "o", "an", "en", "er", "in", "or", "ov", "ust", "ing", "eck"]
+_ENDINGS = "berg mann son sen ov ova ski ska well ton ford field wood worth stein bach burg dorf ström qvist gren lund etti ini elli ucci escu iu ashi moto mura da ez es eira inho oğlu çi akis opoulos idis enko chuk yan ian ema stra ink aert eaux ard ier ault wick by holm dal strand haus wald kamp pour zadeh wala rao nathan".split()
+PARTICLES = ["van", "von", "de", "van der", "van den", "del", "di", "da", "dos", "zu", "ten", "bin", "al", "el", "von der", "de la"]
+_STREET_STEMS = "Oak Maple Cedar Pine Elm Park Lake Hill River Church School Mill Bridge Castle High Victoria Queen King Albert Market North South West East London York Cambridge Main Broad Long New Green Forest Garden Spring Sunset Highland Washington Franklin Jefferson Lincoln Abbey Manor Stanley Windsor Grove Cherry Walnut".split()
+_STREET_KINDS = "Street Road Lane Avenue Drive Court Close Terrace Boulevard Way Place Square Crescent Gardens Walk Hill Park Row Grove Parade View St Rd Ave".split()
+_GERMAN_STEMS = "Haupt Schul Garten Dorf Berg Bahnhof Kirch Wald Ring Wiesen Linden Goethe Schiller Mozart Bismarck Friedrich Kaiser König Markt Mühlen Brunnen Rosen Eichen Buchen Park See Feld Schloss".split()
+_GERMAN_KINDS = ["straße", "str.", "weg", "gasse", "allee", "platz", "ring", "damm", "ufer", "steig"]
+_FRENCH_KINDS = ["rue", "avenue", "boulevard", "quai", "place", "chemin", "allée", "impasse", "cours"]
+_FRENCH_NAMES = ["de la République", "Victor Hugo", "Jean Jaurès", "du Général-de-Gaulle", "des Écoles", "de la Gare", "du Château", "des Lilas", "de Paris", "Pasteur", "de l'Église", "Saint-Michel", "des Fleurs", "du Pont-Neuf"]
+_SPANISH = ["Calle Mayor", "Calle de Alcalá", "Avenida de América", "Plaza de España", "Calle San Juan", "Paseo de Gracia", "Avenida Constitución", "Calle Real"]
+TOWNS = ["London", "Leeds", "Bristol", "York", "Oxford", "Portsmouth", "Newcastle", "Glasgow", "Cardiff", "Milton Keynes", "Upper Norwood", "West Bromwich", "Great Yarmouth", "St Albans", "Boston", "Austin", "Denver", "Portland", "Seattle", "San Diego", "Fort Worth", "Grand Rapids", "Salt Lake City", "Springfield", "Berlin", "Hamburg", "München", "Köln", "Stuttgart", "Freiburg", "Bad Homburg", "Neustadt", "Rosenheim", "Wien", "Zürich", "Paris", "Lyon", "Nantes", "Toulouse", "Saint-Étienne", "Aix-en-Provence", "Le Havre", "Bruxelles", "Madrid", "Sevilla", "Valencia", "Las Palmas"]
+DOMAINS = ["example.com", "example.org", "example.net", "mail.example.com", "company.example", "gmail.com", "web.de", "orange.fr", "yahoo.co.uk", "uni-x.edu", "corp.local", "it.firm.org"]
+_ORG_WORDS = "Nova Alpha Delta Global United First Pacific Atlantic Summit Pioneer Crown Union Metro Apex Vertex Orion Titan Prime Royal National Northern Central Coastal Golden Silver Clear Bright".split()
+_ORG_KINDS = "Bank Logistics Energy Insurance Media Foods Systems Steel Pharma Airlines Motors Textiles Software Consulting Partners Capital Holdings Industries Shipping Telecom Ltd Inc GmbH AG SARL LLC Group Hotels Chemicals Optics Freight".split()
+JOBS = ["Sales Manager", "Chief Executive Officer", "Software Engineer", "Head of Finance", "Project Manager", "Office Assistant", "Team Leader", "Director of Marketing", "Legal Counsel", "Security Analyst", "Database Administrator", "Human Resources", "Customer Service Representative", "Senior Consultant", "Support Engineer", "Accountant", "Vice President", "IT Administrator", "Product Owner", "Research Associate"]
+IDWORDS = ["SSN", "social security number", "Social Security No.", "tax ID", "taxpayer number", "TIN", "national ID", "national insurance number", "identity card", "ID card", "ID number", "passport", "passport no.", "passport number", "driving licence", "driver's license", "licence no.", "personal number", "Steuer-ID", "Steuernummer", "Personalausweis", "Ausweisnummer", "Reisepass", "Führerschein", "numéro fiscal", "carte d'identité", "numéro de passeport", "permis de conduire", "DNI", "NIE", "pasaporte"]
+CLOSINGS = ["Best regards", "Kind regards", "Regards", "Thanks", "Many thanks", "Best", "Cheers", "Sincerely", "Yours sincerely", "Mit freundlichen Grüßen", "Viele Grüße", "Beste Grüße", "Cordialement", "Bien à vous", "Saludos", "Un saludo", "Warm regards", "Best wishes"]
+DAYS, MONTHS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun", "Monday", "Tuesday", "Friday"], ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+_ADJECTIVES = "Blue Red Green Silver Golden Dark Bright Silent Rapid Open Secure Global Digital Smart New Annual Monthly Weekly Quarterly Internal External Final Updated Remote Shared Central Active Deep High".split()
+_NOUNS = "Server Report Office Project Meeting Update Plan Budget Access Review Policy Network Data Center Desk Room Service Team Board Account Security Training Summary Release Schedule Backup Storm Falcon Phoenix Bridge Horizon River Mountain Eagle Lantern Tower Harbor Shield Gate Signal".split()
+_THINGS = "report server meeting contract update printer backup budget network order file password mailbox laptop invoice project ticket database account schedule presentation firewall parcel room policy release log script folder router".split()
+_DOING = "checked closed sent moved updated reviewed finished opened restarted deleted ordered replaced copied planned postponed approved forgot found".split()
+_WHEN = ["today", "yesterday", "tomorrow", "last week", "this morning", "on Monday", "before noon", "next month", "over night", "after the break", "as usual", "again"]
+
+#: {P} person, {R} family name first, {L} small letters, {U} capital letters, {T} title, {S} family name after a title, {F} phone, {I} identity number, {A} address, {E} e-mail; the rest are plain slots.
 PATTERNS = (
-    # mail sentences
-    (3, "New contact for the site is {P}, reachable at {F}."), (3, "Please call {P} on {F} before noon."), (3, "Bitte {P} unter {F} anrufen."), (3, "Merci de prévenir {P} ({F})."), (3, "Reach me at {F} or at {E}"), (2, "Ring {P} at {F} today."), (2, "Mobile: {F}"), (2, "Tel. {F}"), (2, "{P} ({E}) owns the laptop."), (2, "Write to {E} if the upload fails."),
-    (2, "Forwarded from {E}, cc {E}."), (4, "The sheet lists {P}, {A}, {F}."), (3, "delivery went to {A}, signed by {P}"), (3, "Account was opened by {P}; home address {A}."), (3, "The courier needs the address: {A}."), (3, "Die Anschrift lautet {A}."), (2, "L'adresse est {A}."), (2, "He lives at {A}."), (2, "Send it to {P}, {A}."),
-    (5, "HR sent me the {idword} of {P}: {I}."), (5, "Spoke to {P} yesterday, {idword} {I} is on file."), (5, "Her {idword} {I} was in the leaked sheet."), (2, "His {idword} is {I}"), (2, "{idword}: {I}"), (8, "{R} is listed as custodian in the export."), (3, "Mr {S} asked for a copy of the findings."), (3, "Dr. {S} will sign the chain of custody form."), (2, "Mrs. {S} has the keys."), (2, "Prof. {S} and Ms {S} agreed."),
-    (2, "Dear Dr. {S},"), (2, "Dear Ms {S},"), (2, "Dear Mr. {S},"), (2, "Sehr geehrter Herr {S},"), (2, "Sehr geehrte Frau {S},"), (1, "Chère Madame {S},"), (1, "Monsieur {S} est absent."), (2, "{P} left the meeting with {P}."), (2, "I met {P} and gave the disk to {R}."), (2, "Ask {P} for the password."), (2, "{P} hat den Rechner abgegeben."), (1, "interview with {L} on tuesday"), (1, "according to {L}, the disk was wiped"),
-    # heads and introducing lines of mails
-    (4, "From: {Q} <{E}>"), (2, "Von: {Q} <{E}>"), (2, "De: {Q} <{E}>"), (2, "To: {E}, {E}"), (1, "An: {E}, {E}"), (1, "À: {E}, {E}"), (2, "Subject: {subject}"), (1, "Betreff: {subject}"), (1, "Objet: {subject}"), (2, "Sent: {day}, {date} {clock}"), (1, "Date: {day}, 5 {month} 2015 {clock}"), (3, "On {day}, 5 {month} 2015 at {clock}, {P} <{E}> wrote:"), (3, "On {month} 5, 2015, at {clock} {half}, {P}"), (1, "<{E}> wrote:"), (2, "Le {sdate} à {clock}, {P} a écrit :"), (2, "Am {date} um {clock} schrieb {P}:"), (2, "{P} <{E}> writes:"),
+    # people in sentences
+    (2, "{P} will join us at {clock}."), (2, "I had lunch with {P} {when}."), (2, "Could you pass this on to {P}, please?"), (2, "{P} is out of office until {day}."), (2, "Our new colleague {P} starts on {day}."), (2, "The contract was signed by {P} and {P}."), (2, "Thanks to {P} for the quick help."), (2, "cc: {P}"), (2, "Attendees: {P}, {P} and {P}"), (2, "Assigned to {P}"), (3, "Owner: {R}"), (2, "Reported by {U}"), (2, "Prepared for {P} by {P}"), (3, "{R} has been added to the group."), (2, "as discussed with {L} {when}"), (2, "{P} said the {thing} was {doing} {when}."),
+    (2, "{T} {S} is expected at {clock}."), (2, "Please welcome {T} {S}."), (2, "We told {T} {S} about the {thing}."), (3, "Dear {T} {S},"), (2, "{T} {S} and {T} {S} have {doing} the {thing}."), (1, "Sehr geehrte Frau {S},"), (1, "Sehr geehrter Herr {S},"), (1, "Herr {S} ruft später zurück."), (1, "Frau {S} hat den Vertrag unterschrieben."), (1, "Monsieur {S} rappellera demain."), (1, "Madame {S} a signé le contrat."), (1, "El señor {S} llamará más tarde."), (2, "{P} ist bis Freitag im Urlaub."), (1, "Ich habe mit {P} gesprochen."), (1, "Bitte leiten Sie das an {P} weiter."), (1, "Ansprechpartner: {P}, {F}"), (1, "J'ai parlé avec {P} ce matin."), (1, "{P} est en congé."), (1, "Hablé con {P} esta mañana."), (1, "Contact : {P}, {F}"), (2, "the laptop of {P} ({E}) was {doing} {when}"), (2, "Interviews: {R}; {R}; {P}"), (2, "{P}, {P} und {P} nehmen teil."), (1, "happy birthday to {L}!"), (1, "{U} ARRIVED {when}"), (2, "Who is {P}? Is {P} with {org}?"),
+    # phones, mail and street addresses
+    (3, "My new number is {F}."), (3, "You can reach {P} at {F}."), (2, "Call me on {F} {when}."), (2, "Phone: {F}"), (2, "Tel: {F}"), (2, "Mobile {F}"), (2, "M: {F} | E: {E}"), (2, "Fax {F}"), (1, "Sie erreichen mich unter {F}."), (1, "Telefon {F} oder {E}"), (1, "Vous pouvez me joindre au {F}."), (1, "Llámame al {F}."), (2, "{P}: {F}, {E}"), (2, "text {F} or mail {E}"), (2, "Please mail the {thing} to {E}."), (2, "My address has changed to {E}"), (2, "{E} bounced, try {E}"), (1, "{E}"), (1, "{F}"),
+    (3, "We moved to {A}."), (2, "Visit us at {A}."), (2, "Please ship the {thing} to {P}, {A}."), (2, "{A}"), (2, "{P}, {A}"), (2, "{P} lives at {A}, phone {F}."), (2, "The office at {A} is closed {when}."), (1, "Meine neue Adresse ist {A}."), (1, "Wir wohnen in der {A}."), (1, "Mon adresse : {A}."), (1, "J'habite {A}."), (1, "Mi dirección es {A}."), (2, "Address: {A}"), (1, "Anschrift: {A}"), (1, "Adresse : {A}"), (2, "The parcel for {A} was returned."),
+    # identity numbers
+    (4, "{idword}: {I}"), (4, "The {idword} is {I}."), (3, "My {idword} is {I}, please keep it safe."), (3, "{P}, {idword} {I}, has applied."), (3, "Please verify {idword} {I} {when}."), (2, "{idword} of {P}: {I}"), (2, "copy of the {idword} ({I}) attached"), (1, "Die {idword} lautet {I}."), (1, "Seine {idword} {I} ist abgelaufen."), (1, "Le {idword} est {I}."), (1, "Mi {idword} es {I}."), (2, "{T} {S} gave the {idword} {I} and the phone number {F}."), (2, "name {P}, born {date}, {idword} {I}"),
+    (3, "{P}, {A}, {F}"), (2, "Name: {P}, address: {A}, phone: {F}"), (2, "{P} / {I} / {F} / {E}"), (2, "{A}; {F}; {E}"), (2, "Guest list: {P}, {F}; {P}, {F}"), (2, "{P} of {A} can be called at {F} {when}."),
+    # lines that mail programs write
+    (4, "From: {R} <{E}>"), (2, "From: {P} <{E}>"), (2, "To: {P} <{E}>; {R} <{E}>"), (1, "Cc: {E}"), (1, "Von: {P} <{E}>"), (1, "An: {R}"), (1, "De : {P} <{E}>"), (1, "À : {E}"), (1, "De: {P} <{E}>"), (1, "Para: {E}"), (1, "Subject: {head}"), (1, "Betreff: {head}"), (1, "Objet : {head}"), (1, "Date: {day}, {n2} {month} 20{n2} {clock}"), (1, "Sent: {date} {clock}"), (3, "On {day}, {month} {n2}, 20{n2} at {clock} {P} <{E}> wrote:"), (2, "On {date}, {P} wrote:"), (2, "Am {date} um {clock} schrieb {P} <{E}>:"), (1, "Am {date} schrieb {P}:"), (2, "Le {date} à {clock}, {P} a écrit :"), (1, "El {date} a las {clock}, {P} escribió:"), (1, "<{E}> wrote:"), (1, "-----Original Message-----"), (1, "---------- Forwarded message ---------"),
     # closings and signatures
-    (10, "{P}"), (3, "{P} - {job}"), (2, "{job}"), (2, "{job}, {org}"), (3, "{org} | {A}"), (2, "T {F} | {E}"), (2, "Phone: {F}"), (1, "{E}"), (3, "{closing}, {given}"), (2, "{closing} {given}"), (1, "{closing},"), (2, "{given}"), (2, "{given},"), (2, "Hi {given},"), (1, "Hello {given},"), (1, "Hallo {given},"), (1, "Bonjour {given},"), (1, "Hello team,"), (1, "Bonjour all,"), (1, "/MO"),
-    # script lines
-    (3, "# on call: {given}, {F}"), (3, "New-User -DisplayName '{R}' -OfficePhone '{F}'"), (3, "# author: {P} <{E}>"), (4, "$row = @{{ Name = '{P}'; SSN = '{I}' }}"), (3, "$row = @{{ Name = '{P}'; IdNo = '{I}' }}"), (2, "Add-Member -Group ops -Mail {E}"), (4, "Write-Verbose 'lookup {idword} {I}'"), (4, "<# ship replacement to {P}, {A} #>"), (3, "'{P};{E};{F};{A}' | Add-Content out.csv"), (3, "Set-Contact -Identity {account} -StreetAddress \"{A}\""), (2, "Send-MailMessage -To {E} -Subject '{subject}'"), (1, "# written by {P} for {org}"),
-    # what is no personal information
-    (3, "Order number {n2}-{n3}-{n4} was only the lure."), (3, "Invoice {n4}-0{n2}-{n5} is not related to the case."), (3, "Case 2024-{n3}-00{n2} has the timeline."), (2, "Ticket INC00{n6} covers the follow-up."), (2, "Version 7.0.{n2}.{n3} of the remote tool writes a different trace."), (2, "Build 19045.{n3} is affected, build 22631.{n3} isn't."), (3, "SID S-1-5-21-{n3}-77-{n4} still owns the folder."), (3, "Session {guid} has no logout record."), (2, "KB{n6}1 was rolled back on {host} over night."), (2, "The triage image of {host} is on the share now."), (2, "Nothing in the proxy log between {clock} and {clock}."), (2, "We still see beacons to {ip} every {n3} minutes."), (2, "Hash starts with {hex}, the rest is in the sheet."), (3, "The Windows Server team wants the 24 Hour Road Map before Friday."), (3, "Project {project} moves to next quarter."), (2, "Can you pull the event logs again? The first export stopped at record {n3}."), (2, "Regards to the team by the way, the dump came through clean."), (2, "On Monday the relay server wrote: disk full, so part of the trace is gone."), (2, "From: the second host we got 14 logons, all type 3."),
-    (2, "Im Proxyprotokoll ist zwischen {clock} und {clock} nichts zu sehen."), (2, "Das Abbild von {host} liegt jetzt auf dem Server."), (2, "Der Dienst wurde {n3} Mal neu gestartet."), (2, "Le journal s'arrête à l'entrée {n3}."), (2, "Aucune connexion vers {ip} cette nuit."), (1, "L'image de {host} est disponible sur le partage."), (1, "Bitte das Ereignisprotokoll noch einmal ziehen."), (1, "Wir lassen das Gerät vorerst isoliert."), (1, "On garde le poste isolé pour le moment."), (2, "Views in this mail are those of its author and do not bind {org}."), (2, "Registered office: {org}, company no. 00{n6}."), (1, "CONFIDENTIALITY NOTICE: the content of this e-mail may be privileged. Copying or passing it on is not allowed."), (1, "-----Original Message-----"), (1, "-----Ursprüngliche Nachricht-----"), (1, "Begin forwarded message:"), (1, "Sent from my Fieldphone"), (1, "Sent from a mobile device, please excuse typos."), (1, "Von unterwegs gesendet"), (1, "Please think of the forest before printing this e-mail."), (1, "Diese Nachricht ist vertraulich. Wer sie irrtümlich erhält, möge sie löschen und den Absender verständigen."), (1, "This message and any attachment are confidential and meant only for the addressee."), (1, "Ce courriel est réservé à son destinataire ; toute diffusion est interdite."),
-    (2, "{ip} GET /x{n3}.bin 200"), (1, "-- host {host}: clean"), (2, "Get-Process | where CPU -gt {n3}"), (1, "Stop-Service quillsync"), (2, "Creating Scriptblock text (1 of 1):"), (2, "ScriptBlock ID: {guid}"), (2, "Path: C:\\Scripts\\contacts.ps1"), (2, "$path = 'C:\\Users\\m.{hex}\\Documents'"), (2, "$sid = 'S-1-5-21-{n3}-77-{n4}'"), (2, "$id = '{guid}'"), (2, "Test-NetConnection {ip} -Port 8{n3}"), (2, "# Project {project} rollout, change 20{n2}-{n3}"), (2, "Import-Module Ledger.Tools -RequiredVersion 4.{n2}.{n3}"), (2, "Write-Output 'Access Denied for {project}'"), (2, "Get-WinEvent -LogName Security -MaxEvents {n3}"), (1, "Set-ItemProperty HKLM:\\Software\\Farview -Name Build -Value {n3}"), (1, "Copy-Item C:\\Users\\Public\\drop{n3}.ps1 -Destination C:\\Ops"), (1, "Get-ChildItem -Path $env:TEMP -Filter *.tmp | Remove-Item -Force"), (1, "Get-FileHash .\\setup{n3}.exe -Algorithm SHA256"), (1, "Write-Host \"{{0}}: {{1}}\" -f $name, $count"), (1, "Clear-Host; Get-Date -Format 'yyyy-MM-dd HH:mm'"), (1, "Invoke-Command -ComputerName {host} -ScriptBlock {{ Get-Service quillsync }}"), (1, "foreach ($u in $list) {{ Disable-Account -Identity $u.Login }}"), (1, "$c = New-Object Net.WebClient; $c.DownloadString('http://{ip}/a{n3}')"), (1, "Start-Sleep -Seconds {n2}"), (1, "Disable-Account -Identity {account}"), (1, "tracking {n3} {n3} {n4} and parcel {n4} {n4} {n4}"), (1, "serial number {n3}-{n3}-{n3} of the printer"), (3, "I checked the prefetch files and found nothing newer than last week."), (3, "The registry hive was locked, so I copied it from the shadow volume."), (3, "Two accounts were used, one of them a service account."), (3, "Please leave the mailbox on hold for now."), (3, "I read the original message twice and the header is forged."), (3, "Let's keep the host isolated until the memory dump is done."), (3, "Thanks for the quick turnaround on this one."), (2, "The scheduled task runs as a service account and drops a script into the public folder."), (1, "--- begin extract ---"), (1, "--- end extract ---"), (1, ">>> import hashlib"), (1, ">>> hashlib.md5(b'x').hexdigest()"),
-    (1, "Nobody was in the building after the alarm, so the door log should be empty."), (1, "We will rebuild the laptop tomorrow and hand over the disk on Friday."), (1, "Does anyone remember which switch port the printer used last spring?"), (1, "Lunch is moved to the small meeting room because of the noise."), (1, "Microsoft Defender removed two files. Google Chrome was not affected."), (1, "New York and San Francisco offices get the update first."), (1, "Good Morning from the Operations Centre, nothing new on our side."), (1, "Der Bericht wird morgen fertig, danach sprechen wir mit der Rechtsabteilung."), (1, "Le rapport sera prêt demain, merci pour votre patience."), (1, "El informe estará listo mañana por la tarde."), (1, "Active Directory and Domain Admins were checked on Tuesday and Thursday."), (1, "Remote Desktop Services stopped; Task Scheduler and Event Viewer look normal."), (1, "Is the Red Team done with the Blue Book review yet?"), (1, "The old firewall rule number {n3} from {month} is still active."), (1, "Room {n3} on floor {n2} is booked from {clock} to {clock}."),
-    (3, "$owner = '{L}'"), (1, "$owner = '{P}'"), (2, "$manager = \"{R}\""), (1, "$title = '{job}'"), (1, "$team = '{project}'"), (1, "$owner = '{account}'"), (1, "# reviewed by {R}"), (2, "# approved by {U}"), (1, "# approved by {P}"), (3, "Mr {V} asked for a copy of the findings."),
-    (1, "The {org} office and the {project} team share {n2} desks."), (1, "{job} and {job} of {org} were told."),
+    (10, "{P}"), (2, "{P} | {job}"), (2, "{P}, {job}"), (1, "{P} - {org}"), (2, "{job}"), (2, "{job}, {org}"), (2, "{org}"), (2, "{org}, {A}"), (2, "{org} | {A} | {F}"), (2, "{closing},"), (2, "{closing}, {given}"), (2, "{closing} {given}"), (2, "{given}"), (2, "Hi {given},"), (1, "Hello {given},"), (1, "Hallo {given},"), (1, "Bonjour {given},"), (1, "Hola {given}:"), (1, "Hi all,"), (1, "Dear colleagues,"), (1, "Sent from my phone"),
+    # scripts
+    (3, "# Author: {P}"), (2, "# Author: {P} <{E}>"), (2, "# Contact {given} {F}"), (2, "## maintained by {R} {when}"), (2, "$user = '{P}'"), (2, "$manager = \"{R}\""), (2, "$owner = '{L}'"), (2, "$phone = \"{F}\""), (2, "$ssn = '{I}'"), (2, "$person = @{{ FullName = '{P}'; Passport = '{I}' }}"), (2, "[pscustomobject]@{{Name='{P}';Phone='{F}';Address='{A}'}}"), (2, "Set-ADUser {account} -DisplayName \"{R}\" -OfficePhone \"{F}\" -StreetAddress \"{A}\""), (2, "Send-MailMessage -From {E} -To {E} -Subject \"{head}\""), (1, "\"{P}\",\"{E}\",\"{I}\",\"{A}\""), (1, "{P};{I};{F}"), (2, "Write-Host 'checking {idword} {I}'"), (2, "<# for {P}, {A} #>"), (1, "$title = '{job}'"), (1, "$company = '{org}'"), (1, "$team = '{pair}'"), (1, "Remove-ADUser -Identity {account}"), (1, "$login = '{account}'"),
+    # numbers that are no one's
+    (2, "Order {num} was shipped {when}."), (2, "Invoice no. {num} is due on {date}."), (2, "Ticket #{num} was {doing}."), (2, "Your tracking number is {num}."), (2, "Case {num} is still open."), (2, "Version {ver} was released, build {n4}."), (2, "serial number {num}"), (1, "part {num}, quantity {n2}"), (2, "The {thing} has {n4} entries between {clock} and {clock}."), (1, "Die Rechnung {num} wurde {when} bezahlt."), (1, "Bestellung {num} ist unterwegs."), (1, "La facture {num} est payée."), (1, "El pedido {num} ha llegado."), (1, "error 0x{hex} at port {n4}"), (2, "The hash {hex} was {doing}."), (1, "md5 {hex}{hex}{hex}{hex}"), (1, "commit {hex}"), (2, "The {thing} has {n2} {pair} entries."), (1, "{n2} Day {pair} Plan"), (2, "{ip} answered after {n3} ms"), (1, "ping {ip} -n {n2}"), (2, "SID S-1-5-21-{n9}-{n9}-{n4}"), (2, "guid {guid}"), (1, "room {n3}, floor {n1}"), (1, "change request CHG{n6} {n2}"), (1, "Meeting ID: {n3} {n3} {n4}"), (1, "parcel {n4} {n4} {n4}"), (1, "KB{n6} was installed on {host}."), (1, "$size = {n6}"), (1, "Start-Sleep -Seconds {n2}"), (1, "company no. {n8}, registered in {town}"), (1, "The {thing} number {n3}-{n4} belongs to {org}."),
+    # capital letters that are no one's
+    (3, "The {pair} starts {when}."), (3, "{pair}"), (2, "Re: {pair} {n2}"), (2, "Project {pair} was {doing} {when}."), (2, "{org} has {doing} the {thing}."), (2, "The {org} contract and the {pair} were {doing}."), (2, "Windows Server, Visual Studio and Google Chrome were {doing}."), (2, "We open offices in {town} and New York."), (1, "See you in {town}, {given}."), (1, "Microsoft Word and Adobe Reader crash {when}."), (1, "Domain Admins and Remote Desktop Users were {doing}."), (1, "Das Team {pair} hat den Server neu gestartet."), (1, "Le projet {pair} avance bien."), (1, "$name = '{pair}'"), (1, "# {pair} script"), (1, "{given} has {doing} the {thing}."), (1, "Ask {given} or {given} about the {thing}."), (1, "THE {UP} {UP} IS DOWN"), (1, "log in as {account} on {host}"), (1, "Notepad Plus, Task Manager, Event Viewer"), (2, "Only {pair} and {org} may read this message."), (1, "Good Morning everyone, Happy New Year!"),
+    # other lines
+    (4, "The {thing} was {doing} {when}."), (4, "I {doing} the {thing} and the {thing} {when}, so the {thing} should be fine."), (2, "Can you have a look at the {thing}?"), (2, "Please find the {thing} attached."), (1, "Wir haben den Fehler gefunden und beheben ihn morgen."), (1, "Können Sie mir bitte die Datei noch einmal schicken?"), (1, "Nous avons bien reçu votre demande."), (1, "Pouvez-vous m'envoyer le fichier ?"), (1, "El informe está listo para revisar."), (2, "Get-ChildItem -Path C:\\Temp -Recurse | Where-Object {{ $_.Length -gt {n6} }}"), (2, "Import-Module ActiveDirectory"), (1, "foreach ($item in $list) {{ Write-Output $item.Name }}"), (1, "Invoke-WebRequest http://{ip}/file{n2} -OutFile $env:TEMP\\a.exe"), (1, "if ($null -eq $result) {{ return }}"), (1, "New-Item -Path 'HKLM:\\Software\\App' -Force"), (1, "try {{ Stop-Service spooler }} catch {{ }}"), (1, "$date = Get-Date -Format 'yyyy-MM-dd'"), (2, "This e-mail is confidential and intended for the recipient only."), (1, "Diese E-Mail enthält vertrauliche Informationen."), (1, "Ce message est confidentiel."), (1, "Please consider the environment before printing."), (1, "{ip} - - [{date}:{clock}] GET /index.html 200 {n4}"),
 )
-PROJECTS = ["Harbor Desk", "Blue Lantern", "North Star Review", "Iron Ledger", "Grey Heron", "Silver Thread", "Red Kestrel", "Open Window", "Night Watch", "Cold Orchard", "White Paper Plan"]
 
 
-def _person(r: random.Random, given: list[str], family: list[str]) -> tuple[str, str, str]:
-    g = r.choice(given)
-    if r.random() < 0.1:
+def _made_up(r: random.Random) -> str:
+    return r.choice(_STEMS) + r.choice(_MIDDLES) + r.choice(_ENDINGS)
+
+
+def person_parts(r: random.Random, given: list[str], family: list[str], made_up: float = 0.5) -> tuple[str, str]:
+    """A given name, maybe double or with an initial, and a family name, maybe with a particle or a second part."""
+    g, f = r.choice(given), r.choice(family)
+    x = r.random()
+    if x < made_up:
+        f = _made_up(r)
+        if r.random() < 0.3:
+            g = r.choice(_STEMS) + r.choice(["a", "o", "e", "in", "us", "ia", "y", "ek", "el", "ine"])
+    if r.random() < 0.08:
         g += "-" + r.choice(given)
-    f = r.choice(family)
     if r.random() < 0.06:
         f = r.choice(["O'", "Mc", "D'"]) + f
-    bare = f
-    if r.random() < 0.16:
+    if r.random() < 0.05:
+        f += "-" + r.choice(family)
+    if r.random() < 0.15:
         f = r.choice(PARTICLES) + " " + f
-    mid = f" {r.choice('ABCDEFGHIJKLMNOPRSTUVWX')}." if r.random() < 0.08 else ""
-    return g + mid, f, bare
+    if r.random() < 0.12:
+        g += f" {r.choice('ABCDEFGHIJKLMNOPRSTUVWXYZ')}."
+    return g, f
 
 
 def _digits(r: random.Random, n: int) -> str:
     return "".join(r.choice("0123456789") for _ in range(n))
 
 
-def _phone(r: random.Random) -> str:
-    d = lambda n: _digits(r, n)
-    return r.choice([f"+44 20 7946 0{d(3)}", f"0044 161 496 0{d(3)}", f"020 7946 0{d(3)}", f"+1-303-555-01{d(2)}", f"({d(3)}) 555-01{d(2)}", f"646.555.01{d(2)}", f"+1415555{d(4)}", f"+33 1 99 00 {d(2)} {d(2)}", f"01.99.00.{d(2)}.{d(2)}", f"+49 (0)30 23125 {d(3)}", f"030/23125{d(3)}", f"+34 91 555 {d(2)} {d(2)}", f"+49 30 23125{d(3)}", f"0171-555{d(4)}", f"+44 (0)161 496 0{d(3)}"])
-
-
-def _identity(r: random.Random) -> str:
+def phone(r: random.Random) -> str:
+    """A number with or without country code, grouped at random."""
+    sep = r.choice([" ", "-", ".", " ", ""])
+    cc = r.choice(["1", "44", "49", "33", "34", "39", "31", "41", "43", "46", "90", "91", "81", "86", "351"])
+    groups = [_digits(r, n) for n in r.choice([(3, 3, 4), (2, 4, 4), (1, 2, 2, 2, 2), (3, 4, 4), (2, 8), (3, 3, 3), (3, 6), (2, 3, 2, 2)])]
+    form = r.random()
+    if form < 0.5:
+        return r.choice(["+", "+", "00"]) + cc + r.choice([" ", "-", sep]) + sep.join(groups)
+    if form < 0.62:
+        return f"+{cc} (0){groups[0]}" + (sep or " ") + sep.join(groups[1:])
+    if form < 0.75:
+        return f"({_digits(r, 3)}) {_digits(r, 3)}-{_digits(r, 4)}"
+    if form < 0.85:
+        return f"0{_digits(r, r.choice([2, 3, 4]))}{r.choice(['/', ' ', '-'])}{_digits(r, r.choice([5, 6, 7, 8]))}"
+    return r.choice([f"0{_digits(r, 2)}{sep}{_digits(r, 4)}{sep}{_digits(r, 4)}", f"0{_digits(r, 1)}{sep}{sep.join(_digits(r, 2) for _ in range(4))}" if sep else f"0{_digits(r, 9)}", f"{_digits(r, 3)}{sep or '-'}{_digits(r, 3)}{sep or '-'}{_digits(r, 4)}"])
+
+
+def identity(r: random.Random) -> str:
+    """A number in the form of an authority of some country."""
     d = lambda n: _digits(r, n)
-    up = "ABCDEFGHKLMNPRSTUVWXYZ"
-    return r.choice([f"9{d(2)}-{d(2)}-{d(4)}", f"9{d(2)} {d(2)} {d(4)}", f"{d(2)} {d(3)} {d(3)} {d(3)}", f"{r.randint(50, 99)}{r.randint(1, 12):02}{r.randint(1, 28):02}-{d(4)}", f"{d(3)}.{d(3)}.{d(3)}-{d(2)}", f"{r.choice('QXZK')}{r.choice(up)}{d(7)}", f"{''.join(r.choice(up) for _ in range(5))}{d(6)}{r.choice(up)}{d(1)}{r.choice(up)}{r.choice(up)}", f"19{r.randint(50, 99)}{r.randint(1, 12):02}{r.randint(1, 28):02}-{d(4)}", f"{d(8)}{r.choice(up)}"])
-
-
-def _address(r: random.Random) -> str:
-    town, no = r.choice(TOWNS), r.randint(1, 240)
+    up = "ABCDEFGHJKLMNPRSTUVWXYZ"
+    c = lambda n: "".join(r.choice(up) for _ in range(n))
+    day = f"{r.randint(1, 28):02}"
+    month, year = f"{r.randint(1, 12):02}", f"{r.randint(40, 99)}"
+    return r.choice([
+        f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", f"{d(2)}-{d(7)}", f"{c(2)} {d(2)} {d(2)} {d(2)} {c(1)}", f"{c(2)}{d(6)}{c(1)}", f"{d(2)} {d(3)} {d(3)} {d(3)}", f"{d(11)}", f"{d(2)}/{d(3)}/{d(5)}", f"{year}{month}{day}-{d(4)}", f"19{year}{month}{day}-{d(4)}", f"{day}{month}{year}-{d(4)}", f"{d(3)}.{d(3)}.{d(3)}-{d(2)}", f"{d(9)}",
+        f"{c(1)}{d(8)}", f"{c(2)}{d(7)}", f"{c(1)}{d(2)}{c(2)}{d(4)}", f"{c(5)}{d(6)}{c(2)}{d(1)}{c(2)}", f"{c(5)}{d(6)}{c(1)}{d(1)}{c(2)}", f"{d(8)}{c(1)}", f"{d(8)}-{c(1)}", f"{c(1)}{d(7)}{c(1)}", f"{r.randint(1, 2)} {year} {month} {d(2)} {d(3)} {d(3)} {d(2)}", f"{c(6)}{d(2)}{c(1)}{d(2)}{c(1)}{d(3)}{c(1)}",
+    ])
+
+
+def address(r: random.Random, towns: list[str] | None = None, stems: list[str] | None = None) -> str:
+    """Street and number, mostly with unit, postcode or town."""
+    town, no = r.choice(towns or TOWNS), str(r.randint(1, 300)) + (r.choice("abcABC") if r.random() < 0.12 else "")
     kind = r.random()
     if kind < 0.55:
-        street = r.choice(STREETS_EN)
-        form = r.random()
-        if form < 0.2:
-            return f"{no} {street}"
-        if form < 0.5:
-            return f"{no} {street}, {town}"
-        if form < 0.75:
-            return f"{no}{r.choice('AB')} {street}, {town} {r.choice(['NQ', 'WM', 'KB', 'SW'])}{r.randint(1, 19)} {r.randint(0, 9)}ZX"
-        return f"{no} {street}, {r.choice(['Apt', 'Unit', 'Flat'])} {r.randint(1, 40)}, {town}, ZZ {_digits(r, 5)}"
-    if kind < 0.8:
-        return f"{r.choice(STREETS_DE)} {no}, {_digits(r, 5)} {town}"
-    if kind < 0.95:
-        return f"{no}, {r.choice(STREETS_FR)}, {_digits(r, 5)} {town}"
-    return f"{r.choice(STREETS_ES)} {no}, {_digits(r, 5)} {town}"
-
-
-def _email(r: random.Random, given: list[str], family: list[str]) -> str:
+        stem = r.choice(stems or _STREET_STEMS) if r.random() < 0.7 else _made_up(r)
+        street = stem + (" " + r.choice(["Mill", "Park", "Hill", "Bridge", "House"]) if r.random() < 0.15 else "") + " " + r.choice(_STREET_KINDS)
+        unit = f", {r.choice(['Apt', 'Unit', 'Flat', 'Suite', 'Apartment', 'Floor'])} {r.randint(1, 90)}{r.choice(['', '', 'B', 'C'])}" if r.random() < 0.2 else ""
+        code = r.choice([f" {r.choice(['SW', 'N', 'LS', 'M', 'EH', 'B', 'CB'])}{r.randint(1, 28)} {r.randint(0, 9)}{r.choice('ABDEFHJLNPQRSTUWXYZ')}{r.choice('ABDEFHJLNPQRSTUWXYZ')}", f", {r.choice(['TX', 'NY', 'CA', 'WA', 'OH', 'IL'])} {_digits(r, 5)}", f" {_digits(r, 5)}", ""])
+        rest = "" if r.random() < 0.22 else f", {town}{code}"
+        return f"{no} {street}{unit}{rest}"
+    if kind < 0.78:
+        street = r.choice([r.choice(_GERMAN_STEMS) + r.choice(_GERMAN_KINDS), r.choice(["Am", "An der", "Im", "Zum"]) + " " + (r.choice(_GERMAN_STEMS) + r.choice(["berg", "tor", "hof", "feld", "wall", "graben"])), r.choice(GIVEN) + "-" + r.choice(FAMILY) + "-Straße", _made_up(r).lower().capitalize() + r.choice(_GERMAN_KINDS)])
+        return f"{street} {no}" + ("" if r.random() < 0.15 else f", {_digits(r, 5)} {town}")
+    if kind < 0.93:
+        return f"{no}{r.choice([',', '', ' bis,'])} {r.choice(_FRENCH_KINDS)} {r.choice([*_FRENCH_NAMES, 'des ' + _made_up(r) + 's', 'du ' + _made_up(r)])}" + ("" if r.random() < 0.15 else f", {_digits(r, 5)} {town}")
+    return f"{r.choice(_SPANISH)}{r.choice([' ', ', '])}{no}" + ("" if r.random() < 0.15 else f", {_digits(r, 5)} {town}")
+
+
+def email(r: random.Random, given: list[str], family: list[str]) -> str:
+    """An address of a person or post, sometimes disguised."""
     g, f, dom = r.choice(given).lower(), r.choice(family).lower(), r.choice(DOMAINS)
-    local = r.choice([f"{g}.{f}", f"{g[0]}{f}", f"{g}_{f}{r.randint(1, 99)}", f"{g[0]}{f}+lists", f"{g}.{f}"])
+    local = r.choice([f"{g}.{f}", f"{g[0]}{f}", f"{g}_{f}", f"{f}{r.randint(1, 99)}", f"{g[0]}.{f}+news", r.choice(["info", "sales", "support", "office"])])
     form = r.random()
     if form < 0.08:
         return f"{local} [at] {dom.replace('.', ' [dot] ')}"
-    if form < 0.16:
-        return f"{local}(at){dom}"
-    if form < 0.26:
-        return f"{local}@{dom}".title()
-    return f"{local}@{dom}"
+    if form < 0.14:
+        return f"{local}{r.choice(['(at)', '[at]', ' (at) '])}{dom}"
+    if form < 0.18:
+        return f"{local} at {dom.replace('.', ' dot ')}"
+    return f"{local}@{dom}".title() if form < 0.26 else f"{local}@{dom}"
+
+
+def filled(pattern: str, r: random.Random, given: list[str], family: list[str], towns: list[str] | None = None, stems: list[str] | None = None) -> str:
+    """A pattern with its slots filled and its spans marked."""
+    out, i = [], 0
+    while i < len(pattern):
+        if pattern.startswith(("{{", "}}"), i):
+            out.append(pattern[i])
+            i += 2
+        elif pattern[i] == "{":
+            z = pattern.index("}", i)
+            out.append(_slot(r, pattern[i + 1 : z], given, family, towns, stems))
+            i = z + 1
+        else:
+            out.append(pattern[i])
+            i += 1
+    return "".join(out)
 
 
-def labelled_rows(copies: int = 9, seed: int = 20240607, given: list[str] | None = None, family: list[str] | None = None) -> list[str]:
-    """The table: each pattern filled ``copies`` times its weight, spans as ⟦kind|text⟧."""
+def labelled_rows(copies: int = 6, seed: int = 20240607) -> list[str]:
+    """The table: each pattern filled ``copies`` times its weight, spans as ⟦kind|text⟧; quoted lines and lines of two sentences besides."""
     r = random.Random(seed)
-    given, family = given or GIVEN, family or FAMILY
-    rows = []
-    for weight, pattern in PATTERNS:
-        for _ in range(copies * weight):
-            out, at = [], 0
-            i = 0
-            while i < len(pattern):
-                if pattern.startswith("{{", i) or pattern.startswith("}}", i):
-                    out.append(pattern[i])
-                    i += 2
-                elif pattern[i] == "{":
-                    z = pattern.index("}", i)
-                    out.append(_slot(r, pattern[i + 1 : z], given, family))
-                    i = z + 1
-                else:
-                    out.append(pattern[i])
-                    i += 1
-            rows.append("".join(out))
-    # quoted lines, and two sentences in one line
-    sentences = [x for x in rows if x.endswith(".")]
-    pairs = [f"{r.choice(sentences)} {r.choice(sentences)}" for _ in range(30 * copies)]
-    quoted = [r.choice(["> ", ">", "> > ", "| "]) + r.choice(rows) for _ in range(20 * copies)]
+    rows = [filled(pattern, r, GIVEN, FAMILY) for weight, pattern in PATTERNS for _ in range(copies * weight)]
+    sentences = [x for x in rows if x.endswith((".", "?"))]
+    pairs = [f"{r.choice(sentences)} {r.choice(sentences)}" for _ in range(60 * copies)]
+    quoted = [r.choice(["> ", ">", "> > ", "| ", "# ", "- "]) + r.choice(rows) for _ in range(40 * copies)]
     return rows + pairs + quoted
 
 
-def _slot(r: random.Random, name: str, given: list[str], family: list[str]) -> str:
-    g, f, _ = _person(r, given, family)
-    if name in ("P", "Q", "R", "L", "S", "U", "V"):
-        if name in ("S", "V"):
-            if name == "V" and " " not in f:
-                f = f"{r.choice(PARTICLES)} {f}"
-            return f"⟦person|{f}⟧"
-        both = f"{g} {f}"
-        turned = r.choice([f"{f}, {g}", f"{f.upper()}, {g}", f"{f.upper()} {g}", f"{f}, {g}"])
-        if name == "L":
-            text = both.lower()
-        elif name == "U":
-            text = both.upper()
-        elif name == "R":
-            text = turned if r.random() < 0.85 else both
-        elif name == "Q":
-            text = turned if r.random() < 0.35 else both
-        else:
-            text = both.upper() if r.random() < 0.03 else both.lower() if r.random() < 0.02 else turned if r.random() < 0.03 else both
+def _slot(r: random.Random, name: str, given: list[str], family: list[str], towns: list[str] | None, stems: list[str] | None) -> str:
+    if name in ("P", "R", "L", "S", "U"):
+        g, f = person_parts(r, given, family)
+        both, turned = f"{g} {f}", r.choice([f"{f}, {g}", f"{f.upper()}, {g}", f"{f.upper()} {g}", f"{f} {g}"])
+        text = {"S": f, "L": both.lower(), "U": both.upper(), "R": turned if r.random() < 0.8 else both}.get(name) or (both.upper() if r.random() < 0.04 else both.lower() if r.random() < 0.04 else turned if r.random() < 0.06 else both)
         return f"⟦person|{text}⟧"
     if name == "F":
-        return f"⟦phone|{_phone(r)}⟧"
+        return f"⟦phone|{phone(r)}⟧"
     if name == "I":
-        return f"⟦id_number|{_identity(r)}⟧"
+        return f"⟦id_number|{identity(r)}⟧"
     if name == "A":
-        return f"⟦address|{_address(r)}⟧"
+        return f"⟦address|{address(r, towns, stems)}⟧"
     if name == "E":
-        return f"⟦email|{_email(r, given, family)}⟧"
-    if name.startswith("n"):
+        return f"⟦email|{email(r, given, family)}⟧"
+    if name[0] == "n" and name[1:].isdigit():
         return str(r.randint(1, 9)) + _digits(r, int(name[1:]) - 1)
     plain = {
-        "idword": lambda: r.choice(IDWORDS), "subject": lambda: r.choice(SUBJECTS), "day": lambda: r.choice(DAYS), "month": lambda: r.choice(MONTHS), "job": lambda: r.choice(JOBS), "org": lambda: r.choice(ORGS), "closing": lambda: r.choice(CLOSINGS), "given": lambda: r.choice(given), "project": lambda: r.choice(PROJECTS),
-        "date": lambda: f"{r.randint(1, 28):02}.{r.randint(1, 12):02}.2015", "sdate": lambda: f"{r.randint(1, 28):02}/{r.randint(1, 12):02}/2015", "clock": lambda: f"{r.randint(0, 23):02}:{r.randint(0, 59):02}", "ip": lambda: f"10.{r.randint(0, 255)}.{r.randint(0, 255)}.{r.randint(1, 254)}", "hex": lambda: f"{r.getrandbits(32):08x}", "account": lambda: f"{r.choice(given).lower()}.{r.choice(family).lower()}",
-        "guid": lambda: "-".join(f"{r.getrandbits(4 * n):0{n}x}" for n in (8, 4, 4, 4, 12)), "half": lambda: r.choice(["AM", "PM"]), "host": lambda: r.choice(["WS-NYC-", "SRV-BER-", "WS-CHI-", "SRV-LON-"]) + str(r.randint(100, 219)),
+        "T": lambda: r.choice(["Mr", "Mr.", "Mrs", "Mrs.", "Ms", "Ms.", "Dr.", "Dr", "Prof.", "Miss", "Prof. Dr."]), "idword": lambda: r.choice(IDWORDS), "day": lambda: r.choice(DAYS), "month": lambda: r.choice(MONTHS), "job": lambda: r.choice(JOBS), "closing": lambda: r.choice(CLOSINGS), "given": lambda: r.choice(given), "town": lambda: r.choice(towns or TOWNS),
+        "org": lambda: r.choice([f"{r.choice(_ORG_WORDS)} {r.choice(_ORG_KINDS)}", f"{r.choice(family)} {r.choice(_ORG_KINDS)}", f"{_made_up(r)} {r.choice(_ORG_KINDS)}", f"{r.choice(family)} & {r.choice(['Sons', 'Partners', 'Co.'])}"]),
+        "pair": lambda: " ".join([r.choice(_ADJECTIVES), *r.sample(_NOUNS, r.choice([1, 1, 2]))]) if r.random() < 0.7 else " ".join(r.sample(_NOUNS, 2)), "head": lambda: r.choice(["", "Re: ", "RE: ", "AW: ", "Fwd: "]) + f"{r.choice(_ADJECTIVES)} {r.choice(_THINGS)}", "UP": lambda: r.choice(_NOUNS).upper(), "thing": lambda: r.choice(_THINGS), "doing": lambda: r.choice(_DOING), "when": lambda: r.choice(_WHEN),
+        "date": lambda: r.choice([f"{r.randint(1, 28):02}.{r.randint(1, 12):02}.20{_digits(r, 2)}", f"{r.randint(1, 12):02}/{r.randint(1, 28):02}/20{_digits(r, 2)}", f"20{_digits(r, 2)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}"]), "clock": lambda: f"{r.randint(0, 23):02}:{r.randint(0, 59):02}" + r.choice(["", "", " AM", " PM"]), "ip": lambda: ".".join(str(r.randint(1, 254)) for _ in range(4)), "hex": lambda: f"{r.getrandbits(32):08x}", "guid": lambda: "-".join(f"{r.getrandbits(4 * n):0{n}x}" for n in (8, 4, 4, 4, 12)),
+        "account": lambda: r.choice([f"{r.choice(given).lower()}.{r.choice(family).lower()}", f"{r.choice(given)[0].lower()}{r.choice(family).lower()}", f"svc_{r.choice(_THINGS)}"]), "host": lambda: r.choice(["SRV", "PC", "NB", "DC", "WEB"]) + r.choice(["-", ""]) + r.choice(["", "LON-", "A"]) + _digits(r, r.choice([2, 3, 4])), "ver": lambda: ".".join(str(r.randint(0, 40)) for _ in range(r.choice([2, 3, 4]))),
+        "num": lambda: r.choice([_digits(r, r.choice([5, 6, 7, 8, 10])), f"{_digits(r, 3)}-{_digits(r, r.choice([3, 4, 5]))}", f"{r.choice(['INV', 'PO', 'SR', 'RMA', 'INC', 'KB', 'CHG', 'REF'])}{r.choice(['', '-'])}{_digits(r, r.choice([5, 6, 7, 8]))}", f"20{_digits(r, 2)}-{_digits(r, r.choice([3, 4, 5]))}-{_digits(r, 4)}", f"{_digits(r, 2)}-{_digits(r, 4)}-{_digits(r, 5)}", f"{_digits(r, 4)}/{_digits(r, 4)}"]),
     }
     return plain[name]()

@@ -1,32 +1,88 @@
+import random
 import re
 
 from casewright.llm import pii
 from casewright.llm import pii_table as T
+from casewright.llm.crf import LinearChainCRF
 
-OTHER_GIVEN = ["Ottilie", "Marwin", "Saskia", "Tomasz", "Delphine", "Rurik", "Ayumi", "Caspian"]
-OTHER_FAMILY = ["Brackenfeld", "Morlavius", "Ostergren", "Palmgrove", "Quilliams", "Ravndal", "Siversen", "Tollemark"]
+# None of these sentences, names, streets stems and towns is in the labelled table.
+OTHER_GIVEN = ["Ottilie", "Marwin", "Saskia", "Delphine", "Rurik", "Ayumi", "Caspian", "Bronwen", "Thaddeus", "Giselle", "Anselm", "Yolanda", "Kofi", "Solveig", "Bartholomew", "Noémie"]
+OTHER_FAMILY = ["Brackenfeld", "Morlavius", "Ostergren", "Palmgrove", "Quilliams", "Ravndal", "Siversen", "Tollemark", "Abernathy", "Chowdhury", "Fitzgerald", "Grunewald", "Iwasaki", "Kruijff", "Montague", "Zubairi"]
+OTHER_TOWNS = ["Chelmsford", "Paderborn", "Clermont", "Tucson", "Kilkenny", "East Grinstead", "Bad Tölz", "Saint-Malo", "Little Rock", "Uppsala"]
+OTHER_STEMS = ["Birch", "Canal", "Harbour", "Monument", "Observatory", "Poplar", "Priory", "Tower", "Waterloo", "Weaver"]
+HELD_OUT = (
+    "Has anybody heard from {P} since the fire drill?", "{P} forgot a jacket in the canteen.", "The keynote will be given by {P} of {org}.", "Minutes taken by {P}, approved by {P}.", "I am standing in for {P} while the post is vacant.", "Let {P} know that the lift is broken.", "Winner of the raffle: {P}!", "Our landlord, {T} {S}, raised the rent.", "{T} {S} teaches the evening course.", "Yesterday {T} {S} complained about the noise.",
+    "The borrower is {R}.", "Seat 14: {R}", "Passengers: {P} and {P}", "Frau {S} kommt morgen nicht.", "Gestern war {P} zu Besuch.", "{P} habite maintenant à l'étranger.", "La reunión con {P} fue muy útil.", "photo taken by {L}", "a note from {L} was found on the desk", "VISITOR BADGE: {U}", "Kindest wishes, {P}", "{P} ({job})", "-- {P}",
+    "Leave a message on {F} if nobody answers.", "The hotline {F} is staffed round the clock.", "WhatsApp {F}", "Emergency contact: {P}, {F}", "Rückruf bitte auf {F}.", "Numéro de portable : {F}", "Dial {F} and ask for {P}.", "SMS to {F} failed twice", "If urgent, page {F}.",
+    "Invites went out to {E} and {E}.", "Unsubscribe by writing to {E}.", "login reset for {E}", "Reply-To: {E}", "Kontakt: {E}", "{P} uses {E} for private matters.",
+    "The wedding takes place at {A}.", "Pick up the keys from {A} after five.", "Our new warehouse is located at {A}.", "Bill to: {P}, {A}", "Die Party steigt in der {A}.", "Rendez-vous au {A}.", "Delivered to neighbour at {A}", "Return address: {A}", "The flat at {A} has two bedrooms.",
+    "His {idword} {I} expires in May.", "Enter your {idword} ({I}) in the form.", "{idword} on record: {I}", "The applicant showed a {idword}, number {I}.", "The {idword} {I} belongs to {P}.", "Wrong {idword}? We have {I} on file for {P}.",
+    "$assignee = '{P}'", "# todo {given}: ask {P}", "@{{ Owner = '{P}'; Mail = '{E}' }}", "Write-Output \"{P} <{E}>\"", "$home_address = '{A}'", "$contact.Phone = '{F}'", "'{P}|{F}|{I}'", "# license of {P}: {I}",
+    "The {pair} has been cancelled.", "Flight {num} leaves at {clock}.", "Article {num} is sold out.", "Room key {num} does not work.", "We bought {n3} shares of {org}.", "Population of {town}: {n6}", "Reboot {host} and check {ip}.", "The {pair} of {org} is on {day}.", "Half Price Sale at {org}", "Chapter {n2}: The {pair}", "Upgrade to release {ver} first.", "The lawn is wet and the picnic is off.", "Wer hat den Drucker im zweiten Stock benutzt?", "On ne trouve plus la clé du garage.", "Open {pair} from the Start Menu.", "function Get-Thing {{ param($x) return $x * {n2} }}", "Buy milk, bread and {n2} eggs.", "Job {num} exited with code {n1}", "Tickets {num} and {num} are duplicates.", "Nobody told {given} about the change.",
+)
 
 
-def test_held_out_accuracy():
-    """Names the table has never seen, and other fillings of its patterns."""
+def _unmarked(row):
+    text, want, at = "", set(), 0
+    for m in re.finditer(r"⟦(\w+)\|(.*?)⟧", row):
+        text += row[at : m.start()]
+        want.add((m.group(1), m.group(2)))
+        text += m.group(2)
+        at = m.end()
+    return text + row[at:], want
+
+
+def held_out_accuracy():
+    """(precision, recall) by kind on whole sentences the table doesn't have, with other names, streets and towns."""
+    r = random.Random(99)
+    rows = [_unmarked(T.filled(p, r, OTHER_GIVEN, OTHER_FAMILY, OTHER_TOWNS, OTHER_STEMS)) for p in HELD_OUT for _ in range(12)]
+    found = pii.find_in_lines([t for t, _ in rows], pii.train())
+    count = {k: [0, 0, 0] for k in (*pii.KINDS, "all")}
+    for (text, want), hits in zip(rows, found):
+        have = {(k, text[a:z]) for k, a, z in hits}
+        for k in pii.KINDS:
+            w, h = {x for x in want if x[0] == k}, {x for x in have if x[0] == k}
+            for n in (k, "all"):
+                count[n] = [a + b for a, b in zip(count[n], (len(w & h), len(h), len(w)))]
+    return {k: (b / max(1, h), b / max(1, w)) for k, (b, h, w) in count.items()}
+
+
+def test_held_out_sentences():
+    table = [p for _, p in T.PATTERNS]
+    assert not set(HELD_OUT) & set(table) and not {*OTHER_GIVEN, *OTHER_FAMILY, *OTHER_TOWNS} & {*T.GIVEN, *T.FAMILY, *T.TOWNS}
+    got = held_out_accuracy()
+    assert got["all"][0] > 0.9 and got["all"][1] > 0.9, got
+    assert all(p > 0.8 and q > 0.8 for p, q in got.values()), got
+
+
+def test_every_row_of_the_table_is_usable():
+    assert all(pii.labelled(row) for row in T.labelled_rows(2, seed=3))
+
+
+def test_same_looks_same_labels():
+    line = "Call Ottilie Ravndal on +49 30 1234567 or a.b@example.org"
+    other = "Call Ottilie Ravndal on +49 30 7654321 or longer.name@example.com"
+    assert pii.tokens_of(line)[0] == pii.tokens_of(other)[0]
+    assert [(k, other[a:z]) for k, a, z in pii.find_in_lines([line, other], pii.train())[1]] == [("person", "Ottilie Ravndal"), ("phone", "+49 30 7654321"), ("email", "longer.name@example.com")]
+
+
+def test_kept_model_finds_the_same(tmp_path):
     model = pii.train()
-    rows = T.labelled_rows(copies=1, seed=99, given=OTHER_GIVEN, family=OTHER_FAMILY)
-    right = wrong = missed = 0
-    for row in rows:
-        text, want, at = "", set(), 0
-        for m in re.finditer(r"⟦(\w+)\|(.*?)⟧", row):
-            text += row[at : m.start()]
-            want.add((m.group(1), m.group(2)))
-            text += m.group(2)
-            at = m.end()
-        text += row[at:]
-        have = {(k, text[a:z]) for k, a, z in pii.find_in_lines([text], model)[0]}
-        right, wrong, missed = right + len(want & have), wrong + len(have - want), missed + len(want - have)
-    assert right / (right + wrong) > 0.97 and right / (right + missed) > 0.97
+    model.save(str(tmp_path / "m.npz"))
+    kept = LinearChainCRF.load(str(tmp_path / "m.npz"), model.featurize)
+    lines = [_unmarked(x)[0] for x in T.labelled_rows(1, seed=8)]
+    assert pii.find_in_lines(lines, kept) == pii.find_in_lines(lines, model)
+
+
+def test_long_lists_are_joined_with_the_same_result(spark):
+    names = spark.createDataFrame([("Ottilie", "given"), ("Ravndal", "family"), (None, "given")], "name_text string, name_kind string")
+    df = spark.createDataFrame([(1, "ottilie ravndal was here"), (1, "ottilie ravndal was here"), (2, None), (3, ""), (None, "Ask Ottilie Ravndal")], "rec bigint, body string")
+    short, long = (sorted(map(str, pii.redact(df, "rec", "body", names, most_names=n).collect())) for n in (10, 1))
+    assert short == long and len(short) == 5
 
 
 def test_redaction_is_an_exact_round_trip(spark):
-    texts = ["Spoke to Ottilie Ravndal yesterday, SSN 911-42-0516 is on file.\r\nCheers, Ottilie\n\nMr Palmgrove, 12 Alder Quay, Aldwick; a.b@example.org", "Invoice 4471-054-33156", "", None, "x " * 60_000, "Bitte Saskia Tollemark unter 030/23125630 anrufen."]
+    texts = ["Spoke to Ottilie Ravndal yesterday, SSN 911-42-0516 is new.\r\nCheers, Ottilie\n\nMr Palmgrove, 12 Poplar Lane, Chelmsford; a.b@example.org", "Invoice 4471-054-33156", "", None, "x " * 60_000, "Bitte Saskia Tollemark unter 030/23125630 anrufen."]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "rec bigint, body string, record_id int")
     rows = {r["record_id"]: r for r in pii.redact(df, "rec", "body").collect()}
     assert len(rows) == len(texts)
@@ -41,6 +97,6 @@ def test_redaction_is_an_exact_round_trip(spark):
             back += head + f["text"]
         assert back + done == t
     kinds = {(f["kind"], f["text"]) for f in rows[0]["found"]}
-    assert kinds == {("person", "Ottilie Ravndal"), ("id_number", "911-42-0516"), ("person", "Palmgrove"), ("address", "12 Alder Quay, Aldwick"), ("email", "a.b@example.org")}
+    assert kinds == {("person", "Ottilie Ravndal"), ("id_number", "911-42-0516"), ("person", "Palmgrove"), ("address", "12 Poplar Lane, Chelmsford"), ("email", "a.b@example.org")}
     assert rows[1]["found"] == []
     assert pii.redact(df.limit(0), "rec", "body").count() == 0
