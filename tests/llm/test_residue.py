@@ -1,7 +1,48 @@
-from casewright.llm.residue import judge_text, mark_residue, without_residue
+from casewright.llm import residue as R
+from casewright.llm.residue import fields_in, judge_text, mark_residue, without_residue
 
-RESIDUE = ["404 Not Found\nThe page you asked for is not on this server.", "A good start.\nPlease enable JavaScript to continue.\nMore text.", "Report date: ${report.date}", "Dear [First Name],", "The clock of chi-node9 runs <<evidence_id>> seconds behind.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "Texto de relleno, sustituir antes de publicar.", "Die angeforderte Seite wurde nicht gefunden.", '{"status": 502, "error": "upstream timeout", "path": "/articles/9"}', "Reviewed by ________ on __/__/____", "Traceback (most recent call last):\n  File \"x.py\", line 4\nKeyError: 'body'"]
-FINE = ["During the outage the portal answered 503 Service Unavailable for 40 minutes.", "Screenshot 3 shows the fake page: 'Loading... If nothing happens, scripts may be blocked.'", "The template has a field [CASE NUMBER]; fill it before export.", "The dropper expands %APPDATA% and ${env:TEMP} at run time.", 'The script prints "{0} hosts: {1}" through a format string.', "ok", "", None, "Every attempt ended with Access denied, as the audit policy intends.", "[01:32] bob: see the list", "plain text " * 20_000]
+# Messages of servers, browsers, site kits and text kits as they stand on real pages; no list of the module holds one as a whole.
+HELD_OUT = [
+    "The requested URL /old/index.html was not found on this server.", "HTTP Error 503. The service is unavailable.", "This site can’t be reached", "This page isn’t working right now", "Sorry, the page you are looking for could not be found.", "Uh oh! That page doesn't exist.", "Whoops, looks like something went wrong.", "Error establishing a database connection", "Application error: a client-side exception has occurred", "403 Forbidden - You don't have permission to access this resource.",
+    "Proxy Error: The proxy server received an invalid response from an upstream server.", "Your session has timed out. Please log in again.", "The link you followed may be broken, or the page may have been removed.", "Briefly unavailable for scheduled maintenance. Check back in a minute.", "PHP Fatal error: Uncaught Error: Call to undefined function", "{\"error\": \"not_found\", \"status\": 404, \"message\": \"No such resource\"}", "Too many requests, please try again later.", "Sie haben keine Berechtigung, diese Seite anzuzeigen.", "Fehler 404: Die gewünschte Seite existiert nicht.", "Dieser Dienst ist derzeit nicht verfügbar. Bitte versuchen Sie es später erneut.",
+    "Désolé, la page demandée n'existe pas.", "Une erreur interne s'est produite sur le serveur.", "Lo sentimos, la página solicitada no existe.", "Acceso denegado: no tiene permiso para ver esta página.", "Se ha producido un error en el servidor. Inténtelo más tarde.", "Invalid session. Sign in to continue.", "504 Gateway Time-out", "Content is not available in your region.",
+    "You need to enable JavaScript to run this app.", "JavaScript must be enabled in order for you to use this website.", "Please turn JavaScript on and reload the page.", "Checking if the site connection is secure. Enable JavaScript and cookies to continue.", "Please complete the security check to access the site.", "Our systems have detected unusual traffic from your computer network.", "Verify you are human by completing the action below.", "Your browser is not supported. Please upgrade to a modern browser.", "Loading, please wait...", "Please disable your ad blocker to continue.", "Bitte aktivieren Sie JavaScript in Ihrem Browser, um fortzufahren.", "Confirmez que vous n'êtes pas un robot.", "Por favor, active JavaScript en su navegador para continuar.",
+    "Your text goes here", "Insert text here.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi.", "This is a sample paragraph. Replace this text with your content.", "Content coming soon!", "Dies ist ein Blindtext.", "Ceci est un faux texte.", "Texto de ejemplo, reemplazar antes de publicar.", "blah blah blah blah", "Description to be added.", "Placeholder text for the title",
+]
+NORMAL = [
+    "During the outage the portal answered 503 Service Unavailable for 40 minutes.", "The web server logged 211 requests with 404 not found from one scanner.", "Every attempt ended with Access denied, as the audit policy intends.", "We found a script that disables JavaScript warnings in the victim's browser.", "The phishing kit asks visitors to complete a captcha before the form appears.", "Cookies of the browser profile were copied to a folder on the desktop.", "A timeout of 30 seconds was set on the relay after the incident.", "The session expired while the analyst was at lunch, so the export had to be repeated.", "Permission denied errors in auth.log point to a wrong file mode on the key.",
+    "The designer left a dummy text in the brochure and the printer noticed it.", "The page on file retention was moved to the intranet.", "The loader reads its content from a registry value and writes it to disk.", "Our database connection pool was too small, which the vendor has fixed.", "Please check the server room door before you go home.", "An internal server error hid the real cause: the disk had been full since Sunday.", "El informe describe cómo el servidor quedó fuera de línea durante la noche.", "Der Server wurde am Abend neu gestartet und läuft seitdem stabil.", "Le serveur a été redémarré hier soir et tout fonctionne.", "Nobody could be found at the address that the suspect gave.", "The robot arm in the lab was unreachable by telnet.", "He asked whether the article is still available in the archive.",
+]
+FIELDS = ["Report date: ${report.date}", "Dear [First Name],", "Dear {{ customer.name }},", "The clock of the node runs <<offset>> seconds behind.", "Reviewed by ________ on __/__/____", "Hi %FIRSTNAME%, welcome", "Total: #REF!", "Owner: TBD", "Serial XXXXXXXX", "Signed: [INSERT SIGNATURE HERE]", "<your company name> was affected.", "Phone: [[phone]]", "Sehr geehrte Frau «Nachname»,", "{% include header %}", "See case [enter case number] for details"]
+NO_FIELDS = ["The template has a field [CASE NUMBER]; fill it before export.", "The dropper expands %APPDATA% and ${env:TEMP} at run time.", 'The script prints "{0} hosts: {1}" through a format string.', "if (a < b) and (c > d) then", "array[0] = items[index]", "See [the guide](https://example.org) for details.", "<b>bold</b> and <span class='x'>text</span>", "class A: def __init__(self): pass", "profit rose 5% and 7% in two years", "[01:32] bob: see the list"]
+RESIDUE = ["404 Not Found\nThe page you asked for is not on this server.", "A good start.\nPlease enable JavaScript to continue.\nMore text.", "Traceback (most recent call last):\n  File \"x.py\", line 4\nKeyError: 'body'", *FIELDS]
+FINE = ["Screenshot 3 shows the fake page: 'Loading... If nothing happens, scripts may be blocked.'", *NO_FIELDS, "ok", "", None, "plain text " * 20_000]
+
+
+def test_no_held_out_message_is_listed():
+    listed = {p.removesuffix("*") for table in (R.CORE, R.SUPPORT) for text in table.values() for p in text.replace("\n", "").split("|")}
+    assert not listed & {R._folded(x).strip(" .!") for x in HELD_OUT}
+    assert max(map(len, listed)) < 30
+
+
+def held_out_accuracy():
+    """(recall on messages, share of normal sentences marked)."""
+    return sum(judge_text(x)[1] > 0 for x in HELD_OUT) / len(HELD_OUT), sum(judge_text(x)[1] > 0 for x in NORMAL) / len(NORMAL)
+
+
+def test_held_out_messages():
+    recall, wrong = held_out_accuracy()
+    assert recall >= 0.85 and wrong == 0, (recall, wrong, [x for x in HELD_OUT if not judge_text(x)[1]], [x for x in NORMAL if judge_text(x)[1]])
+
+
+def test_fields_cover_themselves():
+    line = "Dear {{ name }}, your order [ORDER NUMBER] is ready ____________."
+    assert [line[a:z] for a, z in fields_in(line)] == ["{{ name }}", "[ORDER NUMBER]", "____________"]
+    assert judge_text(line)[2] == sum(map(len, ("{{ name }}", "[ORDER NUMBER]", "____________")))
+
+
+def test_every_passage_of_a_line_counts():
+    assert judge_text("404 Not Found. We met on Monday. Please enable JavaScript to continue.")[:2] == ("error,script", 2)
 
 
 def test_verdicts(spark):
