@@ -1,4 +1,5 @@
 import random
+import re
 
 from casewright.operators.intervals import DAY_US, periods_and_gaps
 
@@ -48,3 +49,13 @@ def test_sparse_touching_and_nested(spark):
 
 def test_empty(spark):
     assert got(spark, []) == []
+
+
+def test_shuffles(spark):
+    """One scan's pieces, the rows to stitch and the surviving blocks are shuffled once each; other reads reuse them."""
+    df = spark.createDataFrame([("a", BASE + 1, BASE + 5), ("a", BASE + 9, BASE + 12), ("a", BASE + 30, BASE + 3 * DAY_US), ("a", BASE + 9 * DAY_US, BASE + 11 * DAY_US)], "k string, a bigint, z bigint")
+    out = periods_and_gaps(df, ["k"], "a", "z")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"(?<!Reused)Exchange ", plan)) <= 4, plan
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
