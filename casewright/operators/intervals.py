@@ -51,7 +51,7 @@ def _shard_pieces(df: DataFrame, keys: Sequence[str], k: Sequence[str], start: s
                            if(_hi > _lo + 1, array(named_struct('_shard', _lo + 1, '_a', (_lo + 1) * {border}, '_z', _hi * {border})), array())))"""
             )
         ),
-    )
+    ).filter("_shard IS NOT NULL")  # what the join below asks for: stated here, both readings of the pieces are the same shuffle
     by = [*k, "_shard"]
     merged = _numbered(pieces, by).groupBy(*by, "_i").agg(F.min("_a").alias("_a"), F.max("_z").alias("_z")).drop("_i")
     return merged.withColumn("_touch", (F.col("_a") == F.col("_shard") * shard_us) | (F.col("_z") >= (F.col("_shard") + 1) * shard_us))
