@@ -7,8 +7,10 @@ by date in a SQL window, and only the first-authored occurrence is kept. The
 closing block is told by its formulas and by what a sender's mails end with
 again and again, counted in a window over (sender, line).
 
-Windows go by mail, by (thread, line pair) or by (sender, line), so a hot
-thread or sender is spread over its lines.
+Bodies are shuffled once, by mail, before they are exploded: what a line has to
+know of its neighbours is a window inside its mail. Occurrences of (thread,
+line pair) and of (sender, line) are combined on the map side and joined back,
+so a hot thread, sender or line is no single task's group.
 """
 
 from __future__ import annotations
@@ -85,8 +87,8 @@ def new_lines(
     Not new: marked quotes and text under a mail header with what introduces
     them (marked lines of a mail that answers and forwards nothing are its own),
     unmarked text whose line pairs an earlier message of the thread has, and the
-    closing block from its first formula, delimiter, device note or notice on,
-    or a last paragraph all of whose lines end at least ``least_recurrence`` and
+    closing block from its first formula, delimiter, device note or notice on
+    (up to quoted text, below which an answer counts again), or a last paragraph all of whose lines end at least ``least_recurrence`` and
     ``recurrence_share`` of the sender's mails.
 
     Null or empty bodies give no rows; null parents, senders or dates only
@@ -95,64 +97,72 @@ def new_lines(
     base = mails.select(
         mails[ident].alias("_id"), mails[body].alias("_body"), mails[message].alias("_msg"), mails[parent].alias("_par"), F.lower(F.trim(mails[sender])).alias("_from"), mails[sender_name].alias("_name"), mails[sent].alias("_sent")
     ).filter("_body IS NOT NULL AND _id IS NOT NULL")
-    lines = base.select("_id", "_msg", "_par", "_from", "_name", "_sent", F.posexplode(F.split("_body", "\n")).alias("_pos", "_raw"))
-    lines = lines.withColumn("_line", F.regexp_replace("_raw", r"^[\s ]+|[\s ]+$", ""))
+    lines = base.repartition("_id").select("_id", "_msg", "_par", "_from", "_name", "_sent", F.posexplode(F.split("_body", "\n")).alias("_pos", "_raw"))
+    lines = lines.withColumn("_line", F.regexp_replace("_raw", r"^[\s ]+|[\s ]+$", ""))
     # blank lines matter as borders of paragraphs only
     order = W.partitionBy("_id").orderBy("_pos")
     mail = W.partitionBy("_id")
+    so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     full = lines.filter(F.col("_line") != "")
     full = full.withColumn("_core", F.trim(F.regexp_replace("_raw", MARK, "")))
-    full = full.withColumn("_core", F.regexp_replace("_core", r"[\s ]+$", "")).withColumn("_mark", F.col("_raw").rlike(MARK))
-    full = full.withColumn("_l1", F.lead("_line", 1).over(order)).withColumn("_l2", F.lead("_line", 2).over(order)).withColumn("_b1", F.lag("_line", 1).over(order))
+    full = full.withColumn("_core", F.regexp_replace("_core", r"[\s ]+$", "")).withColumn("_mark", F.col("_raw").rlike(MARK))
+    full = full.withColumn("_h", F.xxhash64(F.lower("_core"))).drop("_raw", "_core")
+    # blank heads and dates are asked of the next lines, so each line says what it is first
+    own_from = F.col("_line").rlike(FROM_FIELD)
+    own_date = F.col("_line").rlike(DATE_FIELD)
+    own_other = F.col("_line").rlike(OTHER_FIELD)
+    full = full.withColumn("_is", F.when(own_from, 1).when(own_date, 2).when(own_other, 3).otherwise(0)).withColumn("_end", F.col("_line").rlike(WRAPPED_END))
+    full = full.withColumn("_i1", F.lead("_is", 1).over(order)).withColumn("_i2", F.lead("_is", 2).over(order)).withColumn("_e1", F.coalesce(F.lead("_end", 1).over(order), F.lit(False)))
     full = full.withColumn("_m1", F.coalesce(F.lead("_mark", 1).over(order), F.lit(False))).withColumn("_m2", F.coalesce(F.lead("_mark", 2).over(order), F.lit(False)))
-    full = full.withColumn("_p1", F.lead("_pos", 1).over(order)).withColumn("_pb", F.lag("_pos", 1).over(order))
-    is_from = F.col("_line").rlike(FROM_FIELD) & (F.col("_l1").rlike(DATE_FIELD) | (F.col("_l1").rlike(OTHER_FIELD) & F.col("_l2").rlike(f"{DATE_FIELD}|{OTHER_FIELD}")))
-    full = full.withColumn("_head", F.coalesce(is_from & ~F.col("_mark"), F.lit(False)))
-    intro = F.col("_line").rlike(INTRODUCTION) & ~F.col("_mark") & F.coalesce(F.col("_l1").rlike(FROM_FIELD) | F.col("_l1").rlike(DATE_FIELD), F.lit(False))
-    full = full.withColumn("_cut", F.when(F.col("_head") | intro, F.col("_pos")))
+    full = full.withColumn("_p1", F.lead("_pos", 1).over(order)).withColumn("_nh", F.lead("_h", 1).over(order))
+    is_head = (F.col("_is") == 1) & ((F.col("_i1") == 2) | ((F.col("_i1") == 3) & F.col("_i2").isin(2, 3)))
+    intro = F.col("_line").rlike(INTRODUCTION) & F.col("_i1").isin(1, 2)
+    full = full.withColumn("_cut", F.when(~F.col("_mark") & F.coalesce(is_head | intro, F.lit(False)), F.col("_pos")))
     attr = F.col("_line").rlike(ATTRIBUTION) & ~F.col("_mark") & F.col("_m1")
-    wrapped = F.col("_line").rlike(WRAPPED) & ~F.col("_mark") & F.coalesce(F.col("_l1").rlike(WRAPPED_END), F.lit(False)) & F.col("_m2")
-    full = full.withColumn("_attr", attr | wrapped | (F.col("_line").rlike(WRAPPED_END) & F.col("_m1")))
+    wrapped = F.col("_line").rlike(WRAPPED) & ~F.col("_mark") & F.col("_e1") & F.col("_m2")
+    full = full.withColumn("_attr", attr | wrapped | (F.col("_end") & F.col("_m1")))
     full = full.withColumn("_first_cut", F.min("_cut").over(mail)).withColumn("_quotes", F.max(F.col("_mark")).over(mail)).withColumn("_attrs", F.max(F.col("_attr")).over(mail))
     answers = F.col("_par").isNotNull() | F.col("_first_cut").isNotNull() | F.col("_attrs")
-    full = full.withColumn("_answers", answers).withColumn("_quoted", answers & (F.col("_mark") | F.col("_attr") | F.coalesce(F.col("_pos") >= F.col("_first_cut"), F.lit(False))))
+    full = full.withColumn("_quoted", answers & (F.col("_mark") | F.col("_attr") | F.coalesce(F.col("_pos") >= F.col("_first_cut"), F.lit(False))))
 
-    # Closings: the first cue among the sender's own lines, and all own lines after it.
+    # Closings: from a cue among the sender's own lines on, up to the next quoted line, below which answers may follow.
     formula, _ = _closing_cue(F.col("_line"), F.col("_name"))
     full = full.withColumn("_formula", formula)
     _, cue = _closing_cue(F.col("_line"), F.col("_name"))
-    full = full.withColumn("_cue", F.when(~F.col("_quoted") & cue, F.col("_pos"))).withColumn("_close", F.min("_cue").over(mail))
-    # What follows reads the judged lines five times: they are written once, other lines' texts only as hashes.
-    mine = ~F.col("_quoted") & (F.col("_close").isNull() | (F.col("_pos") < F.col("_close")))
+    full = full.withColumn("_cue", F.max(F.when(~F.col("_quoted") & cue, F.col("_pos"))).over(so_far)).withColumn("_quote", F.max(F.when(F.col("_quoted"), F.col("_pos"))).over(so_far))
+    full = full.withColumn("_mine", ~F.col("_quoted") & ~F.coalesce(F.col("_cue") > F.coalesce("_quote", F.lit(-1)), F.lit(False)))
+
+    # Paragraphs of the own lines, counted from the end of the mail: 0 is the last.
+    here = F.when(F.col("_mine"), F.col("_pos"))
+    full = full.withColumn("_last", F.max(here).over(mail))
+    parted = F.col("_mine") & (F.col("_pos") < F.col("_last")) & (F.col("_p1") > F.col("_pos") + 1)
+    full = full.withColumn("_paras", F.sum(F.when(parted, 1).otherwise(0)).over(order.rowsBetween(W.currentRow, W.unboundedFollowing)))
+    full = full.withColumn("_more", F.coalesce(F.max(F.when(F.col("_mine"), F.col("_paras"))).over(mail), F.lit(0)) > 0)
+    full = full.withColumn("_n_last", F.sum(F.when(F.col("_mine") & (F.col("_paras") == 0), 1).otherwise(0)).over(mail))
     bare = F.col("_par").isNotNull() & ~F.col("_quotes") & F.col("_first_cut").isNull()
-    judged = full.withColumn("_h", F.xxhash64(F.lower("_core"))).select(
-        "_id", "_pos", "_p1", "_msg", "_par", "_from", "_sent", "_mark", "_h", F.lead("_h").over(order).alias("_nh"), mine.alias("_mine"), bare.alias("_bare"), F.when(mine, F.col("_line")).alias("_line")
-    )
-    full = cut_lineage(judged)
+    # What follows reads the judged lines several times: they are written once, other lines' texts only as hashes.
+    full = cut_lineage(full.select("_id", "_pos", "_p1", "_msg", "_par", "_from", "_sent", "_mark", "_h", "_nh", "_mine", bare.alias("_bare"), "_paras", "_more", "_n_last", F.when(F.col("_mine"), F.col("_line")).alias("_line")))
     own = full.filter("_mine")
 
-    # Sender-recurrent endings: lines of the last own paragraph, counted over the sender's mails.
-    later = W.partitionBy("_id").orderBy(F.col("_pos").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    own = own.withColumn("_gap", F.when(F.col("_p1").isNotNull() & (F.col("_p1") > F.col("_pos") + 1), 1).otherwise(0))
-    own = own.withColumn("_last", F.row_number().over(W.partitionBy("_id").orderBy(F.col("_pos").desc())) == 1)
-    own = own.withColumn("_paras", F.sum(F.when(F.col("_last"), 0).otherwise(F.col("_gap"))).over(later))
+    # Sender-recurrent endings: lines of the last own paragraph, counted over the sender's mails. A paragraph goes if all its lines recur and others stay.
     sent_by = base.filter("_from IS NOT NULL").groupBy("_from").agg(F.count(F.lit(1)).alias("_mails"))
-    ending = own.filter((F.col("_paras") == 0) & F.col("_from").isNotNull()).withColumn("_again", F.count(F.lit(1)).over(W.partitionBy("_from", "_h")))
-    ending = ending.filter(F.col("_again") >= least_recurrence).join(sent_by, "_from").filter(F.col("_again") >= F.col("_mails") * recurrence_share)
-    recurrent = ending.select("_id", "_pos", F.lit(True).alias("_recurs"))
-
-    # Unmarked quotes: pairs of neighbouring lines, ranked by date in the thread of a message and its replies.
-    pairs = full.filter("_nh IS NOT NULL").withColumn("_pair", F.xxhash64("_h", "_nh")).withColumn("_next_pos", F.col("_p1"))
-    said = pairs.filter("_msg IS NOT NULL").groupBy(F.col("_msg").alias("_thread"), "_pair").agg(F.min("_sent").alias("_sent")).select("_thread", "_pair", "_sent", F.lit(0).alias("_reply"), F.lit(None).cast("bigint").alias("_id"), F.lit(None).cast("int").alias("_pos"), F.lit(None).cast("int").alias("_next_pos"), F.col("_thread").alias("_by"))
-    marked = pairs.filter(F.col("_par").isNotNull() & F.col("_mark")).groupBy(F.col("_par").alias("_thread"), "_pair").agg(F.min("_sent").alias("_sent")).select("_thread", "_pair", "_sent", F.lit(0).alias("_reply"), F.lit(None).cast("bigint").alias("_id"), F.lit(None).cast("int").alias("_pos"), F.lit(None).cast("int").alias("_next_pos"), F.col("_thread").alias("_by"))
-    replies = pairs.filter("_bare AND _mine").select(F.col("_par").alias("_thread"), "_pair", "_sent", F.lit(1).alias("_reply"), F.col("_id").cast("bigint").alias("_id"), "_pos", "_next_pos", F.coalesce("_msg", F.lit("")).alias("_by"))
-    rank = W.partitionBy("_thread", "_pair").orderBy("_reply", F.col("_sent").asc_nulls_last(), "_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    told = said.unionByName(marked).unionByName(replies).withColumn("_first", F.first("_by").over(rank))
-    repeated = told.filter((F.col("_reply") == 1) & (F.col("_first") != F.col("_by")))
-    repeated = repeated.select("_id", F.explode(F.array("_pos", "_next_pos")).alias("_pos")).distinct().withColumn("_repeats", F.lit(True))
-
-    out = own.select("_id", "_pos", "_line", "_paras").join(recurrent, ["_id", "_pos"], "left").join(repeated, ["_id", "_pos"], "left")
-    last_all = F.min(F.when(F.col("_paras") == 0, F.coalesce("_recurs", F.lit(False)))).over(W.partitionBy("_id", "_paras"))
-    out = out.withColumn("_tail", (F.col("_paras") == 0) & last_all).withColumn("_more", F.max("_paras").over(mail) > 0)
-    kept = out.filter(~(F.col("_tail") & F.col("_more")) & F.col("_repeats").isNull())
+    ending = own.filter((F.col("_paras") == 0) & F.col("_from").isNotNull() & F.col("_more")).select("_id", "_pos", "_from", "_h", "_n_last")
+    counted = own.filter((F.col("_paras") == 0) & F.col("_from").isNotNull()).groupBy("_from", "_h").agg(F.count(F.lit(1)).alias("_again")).filter(F.col("_again") >= least_recurrence)
+    recurring = counted.join(sent_by, "_from").filter(F.col("_again") >= F.col("_mails") * recurrence_share).select("_from", "_h")
+    tails = ending.join(recurring, ["_from", "_h"], "left_semi").withColumn("_n", F.count(F.lit(1)).over(mail)).filter("_n = _n_last").select("_id", "_pos")
+
+    # Unmarked quotes: pairs of neighbouring lines; of each in a thread (a message and its replies) the first-authored occurrence stays.
+    pairs = full.filter("_nh IS NOT NULL").withColumn("_pair", F.xxhash64("_h", "_nh"))
+    by = F.coalesce("_msg", F.lit(""))
+    replies = pairs.filter("_bare AND _mine").select(F.col("_par").alias("_thread"), "_pair", "_id", "_pos", "_p1", by.alias("_by"), "_sent")
+    rank = F.struct(F.col("_reply"), F.col("_sent").isNull().alias("_no_date"), F.col("_sent"), F.col("_no"), F.col("_by"))
+    told = (
+        pairs.filter("_msg IS NOT NULL").select(F.col("_msg").alias("_thread"), "_pair", F.lit(0).alias("_reply"), "_sent", F.lit(None).cast("bigint").alias("_no"), F.col("_msg").alias("_by"))
+        .unionByName(pairs.filter(F.col("_par").isNotNull() & F.col("_mark")).select(F.col("_par").alias("_thread"), "_pair", F.lit(0).alias("_reply"), "_sent", F.lit(None).cast("bigint").alias("_no"), F.col("_par").alias("_by")))
+        .unionByName(replies.select("_thread", "_pair", F.lit(1).alias("_reply"), "_sent", F.col("_id").cast("bigint").alias("_no"), "_by"))
+    )
+    firsts = told.groupBy("_thread", "_pair").agg(F.min(rank).alias("_f")).select("_thread", "_pair", F.col("_f._by").alias("_author"))
+    repeated = replies.join(firsts, ["_thread", "_pair"]).filter(F.col("_author") != F.col("_by")).select("_id", F.explode(F.array("_pos", "_p1")).alias("_pos"))
+
+    kept = own.select("_id", "_pos", "_line").join(tails.unionByName(repeated), ["_id", "_pos"], "left_anti")
     return kept.select(F.col("_id").alias("mail_id"), (F.col("_pos") + 1).alias("line_no"), F.col("_line").alias("line_text"))

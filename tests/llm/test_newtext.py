@@ -26,7 +26,7 @@ def test_lines(spark):
         got.setdefault(r["mail_id"], []).append(r["line_no"])
     got = {k: sorted(v) for k, v in got.items()}
     want = {i: m[4] for i, m in MAILS.items() if m[4]}
-    want[2] = [1, 2]  # the inline answer comes after the closing block and is taken with it
+    want[2] = [1, 2, 11]  # the answer among the quoted lines, below the closing block
     want[3] = []
     assert {k: v for k, v in got.items()} == {k: v for k, v in want.items() if v}
     assert new_lines(df.limit(0)).count() == 0
