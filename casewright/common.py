@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterable
 
@@ -48,12 +50,21 @@ def refuse_names(names: Iterable[str], taken: Iterable[str]) -> None:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and read it back.
 
-    ``spark.checkpoint.dir`` is the session's; only where it is unset (tests,
-    one machine) a folder is made.
+    The folder is the session's (spark.checkpoint.dir or setCheckpointDir). On a
+    single machine without one, a folder is made and removed at the end; on a
+    cluster that is refused, as other machines couldn't read it. With
+    spark.cleaner.referenceTracking.cleanCheckpoints Spark removes the files
+    once the frame is no longer used.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="casewright-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="casewright-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
