@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..common import cut_lineage
-from .tokens import VOCABULARY, count_tokens
+from .tokens import VOCABULARY, count_tokens, ship
 
 BITS_PER_LEVEL, LEVELS = 12, 3
 
@@ -26,37 +26,35 @@ def _bucket(level: int) -> Column:
 
 def sized_records(df: DataFrame, ident: str, source: str, text: str, vocabulary: str = VOCABULARY, seed: int = 11) -> DataFrame:
     """_id, _source, _n (tokens), _h (64-bit hash) of each row of a non-null id and source."""
+    ship(df.sparkSession, vocabulary)
     lean = df.select(df[ident].cast("bigint").alias("_id"), df[source].alias("_source"), df[text].alias("_text")).filter("_id IS NOT NULL AND _source IS NOT NULL")
     return lean.select("_id", "_source", count_tokens(F.col("_text"), vocabulary).alias("_n"), F.xxhash64("_id", F.lit(seed)).alias("_h"))
 
 
-def _plan(have: dict[str, int], targets: list[tuple[str, float, int]], total: float | None) -> tuple[dict[str, tuple[float, int, float]], float]:
-    """Per source (adjusted share, whole repeats, tokens of the last, partial one), and the total size."""
-    use = [(s, share, cap) for s, share, cap in targets if share > 0 and cap > 0 and have.get(s, 0) > 0]
-    weight = sum(share for _, share, _ in use)
-    if not use:
-        return {}, 0.0
-    feasible = min(cap * have[s] / (share / weight) for s, share, cap in use)
-    size = feasible if total is None else min(feasible, total)
-    plan = {}
-    for s, share, cap in use:
-        need = size * share / weight
-        whole = min(cap, int(need / have[s] + 1e-9))
-        rest = max(0.0, need - whole * have[s]) if whole < cap else 0.0
-        plan[s] = (share / weight, whole, rest)
-    return plan, size
-
-
-def mix_sources(sized: DataFrame, targets: DataFrame, total_tokens: float | None = None, most_sources: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def _budgets(wanted: DataFrame, have: DataFrame, total: float | None) -> DataFrame:
+    """Per source: _share (adjusted), _whole repeats and _need, the tokens of the last, partial one; sources without tokens have none of it."""
+    p = wanted.join(have, "_source", "left").withColumn("_have", F.coalesce("_have", F.lit(0)))
+    usable = (F.col("_target") > 0) & (F.col("_cap") > 0) & (F.col("_have") > 0)
+    weight, feasible = p.filter(usable).agg(F.sum("_target"), F.min(F.col("_cap") * F.col("_have") / F.col("_target"))).first()
+    if not weight:
+        return p.select("*", F.lit(0.0).alias("_share"), F.lit(0).alias("_whole"), F.lit(0.0).alias("_need"))
+    size = feasible * weight if total is None else min(feasible * weight, float(total))
+    p = p.withColumn("_share", F.when(usable, F.col("_target") / weight).otherwise(0.0)).withColumn("_size", F.col("_share") * size)
+    p = p.withColumn("_whole", F.when(usable, F.least("_cap", F.floor(F.col("_size") / F.col("_have") + 1e-9).cast("int"))).otherwise(0))
+    rest = F.when(F.col("_whole") < F.col("_cap"), F.greatest(F.lit(0.0), F.col("_size") - F.col("_whole") * F.col("_have"))).otherwise(0.0)
+    return p.withColumn("_need", rest).drop("_size")
+
+
+def mix_sources(sized: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, report) of the mixture.
 
     sized: from ``sized_records``; targets: source, target_share, max_repeats
     (null sources, shares or repeats don't count; of a source listed twice the
-    first by share counts), at most ``most_sources`` rows, which come to the
-    driver with one threshold each. total_tokens: size wanted; without it, or
-    where it is too large, the largest size at which every source that has
-    records meets its share within its repeats. Shares of sources without
-    tokens are spread over the others in proportion.
+    largest share counts), of any number: nothing but two sums comes to the
+    driver. total_tokens: size wanted; without it, or where it is too large,
+    the largest size at which every source that has records meets its share
+    within its repeats. Shares of sources without tokens are spread over the
+    others in proportion.
 
     records: doc_id, source, n_copies, n_tokens, each record used at least once.
     report: source, target_share, adjusted_share, max_repeats, available_tokens,
@@ -64,57 +62,35 @@ def mix_sources(sized: DataFrame, targets: DataFrame, total_tokens: float | None
     separate records of equal hash. Sources without target are not used. An
     empty table gives no records, and a report of zeros.
     """
-    spark = sized.sparkSession
-    rows = targets.filter("source IS NOT NULL AND target_share IS NOT NULL AND max_repeats IS NOT NULL").orderBy("source", F.col("target_share").desc()).limit(most_sources + 1).collect()
-    if len(rows) > most_sources:
-        raise ValueError("more sources than may come to the driver")
-    wanted: dict[str, tuple[str, float, int]] = {}
-    for r in rows:
-        wanted.setdefault(r["source"], (r["source"], float(r["target_share"]), int(r["max_repeats"])))
-    known = spark.createDataFrame([(s,) for s in wanted], "_source string")
-    listed = sized.join(known, "_source")
-    hist = listed.groupBy("_source", _bucket(0).alias("_b")).agg(F.sum("_n").alias("_t"))
-    hist = cut_lineage(hist)
-    have = {r["_source"]: int(r["t"] or 0) for r in hist.groupBy("_source").agg(F.sum("_t").alias("t")).collect()}
-    plan, _ = _plan(have, list(wanted.values()), total_tokens)
-
-    # the bucket in which the partial repeat's budget ends, level by level
-    need = {s: rest for s, (_, _, rest) in plan.items() if rest >= 1}
-    cut: dict[str, int] = {}  # records whose bucket at the last level is below this are in
-    level, open_buckets = 0, {}
-    while need:
+    told = targets.filter("source IS NOT NULL AND target_share IS NOT NULL AND max_repeats IS NOT NULL")
+    wanted = told.groupBy(F.col("source").alias("_source")).agg(F.max(F.struct(F.col("target_share").cast("double").alias("t"), F.col("max_repeats").cast("int").alias("c"))).alias("_x")).select("_source", F.col("_x.t").alias("_target"), F.col("_x.c").alias("_cap"))
+    listed = sized.join(wanted.select("_source"), "_source")
+    hist = cut_lineage(listed.groupBy("_source", _bucket(0).alias("_b")).agg(F.sum("_n").alias("_t")))
+    plan = cut_lineage(_budgets(wanted, hist.groupBy("_source").agg(F.sum("_t").alias("_have")), total_tokens))
+
+    # The bucket in which the partial repeat's budget ends, level by level; at the last one the nearer side of it.
+    order = W.partitionBy("_source").orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
+    left = plan.filter("_need >= 1").select("_source", "_need")
+    cuts = None
+    for level in range(LEVELS):
         if level:
-            edge = spark.createDataFrame([(s, b) for s, b in open_buckets.items()], "_source string, _edge bigint")
-            inside = listed.join(edge, "_source").filter(_bucket(level - 1) == F.col("_edge"))
+            inside = listed.join(left.select("_source", "_edge"), "_source").filter(_bucket(level - 1) == F.col("_edge"))
             hist = inside.groupBy("_source", _bucket(level).alias("_b")).agg(F.sum("_n").alias("_t"))
-        budget = spark.createDataFrame([(s, float(v)) for s, v in need.items()], "_source string, _need double")
-        order = W.partitionBy("_source").orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
-        run = hist.join(budget, "_source").withColumn("_sum", F.sum("_t").over(order)).withColumn("_prev", F.col("_sum") - F.col("_t"))
-        hit = {r["_source"]: r for r in run.filter((F.col("_prev") < F.col("_need")) & (F.col("_sum") >= F.col("_need"))).groupBy("_source").agg(F.min_by(F.struct("_b", "_prev", "_sum", "_need"), "_b").alias("x")).select("_source", "x.*").collect()}
-        last = level == LEVELS - 1
-        shift = BITS_PER_LEVEL * (LEVELS - 1 - level)
-        open_buckets, after = {}, {}
-        for s, v in need.items():
-            r = hit.get(s)
-            if r is None:  # the budget is all there is here (rounding): up to the end of this range
-                cut.setdefault(s, 1 << (BITS_PER_LEVEL * LEVELS))
-                continue
-            below = v - r["_prev"]
-            if last:
-                # the nearer side of the boundary
-                cut[s] = r["_b"] + (1 if r["_sum"] - v < below else 0)
-            else:
-                cut[s] = r["_b"] << shift
-                open_buckets[s], after[s] = r["_b"], below
-        need = after
-        level += 1
-
-    steps = spark.createDataFrame([(s, whole, cut.get(s, 0), share) for s, (share, whole, _) in plan.items()], "_source string, _whole int, _cut bigint, _share double")
-    copies = F.col("_whole") + F.when(_bucket(LEVELS - 1) < F.col("_cut"), 1).otherwise(0)
-    chosen = listed.join(steps, "_source").withColumn("_c", copies).filter("_c > 0")
+        run = hist.join(left.select("_source", "_need"), "_source").withColumn("_sum", F.sum("_t").over(order)).withColumn("_prev", F.col("_sum") - F.col("_t"))
+        hit = run.filter((F.col("_prev") < F.col("_need")) & (F.col("_sum") >= F.col("_need"))).groupBy("_source").agg(F.min_by(F.struct("_b", "_prev", "_sum", "_need"), "_b").alias("x"))
+        found = F.col("x._b") + F.when(F.col("x._sum") - F.col("x._need") < F.col("x._need") - F.col("x._prev"), 1).otherwise(0) if level == LEVELS - 1 else F.shiftleft("x._b", BITS_PER_LEVEL * (LEVELS - 1 - level))
+        here = hit.select("_source", found.cast("bigint").alias(f"_cut{level}"))
+        cuts = here if cuts is None else cuts.join(here, "_source", "left")
+        left = hit.select("_source", (F.col("x._need") - F.col("x._prev")).alias("_need"), F.col("x._b").alias("_edge"))
+
+    # A source whose budget meets no bucket (by rounding) takes all there is.
+    ends = [F.col(f"_cut{level}") for level in range(LEVELS)]
+    steps = plan.join(cuts, "_source", "left").select("_source", "_whole", F.when(F.col("_need") >= 1, F.coalesce(*reversed(ends), F.lit(1 << (BITS_PER_LEVEL * LEVELS)))).otherwise(0).alias("_last"))
+    copies = F.col("_whole") + F.when(_bucket(LEVELS - 1) < F.col("_last"), 1).otherwise(0)
+    chosen = listed.join(steps.filter("_whole > 0 OR _last > 0"), "_source").withColumn("_c", copies).filter("_c > 0")
     records = chosen.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_c").cast("int").alias("n_copies"), F.col("_n").alias("n_tokens"))
     used = records.groupBy("source").agg(F.sum(F.col("n_copies") * F.col("n_tokens")).alias("used_tokens"), F.max("n_copies").alias("most_copies"))
-    base = spark.createDataFrame([(s, share, plan[s][0] if s in plan else 0.0, cap, have.get(s, 0)) for s, share, cap in wanted.values()], "source string, target_share double, adjusted_share double, max_repeats int, available_tokens bigint")
+    base = plan.select(F.col("_source").alias("source"), F.col("_target").alias("target_share"), F.col("_share").alias("adjusted_share"), F.col("_cap").alias("max_repeats"), F.col("_have").cast("bigint").alias("available_tokens"))
     report = base.join(used, "source", "left").fillna(0, ["used_tokens", "most_copies"])
     grand = F.sum("used_tokens").over(W.partitionBy(F.lit(1)))
     report = report.withColumn("actual_share", F.when(grand > 0, F.col("used_tokens") / grand).otherwise(F.lit(0.0)))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from ..common import cut_lineage
-from .tokens import VOCABULARY, encoding
+from .tokens import VOCABULARY, encoding, ship
 
 DIMS, BITS = 6, 10
 
@@ -148,6 +148,7 @@ def document_sizes(df: DataFrame, ident: str, text: str, vocabulary: str = VOCAB
                 out[f"v{d}"] = vectors[:, d]
             yield out
 
+    ship(df.sparkSession, vocabulary)
     lean = df.select(df[ident].cast("bigint").alias("_id"), df[text].alias("_text")).filter("_id IS NOT NULL")
     return lean.mapInPandas(work, "doc bigint, n_tokens bigint, " + ", ".join(f"v{d} double" for d in range(DIMS)))
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..common import cut_lineage, spread, table
 from .mixing import mix_sources, sized_records
@@ -60,6 +61,38 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(p8_packing(spark, sf_dir), _capacities(spark, sf_dir))
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the packing keeps its promises: every document once, no container too full, no text cut without need, hardly more containers than must be."""
+    capacities = _capacities(spark, sf_dir)
+    packed = cut_lineage(p8_packing(spark, sf_dir))
+    documents = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").count()
+    cap = F.create_map(*[F.lit(x) for k, v in capacities.items() for x in (k, v)])[F.col("pack_kind")]
+    full = packed.groupBy("pack_kind", "container_id").agg(F.sum("n_tokens").alias("n")).groupBy("pack_kind").agg(F.count_if(F.col("n") > cap).alias("over"), F.count(F.lit(1)).alias("used"), F.sum("n").alias("tokens"))
+    parts = packed.groupBy("pack_kind", "doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("n_tokens").alias("n")).groupBy("pack_kind").agg(F.count(F.lit(1)).alias("docs"), F.count_if((F.col("parts") > 1) & (F.col("n") <= cap)).alias("cut"))
+    both = full.join(parts, "pack_kind")
+    return both.select("pack_kind", cap.alias("capacity_tokens"), F.col("docs").alias("n_documents"), F.col("over").alias("n_too_full"), F.col("cut").alias("n_cut_without_need"), (F.col("used") <= F.ceil(F.col("tokens") / cap) * 1.01 + 1).alias("hardly_more_than_must_be")).filter(F.lit(documents) > 0)
+
+
+P8_CHECKS_SQL = """
+SELECT pack_kind, capacity_tokens, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL) AS n_documents, CAST(0 AS BIGINT) AS n_too_full, CAST(0 AS BIGINT) AS n_cut_without_need, true AS hardly_more_than_must_be FROM pack_sizes
+"""
+
+
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the mixture keeps its promises: repeats within the cap, each source within half its largest record of its share (and what the others are off)."""
+    sized = cut_lineage(sized_records(_documents(spark, sf_dir, "doc_id", "source", "text"), "doc_id", "source", "text"))
+    records, report = mix_sources(sized, table(spark, sf_dir, "mix_targets"))
+    largest = sized.groupBy(F.col("_source").alias("source")).agg(F.max("_n").alias("largest"), F.sum("_n").alias("has"))
+    known = report.join(largest, "source", "left").fillna(0, ["largest", "has"])
+    every = Window.partitionBy(F.lit(1))  # one row per target
+    off, total = F.sum(F.when(F.col("used_tokens") > 0, F.col("largest") / 2).otherwise(0)).over(every), F.sum("used_tokens").over(every)
+    near = F.abs(F.col("used_tokens") - F.col("adjusted_share") * total) <= F.col("largest") / 2 + F.col("adjusted_share") * off + 1
+    return known.select("source", "target_share", "max_repeats", near.alias("share_met"), (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_kept"), (F.col("available_tokens") == F.col("has")).alias("all_tokens_counted"))
+
+
+P9_CHECKS_SQL = "SELECT source, target_share, max_repeats, true AS share_met, true AS repeats_kept, true AS all_tokens_counted FROM mix_targets WHERE source IS NOT NULL"
+
+
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     sized = cut_lineage(sized_records(_documents(spark, sf_dir, "doc_id", "source", "text"), "doc_id", "source", "text"))
     return mix_sources(sized, table(spark, sf_dir, "mix_targets"))
@@ -80,5 +113,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_residue(_documents(spark, sf_dir, "doc_id", "text")).filter("is_residue").selectExpr("record_id AS doc_id").distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
-ORACLE = {"p3_found": P3_SQL}
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p8_packing": p8_packing, "p8_fill": p8_fill, "p8_checks": p8_checks, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_checks": p9_checks, "p10_found": p10_found}
+ORACLE = {"p3_found": P3_SQL, "p8_checks": P8_CHECKS_SQL, "p9_checks": P9_CHECKS_SQL}
