@@ -15,6 +15,9 @@ so a hot thread, sender or line is no single task's group.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,27 +50,32 @@ FROM_FIELD = r"^(?:From|Von|De|Da) ?: *\S.*$"
 DATE_FIELD = r"^(?:Sent|Date|Gesendet|Datum|Envoyé|Enviado|Fecha|Le) ?: *\S.*$"
 OTHER_FIELD = r"^(?:To|Cc|Subject|An|Kopie|Betreff|À|A|Objet|Para|Asunto|Reply-To|Importance) ?:.*$"
 INTRODUCTION = r"(?i)^(?:-{2,} ?(?:original message|ursprüngliche nachricht|message d'origine|message original|mensaje original|forwarded message|weitergeleitete nachricht|message transféré|mensaje reenviado|forwarded by .*)(?: ?-{2,})?|begin forwarded message ?:|anfang der weitergeleiteten nachricht ?:|début du message (?:transféré|réexpédié) ?:|_{20,}|-{20,})$"
-ATTRIBUTION = r"(?i)^.{3,200}(?:\b(?:wrote|writes|schrieb|schreibt|a écrit|écrit|escribió|ha scritto)(?: .{1,80})?) ?:$"
-WRAPPED = r"(?i)^(?:on|am|le|el|il) .{0,60}\d.{0,120}$"
+ATTRIBUTION = r"(?i)^.{3,}\b(?:wrote|writes|schrieb|schreibt|a écrit|écrit|escribió|ha scritto)(?: .+)? ?:$"
+WRAPPED = r"(?i)^(?:on|am|le|el|il) .*\d.*$"
 WRAPPED_END = r"(?i)^<?[^\s<>@]+@[^\s<>]+>? (?:wrote|writes|schrieb|a écrit|escribió) ?:$"
 MARK = r"^[ \t]*(?:[>|][ \t]?)+"
 
 
+# Each notice has one of these pieces; looking for them first is cheaper than the patterns.
+NOTICE_PIECES = ("confiden", "privileged", "in error", "recipient", "addressee", "views ", "registered ", "printing this", "vertraulich", "irrtümlich", "courriel", "message est", "mail est", "diffusion", "handelsregister", "gesellschaft", "company no")
+
+
 def _any(c: Column, patterns: tuple[str, ...]) -> Column:
     return c.rlike("(?i)(?:" + "|".join(patterns) + ")")
 
 
 def _closing_cue(line: Column, name: Column) -> tuple[Column, Column]:
-    """The closing formula a line begins with, and whether the line begins a closing block (given column _formula)."""
-    formula = F.regexp_extract(F.lower(line), r"^(" + "|".join(sorted(FORMULAS, key=len, reverse=True)) + r")(?:[,.!]?[ ]+|[,.!]*$)", 0)
+    """The closing formula a line begins with, and whether the line begins a closing block (given the columns _low and _formula)."""
+    formula = F.regexp_extract(F.col("_low"), r"^(" + "|".join(sorted(FORMULAS, key=len, reverse=True)) + r")(?:[,.!]?[ ]+|[,.!]*$)", 0)
     rest = F.trim(F.expr("substring(_line, length(_formula) + 1)"))
     words = F.split(F.lower(F.coalesce(name, F.lit(""))), r"[\s,]+")
     own_name = F.forall(F.split(F.lower(rest), r"[\s,.]+"), lambda w: F.array_contains(words, w) | (F.length(w) <= 1))
-    a_name = rest.rlike(r"^[A-ZÀ-Þ][\w'’.-]+(?: [A-ZÀ-Þ][\w'’.-]*){0,2}$") & (F.length(rest) <= 40)
+    a_name = rest.rlike(r"^[A-ZÀ-Þ][\w'’.-]+(?: [A-ZÀ-Þ][\w'’.-]*){0,2}$")
     first_word_known = (F.col("_formula") != "") & ((rest == "") | own_name | a_name)
     delimiter = line.rlike(r"^(?:-- ?|—|_{5,}|\*{3,}|={5,}|/[A-Z]{1,4}|-{5,})$")
-    device = F.lower(line).rlike("^(?:" + "|".join(DEVICE_NOTES) + ")")
-    return formula, first_word_known | delimiter | device | _any(line, NOTICES)
+    device = F.col("_low").rlike("^(?:" + "|".join(DEVICE_NOTES) + ")")
+    notice = reduce(or_, [F.col("_low").contains(x) for x in NOTICE_PIECES]) & _any(line, NOTICES)
+    return formula, first_word_known | delimiter | device | notice
 
 
 def new_lines(
@@ -94,8 +102,10 @@ def new_lines(
     Null or empty bodies give no rows; null parents, senders or dates only
     switch off what needs them. A mail found twice is judged twice, alike.
     """
+    # Every line carries these: 64-bit hashes stand for message ids and senders.
+    hashed = lambda c: F.when(c.isNotNull(), F.xxhash64(c))
     base = mails.select(
-        mails[ident].alias("_id"), mails[body].alias("_body"), mails[message].alias("_msg"), mails[parent].alias("_par"), F.lower(F.trim(mails[sender])).alias("_from"), mails[sender_name].alias("_name"), mails[sent].alias("_sent")
+        mails[ident].alias("_id"), mails[body].alias("_body"), hashed(mails[message]).alias("_msg"), hashed(mails[parent]).alias("_par"), hashed(F.lower(F.trim(mails[sender]))).alias("_from"), mails[sender_name].alias("_name"), mails[sent].alias("_sent")
     ).filter("_body IS NOT NULL AND _id IS NOT NULL")
     lines = base.repartition("_id").select("_id", "_msg", "_par", "_from", "_name", "_sent", F.posexplode(F.split("_body", "\n")).alias("_pos", "_raw"))
     lines = lines.withColumn("_line", F.regexp_replace("_raw", r"^[\s ]+|[\s ]+$", ""))
@@ -108,24 +118,24 @@ def new_lines(
     full = full.withColumn("_core", F.regexp_replace("_core", r"[\s ]+$", "")).withColumn("_mark", F.col("_raw").rlike(MARK))
     full = full.withColumn("_h", F.xxhash64(F.lower("_core"))).drop("_raw", "_core")
     # blank heads and dates are asked of the next lines, so each line says what it is first
-    own_from = F.col("_line").rlike(FROM_FIELD)
-    own_date = F.col("_line").rlike(DATE_FIELD)
-    own_other = F.col("_line").rlike(OTHER_FIELD)
-    full = full.withColumn("_is", F.when(own_from, 1).when(own_date, 2).when(own_other, 3).otherwise(0)).withColumn("_end", F.col("_line").rlike(WRAPPED_END))
+    has_colon = F.col("_line").contains(":")
+    own_from, own_date, own_other = (has_colon & F.col("_line").rlike(x) for x in (FROM_FIELD, DATE_FIELD, OTHER_FIELD))
+    full = full.withColumn("_is", F.when(own_from, 1).when(own_date, 2).when(own_other, 3).otherwise(0)).withColumn("_end", F.col("_line").endswith(":") & F.col("_line").rlike(WRAPPED_END))
     full = full.withColumn("_i1", F.lead("_is", 1).over(order)).withColumn("_i2", F.lead("_is", 2).over(order)).withColumn("_e1", F.coalesce(F.lead("_end", 1).over(order), F.lit(False)))
     full = full.withColumn("_m1", F.coalesce(F.lead("_mark", 1).over(order), F.lit(False))).withColumn("_m2", F.coalesce(F.lead("_mark", 2).over(order), F.lit(False)))
     full = full.withColumn("_p1", F.lead("_pos", 1).over(order)).withColumn("_nh", F.lead("_h", 1).over(order))
     is_head = (F.col("_is") == 1) & ((F.col("_i1") == 2) | ((F.col("_i1") == 3) & F.col("_i2").isin(2, 3)))
-    intro = F.col("_line").rlike(INTRODUCTION) & F.col("_i1").isin(1, 2)
+    intro = F.col("_i1").isin(1, 2) & F.col("_line").rlike(INTRODUCTION)
     full = full.withColumn("_cut", F.when(~F.col("_mark") & F.coalesce(is_head | intro, F.lit(False)), F.col("_pos")))
-    attr = F.col("_line").rlike(ATTRIBUTION) & ~F.col("_mark") & F.col("_m1")
-    wrapped = F.col("_line").rlike(WRAPPED) & ~F.col("_mark") & F.col("_e1") & F.col("_m2")
+    attr = ~F.col("_mark") & F.col("_m1") & F.col("_line").endswith(":") & F.col("_line").rlike(ATTRIBUTION)
+    wrapped = ~F.col("_mark") & F.col("_e1") & F.col("_m2") & F.col("_line").rlike(WRAPPED)
     full = full.withColumn("_attr", attr | wrapped | (F.col("_end") & F.col("_m1")))
     full = full.withColumn("_first_cut", F.min("_cut").over(mail)).withColumn("_quotes", F.max(F.col("_mark")).over(mail)).withColumn("_attrs", F.max(F.col("_attr")).over(mail))
     answers = F.col("_par").isNotNull() | F.col("_first_cut").isNotNull() | F.col("_attrs")
     full = full.withColumn("_quoted", answers & (F.col("_mark") | F.col("_attr") | F.coalesce(F.col("_pos") >= F.col("_first_cut"), F.lit(False))))
 
     # Closings: from a cue among the sender's own lines on, up to the next quoted line, below which answers may follow.
+    full = full.withColumn("_low", F.lower("_line"))
     formula, _ = _closing_cue(F.col("_line"), F.col("_name"))
     full = full.withColumn("_formula", formula)
     _, cue = _closing_cue(F.col("_line"), F.col("_name"))
@@ -153,7 +163,7 @@ def new_lines(
 
     # Unmarked quotes: pairs of neighbouring lines; of each in a thread (a message and its replies) the first-authored occurrence stays.
     pairs = full.filter("_nh IS NOT NULL").withColumn("_pair", F.xxhash64("_h", "_nh"))
-    by = F.coalesce("_msg", F.lit(""))
+    by = F.coalesce("_msg", F.lit(0))
     replies = pairs.filter("_bare AND _mine").select(F.col("_par").alias("_thread"), "_pair", "_id", "_pos", "_p1", by.alias("_by"), "_sent")
     rank = F.struct(F.col("_reply"), F.col("_sent").isNull().alias("_no_date"), F.col("_sent"), F.col("_no"), F.col("_by"))
     told = (
