@@ -18,7 +18,11 @@ COLUMNS = [c.split(" ")[0] for c in FINDING.split(", ")]
 
 @dataclass(frozen=True)
 class Detector:
-    """build gives value and first_seen, and may give confidence, type and notes; requires: tables that must have rows."""
+    """build gives value and first_seen, and may give confidence, type and what the note is made of; requires: tables that must have rows.
+
+    note: the evidence, a text or a column over the rows built from; of counted
+    groups a column of their size and two lists of distinct values.
+    """
 
     ident: str
     severity: str
@@ -26,9 +30,17 @@ class Detector:
     technique: str | None
     build: Callable[[Case], DataFrame]
     requires: tuple[str, ...] = ()
-    title: str = ""
+    note: str | Callable[..., Column] = ""
+
+    def noted(self, *parts: Column) -> Column:
+        """The note as a column."""
+        return F.lit(self.note).cast("string") if isinstance(self.note, str) else self.note(*parts).cast("string")
 
     def run(self, case: Case) -> DataFrame:
+        if isinstance(self.build, Rows):
+            return fused_rows(case, self.build.table, [self])
+        if isinstance(self.build, Counted):
+            return fused_counts(case, self.build.table, [self])
         df = self.build(case)
         given = set(df.columns)
         pick = {
@@ -36,9 +48,9 @@ class Detector:
             "value": F.col("value").cast("string"),
             "source": F.lit(f"detect:{self.ident}"),
             "confidence": F.col("confidence") if "confidence" in given else F.lit(self.severity),
-            "related_campaign": F.lit(self.technique).cast("string"),
+            "related_campaign": F.col("related_campaign") if "related_campaign" in given else F.lit(self.technique).cast("string"),
             "first_seen": F.col("first_seen").cast("timestamp"),
-            "notes": F.col("notes") if "notes" in given else F.lit(self.title or self.ident.replace("_", " ")),
+            "notes": F.col("notes") if "notes" in given else self.noted(),
         }
         return df.select(*[c.alias(n) for n, c in pick.items()])
 
@@ -59,10 +71,6 @@ class Rows:
     def test(self) -> Column:
         return self.where() if self.where is not None else F.lit(True)
 
-    def __call__(self, case: Case) -> DataFrame:
-        out = case[self.table].filter(self.test()).select(self.value().alias("value"), self.first_seen().alias("first_seen"))
-        return out.distinct() if self.distinct else out
-
 
 @dataclass(frozen=True)
 class Counted:
@@ -74,40 +82,35 @@ class Counted:
     value: Callable[[], Column]
     at_least: int
     seen: str | None = "timestamp"
+    lists: tuple[Callable[[], Column], ...] = ()  # up to two columns whose distinct values the note names
 
     def key_columns(self) -> list[Column]:
         return [F.col(k) if isinstance(k, str) else k() for k in self.keys]
 
-    def __call__(self, case: Case) -> DataFrame:
-        seen = (F.col(self.seen) if self.seen else F.lit(None)).cast("timestamp")
-        lean = case[self.table].filter(self.where()).select(F.array(*[k.cast("string") for k in self.key_columns()]).alias("_k"), self.value().alias("value"), seen.alias("_s"))
-        grouped = lean.groupBy("_k", "value").agg(F.count(F.lit(1)).alias("_n"), F.min("_s").alias("first_seen"))
-        return grouped.filter(F.col("_n") >= self.at_least).select("value", "first_seen")
-
 
 def rows(table: str, where: Callable[[], Column] | None, value: Callable[[], Column], seen: str | None = None, distinct: bool = True) -> Rows:
     return Rows(table, where, value, seen, distinct)
 
 
-def counted(table: str, where: Callable[[], Column], keys: Sequence[str | Callable[[], Column]], value: Callable[[], Column], at_least: int, seen: str | None = "timestamp") -> Counted:
-    return Counted(table, where, tuple(keys), value, at_least, seen)
+def counted(table: str, where: Callable[[], Column], keys: Sequence[str | Callable[[], Column]], value: Callable[[], Column], at_least: int, seen: str | None = "timestamp", lists: Sequence[Callable[[], Column]] = ()) -> Counted:
+    return Counted(table, where, tuple(keys), value, at_least, seen, tuple(lists))
 
 
 def _labels(detectors: Sequence[Detector]) -> Column:
     """Number of a detector to its fixed columns."""
-    return F.create_map(*[x for i, d in enumerate(detectors) for x in (F.lit(i), F.struct(F.lit(d.kind).alias("type"), F.lit(f"detect:{d.ident}").alias("source"), F.lit(d.severity).alias("confidence"), F.lit(d.technique).cast("string").alias("related_campaign"), F.lit(d.title or d.ident.replace("_", " ")).alias("notes")))])
+    return F.create_map(*[x for i, d in enumerate(detectors) for x in (F.lit(i), F.struct(F.lit(d.kind).alias("type"), F.lit(f"detect:{d.ident}").alias("source"), F.lit(d.severity).alias("confidence"), F.lit(d.technique).cast("string").alias("related_campaign")))])
 
 
 def _finish(hits: DataFrame, detectors: Sequence[Detector]) -> DataFrame:
-    """(_i, value, first_seen) to findings."""
+    """(_i, value, first_seen, notes) to findings."""
     named = hits.withColumn("_l", _labels(detectors)[F.col("_i")])
-    return named.select("_l.type", "value", "_l.source", "_l.confidence", "_l.related_campaign", "first_seen", "_l.notes")
+    return named.select("_l.type", "value", "_l.source", "_l.confidence", "_l.related_campaign", "first_seen", "notes")
 
 
 def fused_rows(case: Case, table: str, detectors: Sequence[Detector]) -> DataFrame:
     """All filter-and-project detectors of one table in one scan of it."""
-    hits = F.array(*[F.when(F.coalesce(d.build.test(), F.lit(False)), F.struct(F.lit(i).alias("_i"), d.build.value().cast("string").alias("value"), d.build.first_seen().alias("first_seen"))) for i, d in enumerate(detectors)])
-    out = case[table].select(F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("_h")).select("_h._i", "_h.value", "_h.first_seen")
+    hits = F.array(*[F.when(F.coalesce(d.build.test(), F.lit(False)), F.struct(F.lit(i).alias("_i"), d.build.value().cast("string").alias("value"), d.build.first_seen().alias("first_seen"), d.noted().alias("notes"))) for i, d in enumerate(detectors)])
+    out = case[table].select(F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("_h")).select("_h._i", "_h.value", "_h.first_seen", "_h.notes")
     return _finish(out.distinct() if detectors[0].build.distinct else out, detectors)
 
 
@@ -118,11 +121,15 @@ def fused_counts(case: Case, table: str, detectors: Sequence[Detector]) -> DataF
     for i, d in enumerate(detectors):
         keys = F.array(*[k.cast("string") for k in d.build.key_columns()])
         seen = (F.col(d.build.seen) if d.build.seen else F.lit(None)).cast("timestamp")
-        parts.append(F.when(F.coalesce(d.build.where(), F.lit(False)), F.struct(F.lit(i).alias("_i"), keys.alias("_k"), d.build.value().cast("string").alias("value"), seen.alias("seen"))))
-    hits = source.select(F.explode(F.filter(F.array(*parts), lambda h: h.isNotNull())).alias("_h")).select("_h._i", "_h._k", "_h.value", "_h.seen")
+        lists = [make().cast("string") for make in d.build.lists]
+        named = [(lists[j] if j < len(lists) else F.lit(None).cast("string")).alias(n) for j, n in enumerate("ab")]
+        parts.append(F.when(F.coalesce(d.build.where(), F.lit(False)), F.struct(F.lit(i).alias("_i"), keys.alias("_k"), d.build.value().cast("string").alias("value"), seen.alias("seen"), *named)))
+    hits = source.select(F.explode(F.filter(F.array(*parts), lambda h: h.isNotNull())).alias("_h")).select("_h._i", "_h._k", "_h.value", "_h.seen", "_h.a", "_h.b")
     least = F.create_map(*[x for i, d in enumerate(detectors) for x in (F.lit(i), F.lit(d.build.at_least))])
-    agg = hits.groupBy("_i", "_k", "value").agg(F.count(F.lit(1)).alias("_n"), F.min("seen").alias("first_seen"))
-    return _finish(agg.filter(F.col("_n") >= least[F.col("_i")]).select("_i", "value", "first_seen"), detectors)
+    agg = hits.groupBy("_i", "_k", "value").agg(F.count(F.lit(1)).alias("_n"), F.min("seen").alias("first_seen"), F.array_sort(F.collect_set("a")).alias("_a"), F.array_sort(F.collect_set("b")).alias("_b"))
+    kept = agg.filter(F.col("_n") >= least[F.col("_i")])
+    notes = F.element_at(F.array(*[d.noted(F.col("_n").cast("string"), F.col("_a"), F.col("_b")) for d in detectors]), F.col("_i") + 1)
+    return _finish(kept.select("_i", "value", "first_seen", notes.alias("notes")), detectors)
 
 
 def empty(case: Case) -> DataFrame:
