@@ -35,35 +35,35 @@ def us(c: str) -> F.Column:
 
 def _detect(ident: str):
     def run(case: Case) -> DataFrame:
-        return BY_ID[ident].run(case).select("type", "value", "confidence", us("first_seen").alias("first_us"))
+        return BY_ID[ident].run(case).select("type", "value", "source", "confidence", "related_campaign", us("first_seen").alias("first_us"), "notes")
 
     return run
 
 
 REAL = "\"timestamp\" >= TIMESTAMP '2000-01-01'"
 BASE = "regexp_extract(lower({}), '[^/\\\\]*$', 0)"
-HUMAN = """NOT starts_with(lower("user"), 'umfd-') AND NOT starts_with(lower("user"), 'dwm-') AND lower("user") NOT IN ('local service', 'network service', 'anonymous logon'{more}) AND lower(domain) NOT IN ('font driver host', 'window manager')"""
+HUMAN = """NOT starts_with(lower("user"), 'umfd-') AND NOT starts_with(lower("user"), 'dwm-') AND lower("user") NOT IN ('local service', 'network service', 'anonymous logon'{more}) AND lower(coalesce(domain, '')) NOT IN ('font driver host', 'window manager')"""
 
 
-def _sql(kind: str, value: str, conf: str, seen: str, rest: str, distinct: bool = True) -> str:
-    return f"SELECT {'DISTINCT ' if distinct else ''}'{kind}' AS type, {value} AS value, '{conf}' AS confidence, epoch_us({seen}) AS first_us FROM {rest}"
+def _sql(kind: str, value: str, conf: str, seen: str, rest: str, distinct: bool = True, note: str = "''", technique: str | None = None) -> str:
+    return f"SELECT {'DISTINCT ' if distinct else ''}'{kind}' AS type, {value} AS value, 'detect:%s' AS source, '{conf}' AS confidence, {repr(technique) if technique else 'CAST(NULL AS VARCHAR)'} AS related_campaign, epoch_us({seen}) AS first_us, {note} AS notes FROM {rest}"
 
 
 _DETECTED = {
-    "brute_force": _sql("ip", "src_ip", "HIGH", 'min("timestamp")', f"auth_events WHERE event_id = 4625 AND src_ip NOT IN ('', '-', '127.0.0.1') AND {REAL} GROUP BY src_ip HAVING count(*) >= 5", False),
-    "rdp_brute_force": _sql("ip", "src_ip", "HIGH", 'min("timestamp")', f"auth_events WHERE event_id = 4625 AND logon_type = 10 AND src_ip NOT IN ('', '-', '127.0.0.1', '::1') AND {REAL} GROUP BY src_ip HAVING count(*) >= 5", False),
-    "explicit_credentials": _sql("auth", "\"user\" || '@' || coalesce(domain, '')", "MED", 'min("timestamp")', f"auth_events WHERE event_id = 4648 AND {REAL} AND {HUMAN.format(more='')} GROUP BY \"user\", domain HAVING count(*) >= 2", False),
-    "pass_the_hash": _sql("auth", "\"user\" || '@' || coalesce(domain, '')", "HIGH", 'min("timestamp")', f"auth_events WHERE event_id = 4648 AND \"user\" <> '' AND NOT ends_with(\"user\", '$') AND {REAL} AND " + HUMAN.format(more=", 'window manager'") + ' GROUP BY "user", domain HAVING count(*) >= 10', False),
-    "anon_smb_cluster": _sql("ip", "coalesce(nullif(src_ip, ''), coalesce(workstation, 'unknown'))", "HIGH", 'min("timestamp")', f"auth_events WHERE (lower(\"user\") IN ('anonymous logon', 'anonymous', '') OR \"user\" IS NULL) AND logon_type = 3 AND {REAL} GROUP BY coalesce(nullif(src_ip, ''), coalesce(workstation, 'unknown')) HAVING count(*) >= 3", False),
-    "ssh_bruteforce": "SELECT 'ip' AS type, src_ip AS value, 'HIGH' AS confidence, epoch_us(min(try_cast(\"timestamp\" AS TIMESTAMP))) AS first_us FROM linux_auth WHERE event_type IN ('ssh_login_failed', 'ssh_invalid_user') AND src_ip <> '' GROUP BY src_ip HAVING count(*) >= 20",
-    "proc_create_lolbin": _sql("process", "image", "HIGH", '"timestamp"', f"proc_creation WHERE {BASE.format('image')} IN ('certutil.exe', 'mshta.exe', 'regsvr32.exe', 'wscript.exe', 'cscript.exe', 'msiexec.exe', 'installutil.exe', 'regasm.exe', 'regsvcs.exe', 'odbcconf.exe', 'ieexec.exe', 'xwizard.exe', 'expand.exe', 'extrac32.exe', 'pcwrun.exe', 'appsyncpublishingserver.exe') AND {REAL}"),
-    "proc_create_susp_parent": _sql("process", "image", "HIGH", '"timestamp"', f"proc_creation WHERE {BASE.format('image')} IN ('cmd.exe', 'powershell.exe', 'pwsh.exe', 'wscript.exe', 'cscript.exe', 'mshta.exe') AND {BASE.format('parent_image')} IN ('winword.exe', 'excel.exe', 'powerpnt.exe', 'outlook.exe', 'msaccess.exe', 'chrome.exe', 'firefox.exe', 'msedge.exe', 'iexplore.exe', 'opera.exe', 'acrord32.exe') AND {REAL}"),
-    "proc_create_susp_path": _sql("process", "image", "MED", '"timestamp"', f"proc_creation WHERE regexp_matches(translate(lower(image), '\\', '/'), '/temp/|/appdata/local/temp/|/appdata/roaming/|/downloads/|/public/') AND ends_with(lower(image), '.exe') AND {REAL}"),
-    "ps_scriptblock_download_cradle": _sql("process", "left(script_text, 200)", "HIGH", '"timestamp"', "ps_scriptblock WHERE regexp_matches(lower(script_text), 'downloadstring|invoke-expression|iex\\(|frombase64string|-enc |-encodedcommand') AND NOT regexp_matches(lower(script_text), 'chocolatey|copyright|microsoft\\.com|#requires')"),
+    "brute_force": _sql("ip", "src_ip", "HIGH", 'min("timestamp")', f"auth_events WHERE event_id = 4625 AND src_ip NOT IN ('', '-', '127.0.0.1') AND {REAL} GROUP BY src_ip HAVING count(*) >= 5", False, note="'Brute force: ' || count(*) || ' failed logons'", technique="T1110.001"),
+    "rdp_brute_force": _sql("ip", "src_ip", "HIGH", 'min("timestamp")', f"auth_events WHERE event_id = 4625 AND logon_type = 10 AND src_ip NOT IN ('', '-', '127.0.0.1', '::1') AND {REAL} GROUP BY src_ip HAVING count(*) >= 5", False, note="'RDP brute force: ' || count(*) || ' failures (logon_type=10)'", technique="T1110.001"),
+    "explicit_credentials": _sql("auth", "\"user\" || '@' || coalesce(domain, '')", "MED", 'min("timestamp")', f"auth_events WHERE event_id = 4648 AND {REAL} AND {HUMAN.format(more='')} GROUP BY \"user\", domain HAVING count(*) >= 2", False, note="'Explicit creds ×' || count(*) || ' from ' || array_to_string(list_sort(list(DISTINCT coalesce(src_ip, '-'))), ',') || ' workstation=' || array_to_string(list_sort(list(DISTINCT coalesce(workstation, '-'))), ',')", technique="T1550.002"),
+    "pass_the_hash": _sql("auth", "\"user\" || '@' || coalesce(domain, '')", "HIGH", 'min("timestamp")', f"auth_events WHERE event_id = 4648 AND \"user\" <> '' AND NOT ends_with(\"user\", '$') AND {REAL} AND " + HUMAN.format(more=", 'window manager'") + ' GROUP BY "user", domain HAVING count(*) >= 10', False, note="'Pass-the-Hash: ' || count(*) || ' explicit credential events, src=' || array_to_string(list_sort(list(DISTINCT coalesce(src_ip, '-'))), ', ')", technique="T1550.002"),
+    "anon_smb_cluster": _sql("ip", "coalesce(nullif(src_ip, ''), coalesce(workstation, 'unknown'))", "HIGH", 'min("timestamp")', f"auth_events WHERE (lower(\"user\") IN ('anonymous logon', 'anonymous', '') OR \"user\" IS NULL) AND logon_type = 3 AND {REAL} GROUP BY coalesce(nullif(src_ip, ''), coalesce(workstation, 'unknown')) HAVING count(*) >= 3", False, note="'Anonymous SMB logon cluster: ' || count(*) || ' events (logon_type=3, null session)'", technique="T1021.002/EternalBlue"),
+    "ssh_bruteforce": "SELECT 'ip' AS type, src_ip AS value, 'detect:%s' AS source, 'HIGH' AS confidence, CAST(NULL AS VARCHAR) AS related_campaign, epoch_us(min(try_cast(\"timestamp\" AS TIMESTAMP))) AS first_us, 'SSH brute force: ' || count(*) || ' failed attempts' AS notes FROM linux_auth WHERE event_type IN ('ssh_login_failed', 'ssh_invalid_user') AND src_ip <> '' GROUP BY src_ip HAVING count(*) >= 20",
+    "proc_create_lolbin": _sql("process", "image", "HIGH", '"timestamp"', f"proc_creation WHERE {BASE.format('image')} IN ('certutil.exe', 'mshta.exe', 'regsvr32.exe', 'wscript.exe', 'cscript.exe', 'msiexec.exe', 'installutil.exe', 'regasm.exe', 'regsvcs.exe', 'odbcconf.exe', 'ieexec.exe', 'xwizard.exe', 'expand.exe', 'extrac32.exe', 'pcwrun.exe', 'appsyncpublishingserver.exe') AND {REAL}", note="'LOLBin via event 4688: ' || coalesce(nullif(cmdline, ''), image)", technique="T1218"),
+    "proc_create_susp_parent": _sql("process", "image", "HIGH", '"timestamp"', f"proc_creation WHERE {BASE.format('image')} IN ('cmd.exe', 'powershell.exe', 'pwsh.exe', 'wscript.exe', 'cscript.exe', 'mshta.exe') AND {BASE.format('parent_image')} IN ('winword.exe', 'excel.exe', 'powerpnt.exe', 'outlook.exe', 'msaccess.exe', 'chrome.exe', 'firefox.exe', 'msedge.exe', 'iexplore.exe', 'opera.exe', 'acrord32.exe') AND {REAL}", note="'Shell spawned by Office/browser via 4688 — parent=' || coalesce(parent_image, '?') || ' cmd=' || coalesce(nullif(cmdline, ''), image)", technique="T1566.001"),
+    "proc_create_susp_path": _sql("process", "image", "MED", '"timestamp"', f"proc_creation WHERE regexp_matches(translate(lower(image), '\\', '/'), '/temp/|/appdata/local/temp/|/appdata/roaming/|/downloads/|/public/') AND ends_with(lower(image), '.exe') AND {REAL}", note="'Executable from suspicious write location: ' || coalesce(nullif(cmdline, ''), image)", technique="T1036"),
+    "ps_scriptblock_download_cradle": _sql("process", "left(script_text, 200)", "HIGH", '"timestamp"', "ps_scriptblock WHERE regexp_matches(lower(script_text), 'downloadstring|invoke-expression|iex\\(|frombase64string|-enc |-encodedcommand') AND NOT regexp_matches(lower(script_text), 'chocolatey|copyright|microsoft\\.com|#requires')", note="'PS download cradle or obfuscation detected'"),
 }
 for _id, _text in _DETECTED.items():
     QUERIES[f"detect_{_id}"] = lambda spark, sf_dir, run=_detect(_id): run(Case(spark, sf_dir))
-    ORACLE[f"detect_{_id}"] = _text
+    ORACLE[f"detect_{_id}"] = _text.replace("detect:%s", f"detect:{_id}")
 
 
 def _shell(ident: str, where: str) -> None:
