@@ -7,6 +7,7 @@ slashes), names by their last component, and text literally.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -396,24 +397,39 @@ add("bits_suspicious_download", "HIGH", "url", "T1197", lambda case: case["bits_
 BY_ID = {d.ident: d for d in DETECTORS}
 
 
-def run_detectors(case: Case, only: list[str] | None = None) -> DataFrame:
-    """Findings of all detectors (or those named) whose required tables were collected.
+def run_detectors(case: Case, only: list[str] | None = None, errors: dict[str, str] | None = None) -> DataFrame:
+    """Findings of all detectors (or those named) whose required tables hold rows.
 
     A detector whose tables are missing or empty gives no rows. Detectors that
-    filter or count one table share one scan of it (and one aggregation).
+    filter or count one table share one scan of it (and one aggregation). One
+    that can't be planned on this case (a column of another type, say) is left
+    out and recorded in ``errors``, the others run; without ``errors`` it is raised.
     """
     chosen = [BY_ID[i] for i in only] if only else DETECTORS
-    ready = [d for d in chosen if all(case.has(t) for t in d.requires)]
+    ready = [d for d in chosen if all(case.has_rows(t) for t in d.requires)]
     groups: dict[tuple, list[Detector]] = {}
     for d in ready:
         key = ("rows", d.build.table, d.build.distinct) if isinstance(d.build, Rows) else ("counts", d.build.table) if isinstance(d.build, Counted) else ("own", d.ident)
         groups.setdefault(key, []).append(d)
-    frames = []
+    frames: list[DataFrame] = []
+
+    def planned(key: tuple, ds: list[Detector]) -> None:
+        try:
+            if key[0] == "own":
+                frames.append(ds[0].run(case))
+            elif case.has(key[1]):
+                frames.append((fused_rows if key[0] == "rows" else fused_counts)(case, key[1], ds))
+        except AnalysisException as e:
+            if errors is None:
+                raise
+            if len(ds) == 1:
+                errors[ds[0].ident] = str(e).splitlines()[0]
+            else:  # find out which of them it is
+                for d in ds:
+                    planned(key, [d])
+
     for key, ds in groups.items():
-        if key[0] == "own":
-            frames.append(ds[0].run(case))
-        elif case.has(key[1]):
-            frames.append((fused_rows if key[0] == "rows" else fused_counts)(case, key[1], ds))
+        planned(key, ds)
     return union(case, frames)
 
 

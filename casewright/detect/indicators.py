@@ -98,27 +98,40 @@ def extract_case(case: Case) -> DataFrame:
     return extract_from(frames)
 
 
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+
+
 def classify(value: Column) -> Column:
-    """What a listed indicator is: url, sha256, sha1, md5, ip, path, domain or indicator."""
+    """What a listed indicator is: url, sha256, sha1, md5, ip, path, domain or indicator; null for a null or blank text."""
     v = F.trim(value)
     return (
-        F.when(F.lower(v).rlike("^https?://"), "url")
+        F.when(v.isNull() | (v == ""), F.lit(None).cast("string"))
+        .when(v.startswith("http://") | v.startswith("https://"), "url")
         .when(v.rlike("^[A-Fa-f0-9]{64}$"), "sha256")
         .when(v.rlike("^[A-Fa-f0-9]{40}$"), "sha1")
         .when(v.rlike("^[A-Fa-f0-9]{32}$"), "md5")
-        .when(v.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|[01]?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d?\d)$"), "ip")
-        .when(v.contains("\\") | v.startswith("/"), "path")
-        .when(v.contains(".") & ~v.contains(" "), "domain")
+        .when(v.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "ip")
+        .when(v.contains("\\") | v.contains("/"), "path")
+        .when(v.rlike(r"^[A-Za-z0-9._-]*\.[A-Za-z0-9_-]{2,}$"), "domain")
         .otherwise("indicator")
     )
 
 
-def import_list(known: DataFrame, lines: DataFrame, source: str, column: str = "value") -> DataFrame:
-    """Rows of a list of indicators that are not yet known from this source (by lower-cased value): type, value, source.
+def normal_value(value: Column) -> Column:
+    """The value as it is kept: without blanks around it, hashes and domains in small letters."""
+    v = F.trim(value)
+    return F.when(classify(value).isin("md5", "sha1", "sha256", "domain"), F.lower(v)).otherwise(v)
+
+
+def import_list(known: DataFrame, lines: DataFrame, source: str, column: str = "value", confidence: str = "HIGH", campaign: str = "") -> DataFrame:
+    """Rows of a list of indicators that are not yet known from this source (by lower-cased value): type, value, source, confidence, related_campaign.
 
-    Comments (# or //) and blank lines are skipped; repeats within the list count once.
+    Comments (# or //), null and blank lines are skipped; of repeats within the
+    list, whatever their case, the smallest spelling counts. A confidence other
+    than HIGH, MED or LOW is HIGH.
     """
-    fresh = lines.select(F.trim(F.col(column)).alias("value")).filter((F.col("value") != "") & ~F.col("value").rlike("^(?:#|//)"))
-    once = fresh.groupBy(F.lower("value").alias("_k")).agg(F.min("value").alias("value"))
+    fresh = lines.select(F.trim(F.col(column)).alias("_line")).filter((F.col("_line") != "") & ~F.col("_line").rlike("^(?:#|//)"))
+    once = fresh.select(normal_value(F.col("_line")).alias("value")).groupBy(F.lower("value").alias("_k")).agg(F.min("value").alias("value"))
     old = known.filter(F.col("source") == source).select(F.lower("value").alias("_k")).distinct()
-    return once.join(old, "_k", "left_anti").select(classify(F.col("value")).alias("type"), "value", F.lit(source).alias("source"))
+    grade = confidence if confidence in ("HIGH", "MED", "LOW") else "HIGH"
+    return once.join(old, "_k", "left_anti").select(classify(F.col("value")).alias("type"), "value", F.lit(source).alias("source"), F.lit(grade).alias("confidence"), F.lit(campaign.strip()).alias("related_campaign"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..detect.detectors import BY_ID, run_detectors
 from ..detect.findings import multi_source
-from ..detect.indicators import classify, extract_from, import_list
+from ..detect.indicators import classify, extract_from, import_list, normal_value
 from ..detect.patterns import PatternRule, scan
 from ..detect.sigma import parse_rule, run_rule
 from ..functions.text import joined
@@ -347,20 +349,63 @@ def _(case: Case) -> DataFrame:
     return extract_case(case).groupBy("type", "source").agg(F.count(F.lit(1)).alias("n_values"), F.sum("count").alias("n_hits"))
 
 
-@query("ioc_classify", "SELECT CASE WHEN regexp_matches(lower(trim(remote_addr)), '^https?://') THEN 'url' WHEN regexp_matches(trim(remote_addr), '^(?:(?:25[0-5]|2[0-4]\\d|[01]?\\d?\\d)\\.){3}(?:25[0-5]|2[0-4]\\d|[01]?\\d?\\d)$') THEN 'ip' WHEN starts_with(trim(remote_addr), '/') THEN 'path' WHEN contains(trim(remote_addr), '.') AND NOT contains(trim(remote_addr), ' ') THEN 'domain' ELSE 'indicator' END AS kind, count(*) AS n_rows FROM mem_netscan WHERE remote_addr IS NOT NULL GROUP BY 1")
+# One of each kind, and what is none of it: (text, kind, as kept).
+_LISTED = (
+    ("http://a.test/x", "url", "http://a.test/x"), ("HTTP://a.test", "path", "HTTP://a.test"), ("A" * 64, "sha256", "a" * 64), ("B" * 40, "sha1", "b" * 40), (" cC" + "0" * 30, "md5", "cc" + "0" * 30), ("1.2.3.4", "ip", "1.2.3.4"), ("1.2.3.256", "domain", "1.2.3.256"), ("C:\\a\\b", "path", "C:\\a\\b"), ("tmp/x", "path", "tmp/x"),
+    ("Sub.Example.COM", "domain", "sub.example.com"), ("a.b", "indicator", "a.b"), ("a b.com", "indicator", "a b.com"), ("word", "indicator", "word"), ("f" * 33, "indicator", "f" * 33), ("", None, ""), ("no-dots_here", "indicator", "no-dots_here"), ("ends.with.", "indicator", "ends.with."),
+)
+_CLASSIFY_SQL = """
+WITH v AS (SELECT remote_addr AS x FROM mem_netscan UNION ALL SELECT url FROM browser_history UNION ALL SELECT image FROM proc_creation UNION ALL SELECT computer FROM evtx_events UNION ALL SELECT from_addr FROM emails UNION ALL SELECT * FROM (VALUES %s)),
+t AS (SELECT trim(x) AS x FROM v),
+k AS (SELECT x, CASE WHEN x IS NULL OR x = '' THEN NULL WHEN starts_with(x, 'http://') OR starts_with(x, 'https://') THEN 'url'
+  WHEN regexp_full_match(x, '[A-Fa-f0-9]+') AND length(x) IN (32, 40, 64) THEN CASE length(x) WHEN 32 THEN 'md5' WHEN 40 THEN 'sha1' ELSE 'sha256' END
+  WHEN regexp_full_match(x, '[0-9]{1,3}(\\.[0-9]{1,3}){3}') AND greatest(CAST(split_part(x, '.', 1) AS INT), CAST(split_part(x, '.', 2) AS INT), CAST(split_part(x, '.', 3) AS INT), CAST(split_part(x, '.', 4) AS INT)) <= 255 THEN 'ip'
+  WHEN contains(x, '/') OR contains(x, '\\') THEN 'path'
+  WHEN contains(x, '.') AND regexp_full_match(x, '[A-Za-z0-9._-]*') AND length(string_split(x, '.')[-1]) >= 2 THEN 'domain' ELSE 'indicator' END AS kind FROM t)
+SELECT kind, CASE WHEN kind IN ('md5', 'sha1', 'sha256', 'domain') THEN lower(x) ELSE x END AS value, count(*) AS n_rows FROM k GROUP BY 1, 2
+""" % ", ".join("('" + x.replace("'", "''") + "')" for x, *_ in _LISTED)
+
+
+@query("ioc_classify", _CLASSIFY_SQL.replace("\\\\", "\\"))
+def _(case: Case) -> DataFrame:
+    own = case.spark.createDataFrame([(x,) for x, *_ in _LISTED], "x string")
+    texts = [case[t].select(F.col(c).alias("x")) for t, c in (("mem_netscan", "remote_addr"), ("browser_history", "url"), ("proc_creation", "image"), ("evtx_events", "computer"), ("emails", "from_addr"))]
+    every = reduce(DataFrame.unionByName, [own, *texts])
+    return every.groupBy(classify(F.col("x")).alias("kind"), normal_value(F.col("x")).alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+_IMPORT_SQL = """
+WITH v AS (SELECT trim(x) AS x FROM (SELECT remote_addr AS x FROM mem_netscan UNION ALL SELECT from_addr FROM emails UNION ALL SELECT '# comment' UNION ALL SELECT '// other' UNION ALL SELECT 'Evil.Test' UNION ALL SELECT 'EVIL.test' UNION ALL SELECT '10.0.0.1' UNION ALL SELECT '  ')),
+n AS (SELECT DISTINCT CASE WHEN x IN ('Evil.Test', 'EVIL.test') THEN 'evil.test' ELSE x END AS x FROM v WHERE x <> '' AND NOT starts_with(x, '#') AND NOT starts_with(x, '//'))
+SELECT min(x) AS value, 'manual:list' AS source, 'MED' AS confidence, 'camp' AS related_campaign FROM n
+WHERE lower(x) NOT IN (SELECT lower(src_ip) FROM auth_events WHERE src_ip IS NOT NULL) GROUP BY lower(x)
+"""
+
+
+@query("ioc_import_absent", _IMPORT_SQL)
 def _(case: Case) -> DataFrame:
-    return case["mem_netscan"].filter("remote_addr IS NOT NULL").groupBy(classify(F.col("remote_addr")).alias("kind")).agg(F.count(F.lit(1)).alias("n_rows"))
+    known = case["auth_events"].select(F.col("src_ip").alias("value"), F.lit("manual:list").alias("source")).filter("value IS NOT NULL")
+    own = case.spark.createDataFrame([(x,) for x in ("# comment", "// other", "Evil.Test", "EVIL.test", "10.0.0.1", "  ")], "value string")
+    lines = own.unionByName(case["mem_netscan"].select(F.col("remote_addr").alias("value"))).unionByName(case["emails"].select(F.col("from_addr").alias("value")))
+    return import_list(known, lines, "manual:list", "value", "MED", " camp ").select("value", "source", "confidence", "related_campaign")
+
 
+_URLS = ("http://plain.test/a", "HTTP://x.test", "https://PasteBin.com/raw/1", "https://gofile.io/d/x", "https://bit.ly/3", "https://x.test/?u=http://y", "https://example.org/", "ftp://paste.ee/x", "https://raw.githubusercontent.com/a/b", "https://megaanz.test")
 
-@query("ioc_import_absent", "SELECT min(trim(workstation)) AS value, 'list' AS source FROM auth_events WHERE trim(workstation) <> '' AND lower(trim(workstation)) NOT IN (SELECT lower(computer) FROM proc_creation WHERE computer IS NOT NULL) GROUP BY lower(trim(workstation))")
+
+@query("suspicious_urls", "SELECT browser, url, title, epoch_us(visit_time) AS visit_us FROM (SELECT browser, url, title, visit_time FROM browser_history UNION ALL SELECT 'x', u, NULL, NULL FROM (VALUES " + ", ".join(f"('{u}')" for u in _URLS) + ") AS t(u)) WHERE regexp_matches(lower(url), '^http://|pastebin|hastebin|paste\\.ee|mega\\.nz|gofile\\.io|sendspace|wetransfer|anonfiles|bayfiles|raw\\.githubusercontent|bit\\.ly|tinyurl')")
 def _(case: Case) -> DataFrame:
-    known = case["proc_creation"].select(F.col("computer").alias("value"), F.lit("list").alias("source")).filter("value IS NOT NULL")
-    return import_list(known, case["auth_events"], "list", "workstation").select("value", "source")
+    own = case.spark.createDataFrame([("x", u) for u in _URLS], "browser string, url string")
+    both = case["browser_history"].unionByName(own, allowMissingColumns=True)
+    return L.suspicious_urls(case.with_tables(browser_history=both)).select("browser", "url", "title", us("visit_time").alias("visit_us"))
+
+
+_KEYS = ("HKLM\\Software\\Microsoft\\Windows\\CurrentVersion\\Run", "HKCU\\software\\microsoft\\windows\\currentversion\\RUNONCE\\x", "HKLM\\Software\\Microsoft\\Windows NT\\CurrentVersion\\Winlogon", "HKLM\\x\\Image File Execution Options\\a.exe", "HKLM\\x\\AppCertDlls", "HKLM\\x\\AppInitDLLs", "HKCU\\x\\Policies\\Explorer\\Run", "HKLM\\x\\ShellServiceObjectDelayLoad", "HKLM\\System\\Services\\svc\\ImagePath", "HKLM\\System\\Services\\svc\\Start", "HKLM\\x\\BootExecute", "HKLM\\x\\SessionManager\\SubSystems", "HKLM\\System\\Lsa\\x", "HKLM\\x\\NetSh\\h", "HKLM\\x\\Print\\Providers\\p", "HKLM\\x\\SecurityProviders", "HKCU\\Software\\Downloads\\Upload", "HKLM\\CurrentVersion\\Explorer")
 
 
-@query("suspicious_urls")
+@query("autoruns_of_keys", "SELECT k AS key_path FROM (VALUES " + ", ".join(f"('{x}')" for x in _KEYS) + ") AS t(k) WHERE k ILIKE '%\\CurrentVersion\\Run%' OR k ILIKE '%\\Winlogon%' OR k ILIKE '%Image File Execution Options%' OR k ILIKE '%AppCertDlls%' OR k ILIKE '%AppInitDLLs%' OR k ILIKE '%\\Policies\\Explorer\\Run%' OR k ILIKE '%ShellServiceObjectDelayLoad%' OR k ILIKE '%\\Services\\%ImagePath%' OR k ILIKE '%BootExecute%' OR k ILIKE '%SessionManager\\SubSystems%' OR k ILIKE '%LSA\\%' OR k ILIKE '%NetSH\\%' OR k ILIKE '%Print\\Providers%' OR k ILIKE '%SecurityProviders%'")
 def _(case: Case) -> DataFrame:
-    return L.suspicious_urls(case).select("browser", "url", "title", us("visit_time").alias("visit_us"))
+    return L.autoruns(case.with_tables(registry_raw=case.spark.createDataFrame([(x,) for x in _KEYS], "key_path string"))).select("key_path")
 
 
 @query("table_counts")

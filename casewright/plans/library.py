@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, has, is_private_ip, joined, low, severity_rank
+from ..functions.text import basename, has, is_private_ip, joined, low, ordered, severity_rank, starts
 from ..schema import TABLES, Case
 
 c = F.col
@@ -158,9 +158,9 @@ def top(df: DataFrame, key: Column, n: int = 10, name: str = "key") -> DataFrame
 
 # ---- lists with filters: one function for the many that only differ in table and columns
 
-# Suspicious pieces of addresses, folders and keys.
-SUSPICIOUS_URLS = ("http://", "pastebin", "raw.githubusercontent", "ngrok", "transfer.sh", "mega.nz", "anonfiles", ".onion", "bit.ly", "tinyurl", "discordapp.com/attachments", ".exe", ".ps1")
-AUTORUN_KEYS = ("currentversion\\run", "runonce", "winlogon", "userinit", "appinit_dlls", "image file execution", "active setup", "shellserviceobject", "browser helper", "policies\\explorer\\run", "session manager", "lsa\\", "services\\", "load", "startupapproved")
+# Pieces of addresses that are worth a look (and any address without encryption), and pieces of keys that start programs (parted by …).
+SUSPICIOUS_URLS = ("pastebin", "hastebin", "paste.ee", "mega.nz", "gofile.io", "sendspace", "wetransfer", "anonfiles", "bayfiles", "raw.githubusercontent", "bit.ly", "tinyurl")
+AUTORUN_KEYS = ("\\currentversion\\run", "\\currentversion\\runonce", "\\winlogon", "image file execution options", "appcertdlls", "appinitdlls", "\\policies\\explorer\\run", "shellserviceobjectdelayload", "\\services\\…imagepath", "bootexecute", "sessionmanager\\subsystems", "lsa\\", "netsh\\", "print\\providers", "securityproviders")
 
 
 def listed(case: Case, table: str, term: str | None = None, columns: tuple[str, ...] = (), newest: str | None = None, limit: int | None = None, where: Column | None = None) -> DataFrame:
@@ -176,11 +176,11 @@ def listed(case: Case, table: str, term: str | None = None, columns: tuple[str,
 
 
 def suspicious_urls(case: Case) -> DataFrame:
-    return listed(case, "browser_history", where=has("url", *SUSPICIOUS_URLS))
+    return listed(case, "browser_history", where=has("url", *SUSPICIOUS_URLS) | starts("url", "http://"))
 
 
 def autoruns(case: Case) -> DataFrame:
-    return listed(case, "registry_raw", where=has("key_path", *AUTORUN_KEYS))
+    return listed(case, "registry_raw", where=ordered("key_path", *AUTORUN_KEYS))
 
 
 # ---- free SQL

@@ -10,10 +10,8 @@ zoneless timestamps.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,10 +112,26 @@ class Case:
     def __init__(self, spark: SparkSession, folder: str | None = None, tables: dict[str, DataFrame] | None = None):
         self.spark, self.folder, self.given = spark, folder, dict(tables or {})
         self._kept: dict[str, DataFrame] = {}
+        self._there: dict[str, bool] = {}
+        self._filled: dict[str, bool] = {}
 
     def has(self, name: str) -> bool:
         """Whether the table was collected (it may still be empty)."""
-        return name in self.given or bool(self.folder) and ("://" in self.folder or os.path.exists(f"{self.folder}/{name}.parquet"))
+        if name not in self._there:
+            self._there[name] = name in self.given or bool(self.folder) and self._exists(f"{self.folder}/{name}.parquet")
+        return self._there[name]
+
+    def _exists(self, path: str) -> bool:
+        """Whether a file or folder is there, on whatever file system its path names; errors of that system are raised."""
+        jvm = self.spark._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        return bool(place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(place))
+
+    def has_rows(self, name: str) -> bool:
+        """Whether the table was collected and holds a row."""
+        if name not in self._filled:
+            self._filled[name] = self.has(name) and not self.get(name).isEmpty()
+        return self._filled[name]
 
     def get(self, name: str) -> DataFrame:
         if name not in self._kept:
@@ -149,10 +163,7 @@ class Case:
 
     def _hosts(self) -> DataFrame | None:
         """host, zone_name, date_order of the case's machines, where that table was collected."""
-        try:
-            df = self.given["hosts"] if "hosts" in self.given else self.spark.read.parquet(f"{self.folder}/hosts.parquet") if self.has("hosts") else None
-        except AnalysisException:  # a remote folder without it
-            return None
+        df = self.given["hosts"] if "hosts" in self.given else self.spark.read.parquet(f"{self.folder}/hosts.parquet") if self.has("hosts") else None
         return df if df is None else df.select("host", "zone_name", "date_order").filter(F.col("host").isNotNull() & F.col("zone_name").isNotNull())
 
     def _instants(self, df: DataFrame, stamps: dict[str, str]) -> DataFrame:

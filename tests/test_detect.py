@@ -126,3 +126,19 @@ def test_indicators(spark):
     assert kinds["a" * 32] == "md5" and kinds["1.2.3.4"] == "ip" and kinds["1.2.3.999"] == "domain" and kinds["a\\b"] == "path" and kinds["word"] == "indicator"
     known = spark.createDataFrame([("WORD", "l"), ("x.com", "other")], "value string, source string")
     assert sorted(r["value"].lower() for r in import_list(known, lines, "l").collect()) == sorted(["a" * 32, "a" * 40, "1.2.3.4", "1.2.3.999", "a\\b", "x.com"])
+
+
+def test_missing_and_unreadable_tables(spark, tmp_path):
+    spark.createDataFrame([("a", True)], "path string, is_dir boolean").write.parquet(f"{tmp_path}/mft.parquet")
+    for folder in (str(tmp_path), f"file://{tmp_path}"):
+        case = Case(spark, folder)
+        assert case.has("mft") and case.has_rows("mft") and not case.has("amcache") and not case.has_rows("amcache")
+        assert run_detectors(case, ["amcache_ghost", "exe_user_docs"]).count() == 0
+
+
+def test_one_failing_detector_is_recorded(spark):
+    bad = spark.createDataFrame([([1], "Incoming")], "anydesk_id array<int>, direction string")
+    case = Case(spark, tables={"anydesk_sessions": bad, "services": spark.createDataFrame([("router", "R", "b", "auto")], "name string, display_name string, binary_path string, start_type string")})
+    errors = {}
+    found = run_detectors(case, ["anydesk_incoming_session", "anomalous_routing_svc"], errors).collect()
+    assert [r["value"] for r in found] == ["router [R]"] and list(errors) == ["anydesk_incoming_session"]
