@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import TABLES
+from .packed import unmam
 
 EPOCH = dt.datetime(1970, 1, 1)
 
@@ -123,9 +124,8 @@ def recycle_bin(data: bytes, path: str) -> Iterator[dict]:
 
 
 def prefetch(data: bytes, path: str) -> Iterator[dict]:
-    """Uncompressed traces of versions 17 to 31; compressed ones are reported as unreadable."""
-    if data[:3] == b"MAM":
-        raise ValueError("compressed prefetch file")
+    """Traces of versions 17 to 31, compressed or not."""
+    data = unmam(data)
     version, magic = struct.unpack_from("<I4s", data)
     if magic != b"SCCA":
         raise ValueError("no prefetch file")
@@ -352,12 +352,24 @@ DECODERS: dict[str, tuple[Callable[[bytes, str], Iterator[dict]], str]] = {
 }
 
 
+def _later() -> dict[str, tuple[Callable[[bytes, str], Iterator[dict]], str]]:
+    """Decoders of the modules that build on this one."""
+    from . import shellitems as S
+
+    return {"shimcache": (S.shimcache, TABLES["shimcache"]), "shellbags": (S.shellbags, TABLES["shellbags"]), "jumplists": (S.jumplists, TABLES["jumplists"]), "msg": (S.msg, TABLES["emails"])}
+
+
+def decoders() -> dict[str, tuple[Callable[[bytes, str], Iterator[dict]], str]]:
+    """Every reader of whole files by name: function and columns."""
+    return {**DECODERS, **_later()}
+
+
 def decode(files: DataFrame, reader: str, keep_going: bool = True) -> DataFrame:
     """Rows of all files that ask for a reader (frame of ``router.files``, or any with path and content).
 
     keep_going: a damaged file gives the rows before the damage; else it fails.
     """
-    fn, ddl = DECODERS[reader]
+    fn, ddl = decoders()[reader]
     names = [c.split(" ")[0] for c in ddl.split(", ")]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -396,15 +408,17 @@ def _frame(rows: list[tuple], names: list[str], ddl: str) -> pd.DataFrame:
 def source_files(files: DataFrame) -> DataFrame:
     """path, type, sha256, size, error of every file with a decoder: error is null where all of it could be read."""
 
+    known = decoders()
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for path, content, size, asked in zip(b["path"], b["content"], b["length"], b["readers"]):
                 for reader in asked:
                     error = None
-                    if reader in DECODERS:
+                    if reader in known:
                         try:
-                            for _ in DECODERS[reader][0](bytes(content), path):
+                            for _ in known[reader][0](bytes(content), path):
                                 pass
                         except Exception as e:
                             error = f"{type(e).__name__}: {e}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,9 @@ ROUTES = (
     ("recycle_bin", r"(?:^|/)\$i[a-z0-9]{6}(?:\.[^/]*)?$"),
     ("amcache", r"(?:^|/)amcache\.hve$"),
     ("hive", r"(?:^|/)(?:system|software|sam|security)$"),
+    ("shimcache", r"(?:^|/)system$"),
     ("hive", r"(?:^|/)(?:ntuser\.dat|usrclass\.dat)$"),
+    ("shellbags", r"(?:^|/)(?:ntuser\.dat|usrclass\.dat)$"),
     ("browser", r"(?:^|/)(?:history|places\.sqlite)$"),
     ("eml", r"\.eml$"),
     ("mbox", r"\.mbox$|(?:^|/)mbox$"),
@@ -52,6 +56,12 @@ def user_of(path: Column) -> Column:
     return F.regexp_extract(F.translate(path, "\\", "/"), r"(?i)(?:^|/)(?:users|documents and settings|home)/([^/]+)/", 1)
 
 
+def user_in(path: str) -> str:
+    """The same for one path, inside a reader."""
+    m = re.search(r"(?i)(?:^|/)(?:users|documents and settings|home)/([^/]+)/", path.replace("\\", "/"))
+    return m.group(1) if m else ""
+
+
 def channel_of(path: Column, provider: bool = True) -> Column:
     """Channel of an exported event log's name: provider/channel, or only what stands behind the last %4."""
     base = F.regexp_replace(F.regexp_extract(F.translate(path, "\\", "/"), r"[^/]*$", 0), r"(?i)\.evtx$", "")
@@ -64,4 +74,4 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     return df.withColumn("readers", readers(F.col("path")))
 
 
-__all__ = ["ROUTES", "channel_of", "files", "low", "readers", "user_of"]
+__all__ = ["ROUTES", "channel_of", "files", "low", "readers", "user_in", "user_of"]
