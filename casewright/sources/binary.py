@@ -354,9 +354,10 @@ DECODERS: dict[str, tuple[Callable[[bytes, str], Iterator[dict]], str]] = {
 
 def _later() -> dict[str, tuple[Callable[[bytes, str], Iterator[dict]], str]]:
     """Decoders of the modules that build on this one."""
+    from . import ese as E
     from . import shellitems as S
 
-    return {"shimcache": (S.shimcache, TABLES["shimcache"]), "shellbags": (S.shellbags, TABLES["shellbags"]), "jumplists": (S.jumplists, TABLES["jumplists"]), "msg": (S.msg, TABLES["emails"])}
+    return {"srum_network": (E.srum_network, TABLES["srum_network_usage"]), "srum_programs": (E.srum_programs, TABLES["srum_app_usage"]), "bits_jobs": (E.bits_jobs, TABLES["bits_jobs"]), "bits_files": (E.bits_files, TABLES["bits_files"]), "ntds": (E.ntds_accounts, TABLES["ntds_accounts"]), "shimcache": (S.shimcache, TABLES["shimcache"]), "shellbags": (S.shellbags, TABLES["shellbags"]), "jumplists": (S.jumplists, TABLES["jumplists"]), "msg": (S.msg, TABLES["emails"])}
 
 
 def decoders() -> dict[str, tuple[Callable[[bytes, str], Iterator[dict]], str]]:

@@ -15,7 +15,7 @@ from .packed import with_archives
 from .router import files
 
 #: Readers of whole files by the table they fill.
-WHOLE = {"mft": "mft", "usnjrnl": "usnjrnl", "recycle_bin": "recycle_bin", "prefetch": "prefetch", "lnk": "lnk_files", "browser": "browser_history", "jumplists": "jumplists", "shimcache": "shimcache", "shellbags": "shellbags"}
+WHOLE = {"mft": "mft", "usnjrnl": "usnjrnl", "recycle_bin": "recycle_bin", "prefetch": "prefetch", "lnk": "lnk_files", "browser": "browser_history", "jumplists": "jumplists", "shimcache": "shimcache", "shellbags": "shellbags", "srum_network": "srum_network_usage", "srum_programs": "srum_app_usage", "bits_jobs": "bits_jobs", "bits_files": "bits_files", "ntds": "ntds_accounts"}
 
 
 def tables_of(found: DataFrame) -> dict[str, DataFrame]:

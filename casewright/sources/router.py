@@ -23,6 +23,11 @@ ROUTES = (
     ("shimcache", r"(?:^|/)system$"),
     ("hive", r"(?:^|/)(?:ntuser\.dat|usrclass\.dat)$"),
     ("shellbags", r"(?:^|/)(?:ntuser\.dat|usrclass\.dat)$"),
+    ("srum_network", r"(?:^|/)srudb\.dat$"),
+    ("srum_programs", r"(?:^|/)srudb\.dat$"),
+    ("bits_jobs", r"(?:^|/)qmgr\.db$"),
+    ("bits_files", r"(?:^|/)qmgr\.db$"),
+    ("ntds", r"(?:^|/)ntds\.dit$"),
     ("browser", r"(?:^|/)(?:history|places\.sqlite)$"),
     ("eml", r"\.eml$"),
     ("mbox", r"\.mbox$|(?:^|/)mbox$"),

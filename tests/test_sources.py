@@ -21,7 +21,7 @@ def lines(spark, path, body):
 
 
 def test_routes(spark):
-    want = {"x/Security.evtx": ["evtx"], "C:\\$MFT": ["mft"], "u/Recent/foo.lnk": ["lnk"], "unknown.bin": [], "readme.txt": [], "W/System32/config/SYSTEM": ["hive"], "home/bob/.bash_history": ["shell_history"], "a/$IABC123.txt": ["recycle_bin"]}
+    want = {"x/Security.evtx": ["evtx"], "C:\\$MFT": ["mft"], "u/Recent/foo.lnk": ["lnk"], "unknown.bin": [], "readme.txt": [], "W/System32/config/SYSTEM": ["hive", "shimcache"], "home/bob/.bash_history": ["shell_history"], "a/$IABC123.txt": ["recycle_bin"]}
     df = spark.createDataFrame([(p,) for p in want], "p string")
     assert {r[0]: r[1] for r in df.select("p", readers(F.col("p"))).collect()} == want
     r = df.limit(1).select(user_of(F.lit("C:\\Users\\bob\\x")).alias("u"), channel_of(F.lit("a/Microsoft-Windows-Sysmon%4Operational.evtx")).alias("c"), channel_of(F.lit("Security.evtx"), False).alias("d")).first()
