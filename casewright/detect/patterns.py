@@ -50,22 +50,40 @@ class PatternRule:
     description: str = ""
 
 
+def parse_pattern(d: dict) -> PatternRule:
+    """A rule from its document; ValueError says what is missing."""
+    if not isinstance(d, dict) or not d.get("name") or not d.get("strings"):
+        raise ValueError("a pattern rule needs a name and strings")
+    grade = {"critical": "HIGH", "high": "HIGH", "medium": "MED"}.get(str(d.get("severity", "medium")).lower(), "LOW")
+    return PatternRule(d["name"], tuple(d["strings"]), d.get("condition") or "any", tuple(d.get("targets") or ()), grade, d.get("technique"), str(d.get("id") or ""), d.get("description") or "")
+
+
 def load_patterns(folder: str) -> tuple[list[PatternRule], dict[str, str]]:
+    """Rules of a folder's JSON files (a rule or a list of them each), and what could not be loaded and why."""
     rules, errors = [], {}
     for name in sorted(os.listdir(folder)):
         if not name.endswith(".json"):
             continue
         try:
             with open(os.path.join(folder, name), encoding="utf-8") as f:
-                d = json.load(f)
-            if not d.get("name") or not d.get("strings"):
-                raise ValueError("a pattern rule needs a name and strings")
-            rules.append(PatternRule(d["name"], tuple(d["strings"]), d.get("condition") or "any", tuple(d.get("targets") or ()), {"critical": "HIGH", "high": "HIGH", "medium": "MED"}.get(str(d.get("severity", "medium")).lower(), "LOW"), d.get("technique"), str(d.get("id") or ""), d.get("description") or ""))
+                doc = json.load(f)
         except Exception as e:
             errors[name] = f"{type(e).__name__}: {e}"
+            continue
+        for i, d in enumerate(doc if isinstance(doc, list) else [doc]):
+            try:
+                rules.append(parse_pattern(d))
+            except Exception as e:
+                errors[f"{name}#{i}" if isinstance(doc, list) else name] = f"{type(e).__name__}: {e}"
     return rules, errors
 
 
+def bundled_patterns() -> list[PatternRule]:
+    """The pattern rules that come with the library."""
+    with open(os.path.join(os.path.dirname(os.path.dirname(__file__)), "rules", "patterns.json"), encoding="utf-8") as f:
+        return [parse_pattern(d) for d in json.load(f)]
+
+
 def matches(text: Column, strings: Sequence[str], condition: str = "any", regex: bool = True) -> Column:
     """Whether the text holds any or all of the strings."""
     tests = [text.rlike(s[1:-1]) if regex and len(s) > 2 and s[0] == s[-1] == "/" else text.contains(s) for s in strings]

@@ -87,12 +87,23 @@ def load_rules(folder: str) -> tuple[list[Rule], dict[str, str]]:
                         doc = yaml.safe_load(f)
                     else:
                         continue
-                rules.append(parse_rule(doc))
             except Exception as e:  # one bad file doesn't stop the others
                 errors[path] = f"{type(e).__name__}: {e}"
+                continue
+            for i, one in enumerate(doc if isinstance(doc, list) else [doc]):
+                try:
+                    rules.append(parse_rule(one))
+                except Exception as e:
+                    errors[f"{path}#{i}" if isinstance(doc, list) else path] = f"{type(e).__name__}: {e}"
     return rules, errors
 
 
+def bundled_rules() -> list[Rule]:
+    """The rules that come with the library: one behaviour for each log source, every modifier and form of condition among them."""
+    with open(os.path.join(os.path.dirname(os.path.dirname(__file__)), "rules", "behaviours.json"), encoding="utf-8") as f:
+        return [parse_rule(doc) for doc in json.load(f)]
+
+
 # ---- conditions
 
 _TOKEN = re.compile(r"\(|\)|[^\s()]+")
@@ -168,7 +179,17 @@ def _in_cidr(c: Column, network: str) -> Column:
 
     net = ipaddress.ip_network(network, strict=False)
     if net.version != 4:
-        return c.startswith(str(net.network_address).rstrip(":"))
+        # all eight groups written out, then the leading bits as hexadecimal digits
+        groups = lambda half: F.filter(F.split(half, ":"), lambda x: x != "")
+        front, back = groups(F.substring_index(c, "::", 1)), groups(F.when(c.contains("::"), F.substring_index(c, "::", -1)).otherwise(""))
+        missing = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(front) - F.size(back)))
+        whole = F.array_join(F.transform(F.concat(front, missing, back), lambda x: F.lpad(F.lower(x), 4, "0")), "")
+        digits, bits = divmod(net.prefixlen, 4)
+        hexed = f"{int(net.network_address):032x}"
+        low = int(hexed[digits], 16) if bits else 0
+        allowed = [f"{low + i:x}" for i in range(1 << (4 - bits))] if bits else []
+        fits = whole.startswith(hexed[:digits]) & (F.substring(whole, digits + 1, 1).isin(allowed) if bits else F.lit(True))
+        return F.coalesce(c.rlike("^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$") & (F.length(whole) == 32) & fits, F.lit(False))
     parts = F.split(c, r"\.")
     number = parts[0].try_cast("bigint") * 16777216 + parts[1].try_cast("bigint") * 65536 + parts[2].try_cast("bigint") * 256 + parts[3].try_cast("bigint")
     return F.coalesce(c.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & number.between(int(net.network_address), int(net.broadcast_address)), F.lit(False))
@@ -312,34 +333,40 @@ SOURCES: dict[str, Source] = {
 
 def find_source(logsource: Mapping[str, str]) -> tuple[str, Source]:
     """By category, service, product:category, then sysmon:category on Windows; LookupError if none fits."""
-    category, service, product = (logsource.get(k, "") for k in ("category", "service", "product"))
+    category, service, product = (logsource.get(k, "").lower() for k in ("category", "service", "product"))
     for key in (category, service, f"{product}:{category}", f"sysmon:{category}" if product == "windows" else ""):
         if key in SOURCES:
             return key, SOURCES[key]
     raise LookupError(f"no table for {dict(logsource)}")
 
 
+def _findings(case: Case, source: Source, rules: list[tuple[Rule, Column]]) -> DataFrame:
+    """Findings of rules over one source, in one scan of it."""
+    hits = F.array(*[F.when(F.coalesce(hit, F.lit(False)), F.lit(i)) for i, (_, hit) in enumerate(rules)])
+    labels = F.create_map(*[x for i, (r, _) in enumerate(rules) for x in (F.lit(i), F.struct(F.lit(r.source_id).alias("source"), F.lit(r.severity).alias("confidence"), F.lit(r.technique).cast("string").alias("related_campaign"), F.lit(r.title + (f" — {r.description}" if r.description else "")).alias("notes")))])
+    found = source.relation(case).select(source.value().alias("value"), F.col(source.seen).cast("timestamp").alias("first_seen"), F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("_i")).distinct()
+    named = found.withColumn("_l", labels[F.col("_i")])
+    return named.select(F.lit("event").alias("type"), "value", "_l.source", "_l.confidence", "_l.related_campaign", "first_seen", "_l.notes")
+
+
 def run_rule(case: Case, rule: Rule, strict: bool = False, case_sensitive: bool = False) -> DataFrame:
     """Findings of one rule."""
     _, source = find_source(rule.logsource)
-    hit = Compiler(rule, source, strict, case_sensitive).condition()
-    notes = rule.title + (f" — {rule.description}" if rule.description else "")
-    return (
-        source.relation(case)
-        .filter(hit)
-        .select(F.lit("event").alias("type"), source.value().alias("value"), F.lit(rule.source_id).alias("source"), F.lit(rule.severity).alias("confidence"), F.lit(rule.technique).cast("string").alias("related_campaign"), F.col(source.seen).cast("timestamp").alias("first_seen"), F.lit(notes).alias("notes"))
-        .distinct()
-    )
-
-
-def run_rules(case: Case, rules: list[Rule], strict: bool = False) -> tuple[DataFrame, dict[str, str]]:
-    """Findings of all rules, and the rules that can't be compiled with the reason."""
-    frames, errors = [], {}
+    return _findings(case, source, [(rule, Compiler(rule, source, strict, case_sensitive).condition())])
+
+
+def run_rules(case: Case, rules: list[Rule], strict: bool = False, case_sensitive: bool = False) -> tuple[DataFrame, dict[str, str]]:
+    """Findings of all rules, and the rules that can't be compiled with the reason. Rules that look into the same relation share one scan of it."""
+    errors: dict[str, str] = {}
+    by_source: dict[int, tuple[Source, list[tuple[Rule, Column]]]] = {}
+    probes: dict[int, DataFrame] = {}
     for r in rules:
         try:
-            df = run_rule(case, r, strict)
-            df.schema  # noqa: B018  resolves the plan now, so that one rule's fault stays its own
-            frames.append(df)
+            _, source = find_source(r.logsource)
+            hit = Compiler(r, source, strict, case_sensitive).condition()
+            probe = probes.setdefault(id(source), source.relation(case))
+            probe.filter(hit).schema  # noqa: B018  resolves the plan now, so that one rule's fault stays its own
+            by_source.setdefault(id(source), (source, []))[1].append((r, hit))
         except Exception as e:
             errors[r.title] = f"{type(e).__name__}: {e}"
-    return union(case, frames), errors
+    return union(case, [_findings(case, source, mine) for source, mine in by_source.values()]), errors

@@ -142,3 +142,29 @@ def test_one_failing_detector_is_recorded(spark):
     errors = {}
     found = run_detectors(case, ["anydesk_incoming_session", "anomalous_routing_svc"], errors).collect()
     assert [r["value"] for r in found] == ["router [R]"] and list(errors) == ["anydesk_incoming_session"]
+
+
+def test_ranges_of_both_kinds(spark):
+    from casewright.detect.sigma import _in_cidr
+
+    rows = [("10.1.2.3",), ("11.0.0.1",), ("fd12:3456::1",), ("FD00::",), ("fe80::1",), ("2001:db8:8000::7",), ("2001:db8:7fff::7",), ("::1",), ("::",), ("no address",), (None,), ("1:2:3:4:5:6:7:8",), ("10.1.2.999.1",)]
+    df = spark.createDataFrame(rows, "a string")
+
+    def inside(net):
+        return {r["a"] for r in df.filter(_in_cidr(F.col("a"), net)).collect()}
+
+    assert inside("10.0.0.0/8") == {"10.1.2.3"} and inside("fd00::/8") == {"fd12:3456::1", "FD00::"} and inside("2001:db8:8000::/33") == {"2001:db8:8000::7"}
+    assert inside("::1/128") == {"::1"} and inside("1:2:3:4::/62") == {"1:2:3:4:5:6:7:8"} and inside("::/127") == {"::", "::1"} and inside("fe80::/10") == {"fe80::1"}
+
+
+def test_bundled_rules_cover_every_source_and_share_scans(spark):
+    from casewright.detect.patterns import bundled_patterns
+    from casewright.detect.sigma import SOURCES, bundled_rules
+
+    rules = bundled_rules()
+    assert {find_source(r.logsource)[0] for r in rules} == set(SOURCES) and len(bundled_patterns()) == 6
+    case = Case(spark, tables={"evtx_events": spark.createDataFrame([(4719, "m", datetime(2024, 1, 1))], "event_id int, message string, timestamp timestamp")})
+    nowhere = parse_rule({"title": "nowhere", "logsource": {"category": "moon"}, "detection": {"a": {"x": 1}, "condition": "a"}})
+    found, errors = run_rules(case, [*[r for r in rules if r.logsource.get("service") in ("security", "system", "application", "sysmon")], nowhere])
+    assert list(errors) == ["nowhere"] and [r["value"] for r in found.collect()] == ["4719: m"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1

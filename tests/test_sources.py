@@ -126,9 +126,9 @@ def frame(spark, table, rows):
 
 
 def test_enrichment(spark):
-    iface = "SYSTEM\\Tcpip\\Parameters\\Interfaces\\{AB}"
-    un = "SOFTWARE\\Microsoft\\Uninstall\\"
-    reg = [{"key_path": iface, "value_name": n, "value_data": v} for n, v in (("DhcpIPAddress", "10.0.0.5"), ("DhcpNameServer", "8.8.8.8"), ("EnableDHCP", "1"))] + [{"key_path": "SYSTEM\\Tcpip\\Parameters\\Interfaces\\{CD}", "value_name": "EnableDHCP", "value_data": "1"}] + [{"key_path": un + k, "value_name": "DisplayName", "value_data": k} for k in ("A", "B")]
+    iface = "SYSTEM\\Services\\Tcpip\\Parameters\\Interfaces\\{AB}"
+    un = "SOFTWARE\\Microsoft\\Windows\\CurrentVersion\\Uninstall\\"
+    reg = [{"key_path": iface, "value_name": n, "value_data": v} for n, v in (("DhcpIPAddress", "10.0.0.5"), ("DhcpNameServer", "8.8.8.8"), ("EnableDHCP", "1"))] + [{"key_path": "SYSTEM\\Services\\Tcpip\\Parameters\\Interfaces\\{CD}", "value_name": "EnableDHCP", "value_data": "1"}] + [{"key_path": un + k, "value_name": "DisplayName", "value_data": k} for k in ("A", "B")]
     case = enriched(Case(spark, None, {"registry_raw": frame(spark, "registry_raw", reg), "prefetch": frame(spark, "prefetch", [{"filename": "A.EXE"}, {"filename": "B.EXE", "first_seen": D}]), "mft": frame(spark, "mft", [{"path": "Windows/Prefetch/A.EXE-1F.pf", "created": D}])}))
     assert [(r["ip_address"], r["dns_servers"]) for r in case["network_adapters"].collect()] == [("10.0.0.5", "8.8.8.8")]
     assert sorted(r["display_name"] for r in case["installed_software"].collect()) == ["A", "B"]
