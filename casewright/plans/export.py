@@ -73,7 +73,7 @@ KEY_EVENTS = (1102, 4624, 4625, 4648, 4672, 4688, 4698, 4720, 4732, 7045)
 
 
 # Events of the Unix logon log a report lists.
-UNIX_EVENTS = ("ssh_login_success", "ssh_login_failed", "ssh_invalid_user", "sudo", "su", "user_created")
+UNIX_EVENTS = ("ssh_login_success", "ssh_login_failed", "ssh_invalid_user", "sudo", "useradd", "su_success")
 
 
 def process_traces(case: Case) -> DataFrame:
@@ -95,6 +95,13 @@ def script_evidence(case: Case, findings: DataFrame) -> DataFrame:
     return base.join(ran, "_k", "left").select("timestamp", "computer", "path", F.left("preview", F.lit(300)).alias("script"), "reported_by", F.coalesce("n_processes", F.lit(0)).alias("n_processes")).orderBy(F.col("timestamp").desc_nulls_last(), "script")
 
 
+def triaged(case: Case, findings: DataFrame) -> DataFrame:
+    """Findings of detectors, rules and patterns with what the analyst noted on their source."""
+    notes = case["case_notes"].filter("ref_type = 'triage'").groupBy(F.col("ref_id").alias("source")).agg(joined("note", "; ").alias("triage"))
+    automatic = findings.filter(F.col("source").rlike("^(?:detect|sigma|yaralite):"))
+    return automatic.join(notes, "source", "left").withColumn("triage", F.coalesce("triage", F.lit("")))
+
+
 def sections(case: Case, findings: DataFrame) -> dict[str, Callable[[], DataFrame]]:
     """The report's tables by title, each ordered and at most as long as a page bears."""
 
@@ -103,7 +110,7 @@ def sections(case: Case, findings: DataFrame) -> dict[str, Callable[[], DataFram
 
     return {
         "Verdict": lambda: L.verdict(findings),
-        "Threat findings": lambda: findings.orderBy(severity_rank("confidence").desc(), "source", "value").select("confidence", "source", "type", "value", "first_seen", "notes").limit(500),
+        "Threat findings": lambda: triaged(case, findings).orderBy(severity_rank("confidence").desc(), "source", "value").select("confidence", "source", "type", "value", "first_seen", "notes", "triage").limit(500),
         "Techniques": lambda: L.tactics(findings).orderBy(F.col("hits").desc(), "technique"),
         "Reported by several sources": lambda: multi_source(findings).orderBy(F.col("n_sources").desc(), "value").limit(200),
         "Collected tables": lambda: L.counts(case).orderBy("table_name"),

@@ -173,15 +173,4 @@ def correlate(case: Case, term: str) -> DataFrame:
     return pivot(case, term).groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-def _severity(source: Column) -> Column:
-    return F.when(source == "detect", "HIGH").when(source.isin("defender"), "HIGH").when(source.isin("auth", "proc_4688", "sysmon"), "MED").otherwise("LOW")
-
-
-def chain(case: Case, term: str, total: int = 1500) -> DataFrame:
-    """What happened around a term, in order: ts, source, severity, action, detail, extra; rows without time last."""
-    rows = timeline(case, text=term)
-    out = rows.select("ts", "source", _severity(F.col("source")).alias("severity"), F.col("category").alias("action"), "detail", "extra")
-    return out.orderBy(F.col("ts").asc_nulls_last(), "source", "action", "detail", "extra").limit(total)
-
-
-__all__ = ["BRANCHES", "PIVOTS", "branch_rows", "chain", "collected", "correlate", "event_context", "first_last", "histogram", "pivot", "timeline", "within"]
+__all__ = ["BRANCHES", "PIVOTS", "branch_rows", "collected", "correlate", "event_context", "first_last", "histogram", "pivot", "timeline", "within"]

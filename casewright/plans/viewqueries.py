@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import Case
+from . import chain as Ch
 from . import views as V
 from .artifactcases import literal_sql
 from .detectorcases import OLD, T, U, case_of
@@ -128,3 +129,19 @@ over_rows("directory_stats", {"ntds_accounts": ("sam_account_name is_disabled is
 over_rows("event_at_time", {"evtx_events": ("event_id record_id timestamp", [(1, 5, T), (2, 4, T), (1, 3, U)])}, lambda case: V.event_at(case, T, 1), "event_id record_id", "int bigint", [(1, 5)])
 over_rows("program_modules", {"sysmon_imageload": ("image image_loaded signed signature sha256 timestamp", [("C:\\A.exe", "x.dll", True, None, "h", U), ("C:\\a.exe", "x.dll", True, None, "h", T), ("C:\\b.exe", "x.dll", True, None, "h", T)])}, lambda case: V.program(case, "a.exe")["modules"], "image_loaded signature first_seen load_count", "string string timestamp bigint", [("x.dll", "", T, 2)])
 over_rows("mail_with_parts", {"emails": ("id subject", [(1, "a"), (2, "b")]), "email_attachments": ("email_id filename", [(1, "f"), (2, "g")]), "email_urls": ("email_id url", [(1, "u")])}, lambda case: V.mail(case, 1)["attachments"], "email_id filename", "bigint string", [(1, "f")])
+
+_CHAIN = {
+    "proc_creation": ("timestamp image parent_image cmdline user_name", [(T, "C:\\x\\Evil.exe", "C:\\W\\cmd.exe", "evil -a", "ann"), (U, "C:\\W\\cmd.exe", "C:\\x\\evil.exe", "cmd", "ann"), (U, "C:\\W\\a.exe", "b.exe", "a --run evil.exe", None), ("1990-01-01 00:00:00", "evil.exe", "p", "c", "u"), (T, "C:\\other.exe", "p", "c", "u")]),
+    "auth_events": ("timestamp event_id user src_ip logon_type process_name", [(T, 4624, "bob", "10.0.0.1", 3, "C:\\x\\evil.exe"), (T, 4624, "evil.exe", "-", 3, None), (T, 4624, "bob", "10.0.0.2", 3, "a.exe")]),
+    "prefetch": ("last_run filename run_count path", [(U, "EVIL.EXE", 3, "\\x")]), "mem_pslist": ("pid name create_time threads handles", [(7, "evil.exe", T, 2, 3), (8, "ghost.exe", U, 1, 1), (9, "none.exe", T, 1, 1)]), "mem_cmdline": ("pid cmdline", [(7, "evil -a")]),
+    "mem_malfind": ("pid name address size reason disasm", [(8, "ghost.exe", "0x1", 4096, "rwx", "nop"), (9, "none.exe", "0x2", 1, "x", "y")]), "browser_history": ("visit_time browser url title", [(T, "chrome", "http://x/evil.exe", "t"), (None, "chrome", "http://y/evil.exe", "t")]),
+}
+over_rows("chain_of_a_process", _CHAIN, lambda case: Ch.chain(case, "evil.exe (PID 8) @ 0x1"), "ts source severity action detail extra related user", "timestamp string string string string string string string", [
+    (T, "auth", "", "Logon success", "User: bob · IP: 10.0.0.1", "Type 3 · C:\\x\\evil.exe", "", "bob"), (T, "browser", "", "Browser visit", "http://x/evil.exe", "t · chrome", "", ""), (T, "mem_pslist", "", "Process in RAM snapshot", "evil.exe (PID 7)", "Threads:2 Handles:3", "", "evil -a"),
+    (T, "proc_creation", "", "Created (spawned by cmd.exe)", "C:\\x\\Evil.exe", "evil -a", "cmd.exe", "ann"), (U, "mem_pslist", "", "Process in RAM snapshot", "ghost.exe (PID 8)", "Threads:1 Handles:1", "", ""), (U, "prefetch", "", "Executed (prefetch)", "EVIL.EXE", "Runs: 3 · \\x", "", ""), (U, "proc_creation", "", "Process spawn", "C:\\W\\a.exe", "a --run evil.exe", "b.exe", ""), (U, "proc_creation", "", "Spawned cmd.exe", "C:\\W\\cmd.exe", "cmd", "evil.exe", "ann"), (None, "mem_malfind", "high", "RAM: Injected code region", "ghost.exe (PID 8) @ 0x1", "Size: 4096 · rwx", "", "nop"),
+])
+
+
+@over_data("chain_sources_of_a_tool", "SELECT 'proc_creation' AS source, count(*) AS n_rows FROM proc_creation WHERE \"timestamp\" BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '2099-12-31' AND (contains(lower(coalesce(image, '')), 'certutil.exe') OR contains(lower(coalesce(parent_image, '')), 'certutil.exe') OR contains(lower(coalesce(cmdline, '')), 'certutil.exe')) HAVING count(*) > 0 UNION ALL SELECT 'mem_netscan', count(*) FROM mem_netscan WHERE created IS NOT NULL AND contains(lower(coalesce(name, '')), 'certutil.exe') HAVING count(*) > 0 UNION ALL SELECT 'browser', count(*) FROM browser_history WHERE visit_time IS NOT NULL AND (contains(lower(coalesce(url, '')), 'certutil.exe') OR contains(lower(coalesce(title, '')), 'certutil.exe')) HAVING count(*) > 0 UNION ALL SELECT 'auth', count(*) FROM auth_events WHERE \"timestamp\" IS NOT NULL AND (lower(coalesce(\"user\", '')) = 'certutil.exe' OR contains(lower(coalesce(process_name, '')), 'certutil.exe')) HAVING count(*) > 0")
+def _(case: Case) -> DataFrame:
+    return Ch.chain_sources(Ch.chain(case, "certutil.exe", None)).filter("source IN ('proc_creation', 'mem_netscan', 'browser', 'auth')")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from casewright.detect.detectors import run_detectors
 from casewright.detect.enrich import enriched
 from casewright.plans import export, library, timeline
+from casewright.plans.chain import asked, chain
 from casewright.schema import TABLES, Case
 from casewright.sources import binary, text
 from casewright.sources.router import channel_of, files, readers, user_of
@@ -164,3 +165,18 @@ def test_live_bursts(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("bursts").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r["value"] for r in spark.table("bursts").collect()] == ["1.2.3.4"]
+
+
+def test_terms_of_chains():
+    assert asked("svchost.exe (PID 884) @ 0xE9") == ("svchost.exe", "svchost.exe", 884)
+    assert asked(" C:\\Temp\\A.exe ") == ("C:\\Temp\\A.exe", "a.exe", None) and asked("C:UsersIEUserDownloadsFirefox.exe")[1] == "firefox.exe"
+    assert asked("a (PID x)") == ("a (PID x)", "a (pid x)", None)
+
+
+def test_every_section_builds(spark):
+    case = Case(spark, None, {"case_notes": frame(spark, "case_notes", [{"id": 1, "ref_type": "triage", "ref_id": "detect:x", "note": "benign"}]), "mem_pslist": frame(spark, "mem_pslist", [{"pid": 1, "name": "A.exe"}]), "shimcache": frame(spark, "shimcache", [{"path": "C:\\t\\a.EXE"}]), "ps_scriptblock": frame(spark, "ps_scriptblock", [{"timestamp": D, "script_text": "IEX x", "path": "C:\\s\\Run.ps1"}]), "mem_cmdline": frame(spark, "mem_cmdline", [{"pid": 1, "cmdline": "powershell -f \"D:\\run.ps1\""}])})
+    found = spark.createDataFrame([("process", "IEX x", "detect:x", "HIGH", None, D, "n"), ("ip", "1.1.1.1", "manual:list", "LOW", None, D, "n")], "type string, value string, source string, confidence string, related_campaign string, first_seen timestamp, notes string")
+    built = {name: build().collect() for name, build in export.sections(case, found).items()}
+    assert len(built) >= 37 and [(r["triage"], r["value"]) for r in built["Threat findings"]] == [("benign", "IEX x")]
+    assert [(r["name"], r["cached_path"]) for r in built["Process traces"]] == [("A.exe", "C:\\t\\a.EXE")]
+    assert [(r["reported_by"], r["n_processes"]) for r in built["Scripts with evidence"]] == [("detect:x", 1)]
