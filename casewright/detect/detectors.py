@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import all_of, any_of, basename, ends, has, is_base, joined, low, ordered, recent, slashed, starts, within
 from ..schema import Case
-from .findings import Counted, Detector, Rows, counted, fused_counts, fused_rows, rows, union
+from .findings import Counted, Detector, Rows, counted, fused, rows, union
 
 c = F.col
 
@@ -242,23 +242,17 @@ def log_gap(case: Case) -> DataFrame:
 
 
 add("event_log_gap", "HIGH", "event", "T1070.001", log_gap)
-add("dhcp_network_config", "LOW", "network", None, lambda case: case["evtx_events"].filter(c("event_id").between(4198, 4205) & recent("timestamp")).select(F.concat(F.lit("dhcp_event_"), c("event_id").cast("string")).alias("value"), c("timestamp").alias("first_seen"), "event_id", "message").distinct())
+add("dhcp_network_config", "LOW", "network", None, rows("evtx_events", lambda: c("event_id").between(4198, 4205) & recent("timestamp"), lambda: F.concat(F.lit("dhcp_event_"), c("event_id").cast("string")), "timestamp"))
 
 
-def routing(case: Case) -> DataFrame:
-    services = case["services"].filter(low("name").isin("iprip", "remoteaccess", "rrasman", "router", "iphlpsvc_routing")).select(F.lit("service").alias("type"), F.concat(c("name"), F.lit(" ["), F.coalesce("display_name", F.lit("")), F.lit("]")).alias("value"), c("modified").alias("first_seen"), F.lit("T1599/T1021").alias("related_campaign"), F.concat(F.lit("Routing or pivot service present on workstation — binary: "), F.coalesce("binary_path", F.lit("?"))).alias("notes"))
-    events = case["evtx_events"].filter(c("event_id").isin(29031, 20189, 20190) & recent("timestamp")).select(F.lit("event").alias("type"), F.concat(F.lit("routing_svc_event_"), c("event_id").cast("string")).alias("value"), c("timestamp").alias("first_seen"), F.lit("T1599").alias("related_campaign"), F.concat(F.lit("Routing service start/stop event: "), F.left(c("message"), F.lit(200))).alias("notes"))
-    return services.unionByName(events).distinct()
-
-
-def mssql(case: Case) -> DataFrame:
-    services = case["services"].filter((has("name", "mssql") | has("display_name", "sql server")) & low("start_type").isin("auto", "automatic", "2", "autostart")).select(F.lit("service").alias("type"), c("name").alias("value"), c("modified").alias("first_seen"), F.lit("SQL Server auto-started with mixed auth — sa account may be accessible via SMB named pipe").alias("notes"))
-    events = case["evtx_events"].filter((c("event_id") == 15268) & recent("timestamp")).select(F.lit("event").alias("type"), c("event_id").cast("string").alias("value"), c("timestamp").alias("first_seen"), F.concat(F.lit("SQL Server mixed-auth mode enabled (EID 15268): "), F.left(c("message"), F.lit(200))).alias("notes"))
-    return services.unionByName(events).distinct()
-
-
-add("anomalous_routing_svc", "HIGH", "service", "T1599/T1021", routing)
-add("mssql_attack_surface", "HIGH", "service", "T1190", mssql)
+add("anomalous_routing_svc", "HIGH", "service", "T1599/T1021", (
+    rows("services", lambda: low("name").isin("iprip", "remoteaccess", "rrasman", "router", "iphlpsvc_routing"), lambda: F.concat(c("name"), F.lit(" ["), F.coalesce("display_name", F.lit("")), F.lit("]")), "modified", note=lambda: _text("Routing or pivot service present on workstation — binary: ", _or("binary_path"))),
+    rows("evtx_events", lambda: c("event_id").isin(29031, 20189, 20190) & recent("timestamp"), lambda: F.concat(F.lit("routing_svc_event_"), c("event_id").cast("string")), "timestamp", kind="event", technique="T1599", note=lambda: _text("Routing service start/stop event: ", _cut("message", 200))),
+))
+add("mssql_attack_surface", "HIGH", "service", "T1190", (
+    rows("services", lambda: (has("name", "mssql") | F.coalesce(has("display_name", "sql server"), F.lit(False))) & low("start_type").isin("auto", "automatic", "2", "autostart"), lambda: c("name"), "modified", note="SQL Server auto-started with mixed auth — sa account may be accessible via SMB named pipe"),
+    rows("evtx_events", lambda: (c("event_id") == 15268) & recent("timestamp"), lambda: c("event_id").cast("string"), "timestamp", kind="event", note=lambda: _text("SQL Server mixed-auth mode enabled (EID 15268): ", _cut("message", 200))),
+))
 add("service_binary_wannacry_ts", "HIGH", "service", "WannaCry/T1543.003", rows("services", lambda: has("binary_path", "mssecsvc", "tasksche", "wannacry"), lambda: F.concat(c("name"), F.lit(": "), F.coalesce("binary_path", F.lit("?"))), "modified"))
 
 # ---- logons
@@ -401,35 +395,36 @@ def run_detectors(case: Case, only: list[str] | None = None, errors: dict[str, s
     """Findings of all detectors (or those named) whose required tables hold rows.
 
     A detector whose tables are missing or empty gives no rows. Detectors that
-    filter or count one table share one scan of it (and one aggregation). One
+    filter or count rows of a table share one scan and one aggregation of it. One
     that can't be planned on this case (a column of another type, say) is left
     out and recorded in ``errors``, the others run; without ``errors`` it is raised.
     """
     chosen = [BY_ID[i] for i in only] if only else DETECTORS
     ready = [d for d in chosen if all(case.has_rows(t) for t in d.requires)]
-    groups: dict[tuple, list[Detector]] = {}
-    for d in ready:
-        key = ("rows", d.build.table, d.build.distinct) if isinstance(d.build, Rows) else ("counts", d.build.table) if isinstance(d.build, Counted) else ("own", d.ident)
-        groups.setdefault(key, []).append(d)
     frames: list[DataFrame] = []
+    shared: dict[str, list[tuple[Detector, Rows | Counted]]] = {}
 
-    def planned(key: tuple, ds: list[Detector]) -> None:
+    def planned(ds: list[tuple[Detector, Rows | Counted | None]], table: str | None) -> None:
         try:
-            if key[0] == "own":
-                frames.append(ds[0].run(case))
-            elif case.has(key[1]):
-                frames.append((fused_rows if key[0] == "rows" else fused_counts)(case, key[1], ds))
+            frames.append(fused(case, table, ds) if table else ds[0][0].run(case))
         except AnalysisException as e:
             if errors is None:
                 raise
             if len(ds) == 1:
-                errors[ds[0].ident] = str(e).splitlines()[0]
+                errors[ds[0][0].ident] = str(e).splitlines()[0]
             else:  # find out which of them it is
-                for d in ds:
-                    planned(key, [d])
+                for item in ds:
+                    planned([item], table)
 
-    for key, ds in groups.items():
-        planned(key, ds)
+    for d in ready:
+        parts = d.parts()
+        if not parts:
+            planned([(d, None)], None)
+        for part in parts:
+            shared.setdefault(part.table, []).append((d, part))
+    for table, items in shared.items():
+        if case.has(table):
+            planned(items, table)
     return union(case, frames)
 
 

@@ -32,15 +32,18 @@ class Detector:
     requires: tuple[str, ...] = ()
     note: str | Callable[..., Column] = ""
 
-    def noted(self, *parts: Column) -> Column:
+    def parts(self) -> tuple:
+        """What can share a scan with other detectors: one or more declarations over single tables."""
+        return (self.build,) if isinstance(self.build, (Rows, Counted)) else self.build if isinstance(self.build, tuple) else ()
+
+    def noted(self, *parts: Column, note: str | Callable[..., Column] | None = None) -> Column:
         """The note as a column."""
-        return F.lit(self.note).cast("string") if isinstance(self.note, str) else self.note(*parts).cast("string")
+        note = self.note if note is None else note
+        return F.lit(note).cast("string") if isinstance(note, str) else note(*parts).cast("string")
 
     def run(self, case: Case) -> DataFrame:
-        if isinstance(self.build, Rows):
-            return fused_rows(case, self.build.table, [self])
-        if isinstance(self.build, Counted):
-            return fused_counts(case, self.build.table, [self])
+        if parts := self.parts():
+            return union(case, [fused(case, part.table, [(self, part)]) for part in parts])
         df = self.build(case)
         given = set(df.columns)
         pick = {
@@ -57,13 +60,16 @@ class Detector:
 
 @dataclass(frozen=True)
 class Rows:
-    """Filter and project one table; many of them over a table are run in one scan (``fused_rows``)."""
+    """Filter and project one table; many of them over a table are run in one scan (``fused``). kind, technique and note stand for the detector's own where given."""
 
     table: str
     where: Callable[[], Column] | None
     value: Callable[[], Column]
     seen: str | None = None
     distinct: bool = True
+    kind: str | None = None
+    technique: str | None = None
+    note: str | Callable[..., Column] | None = None
 
     def first_seen(self) -> Column:
         return (F.col(self.seen) if self.seen else F.lit(None)).cast("timestamp")
@@ -74,7 +80,7 @@ class Rows:
 
 @dataclass(frozen=True)
 class Counted:
-    """Filter, group, keep groups of at least so many rows; the value is made of what the keys are made of. Many over a table share scan and shuffle (``fused_counts``)."""
+    """Filter, group, keep groups of at least so many rows; the value is made of what the keys are made of. Many over a table share scan and shuffle (``fused``)."""
 
     table: str
     where: Callable[[], Column]
@@ -88,48 +94,48 @@ class Counted:
         return [F.col(k) if isinstance(k, str) else k() for k in self.keys]
 
 
-def rows(table: str, where: Callable[[], Column] | None, value: Callable[[], Column], seen: str | None = None, distinct: bool = True) -> Rows:
-    return Rows(table, where, value, seen, distinct)
+def rows(table: str, where: Callable[[], Column] | None, value: Callable[[], Column], seen: str | None = None, distinct: bool = True, **own) -> Rows:
+    return Rows(table, where, value, seen, distinct, **own)
 
 
 def counted(table: str, where: Callable[[], Column], keys: Sequence[str | Callable[[], Column]], value: Callable[[], Column], at_least: int, seen: str | None = "timestamp", lists: Sequence[Callable[[], Column]] = ()) -> Counted:
     return Counted(table, where, tuple(keys), value, at_least, seen, tuple(lists))
 
 
-def _labels(detectors: Sequence[Detector]) -> Column:
-    """Number of a detector to its fixed columns."""
-    return F.create_map(*[x for i, d in enumerate(detectors) for x in (F.lit(i), F.struct(F.lit(d.kind).alias("type"), F.lit(f"detect:{d.ident}").alias("source"), F.lit(d.severity).alias("confidence"), F.lit(d.technique).cast("string").alias("related_campaign")))])
-
-
-def _finish(hits: DataFrame, detectors: Sequence[Detector]) -> DataFrame:
-    """(_i, value, first_seen, notes) to findings."""
-    named = hits.withColumn("_l", _labels(detectors)[F.col("_i")])
-    return named.select("_l.type", "value", "_l.source", "_l.confidence", "_l.related_campaign", "first_seen", "notes")
-
+def fused(case: Case, table: str, items: Sequence[tuple[Detector, Rows | Counted]]) -> DataFrame:
+    """All detectors that filter and project, or count, rows of one table: one scan, one aggregation.
 
-def fused_rows(case: Case, table: str, detectors: Sequence[Detector]) -> DataFrame:
-    """All filter-and-project detectors of one table in one scan of it."""
-    hits = F.array(*[F.when(F.coalesce(d.build.test(), F.lit(False)), F.struct(F.lit(i).alias("_i"), d.build.value().cast("string").alias("value"), d.build.first_seen().alias("first_seen"), d.noted().alias("notes"))) for i, d in enumerate(detectors)])
-    out = case[table].select(F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("_h")).select("_h._i", "_h.value", "_h.first_seen", "_h.notes")
-    return _finish(out.distinct() if detectors[0].build.distinct else out, detectors)
-
-
-def fused_counts(case: Case, table: str, detectors: Sequence[Detector]) -> DataFrame:
-    """All counting detectors of one table in one scan and one aggregation, by (detector, keys)."""
+    A row that passes several tests gives a hit for each. Hits are grouped by
+    all they show (rows that are reported each by itself also by a number of
+    their own), or by the keys that are counted.
+    """
+    null = F.lit(None).cast("string")
+    parts, labels, least, notes = [], [], [], []
+    for i, (d, part) in enumerate(items):
+        if isinstance(part, Rows):
+            test, keys, lists = part.test(), F.array().cast("array<string>"), []
+            seen, shown = part.first_seen(), part.first_seen()
+            note, number = d.noted(note=part.note), F.lit(None).cast("bigint") if part.distinct else F.col("_number")
+            notes.append(F.col("_note"))
+            least.append(1)
+        else:
+            test, keys, lists = part.where(), F.array(*[k.cast("string") for k in part.key_columns()]), [make().cast("string") for make in part.lists]
+            seen, shown = (F.col(part.seen) if part.seen else F.lit(None)).cast("timestamp"), F.lit(None).cast("timestamp")
+            note, number = null, F.lit(None).cast("bigint")
+            notes.append(d.noted(F.col("_n").cast("string"), F.col("_a"), F.col("_b")))
+            least.append(part.at_least)
+        both = [(lists[j] if j < len(lists) else null).alias(n) for j, n in enumerate("ab")]
+        hit = F.struct(F.lit(i).alias("_i"), keys.alias("_k"), part.value().cast("string").alias("value"), seen.alias("seen"), shown.alias("shown"), note.alias("_note"), number.alias("_own"), *both)
+        parts.append(F.when(F.coalesce(test, F.lit(False)), hit))
+        kind, technique = getattr(part, "kind", None) or d.kind, getattr(part, "technique", None) or d.technique
+        labels += [F.lit(i), F.struct(F.lit(kind).alias("type"), F.lit(f"detect:{d.ident}").alias("source"), F.lit(d.severity).alias("confidence"), F.lit(technique).cast("string").alias("related_campaign"), F.lit(least[-1]).alias("least"))]
     source = case[table]
-    parts = []
-    for i, d in enumerate(detectors):
-        keys = F.array(*[k.cast("string") for k in d.build.key_columns()])
-        seen = (F.col(d.build.seen) if d.build.seen else F.lit(None)).cast("timestamp")
-        lists = [make().cast("string") for make in d.build.lists]
-        named = [(lists[j] if j < len(lists) else F.lit(None).cast("string")).alias(n) for j, n in enumerate("ab")]
-        parts.append(F.when(F.coalesce(d.build.where(), F.lit(False)), F.struct(F.lit(i).alias("_i"), keys.alias("_k"), d.build.value().cast("string").alias("value"), seen.alias("seen"), *named)))
-    hits = source.select(F.explode(F.filter(F.array(*parts), lambda h: h.isNotNull())).alias("_h")).select("_h._i", "_h._k", "_h.value", "_h.seen", "_h.a", "_h.b")
-    least = F.create_map(*[x for i, d in enumerate(detectors) for x in (F.lit(i), F.lit(d.build.at_least))])
-    agg = hits.groupBy("_i", "_k", "value").agg(F.count(F.lit(1)).alias("_n"), F.min("seen").alias("first_seen"), F.array_sort(F.collect_set("a")).alias("_a"), F.array_sort(F.collect_set("b")).alias("_b"))
-    kept = agg.filter(F.col("_n") >= least[F.col("_i")])
-    notes = F.element_at(F.array(*[d.noted(F.col("_n").cast("string"), F.col("_a"), F.col("_b")) for d in detectors]), F.col("_i") + 1)
-    return _finish(kept.select("_i", "value", "first_seen", notes.alias("notes")), detectors)
+    if any(isinstance(p, Rows) and not p.distinct for _, p in items):
+        source = source.withColumn("_number", F.monotonically_increasing_id())
+    hits = source.select(F.explode(F.filter(F.array(*parts), lambda h: h.isNotNull())).alias("_h")).select("_h.*")
+    agg = hits.groupBy("_i", "_k", "value", "shown", "_note", "_own").agg(F.count(F.lit(1)).alias("_n"), F.min("seen").alias("first_seen"), F.array_sort(F.collect_set("a")).alias("_a"), F.array_sort(F.collect_set("b")).alias("_b"))
+    named = agg.withColumn("_l", F.create_map(*labels)[F.col("_i")]).filter(F.col("_n") >= F.col("_l.least"))
+    return named.select("_l.type", "value", "_l.source", "_l.confidence", "_l.related_campaign", "first_seen", F.element_at(F.array(*notes), F.col("_i") + 1).alias("notes"))
 
 
 def empty(case: Case) -> DataFrame:
@@ -152,4 +158,4 @@ def multi_source(findings: DataFrame) -> DataFrame:
     return agg.filter("n_sources > 1")
 
 
-__all__ = ["COLUMNS", "FINDING", "Counted", "Detector", "Rows", "counted", "empty", "fused_counts", "fused_rows", "multi_source", "recent", "replace_family", "rows", "union"]
+__all__ = ["COLUMNS", "FINDING", "Counted", "Detector", "Rows", "counted", "empty", "fused", "multi_source", "recent", "replace_family", "rows", "union"]
