@@ -174,3 +174,5 @@ def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["bundled_patterns"] = _patterns
 ORACLE["bundled_patterns"] = literal_sql(" ".join(_PATTERN_KINDS), _PATTERN_KINDS, [("yaralite:cw-p1", "HIGH", "T1620", "VirtualAlloc then CreateThread", "Reflective loading"), ("yaralite:cw-p5", "HIGH", "T1003", "sekurlsa::x", "Password dump names"), ("yaralite:cw-p2", "MED", "T1572", "a.exe plink.exe -ssh -R 8080 x", "Tunnel tools"), ("yaralite:cw-p2", "MED", "T1572", "b.exe chisel client y", "Tunnel tools"), ("yaralite:cw-p3", "LOW", None, "x/100%_done.txt", "Literal percent and underscore"), ("yaralite:cw-p4", "HIGH", "T1567", "HTTPS://a.filedrop.test/1", "Anonymous uploads"), ("yaralite:cw-p6", "HIGH", None, "Backdoor:X | C:\\a", "Known families"), ("yaralite:cw-p6", "HIGH", None, "1116: Ransom:Y seen", "Known families")])
+
+_reads("file_table", "mft", [("$MFT", S.file_table())], "inode path size is_dir is_deleted ads_name", [(0, "$MFT", None, False, False, None), (5, "", None, True, False, None), (6, "Users", None, True, False, None), (7, "Users/ann", None, True, False, None), (8, "Users/ann/Downloads", None, True, False, None), (9, "Users/ann/Downloads/setup program.exe", 11, False, False, "Zone.Identifier"), (10, "lost.txt", None, False, False, None), (11, "b/a", None, True, False, None), (12, "a/b", None, True, False, None), (13, "Users/ann/Downloads/long name.bin", 40, False, False, "extra"), (14, "Users/ann/Downloads/deleted.txt", 3, False, True, None)])

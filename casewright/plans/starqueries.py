@@ -1,15 +1,19 @@
-"""The library's operator shapes over the star-schema tables, and their SQL."""
+"""Functions and operators of the library on the star-schema tables, and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..common import table
-from ..functions.text import bit_names, joined
+from ..detect.findings import multi_source
+from ..detect.patterns import matches
+from ..functions.text import basename, bit_names, filetime, hex_to_int, joined
+from ..operators.intervals import periods_and_gaps
+from ..operators.sessions import sessionize
+from ..operators.suffix import suffix_join
+from .export import as_text
+from .library import neighbourhood, top
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -39,170 +43,27 @@ def us(x) -> F.Column:
     return F.unix_micros((c(x) if isinstance(x, str) else x).cast("timestamp"))
 
 
-n_rows = lambda: F.count(F.lit(1)).alias("n_rows")
-
-
-@query("events_burst_per_user", "SELECT user_id, count(*) AS n_rows, epoch_us(min(ts)) AS first_us FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(*) >= 10")
-def _(s: Star) -> DataFrame:
-    return s.events.filter("event_type = 'error'").groupBy("user_id").agg(n_rows(), us(F.min("ts")).alias("first_us")).filter("n_rows >= 10")
-
-
-@query("events_mass_having", "SELECT 'mass_error' AS value, epoch_us(min(ts)) AS first_us FROM events WHERE event_type = 'error' HAVING count(*) >= 100")
-def _(s: Star) -> DataFrame:
-    return s.events.filter("event_type = 'error'").agg(F.count(F.lit(1)).alias("n"), us(F.min("ts")).alias("first_us")).filter("n >= 100").select(F.lit("mass_error").alias("value"), "first_us")
-
-
 @query("events_types_per_user", "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types, count(*) AS n_rows FROM events GROUP BY 1 HAVING count(*) >= 2")
 def _(s: Star) -> DataFrame:
-    return s.events.groupBy("user_id").agg(joined("event_type").alias("types"), n_rows()).filter("n_rows >= 2")
-
-
-@query("events_gap", "SELECT user_id, epoch_us(p) AS prev_us, epoch_us(ts) AS ts_us FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE date_diff('day', p, ts) > 1")
-def _(s: Star) -> DataFrame:
-    e = s.events.withColumn("p", F.lag("ts").over(W.partitionBy("user_id").orderBy("ts", "event_id")))
-    return e.filter(F.datediff("ts", "p") > 1).select("user_id", us("p").alias("prev_us"), us("ts").alias("ts_us"))
+    return s.events.groupBy("user_id").agg(joined("event_type").alias("types"), F.count(F.lit(1)).alias("n_rows")).filter("n_rows >= 2")
 
 
-@query("parent_child_in", "SELECT DISTINCT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND r_name IN ('ASIA', 'EUROPE')")
+@query("multi_source_values", "SELECT k AS value, count(DISTINCT source) AS n_sources, string_agg(DISTINCT source, ' + ' ORDER BY source) AS sources, 'LOW' AS worst FROM (SELECT CAST(user_id AS VARCHAR) AS k, event_type AS source FROM events UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'orders' FROM orders) GROUP BY 1 HAVING count(DISTINCT source) > 1")
 def _(s: Star) -> DataFrame:
-    j = s.customer.filter(c("c_mktsegment").isin("BUILDING", "MACHINERY")).join(s.nation, c("c_nationkey") == c("n_nationkey")).join(s.region.filter(c("r_name").isin("ASIA", "EUROPE")), c("n_regionkey") == c("r_regionkey"))
-    return j.select("c_custkey", "n_name", "r_name").distinct()
-
-
-@query("hidden_entity_anti", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 350000)")
-def _(s: Star) -> DataFrame:
-    return s.customer.join(s.orders.filter("o_totalprice > 350000"), c("c_custkey") == c("o_custkey"), "left_anti").select("c_custkey", "c_name")
-
-
-@query("double_not_exists", "SELECT p_partkey, p_brand FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 45) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = p_partkey)")
-def _(s: Star) -> DataFrame:
-    heavy = s.lineitem.filter("l_returnflag = 'R' AND l_quantity > 45").select("l_partkey")
-    return s.part.join(heavy, c("p_partkey") == c("l_partkey"), "left_anti").join(s.supplier, c("p_partkey") == c("s_suppkey"), "left_anti").select("p_partkey", "p_brand")
-
-
-@query("injected_semi", "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
-def _(s: Star) -> DataFrame:
-    return s.customer.join(s.orders.filter("o_totalprice > 200000"), c("c_custkey") == c("o_custkey"), "left_semi").select("c_mktsegment", "c_nationkey").distinct()
-
-
-@query("risk_case", "SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'HIGH' WHEN o_orderpriority = '3-MEDIUM' THEN 'MED' ELSE 'LOW' END AS confidence, count(*) AS n_rows FROM orders GROUP BY 1")
-def _(s: Star) -> DataFrame:
-    grade = F.when(c("o_orderpriority").isin("1-URGENT", "2-HIGH"), "HIGH").when(c("o_orderpriority") == "3-MEDIUM", "MED").otherwise("LOW")
-    return s.orders.groupBy(grade.alias("confidence")).agg(n_rows())
-
-
-@query("union_of_distincts", "SELECT DISTINCT 'supplier' AS kind, s_nationkey AS nationkey FROM supplier UNION ALL SELECT DISTINCT 'customer', c_nationkey FROM customer")
-def _(s: Star) -> DataFrame:
-    return s.supplier.select(F.lit("supplier").alias("kind"), c("s_nationkey").alias("nationkey")).distinct().unionByName(s.customer.select(F.lit("customer").alias("kind"), c("c_nationkey").alias("nationkey")).distinct())
-
-
-_TL = "WITH t AS (SELECT ts, 'events' AS source, event_type AS category, CAST(user_id AS VARCHAR) AS detail, event_id AS k FROM events UNION ALL SELECT o_orderdate, 'orders', o_orderstatus, CAST(o_custkey AS VARCHAR), o_orderkey FROM orders) "
-
-
-def _timeline(s: Star) -> DataFrame:
-    e = s.events.select("ts", F.lit("events").alias("source"), c("event_type").alias("category"), c("user_id").cast("string").alias("detail"), c("event_id").alias("k"))
-    o = s.orders.select(c("o_orderdate").alias("ts"), F.lit("orders").alias("source"), c("o_orderstatus").alias("category"), c("o_custkey").cast("string").alias("detail"), c("o_orderkey").alias("k"))
-    return e.unionByName(o)
-
-
-def _shown(df: DataFrame) -> DataFrame:
-    return df.select(us("ts").alias("ts_us"), "source", "category", "detail", "k")
-
-
-_SHOW = "SELECT epoch_us(ts) AS ts_us, source, category, detail, k FROM "
-
-
-@query("timeline_union_topk", _TL + ", b AS ((SELECT * FROM t WHERE source = 'events' ORDER BY ts DESC, k LIMIT 200) UNION ALL (SELECT * FROM t WHERE source = 'orders' ORDER BY ts DESC, k LIMIT 50)) " + _SHOW + "b ORDER BY ts DESC, source, k LIMIT 220")
-def _(s: Star) -> DataFrame:
-    t = _timeline(s)
-    tops = [t.filter(c("source") == n).orderBy(c("ts").desc(), "k").limit(k) for n, k in (("events", 200), ("orders", 50))]
-    return _shown(tops[0].unionByName(tops[1]).orderBy(c("ts").desc(), "source", "k").limit(220))
-
-
-@query("star_timeline_per_group", _TL + _SHOW + "t QUALIFY row_number() OVER (PARTITION BY source, category ORDER BY ts DESC, k) <= 10")
-def _(s: Star) -> DataFrame:
-    r = F.row_number().over(W.partitionBy("source", "category").orderBy(c("ts").desc(), "k"))
-    return _shown(_timeline(s).withColumn("_r", r).filter("_r <= 10"))
-
-
-@query("star_timeline_filtered", _TL + _SHOW + "t WHERE source IN ('events') AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12'")
-def _(s: Star) -> DataFrame:
-    return _shown(_timeline(s).filter("source IN ('events') AND ts >= TIMESTAMP_NTZ '2024-01-10' AND ts < TIMESTAMP_NTZ '2024-01-12'"))
-
-
-@query("context_window", _TL + _SHOW + "t WHERE ts BETWEEN TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 1 HOUR AND TIMESTAMP '2024-01-15 12:00:00' + INTERVAL 1 HOUR")
-def _(s: Star) -> DataFrame:
-    return _shown(_timeline(s).filter("ts BETWEEN TIMESTAMP_NTZ '2024-01-15 11:00:00' AND TIMESTAMP_NTZ '2024-01-15 13:00:00'"))
-
-
-_KINDS = ("click", "error", "purchase", "signup", "view")
-
-
-@query("hour_histogram_pivot", "SELECT epoch_us(date_trunc('hour', ts)) AS bucket_us, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS n_{k}" for k in _KINDS) + ", count(*) AS n_rows FROM events GROUP BY 1")
-def _(s: Star) -> DataFrame:
-    return s.events.groupBy(us(F.date_trunc("hour", "ts")).alias("bucket_us")).agg(*[F.count(F.when(c("event_type") == k, 1)).alias(f"n_{k}") for k in _KINDS], n_rows())
-
-
-@query("stats_breakdown", "SELECT user_id, count(*) FILTER (event_type = 'error') AS n_error, count(DISTINCT event_type) AS n_types, round(sum(value), 4) AS sum_value FROM events GROUP BY 1")
-def _(s: Star) -> DataFrame:
-    return s.events.groupBy("user_id").agg(F.count(F.when(c("event_type") == "error", 1)).alias("n_error"), F.countDistinct("event_type").alias("n_types"), F.round(F.sum("value"), 4).alias("sum_value"))
-
-
-@query("top_pairs", "SELECT user_id, event_type, count(*) AS n_rows FROM events GROUP BY 1, 2 ORDER BY n_rows DESC, user_id, event_type LIMIT 30")
-def _(s: Star) -> DataFrame:
-    return s.events.groupBy("user_id", "event_type").agg(n_rows()).orderBy(c("n_rows").desc(), "user_id", "event_type").limit(30)
-
-
-@query("activity_rollup", "WITH e AS (SELECT user_id AS k, count(*) AS n_events FROM events GROUP BY 1), o AS (SELECT o_custkey AS k, count(*) AS n_orders FROM orders GROUP BY 1), cu AS (SELECT c_custkey AS k, 1 AS is_customer FROM customer), u AS (SELECT k FROM e UNION SELECT k FROM o UNION SELECT k FROM cu) SELECT k, coalesce(n_events, 0) AS n_events, coalesce(n_orders, 0) AS n_orders, coalesce(is_customer, 0) AS is_customer FROM u LEFT JOIN e USING (k) LEFT JOIN o USING (k) LEFT JOIN cu USING (k)")
-def _(s: Star) -> DataFrame:
-    e = s.events.groupBy(c("user_id").alias("k")).agg(F.count(F.lit(1)).alias("n_events"))
-    o = s.orders.groupBy(c("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n_orders"))
-    cu = s.customer.select(c("c_custkey").alias("k"), F.lit(1).alias("is_customer"))
-    keys = e.select("k").union(o.select("k")).union(cu.select("k")).distinct()
-    return keys.join(e, "k", "left").join(o, "k", "left").join(cu, "k", "left").fillna(0)
-
-
-@query("hashes_of_documents", "SELECT md5(text) AS hash, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, count(DISTINCT source) AS n_sources, count(*) AS n_rows FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
-def _(s: Star) -> DataFrame:
-    d = s.documents.filter("text IS NOT NULL AND source IS NOT NULL")
-    return d.groupBy(F.md5("text").alias("hash")).agg(joined("source").alias("sources"), F.countDistinct("source").alias("n_sources"), n_rows()).filter("n_rows > 1")
-
-
-@query("multi_source_values", "SELECT k AS value, count(DISTINCT source) AS n_sources, string_agg(DISTINCT source, ' + ' ORDER BY source) AS sources FROM (SELECT user_id AS k, event_type AS source FROM events UNION ALL SELECT o_custkey, 'orders' FROM orders) GROUP BY 1 HAVING count(DISTINCT source) > 1")
-def _(s: Star) -> DataFrame:
-    u = s.events.select(c("user_id").alias("k"), c("event_type").alias("source")).unionByName(s.orders.select(c("o_custkey").alias("k"), F.lit("orders").alias("source"))).distinct()
-    return u.groupBy(c("k").alias("value")).agg(F.countDistinct("source").alias("n_sources"), joined("source", " + ").alias("sources")).filter("n_sources > 1")
-
-
-@query("left_chain_counts", "SELECT c_custkey, n_orders, n_lines FROM customer LEFT JOIN (SELECT o_custkey, count(DISTINCT o_orderkey) AS n_orders, count(l_orderkey) AS n_lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) ON o_custkey = c_custkey")
-def _(s: Star) -> DataFrame:
-    lines = s.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-    per = s.orders.join(lines, c("o_orderkey") == c("l_orderkey"), "left").groupBy("o_custkey").agg(F.countDistinct("o_orderkey").alias("n_orders"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_lines"))
-    return s.customer.join(per, c("c_custkey") == c("o_custkey"), "left").select("c_custkey", "n_orders", "n_lines")
-
-
-def suffix_joined(df: DataFrame, column: str, suffixes: Sequence[str]) -> DataFrame:
-    """Rows by each suffix (in any case) their text ends with; one equality key per distinct length of a suffix, so no nested loop."""
-    words = df.sparkSession.createDataFrame([(w, w.lower()) for w in suffixes], "suffix string, _k string")
-    text = F.lower(column)
-    ends = [F.when(F.length(text) >= n, F.right(text, F.lit(n))) for n in sorted({len(w.lower()) for w in suffixes})]
-    return df.withColumn("_k", F.explode(F.array(*ends))).join(words, "_k").drop("_k")
+    found = s.events.select(c("user_id").cast("string").alias("value"), c("event_type").alias("source")).unionByName(s.orders.select(c("o_custkey").cast("string").alias("value"), F.lit("orders").alias("source")))
+    return multi_source(found.withColumn("confidence", F.lit("LOW")))
 
 
 @query("suffix_join", "SELECT p_partkey, p_type, w AS suffix FROM part JOIN (VALUES ('STANDARD'), ('PROMO'), ('SMALL')) AS x(w) ON ends_with(lower(p_type), lower(w))")
 def _(s: Star) -> DataFrame:
-    return suffix_joined(s.part, "p_type", ("STANDARD", "PROMO", "SMALL")).select("p_partkey", "p_type", "suffix")
+    endings = s.spark.createDataFrame([("STANDARD",), ("PROMO",), ("SMALL",)], "suffix string")
+    return suffix_join(s.part.select("p_partkey", "p_type"), "p_type", endings)
 
 
-@query("eav_fold", "SELECT user_id, max(CASE WHEN event_type = 'click' THEN value END) AS max_click, max(CASE WHEN event_type = 'view' THEN value END) AS max_view FROM events GROUP BY 1 HAVING max(CASE WHEN event_type = 'click' THEN value END) IS NOT NULL")
+@query("suffix_join_of_programs", "SELECT i.image, p.name, count(*) AS n_rows FROM proc_creation i JOIN (SELECT DISTINCT name FROM mem_netscan WHERE name <> '') p ON ends_with(lower(i.image), lower(p.name)) GROUP BY 1, 2")
 def _(s: Star) -> DataFrame:
-    return s.events.groupBy("user_id").agg(*[F.max(F.when(c("event_type") == k, c("value"))).alias(f"max_{k}") for k in ("click", "view")]).filter("max_click IS NOT NULL")
-
-
-@query("first_seen_update", "SELECT o_orderkey, epoch_us(coalesce(m, o_orderdate)) AS first_us FROM orders LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS m FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
-def _(s: Star) -> DataFrame:
-    first = s.lineitem.groupBy("l_orderkey").agg(F.min("l_shipdate").alias("m"))
-    return s.orders.join(first, c("o_orderkey") == c("l_orderkey"), "left").select("o_orderkey", us(F.coalesce("m", "o_orderdate")).alias("first_us"))
+    names = s.mem_netscan.select("name").distinct()
+    return suffix_join(s.proc_creation.select("image"), "image", names, "name").groupBy("image", "name").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 _EDGE = "SELECT cn.n_name AS src, sn.n_name AS dst, count(*) AS n_rows FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey GROUP BY 1, 2"
@@ -217,37 +78,16 @@ def _edges(s: Star) -> DataFrame:
     return slim.join(cust, c("o_custkey") == c("c_custkey")).join(supp, c("l_suppkey") == c("s_suppkey")).groupBy("src", "dst").agg(F.sum("n").alias("n_rows"))
 
 
-@query("star_graph_edges", _EDGE)
-def _(s: Star) -> DataFrame:
-    return _edges(s)
-
-
 @query("star_graph_2hop", f"WITH e AS ({_EDGE}), h AS (SELECT * FROM e WHERE n_rows >= 120), l AS (SELECT src AS a, dst AS b FROM h UNION SELECT dst, src FROM h), n1 AS (SELECT 'NATION_1' AS node UNION SELECT b FROM l WHERE a = 'NATION_1'), n2 AS (SELECT node FROM n1 UNION SELECT b FROM l WHERE a IN (SELECT node FROM n1)) SELECT * FROM h WHERE src IN (SELECT node FROM n2) AND dst IN (SELECT node FROM n2)")
 def _(s: Star) -> DataFrame:
-    from .library import neighbourhood
-
     return neighbourhood(_edges(s).filter("n_rows >= 120"), "NATION_1").select("src", "dst", "n_rows")
 
 
-@query("search_documents", "SELECT doc_id, left(text, 120) AS preview FROM documents WHERE contains(lower(text), 'prefetch') ORDER BY doc_id LIMIT 50")
-def _(s: Star) -> DataFrame:
-    return s.documents.filter(F.lower("text").contains("prefetch")).orderBy("doc_id").limit(50).select("doc_id", F.left(c("text"), F.lit(120)).alias("preview"))
-
-
 @query("pattern_any_all", "SELECT count(*) FILTER (contains(text, 'certutil') OR contains(text, 'mshta')) AS n_any, count(*) FILTER (contains(text, 'timeline') AND contains(text, 'second')) AS n_all FROM documents")
 def _(s: Star) -> DataFrame:
-    from ..detect.patterns import matches
-
     return s.documents.agg(F.count(F.when(matches(c("text"), ("certutil", "mshta")), 1)).alias("n_any"), F.count(F.when(matches(c("text"), ("timeline", "second"), "all"), 1)).alias("n_all"))
 
 
-@query("sessionize_pairs", "SELECT user_id, event_id, epoch_us(ts) AS begin_us, epoch_us(nt) AS end_us FROM (SELECT *, min(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nt FROM events) WHERE event_type = 'signup'")
-def _(s: Star) -> DataFrame:
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(1, W.unboundedFollowing)
-    e = s.events.filter("event_type IN ('signup', 'purchase')").withColumn("nt", F.min(F.when(c("event_type") == "purchase", c("ts"))).over(w))
-    return e.filter("event_type = 'signup'").select("user_id", "event_id", us("ts").alias("begin_us"), us("nt").alias("end_us"))
-
-
 @query("bitmask_names", "SELECT p_partkey, concat_ws('|', CASE WHEN p_size & 1 <> 0 THEN 'A' END, CASE WHEN p_size & 2 <> 0 THEN 'B' END, CASE WHEN p_size & 4 <> 0 THEN 'C' END, CASE WHEN p_size & 32 <> 0 THEN 'D' END) AS names FROM part")
 def _(s: Star) -> DataFrame:
     return s.part.select("p_partkey", bit_names("p_size", {1: "A", 2: "B", 4: "C", 32: "D"}).alias("names"))
@@ -255,40 +95,34 @@ def _(s: Star) -> DataFrame:
 
 @query("filetime_convert", "SELECT o_orderkey, epoch_us(o_orderdate) AS back_us FROM orders")
 def _(s: Star) -> DataFrame:
-    from ..functions.text import filetime
-
     return s.orders.select("o_orderkey", us(filetime(us("o_orderdate") * 10 + 116_444_736_000_000_000)).alias("back_us"))
 
 
 @query("hex_to_int", "SELECT l_orderkey, l_linenumber, l_suppkey AS back FROM lineitem")
 def _(s: Star) -> DataFrame:
-    from ..functions.text import hex_to_int
-
     return s.lineitem.select("l_orderkey", "l_linenumber", hex_to_int(F.concat(F.lit("0x"), F.hex("l_suppkey"))).alias("back"))
 
 
-@query("event_route_project", "SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n_rows FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1, 2")
+@query("export_csv_format", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, coalesce(o_orderstatus, '') AS o_orderstatus FROM orders")
 def _(s: Star) -> DataFrame:
-    return s.events.filter(c("event_type").isin("error", "signup")).groupBy("event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k")).agg(n_rows())
+    return as_text(s.orders.select("o_orderkey", "o_orderdate", "o_orderstatus"))
 
 
-@query("dedupe_best_score", "SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) = 1")
+@query("top_programs", "SELECT regexp_extract(lower(image), '[^/\\\\]*$', 0) AS program, count(*) AS n_rows FROM proc_creation WHERE image IS NOT NULL GROUP BY 1 ORDER BY n_rows DESC, 1 LIMIT 10")
 def _(s: Star) -> DataFrame:
-    # the best row per key is an aggregate: combined on the map side, no window over all rows
-    best = F.max_by(F.struct("l_orderkey", "l_linenumber"), F.struct("l_extendedprice", -c("l_orderkey"), -c("l_linenumber"))).alias("b")
-    return s.lineitem.groupBy("l_partkey").agg(best).select("l_partkey", "b.l_orderkey", "b.l_linenumber")
+    return top(s.proc_creation.filter("image IS NOT NULL"), basename("image"), 10, "program")
 
 
-@query("export_csv_format", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, coalesce(o_orderstatus, '') AS o_orderstatus FROM orders")
-def _(s: Star) -> DataFrame:
-    return s.orders.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"), F.coalesce("o_orderstatus", F.lit("")).alias("o_orderstatus"))
+_GAP = 6 * 3_600_000_000
 
 
-@query("pricing_summary", "SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_qty, round(avg(l_discount), 6) AS avg_disc, count(*) AS n_rows FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY 1, 2")
+@query("event_sessions", f"WITH f AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= {_GAP} THEN 0 ELSE 1 END AS fresh FROM events WHERE user_id IS NOT NULL), n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS i FROM f) SELECT user_id, min(t) AS start_us, max(t) AS end_us, count(*) AS n_events FROM n GROUP BY user_id, i")
 def _(s: Star) -> DataFrame:
-    return s.lineitem.filter("l_shipdate <= TIMESTAMP_NTZ '1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(F.sum(c("l_quantity").cast("decimal(18,2)")).cast("double").alias("sum_qty"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), n_rows())
+    return sessionize(s.events, ["user_id"], "ts", _GAP).select("user_id", "start_us", "end_us", c("n_events").cast("bigint").alias("n_events"))
 
 
-@query("embedding_label_counts", "SELECT label, count(*) AS n_rows FROM embeddings GROUP BY 1")
+@query("order_periods", "WITH iv AS (SELECT o_custkey AS k, epoch_us(o_orderdate) AS a, epoch_us(max(l_shipdate)) AS z FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey, o_orderdate HAVING max(l_shipdate) >= o_orderdate), f AS (SELECT *, CASE WHEN a <= max(z) OVER (PARTITION BY k ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM iv WHERE a >= 946684800000000), n AS (SELECT *, sum(fresh) OVER (PARTITION BY k ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS i FROM f), p AS (SELECT k, min(a) AS start_us, max(z) AS end_us FROM n GROUP BY k, i), g AS (SELECT k, lag(end_us) OVER (PARTITION BY k ORDER BY start_us) AS start_us, start_us AS end_us FROM p) SELECT 'period' AS kind, k, start_us, end_us FROM p UNION ALL SELECT 'gap', k, start_us, end_us FROM g WHERE start_us IS NOT NULL")
 def _(s: Star) -> DataFrame:
-    return s.embeddings.groupBy("label").agg(n_rows())
+    last = s.lineitem.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("until"))
+    spans = s.orders.join(last, c("o_orderkey") == c("l_orderkey")).select(c("o_custkey").alias("k"), "o_orderdate", "until")
+    return periods_and_gaps(spans, ["k"], "o_orderdate", "until")

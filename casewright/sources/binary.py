@@ -61,55 +61,80 @@ def usnjrnl(data: bytes, path: str) -> Iterator[dict]:
         at += size
 
 
+def file_record(raw: bytes, number: int | None = None) -> dict | None:
+    """One record of a file table: its number, the record it extends (0: none), name, parent, times, size and streams; None for what is no record.
+
+    number: its place in the table, where that is known; newer tables write it
+    into the record too.
+    """
+    rec, size = bytearray(raw), len(raw)
+    if rec[:4] != b"FILE" or size < 48:
+        return None
+    fix, count = struct.unpack_from("<HH", rec, 4)
+    for i in range(1, count):
+        if i * 512 <= size and fix + 2 * i + 2 <= size:
+            rec[i * 512 - 2 : i * 512] = rec[fix + 2 * i : fix + 2 * i + 2]
+    first, flags = struct.unpack_from("<HH", rec, 20)
+    base = struct.unpack_from("<Q", rec, 32)[0] & 0xFFFFFFFFFFFF
+    own = struct.unpack_from("<I", rec, 44)[0] if number is None else number
+    at, name, parent, space, times, length, streams = first, None, None, 9, None, None, []
+    while at + 16 <= size:
+        kind, alen = struct.unpack_from("<II", rec, at)
+        if kind == 0xFFFFFFFF or alen < 16 or at + alen > size:
+            break
+        resident, nlen, noff = rec[at + 8] == 0, rec[at + 9], struct.unpack_from("<H", rec, at + 10)[0]
+        if resident:
+            clen, coff = struct.unpack_from("<IH", rec, at + 16)
+            body = bytes(rec[at + coff : at + coff + clen])
+        if kind == 0x10 and resident and len(body) >= 32:
+            times = struct.unpack_from("<4q", body)
+        elif kind == 0x30 and resident and len(body) >= 66:
+            ns = body[65]
+            if name is None or (space == 2 and ns != 2):
+                name, space = body[66 : 66 + 2 * body[64]].decode("utf-16-le", "replace"), ns
+                parent = struct.unpack_from("<Q", body)[0] & 0xFFFFFFFFFFFF
+        elif kind == 0x80 and (resident or struct.unpack_from("<q", rec, at + 16)[0] == 0):  # later parts of a split stream say no size
+            n_bytes = clen if resident else struct.unpack_from("<q", rec, at + 48)[0]
+            if nlen:
+                streams.append(bytes(rec[at + noff : at + noff + 2 * nlen]).decode("utf-16-le", "replace"))
+            else:
+                length = n_bytes
+        at += alen
+    c, m, x, a = (from_filetime(t) for t in times) if times else (None,) * 4
+    return {"inode": own, "base": base, "name": name, "short": space == 2, "parent": parent, "size": length, "created": c, "modified": m, "mft_modified": x, "accessed": a, "flags": flags, "streams": streams}
+
+
 def mft(data: bytes, path: str) -> Iterator[dict]:
-    """File records of a master file table, with paths from their parents."""
-    size = 1024
-    recs: dict[int, tuple] = {}
-    for n in range(len(data) // size):
-        rec = bytearray(data[n * size : (n + 1) * size])
-        if rec[:4] != b"FILE":
+    """File records of a master file table read as a whole, with paths from their parents; records that extend another add to it. Larger tables: ``filetable.file_table``."""
+    recs: dict[int, dict] = {}
+    more: list[dict] = []
+    for n in range(len(data) // 1024):
+        r = file_record(data[n * 1024 : (n + 1) * 1024], n)
+        if r is None:
             continue
-        fix, count = struct.unpack_from("<HH", rec, 4)
-        for i in range(1, count):
-            rec[i * 512 - 2 : i * 512] = rec[fix + 2 * i : fix + 2 * i + 2]
-        first, flags = struct.unpack_from("<HH", rec, 20)
-        at, name, parent, space, times, length, streams = first, None, None, 9, None, None, []
-        while at + 16 <= size:
-            kind, alen = struct.unpack_from("<II", rec, at)
-            if kind == 0xFFFFFFFF or alen < 16 or at + alen > size:
-                break
-            resident, nlen, noff = rec[at + 8] == 0, rec[at + 9], struct.unpack_from("<H", rec, at + 10)[0]
-            if resident:
-                clen, coff = struct.unpack_from("<IH", rec, at + 16)
-                body = bytes(rec[at + coff : at + coff + clen])
-            if kind == 0x10 and resident and len(body) >= 32:
-                times = struct.unpack_from("<4q", body)
-            elif kind == 0x30 and resident and len(body) >= 66:
-                ns = body[65]
-                if name is None or (space == 2 and ns != 2):
-                    name, space = body[66 : 66 + 2 * body[64]].decode("utf-16-le", "replace"), ns
-                    parent = struct.unpack_from("<Q", body)[0] & 0xFFFFFFFFFFFF
-            elif kind == 0x80:
-                n_bytes = clen if resident else struct.unpack_from("<q", rec, at + 48)[0]
-                if nlen:
-                    streams.append(bytes(rec[at + noff : at + noff + 2 * nlen]).decode("utf-16-le", "replace"))
-                else:
-                    length = n_bytes
-            at += alen
-        if name is not None:
-            recs[n] = (name, parent, times, length, flags, streams)
+        if r["base"]:
+            more.append(r)
+        else:
+            recs[n] = r
+    for r in more:
+        own = recs.get(r["base"])
+        if own is not None:
+            if r["name"] is not None and (own["name"] is None or own["short"] and not r["short"]):
+                own |= {k: r[k] for k in ("name", "short", "parent")}
+            own["size"] = r["size"] if own["size"] is None else own["size"]
+            own["streams"] = own["streams"] + r["streams"]
+    named = {n: r for n, r in recs.items() if r["name"] is not None}
 
     def full(n: int) -> str:
         parts, seen = [], set()
-        while n in recs and n != 5 and n not in seen:
+        while n in named and n != 5 and n not in seen:
             seen.add(n)
-            parts.append(recs[n][0])
-            n = recs[n][1]
+            parts.append(named[n]["name"])
+            n = named[n]["parent"]
         return "/".join(reversed(parts))
 
-    for n, (_, _, times, length, flags, streams) in recs.items():
-        c, m, x, a = (from_filetime(t) for t in times) if times else (None,) * 4
-        yield {"inode": n, "path": full(n), "size": length, "created": c, "modified": m, "mft_modified": x, "accessed": a, "is_dir": bool(flags & 2), "is_deleted": not flags & 1, "ads_name": ",".join(streams) or None, "flags": flags}
+    for n, r in named.items():
+        yield {**r, "path": full(n), "is_dir": bool(r["flags"] & 2), "is_deleted": not r["flags"] & 1, "ads_name": ",".join(sorted(r["streams"])) or None}
 
 
 # ---- Windows shell and loader

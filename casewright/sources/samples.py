@@ -362,3 +362,52 @@ def srudb():
 
 def counted(text):
     return struct.pack("<I", len(text) + 1) + u(text) + b"\0\0"
+
+
+def file_entry(number, name, parent, flags=1, base=0, size=None, streams=(), short=None):
+    """A file record of 1,024 bytes with update marks; short: a second name of eight letters."""
+
+    def attribute(kind, body, label=""):
+        text = u(label)
+        head = struct.pack("<IIBBHHHIHH", kind, 0, 0, len(label), 24, 0, 0, len(body), 24 + len(text), 0)
+        raw = head + text + body
+        raw += b"\0" * (-len(raw) % 8)
+        return raw[:4] + struct.pack("<I", len(raw)) + raw[8:]
+
+    def named(text, space):
+        return attribute(0x30, struct.pack("<Q", parent | 1 << 48) + bytes(56) + bytes([len(text), space]) + u(text))
+
+    body = attribute(0x10, struct.pack("<4q", FT, FT, FT, FT) + bytes(16)) if not base else b""
+    if short:
+        body += named(short, 2)
+    if name:
+        body += named(name, 1)
+    if size is not None:
+        body += attribute(0x80, b"x" * size)
+    for s in streams:
+        body += attribute(0x80, b"y", s)
+    rec = bytearray((struct.pack("<4sHHQHHHHIIQHHI", b"FILE", 48, 3, 0, 1, 1, 56, flags, 0, 1024, base, 0, 0, number) + bytes(8) + body + b"\xff\xff\xff\xff").ljust(1024, b"\0"))
+    struct.pack_into("<HHH", rec, 48, 7, *struct.unpack_from("<H", rec, 510), *struct.unpack_from("<H", rec, 1022))
+    struct.pack_into("<H", rec, 510, 7)
+    struct.pack_into("<H", rec, 1022, 7)
+    return bytes(rec)
+
+
+def file_table():
+    """A small table: folders nested, a deleted file, streams, an extended record, a missing parent, a circle, damaged records."""
+    rows = {0: ("$MFT", 5), 5: (".", 5), 6: ("Users", 5), 7: ("ann", 6), 8: ("Downloads", 7), 9: ("setup program.exe", 8), 10: ("lost.txt", 99), 11: ("a", 12), 12: ("b", 11), 13: (None, 0), 14: ("deleted.txt", 8)}
+    out = []
+    for n in range(20):
+        if n == 9:
+            out.append(file_entry(n, *rows[n], size=11, streams=("Zone.Identifier",), short="SETUPP~1"))
+        elif n == 13:
+            out.append(file_entry(n, None, 0))
+        elif n == 14:
+            out.append(file_entry(n, *rows[n], flags=0, size=3))
+        elif n == 15:
+            out.append(file_entry(n, "long name.bin", 8, base=13, size=40, streams=("extra",)))
+        elif n in rows:
+            out.append(file_entry(n, *rows[n], flags=3 if n in (5, 6, 7, 8, 11, 12) else 1))
+        else:
+            out.append(b"BAAD".ljust(1024, b"\0") if n % 2 else bytes(1024))
+    return b"".join(out)

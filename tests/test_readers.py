@@ -184,3 +184,21 @@ def test_directory_accounts():
 def test_plain_xpress():
     # three literals, then a match of nine at distance three
     assert ese.lz77(struct.pack("<I", 1 << 28) + b"abc" + struct.pack("<H", (3 - 1) << 3 | 6), 12) == b"abc" * 4
+
+
+def test_file_table_in_splits_and_as_a_whole(spark, tmp_path):
+    from casewright.sources.filetable import file_table, paths
+    from casewright.sources.samples import file_table as made
+
+    (tmp_path / "MFT").write_bytes(made())
+    whole = {r["inode"]: r for r in binary.mft(made(), "$MFT")}
+    split = {r["inode"]: r.asDict() for r in file_table(spark, str(tmp_path / "MFT")).collect()}
+    assert whole[9]["path"] == "Users/ann/Downloads/setup program.exe" and whole[9]["ads_name"] == "Zone.Identifier" and whole[9]["size"] == 11
+    assert (whole[13]["path"], whole[13]["size"], whole[13]["ads_name"]) == ("Users/ann/Downloads/long name.bin", 40, "extra") and 15 not in whole
+    assert whole[10]["path"] == "lost.txt" and whole[14]["is_deleted"] and not whole[14]["is_dir"] and whole[8]["is_dir"] and whole[9]["created"] == D
+    circle = {11, 12}
+    assert split.keys() == whole.keys() and 5 in whole
+    for n in split.keys() - circle:
+        assert {k: split[n][k] for k in split[n]} == {k: whole[n].get(k) for k in split[n]}, n
+    deep = spark.createDataFrame([(5, 5, ".")] + [(10 + i, 9 + i if i else 5, f"d{i}") for i in range(70)], "inode bigint, parent bigint, name string")
+    assert {r["inode"]: r["path"] for r in paths(deep).collect()}[79] == "/".join(f"d{i}" for i in range(70))

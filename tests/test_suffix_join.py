@@ -1,8 +1,16 @@
-from casewright.plans.starqueries import suffix_joined
+import pytest
+
+from casewright.operators.suffix import suffix_join
 
 
 def test_suffix_need_not_be_a_word(spark):
     df = spark.createDataFrame([(1, "SUBSTANDARD"), (2, "x promo small"), (3, "small"), (4, "mall"), (5, None), (6, "SMALLER"), (7, "")], "k int, t string")
-    got = {(r["k"], r["suffix"]) for r in suffix_joined(df, "t", ("STANDARD", "Promo Small", "SMALL")).collect()}
-    assert got == {(1, "STANDARD"), (2, "Promo Small"), (2, "SMALL"), (3, "SMALL")}
-    assert suffix_joined(df, "t", ("STANDARD", "Promo Small", "SMALL")).count() == 4
+    ends = spark.createDataFrame([("STANDARD", 1), ("Promo Small", 2), ("SMALL", 3), ("", 4), (None, 5)], "suffix string, _lengths int").drop("_lengths")
+    got = [(r["k"], r["suffix"]) for r in suffix_join(df, "t", ends).collect()]
+    assert sorted(got) == [(1, "STANDARD"), (2, "Promo Small"), (2, "SMALL"), (3, "SMALL")]
+    assert suffix_join(df.limit(0), "t", ends).count() == 0 and suffix_join(df, "t", ends.limit(0)).count() == 0
+    assert suffix_join(df.union(df), "t", ends).count() == 8
+    plan = suffix_join(df, "t", ends)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    with pytest.raises(ValueError):
+        suffix_join(df, "t", spark.createDataFrame([("a",)], "t string"), "t")
