@@ -18,9 +18,9 @@ def suffix_join(df: DataFrame, column: str, endings: DataFrame, ending: str = "s
     if clash := set(df.columns) & set(endings.columns):
         raise ValueError(f"columns on both sides: {sorted(clash)}")
     keyed = endings.filter(F.length(ending) > 0).withColumn("_key", F.lower(ending))
-    # the distinct lengths of all endings: a few numbers, one row
-    lengths = keyed.agg(F.collect_set(F.length("_key")).alias("_lengths"))
+    # only the distinct lengths of endings come to the driver: a few numbers, however many endings there are
+    lengths = sorted(r[0] for r in keyed.select(F.length("_key")).distinct().collect())
     text = F.lower(F.col(column))
-    cut = df.withColumn("_one", F.lit(1)).join(lengths.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    cut = cut.withColumn("_key", F.explode(F.transform(F.filter("_lengths", lambda n: F.length(text) >= n), lambda n: F.right(text, n)))).drop("_lengths")
+    ends = F.array(*[F.when(F.length(text) >= n, F.right(text, F.lit(n))) for n in lengths]).cast("array<string>")
+    cut = df.withColumn("_key", F.explode(F.filter(ends, lambda x: x.isNotNull())))
     return cut.join(keyed, "_key").drop("_key")
