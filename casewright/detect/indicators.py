@@ -33,12 +33,14 @@ WINPATH = r"[A-Za-z]:\\(?:[^\s\"'<>|*?\\]+\\)*[^\s\"'<>|*?\\]+"
 NTFSPATH = r"(?i)/(?:Users|Windows|ProgramData|Program Files[^/]*)/[^\s\"'<>|*?]+"
 # The endings of names that count as domains.
 ENDINGS = "com|net|org|io|ru|cn|de|uk|gov|mil|edu|info|biz|xyz|top|pro|online|site|cc|tk|pw|app|dev|cloud|tech|me|co|us|ca|fr|jp|br|in|au|pl|nl|se|no|fi|dk|be|ch|at|es|it|pt|cz|hu|gr|ro|bg|tr|ua|kz|sa|ae|il|ir|eg|ma|ng|ke|th|ph|id|my|sg|hk|tw|kr|click|gq|ml|cf|ga|onion|example|test"
-DOMAIN = r"(?i)" + _B + rf"(?:[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?\.)+(?:{ENDINGS})" + _E
+DOMAIN = r"(?i)" + _B + rf"(?=[a-z0-9-]++\.)(?:[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?\.)+(?:{ENDINGS})" + _E
 BASE64 = r"[A-Za-z0-9+/]{40,}={0,2}"
 
 
-def _all(c: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+def _all(c: Column, pattern: str, there: Column | None = None) -> Column:
+    """All matches of a pattern; not even looked for where a cheap test says there can be none."""
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    return found if there is None else F.when(there, found).otherwise(F.array().cast("array<string>"))
 
 
 def _trimmed(c: Column) -> Column:
@@ -48,18 +50,21 @@ def _trimmed(c: Column) -> Column:
 def indicators_of(text: Column, base64: bool = False) -> Column:
     """array<struct<type, value>> of one text: hashes (long ones first, and not again as parts), URLs, public addresses, registry keys, suspicious paths, domains."""
     out, rest = [], text
+    hexed = text.rlike("[A-Fa-f0-9]{32}")
     for kind, n in HASHES:
         pattern = f"{_B}[A-Fa-f0-9]{{{n}}}{_E}"
-        out.append((kind, _all(rest, pattern)))
+        out.append((kind, _all(rest, pattern, hexed)))
         rest = F.regexp_replace(rest, pattern, " ")
-    out.append(("url", F.transform(_all(text, URL), _trimmed)))
-    out.append(("ip", F.filter(_all(text, IPV4), lambda x: ~x.rlike(PRIVATE))))
-    out.append(("regkey", F.transform(_all(text, REGKEY), lambda x: F.regexp_replace(x, r"[\\.,;:)'\"\]]+$", ""))))
-    paths = F.concat(_all(text, WINPATH), _all(text, NTFSPATH))
+    dotted, linked, back = text.contains("."), text.contains("://"), text.contains("\\")
+    out.append(("url", F.transform(_all(text, URL, linked), _trimmed)))
+    out.append(("ip", F.filter(_all(text, IPV4, dotted), lambda x: ~x.rlike(PRIVATE))))
+    out.append(("regkey", F.transform(_all(text, REGKEY, back), lambda x: F.regexp_replace(x, r"[\\.,;:)'\"\]]+$", ""))))
+    paths = F.concat(_all(text, WINPATH, text.contains(":\\")), _all(text, NTFSPATH, text.contains("/")))
     out.append(("path", F.filter(F.transform(paths, _trimmed), lambda x: any_of([F.translate(F.lower(x), "\\", "/").contains(f) for f in SUSPICIOUS_FOLDERS]))))
     if base64:
         out.append(("base64", _all(text, BASE64)))
-    domains = F.transform(_all(F.regexp_replace(text, URL, " "), DOMAIN), F.lower)
+    bare = F.when(linked, F.regexp_replace(text, URL, " ")).otherwise(text)
+    domains = F.transform(_all(bare, DOMAIN, dotted), F.lower)
     out.append(("domain", F.filter(domains, lambda x: (F.length(x) >= 6) & ~any_of([(x == d) | x.endswith("." + d) for d in NOISE_DOMAINS]))))
 
     def named(kind: str, values: Column) -> Column:
