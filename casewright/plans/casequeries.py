@@ -215,9 +215,14 @@ def _(case: Case) -> DataFrame:
     return L.event_stats(case)
 
 
-@query("process_stats", f"SELECT {BASE.format('image')} AS program, count(*) AS n_starts, count(DISTINCT lower(user_name)) AS n_users, count(DISTINCT {BASE.format('parent_image')}) AS n_parents, count(*) FILTER (integrity_level IN ('High', 'System')) AS n_elevated FROM proc_creation WHERE image IS NOT NULL GROUP BY 1")
+def _timed(df: DataFrame) -> DataFrame:
+    """First and last times as microseconds."""
+    return df.withColumns({"first_us": us("first_ts"), "last_us": us("last_ts")}).drop("first_ts", "last_ts")
+
+
+@query("process_stats", f"SELECT {BASE.format('image')} AS program, count(*) AS n_starts, count(DISTINCT lower(user_name)) AS n_users, count(DISTINCT {BASE.format('parent_image')}) AS n_parents, count(*) FILTER (integrity_level IN ('High', 'System')) AS n_elevated, epoch_us(min(\"timestamp\")) AS first_us, epoch_us(max(\"timestamp\")) AS last_us FROM proc_creation WHERE image IS NOT NULL GROUP BY 1")
 def _(case: Case) -> DataFrame:
-    return L.process_stats(case).drop("first_ts", "last_ts")
+    return _timed(L.process_stats(case))
 
 
 @query("user_activity", f"""WITH p AS (SELECT lower(split_part(user_name, '\\', -1)) AS account, count(*) AS n_procs, count(DISTINCT {BASE.format('image')}) AS n_programs FROM proc_creation WHERE user_name <> '' GROUP BY 1),
@@ -228,32 +233,30 @@ def _(case: Case) -> DataFrame:
     return L.user_activity(case)
 
 
-@query("mail_stats", "SELECT folder, count(*) AS n_mails, count(DISTINCT lower(from_addr)) AS n_senders, count(*) FILTER (has_attachments) AS n_with_files FROM emails GROUP BY folder")
+@query("mail_stats", "SELECT folder, count(*) AS n_mails, count(DISTINCT lower(from_addr)) AS n_senders, count(*) FILTER (has_attachments) AS n_with_files, epoch_us(min(coalesce(sent_at, received_at))) AS first_us, epoch_us(max(coalesce(sent_at, received_at))) AS last_us FROM emails GROUP BY folder")
 def _(case: Case) -> DataFrame:
-    return L.mail_stats(case).drop("first_ts", "last_ts")
+    return _timed(L.mail_stats(case))
 
 
-_EDGES = f"SELECT {BASE.format('parent_image')} AS src, {BASE.format('image')} AS dst, count(*) AS n_starts, count(DISTINCT lower(user_name)) AS n_users FROM proc_creation WHERE image IS NOT NULL AND parent_image IS NOT NULL GROUP BY 1, 2"
+_EDGES = f"SELECT {BASE.format('parent_image')} AS src, {BASE.format('image')} AS dst, count(*) AS n_starts, count(DISTINCT lower(user_name)) AS n_users, epoch_us(min(\"timestamp\")) AS first_us, epoch_us(max(\"timestamp\")) AS last_us FROM proc_creation WHERE image IS NOT NULL AND parent_image IS NOT NULL GROUP BY 1, 2"
 
 
 @query("graph_edges", _EDGES)
 def _(case: Case) -> DataFrame:
-    return L.graph_edges(case).drop("first_ts", "last_ts")
+    return _timed(L.graph_edges(case))
 
 
 @query("graph_neighbourhood", f"""WITH e AS ({_EDGES}), l AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
 n1 AS (SELECT 'explorer.exe' AS node UNION SELECT b FROM l WHERE a = 'explorer.exe'), n2 AS (SELECT node FROM n1 UNION SELECT b FROM l WHERE a IN (SELECT node FROM n1))
 SELECT * FROM e WHERE src IN (SELECT node FROM n2) AND dst IN (SELECT node FROM n2)""")
 def _(case: Case) -> DataFrame:
-    return L.neighbourhood(L.graph_edges(case).drop("first_ts", "last_ts"), "explorer.exe")
+    return _timed(L.neighbourhood(L.graph_edges(case), "explorer.exe"))
 
 
 @query("network_correlation", """WITH n AS (SELECT remote_addr, count(*) AS n_conns FROM mem_netscan WHERE remote_addr NOT IN ('', '*', '0.0.0.0', '::') GROUP BY 1), a AS (SELECT src_ip AS remote_addr, count(DISTINCT "timestamp") AS n_logons FROM auth_events GROUP BY 1)
-SELECT remote_addr, n_conns, coalesce(n_logons, 0) AS n_logons FROM n LEFT JOIN a USING (remote_addr)""")
+SELECT remote_addr, n_conns, coalesce(n_logons, 0) AS n_logons, (SELECT count(*) FROM b WHERE src_ip = remote_addr) AS n_findings FROM n LEFT JOIN a USING (remote_addr)""".replace("WITH n AS", """WITH b AS (SELECT src_ip FROM auth_events WHERE event_id = 4625 AND src_ip NOT IN ('', '-', '127.0.0.1') AND "timestamp" >= TIMESTAMP '2000-01-01' GROUP BY 1 HAVING count(*) >= 5 UNION ALL SELECT src_ip FROM auth_events WHERE event_id = 4625 AND logon_type = 10 AND src_ip NOT IN ('', '-', '127.0.0.1', '::1') AND "timestamp" >= TIMESTAMP '2000-01-01' GROUP BY 1 HAVING count(*) >= 5), n AS"""))
 def _(case: Case) -> DataFrame:
-    from ..detect.findings import empty
-
-    return L.network_correlation(case, empty(case)).select("remote_addr", "n_conns", "n_logons")
+    return L.network_correlation(case, run_detectors(case, ["brute_force", "rdp_brute_force"])).select("remote_addr", "n_conns", "n_logons", "n_findings")
 
 
 # with the findings of every detector; without SQL, which would hold all of them, and tested on a fixture
@@ -408,7 +411,10 @@ def _(case: Case) -> DataFrame:
     return L.autoruns(case.with_tables(registry_raw=case.spark.createDataFrame([(x,) for x in _KEYS], "key_path string"))).select("key_path")
 
 
-@query("table_counts")
+_TABLES_HERE = ("anydesk_events", "anydesk_sessions", "auth_events", "browser_history", "emails", "evtx_events", "linux_auth", "linux_sessions", "mem_netscan", "proc_creation", "ps_scriptblock", "shell_history")
+
+
+@query("table_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in _TABLES_HERE))
 def _(case: Case) -> DataFrame:
     return L.counts(case)
 
@@ -439,13 +445,22 @@ def _(case: Case) -> DataFrame:
 
 # ---- text artifacts, read again from their lines
 
-@query("auth_lines_users", """WITH l AS (SELECT source_file, line_no, min_by(message, rec_id) AS m FROM linux_auth GROUP BY 1, 2)
-SELECT CASE WHEN contains(m, 'Accepted ') THEN 'ssh_login_success' WHEN contains(m, 'Failed ') AND contains(m, ' from ') THEN CASE WHEN contains(m, 'invalid user') THEN 'ssh_invalid_user' ELSE 'ssh_login_failed' END END AS event_type, count(*) AS n_rows FROM l WHERE contains(m, 'Accepted ') OR (contains(m, 'Failed ') AND contains(m, ' from ')) GROUP BY 1""")
+_AUTH_SQL = r"""WITH l AS (SELECT source_file, line_no, min_by(message, rec_id) AS m FROM linux_auth GROUP BY 1, 2),
+p AS (SELECT m, regexp_extract(m, '^(?:\S+|[A-Z][a-z]{2} +\d{1,2} \S+) \S+ ([\w./-]+?)(?:\[\d+\])?:', 1) AS prog FROM l),
+t AS (SELECT CASE WHEN contains(m, 'Accepted ') THEN 'ssh_login_success' WHEN contains(m, 'Failed ') AND contains(m, ' from ') THEN CASE WHEN contains(m, 'invalid user') THEN 'ssh_invalid_user' ELSE 'ssh_login_failed' END
+  WHEN contains(m, 'Invalid user ') THEN 'ssh_invalid_user' WHEN contains(m, 'Disconnected from') OR contains(m, 'Connection closed') THEN 'ssh_disconnect' WHEN prog = 'sudo' AND contains(m, 'COMMAND=') THEN 'sudo'
+  WHEN prog = 'su' AND (contains(m, 'FAILED') OR contains(m, 'authentication failure')) THEN 'su_failed' WHEN prog = 'su' AND (contains(m, 'session opened') OR contains(m, 'Successful su')) THEN 'su_success'
+  WHEN prog IN ('useradd', 'usermod', 'userdel') THEN prog WHEN prog = 'passwd' AND contains(m, 'password changed') THEN 'passwd_change' WHEN prog = 'sshd' THEN 'ssh_other' END AS event_type,
+  coalesce(nullif(regexp_extract(m, '(?:Accepted \S+|Failed \S+) for (?:invalid user )?(\S+) from', 1), ''), nullif(regexp_extract(m, 'Invalid user (\S+) from', 1), ''), nullif(regexp_extract(m, 'sudo(?:\[\d+\])?: +(\S+) :', 1), ''), nullif(regexp_extract(m, 'name=([^,\s]+)', 1), ''), nullif(regexp_extract(m, '(?:for user|password changed for|Disconnected from user) (\S+)', 1), '')) AS account FROM p)
+SELECT event_type, account, count(*) AS n_rows FROM t WHERE event_type IS NOT NULL GROUP BY 1, 2"""
+
+
+@query("auth_lines_users", _AUTH_SQL)
 def _(case: Case) -> DataFrame:
     from ..sources.text import auth_log
 
     once = case["linux_auth"].groupBy("source_file", "line_no").agg(F.min_by("message", "rec_id").alias("value")).select(F.col("source_file").alias("path"), "line_no", "value")
-    return auth_log(once).filter(F.col("event_type").isin("ssh_login_success", "ssh_invalid_user", "ssh_login_failed") & ~F.col("message").contains("Invalid user ")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n_rows"))
+    return auth_log(once).groupBy("event_type", F.col("user").alias("account")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 __all__ = ["ORACLE", "QUERIES", "SparkSession"]
