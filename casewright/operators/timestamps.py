@@ -15,6 +15,7 @@ that is skipped is read with the offset in force before the change.
 from __future__ import annotations
 
 from datetime import datetime
+from functools import lru_cache
 from zoneinfo import ZoneInfo, available_timezones
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,8 +65,8 @@ UNITS = (
 )
 
 
-def zone_abbreviations(spark: SparkSession) -> DataFrame:
-    """(zone_name, abbreviation, offset_us) of every zone's standard and summer time, from the time zone database."""
+@lru_cache(maxsize=1)
+def _abbreviations() -> tuple[tuple[str, str, int], ...]:
     rows = set()
     for name in sorted(available_timezones()):
         z = ZoneInfo(name)
@@ -75,7 +76,12 @@ def zone_abbreviations(spark: SparkSession) -> DataFrame:
                 rows.add((name, at.tzname(), int(at.utcoffset().total_seconds()) * 1_000_000))
     # A name that meant several offsets there: the latest entry of the sorted list wins, so that a stamp has one meaning.
     lean = {(n, a): o for n, a, o in sorted(rows)}
-    return spark.createDataFrame([(n, a, o) for (n, a), o in lean.items()], "zone_name string, abbreviation string, offset_us bigint")
+    return tuple((n, a, o) for (n, a), o in lean.items())
+
+
+def zone_abbreviations(spark: SparkSession) -> DataFrame:
+    """(zone_name, abbreviation, offset_us) of every zone's standard and summer time, from the time zone database."""
+    return spark.createDataFrame(_abbreviations(), "zone_name string, abbreviation string, offset_us bigint")
 
 
 def _int(c: Column) -> Column:

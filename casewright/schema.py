@@ -127,10 +127,14 @@ class Case:
         place = jvm.org.apache.hadoop.fs.Path(path)
         return bool(place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(place))
 
+    def _raw(self, name: str) -> DataFrame:
+        """A collected table as it lies there."""
+        return self.given[name] if name in self.given else self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
     def has_rows(self, name: str) -> bool:
         """Whether the table was collected and holds a row."""
         if name not in self._filled:
-            self._filled[name] = self.has(name) and not self.get(name).isEmpty()
+            self._filled[name] = self.has(name) and not self._raw(name).isEmpty()
         return self._filled[name]
 
     def get(self, name: str) -> DataFrame:
@@ -139,7 +143,7 @@ class Case:
             if not self.has(name):
                 self._kept[name] = self.spark.createDataFrame([], ddl)
             else:
-                df = self.given[name] if name in self.given else self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                df = self._raw(name)
                 want = [c.split(" ") for c in ddl.split(", ")]
                 have = set(df.columns)
                 declared = df.columns
@@ -163,7 +167,7 @@ class Case:
 
     def _hosts(self) -> DataFrame | None:
         """host, zone_name, date_order of the case's machines, where that table was collected."""
-        df = self.given["hosts"] if "hosts" in self.given else self.spark.read.parquet(f"{self.folder}/hosts.parquet") if self.has("hosts") else None
+        df = self._raw("hosts") if self.has("hosts") else None
         return df if df is None else df.select("host", "zone_name", "date_order").filter(F.col("host").isNotNull() & F.col("zone_name").isNotNull())
 
     def _instants(self, df: DataFrame, stamps: dict[str, str]) -> DataFrame:
