@@ -47,7 +47,7 @@ class LinearChainCRF:
         w = np.zeros((len(self.index), n))
         params = [w, self.transitions, self.start, self.end]
         m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        rng, step = np.random.default_rng(seed), 0
+        rng, step, steps = np.random.default_rng(seed), 0, epochs * -(-len(sentences) // batch)
         gold = [np.array([lab[t] for t in ts]) for ts in tags]
         for _ in range(epochs):
             order = rng.permutation(len(sentences))
@@ -57,14 +57,15 @@ class LinearChainCRF:
                 chunk = sorted(chunk, key=lambda k: len(feats[k]))
                 for at in range(0, len(chunk), batch):
                     grads = self._gradient([feats[k] for k in chunk[at : at + batch]], [gold[k] for k in chunk[at : at + batch]], w)
-                    step += 1
+                    # the rate falls to nothing: at a constant one the labels of unlike words depend on the last steps
+                    now, step = rate * max(0.0, 1 - step / steps), step + 1
                     for p, g, a, b in zip(params, grads, m1, m2):
                         g = g + l2 * p
                         a *= 0.9
                         a += 0.1 * g
                         b *= 0.999
                         b += 0.001 * g * g
-                        p -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
+                        p -= now * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
         self.weights = w
         self._rows, self._table = {}, np.zeros((0,))
         return self

@@ -53,8 +53,14 @@ STREET_WORDS = frozenset("street road lane avenue drive court close terrace boul
 STREET_ENDS = ("straße", "strasse", "gasse", "weg", "allee", "platz", "ufer", "damm", "ring", "kai", "hafen", "stieg", "steig", "chaussee")
 UNIT_WORDS = frozenset("apt apartment unit flat suite floor room etage wohnung appartement piso".split())
 ID_WORDS = frozenset("ssn sin nin nino social security soc sec tax taxpayer steuer-id steuernummer steueridentifikationsnummer national id identity identification personal card passport licence license driving driver's driver travel document personalausweis ausweis reisepass führerschein numéro fiscal dni nie nif idno permis passeport".split())
+DOCUMENT_WORDS = ID_WORDS - {"numéro"}  # telephones have a numéro as well
 PHONE_WORDS = frozenset("call phone tel telephone mobile cell ring reach reachable fax t anrufen unter officephone telefon téléphone portable appeler prévenir call".split())
 NOT_PERSONAL_NUMBER = frozenset("order invoice case ticket version build record change session port value hash serial parcel tracking kb no company maxevents requiredversion seconds entry entrée every zwischen between rechnung auftrag commande facture".split())
+# Kinds of companies and of jobs: capital letters beside them are no one's, unless a name stands there.
+ORG_WORDS = frozenset("bank logistics energy insurance media foods systems steel pharma pharmaceuticals airlines motors textiles software consulting partners capital holding holdings industries shipping telecom ltd limited inc gmbh ag sarl llc group hotels chemicals optics freight mills rail railways airways aviation aerospace marine mining oil gas water electric electronics robotics laboratories labs solutions services technologies trading ventures estates properties construction engineering furniture paper dairy farms bakeries breweries brewery works plastics ceramics cement timber transport cargo couriers networks publishing press broadcasting studios pictures records games toys sports fashion retail stores clinic hospital health healthcare medical diagnostics biotech genomics semiconductors university college institute academy foundation tiles bricks carpets interiors lighting machinery storage distribution wholesale imports exports recycling trust association agency council ministry corp corporation company plc llp kg se bv nv sa sas spa srl ab oy".split())
+# Of these, what ends no person's name, unless it is listed as one.
+COMPANY_ENDS = frozenset("logistics insurance foods systems pharma pharmaceuticals airlines textiles software consulting holding holdings industries shipping telecom ltd limited inc gmbh sarl llc plc llp group hotels chemicals optics freight airways aviation aerospace electronics robotics laboratories technologies solutions services ventures properties semiconductors diagnostics biotech genomics healthcare university institute academy foundation association corp corporation".split())
+JOB_WORDS = frozenset("manager officer engineer analyst accountant administrator director consultant assistant clerk technician specialist coordinator supervisor auditor investigator examiner counsel attorney lawyer paralegal nurse teacher developer architect designer scientist researcher buyer planner operator programmer tester trainer recruiter secretary receptionist treasurer controller president chairman chairwoman associate representative advisor adviser agent broker strategist editor translator librarian inspector surveyor estimator mechanic electrician leader executive intern trainee geschäftsführer geschäftsführerin leiter leiterin sachbearbeiter sachbearbeiterin ingenieur ingenieurin buchhalter buchhalterin berater beraterin directeur directrice responsable ingénieur comptable chargé assistante gerente jefe jefa ingeniero ingeniera contable".split())
 
 # Letters that open the numbers of records, not of people.
 RECORD_PREFIXES = ("kb", "inc", "chg", "req", "ref", "rma", "inv", "cve", "sr", "po", "ms", "id", "ticket", "case", "order", "bug", "rfc", "iso", "build", "ver", "v")
@@ -82,7 +88,9 @@ def tokens_of(line: str) -> tuple[list[str], list[tuple[int, int]]]:
         elif kind in ("NUM", "ALNUM", "HOUSE", "POSTCODE"):
             text = m.group()
             lead = "+" if text[0] in "+(" or text.startswith("00") else "#" if kind == "ALNUM" and re.match(r"[A-Za-z]*", text).group().lower() in RECORD_PREFIXES else ""
-            toks.append(f"{kind}:{lead}{_letters_and_digits(text)}")
+            # a document's name counts some words before its number: "passport, issued there, no. ..."
+            document = "!" if any(t[:5] == "WORD:" and t[5:].lower() in DOCUMENT_WORDS for t in toks[-5:]) else ""
+            toks.append(f"{kind}:{document}{lead}{_letters_and_digits(text)}")
         else:
             toks.append(kind + ":")
         spans.append(m.span())
@@ -125,7 +133,7 @@ class Features:
                 out.append("title")
             if low in PARTICLES:
                 out.append("particle")
-            if low in STREET_WORDS or low.endswith(STREET_ENDS):
+            if low in STREET_WORDS or low.endswith(STREET_ENDS) and not given:
                 out.append("street")
             if low in UNIT_WORDS:
                 out.append("unit")
@@ -135,14 +143,20 @@ class Features:
                 out.append("phoneword")
             if low in NOT_PERSONAL_NUMBER:
                 out.append("countword")
+            if low in ORG_WORDS:
+                out.append("orgword")
+            if low in JOB_WORDS:
+                out.append("jobword")
             if abs(offset) <= 1 and not known:
                 out.append("e=" + low[-2:])
         elif kind in ("NUM", "ALNUM", "HOUSE", "POSTCODE"):
-            dial, record, shape = text.startswith("+"), text.startswith("#"), text.lstrip("+#")
+            marks, shape = text[: len(text) - len(text.lstrip("!+#"))], text.lstrip("!+#")
             out += ["s=" + shape, "d=" + str(shape.count("9"))]
-            if dial:
+            if "!" in marks:
+                out.append("document")
+            if "+" in marks:
                 out.append("dial")
-            if record:
+            if "#" in marks:
                 out.append("record")
         elif kind == "OTHER":
             out.append("p=" + text)
@@ -151,7 +165,7 @@ class Features:
 
 def _vocabulary() -> frozenset[str]:
     words: set[str] = set()
-    fixed = [re.sub(r"\{\w*\}", " ", p) for _, p in T.PATTERNS] + T.IDWORDS + T.JOBS + T.CLOSINGS + T.DAYS + T.MONTHS + ["AM PM"]
+    fixed = [re.sub(r"\{\w*\}", " ", p) for _, p in T.PATTERNS] + T.IDWORDS + T.JOBS + T.CLOSINGS + T.SHORT_CLOSINGS + T.HEADINGS + T.DIVIDERS + T.DAYS + T.MONTHS + ["AM PM"]
     for line in fixed:
         words.update(t[5:].lower() for t in tokens_of(line)[0] if t.startswith("WORD:"))
     return frozenset(words)
@@ -182,7 +196,7 @@ _MODELS: dict[tuple, LinearChainCRF] = {}
 
 
 def train(copies: int = 10, epochs: int = 12, rows: Sequence[str] | None = None, words: str = WORDS, hidden: float = 0.2, seed: int = 5) -> LinearChainCRF:
-    """The model, trained from the labelled table (some 480 rows per copy); kept per process.
+    """The model, trained from the labelled table (some 685 rows per copy); kept per process.
 
     A share of ``hidden`` of the words is shown to the training without its
     letters, so that it learns to do without knowing the words around a span.
@@ -229,11 +243,11 @@ def _like_name(words: Sequence[str], text: str) -> bool:
     return all(w[0].isupper() for w in main) or all(w.islower() for w in words) and len(main) <= 3
 
 
-def _checked(kind: str, line: str, a: int, z: int, toks: list[str]) -> tuple[int, int] | None:
-    """The exact check of a span: trimmed, or None where it cannot be of its kind."""
+def _checked(kind: str, line: str, a: int, z: int, toks: list[str], family: frozenset[str] = frozenset()) -> tuple[int, int] | None:
+    """The exact check of a span: trimmed, or None where it cannot be of its kind. family: listed family names."""
     while a < z and line[a] in " ,;:.<>'\"|-":
         a += 1
-    while z > a and line[z - 1] in " ,;:<>'\"|-":
+    while z > a and line[z - 1] in " ,;:<>'\"|-#":
         z -= 1
     text = line[a:z]
     digits = sum(ch.isdigit() for ch in text)
@@ -260,18 +274,50 @@ def _checked(kind: str, line: str, a: int, z: int, toks: list[str]) -> tuple[int
         a = m.start(1)
     before = re.search(r"([^\W\d_]+)\.?\s*$", line[:a])
     titled = bool(before) and before.group(1).lower() in TITLES
+    if words and not titled and (end := words[-1].lower()) in COMPANY_ENDS and end not in family:
+        return None
     whole = [w for w in words if len(w) > 1 and w.lower() not in PARTICLES]
     if z > a and line[z - 1] == ".":
         z -= 1
     return (a, z) if z > a and (len(whole) >= 2 or titled and whole) and _like_name(words, line[a:z]) and not re.match(r"[-_@\\/]?\w", line[z:]) else None
 
 
+def _record_number(text: str) -> bool:
+    """Whether a number opens with the letters that records open with."""
+    return re.match(r"[A-Za-z]*", text).group().lower() in RECORD_PREFIXES
+
+
+def _dialled(part: str) -> bool:
+    """Whether a part of an address is a phone number: long enough and in no form of a postcode."""
+    return bool(re.fullmatch(r"[+(]?\d[\d()./ -]*", part)) and 7 <= sum(ch.isdigit() for ch in part) <= 15 and not re.fullmatch(r"\d{5}-\d{3,4}|\d{4}-\d{3}|\d{3}-\d{4}|\d{7}", part)
+
+
+def _pieces(kind: str, line: str, a: int, z: int) -> Iterator[tuple[str, int, int]]:
+    """A span as it is, but for fields and phone numbers taken for parts of an address: each by itself."""
+    if kind != "address":
+        yield kind, a, z
+        return
+    for field in re.finditer(r"[^;|\t]+", line[a:z]):
+        begin = end = a + field.start()
+        for part in re.finditer(r"[^,]+", field.group()):
+            if _dialled(part.group().strip()):
+                if end > begin:
+                    yield kind, begin, end
+                yield "phone", a + field.start() + part.start(), a + field.start() + part.end()
+                begin = end = a + field.start() + part.end() + 1
+            else:
+                end = a + field.start() + part.end()
+        if end > begin:
+            yield kind, begin, end
+
+
 def find_in_lines(lines: Sequence[str], model: LinearChainCRF) -> list[list[tuple[str, int, int]]]:
     """(kind, start, end) of the personal information in each line."""
     split = [tokens_of(x) for x in lines]
     alike: dict[tuple[str, ...], int] = {}
     which = [alike.setdefault(tuple(s[0]), len(alike)) for s in split]
     paths = model.decode(list(alike))
+    family = getattr(model.featurize, "family", frozenset())
     out: list[list[tuple[str, int, int]]] = [[] for _ in lines]
     for i, number in enumerate(which):
         path = paths[number]
@@ -288,8 +334,12 @@ def find_in_lines(lines: Sequence[str], model: LinearChainCRF) -> list[list[tupl
             k += 1
             while k < len(path) and LABELS[path[k]] == "I-" + kind:
                 k += 1
-            if got := _checked(kind, lines[i], spans[b][0], spans[k - 1][1], toks[b:k]):
-                out[i].append((kind, *got))
+            for piece, a, z in _pieces(kind, lines[i], spans[b][0], spans[k - 1][1]):
+                if got := _checked(piece, lines[i], a, z, toks[b:k], family):
+                    out[i].append((piece, *got))
+        # such a number is a person's where the line names a document or something else of a person
+        if not any(t.startswith("WORD:") and t[5:].lower() in ID_WORDS for t in toks) and not any(h[0] != "id_number" for h in out[i]):
+            out[i] = [h for h in out[i] if not _record_number(lines[i][h[1] : h[2]])]
     return out
 
 
