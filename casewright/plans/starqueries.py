@@ -63,7 +63,9 @@ def _(s: Star) -> DataFrame:
 @query("suffix_join_of_programs", "SELECT i.image, p.name, count(*) AS n_rows FROM proc_creation i JOIN (SELECT DISTINCT name FROM mem_netscan WHERE name <> '') p ON ends_with(lower(i.image), lower(p.name)) GROUP BY 1, 2")
 def _(s: Star) -> DataFrame:
     names = s.mem_netscan.select("name").distinct()
-    return suffix_join(s.proc_creation.select("image"), "image", names, "name").groupBy("image", "name").agg(F.count(F.lit(1)).alias("n_rows"))
+    # an image is counted before it meets the names, which are distinct: (image, name) then comes out once
+    images = s.proc_creation.groupBy("image").agg(F.count(F.lit(1)).alias("n_rows"))
+    return suffix_join(images, "image", names, "name").select("image", "name", "n_rows")
 
 
 _EDGE = "SELECT cn.n_name AS src, sn.n_name AS dst, count(*) AS n_rows FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey GROUP BY 1, 2"
